@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate
+from quillstone.llm import decontaminate, language, shards, token_counts, toxicity, warc
 
-_MODULES = (decontaminate,)
+_MODULES = (decontaminate, toxicity, shards, token_counts, warc, language)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
