@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SEGMENT = 1 << 20
@@ -41,6 +42,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def row_slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text; a longer text is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row = 0
+    while row < len(column):
+        before = int(ends[row - 1]) if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield row, end
+        row = end
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (first row, end row, bytes, offsets) of about ``limit`` bytes; a longer text is a slice of its own."""
     column = column.cast(pa.large_string()).fill_null("")
