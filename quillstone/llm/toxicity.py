@@ -242,10 +242,18 @@ def scored(docs: DataFrame, grammar: Grammar, *, text_col: str = "text") -> Data
     return docs.mapInArrow(score, StructType([*docs.schema.fields]).add("score", DoubleType()).add("clauses", ArrayType(clause)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a label whose ids may be learned from; ids that carry both labels teach nothing."""
-    usable = labels.where(F.col("toxic").isNotNull() & ~remainder_is(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(usable, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Texts with a label whose ids may be learned from; ids that carry both labels teach nothing.
+
+    About ``fit_rows`` ids are chosen by their hash before the texts are read, so what is broadcast is bounded and no
+    text is shuffled.
+    """
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~remainder_is(F.col("doc_id"), 3, 1))
+    n = usable.count()
+    if n > fit_rows:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
+    chosen = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
