@@ -1,6 +1,6 @@
 """The registered queries: each applies operators of the library to the test tables."""
 
-from quillstone.plans import files, learner, strings
+from quillstone.plans import catalogue, files, learner, strings
 from quillstone.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "files", "learner", "strings"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "files", "learner", "strings"]
