@@ -1,6 +1,6 @@
 """The registered queries: each applies operators of the library to the test tables."""
 
-from quillstone.plans import catalogue, curation, files, learner, merging, strings
+from quillstone.plans import catalogue, curation, files, learner, merging, quality, strings, tagging
 from quillstone.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogue", "curation", "files", "learner", "merging", "strings"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "curation", "files", "learner", "merging", "quality", "strings", "tagging"]
