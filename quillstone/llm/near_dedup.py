@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import _text
@@ -15,19 +15,34 @@ from quillstone.llm.components import components
 
 #: A pair of similarity 0.8 shares none of 32 bands of 5 minima with probability (1 - 0.8^5)^32 < 4e-6.
 BANDS, ROWS, SEED = 32, 5, 90_071
-#: Bits of the odd sketch; with 160 samples a similarity of 0.8 is estimated below SIFT about once in 10^8 pairs.
+#: Bits of the odd sketch of a document's minima, and the estimate below which a pair is passed over: with 160 samples
+#: a pair of similarity 0.8 comes out below 0.55 about once in 10^8 times.
 SKETCH_BITS, SIFT = 1024, 0.55
+#: Bits of the parity bitmap of a document's whole set, whose XOR can only understate a symmetric difference.
+PARITY_BITS = 2048
+#: Rows of a key that meet in one block, and rows of several keys that one task takes at a time.
+BLOCK, GROUP = 1024, 8192
 #: Members that one task compares with a centre's text before the centre is dealt out again.
 FAN = 256
 
 
+def _parities(rows: np.ndarray, places: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """``n`` parity bitmaps: each (row, place) flips a bit."""
+    odd = (np.bincount(rows * bits + places, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1)
+
+
 def odd_sketches(minima: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Parity bitmaps of each row's (sample, minimum) pairs, as 64-bit words."""
+    """Parity bitmaps of each row's (sample, minimum) pairs."""
     n, k = minima.shape
     place = _text.mix64(minima.astype(np.uint64) | (np.arange(k, dtype=np.uint64) << np.uint64(32))) & np.uint64(bits - 1)
-    at = (np.arange(n, dtype=np.int64) * bits)[:, None] + place.astype(np.int64)
-    odd = (np.bincount(at.ravel(), minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-    return np.packbits(odd, axis=1).view(np.int64)
+    return _parities(np.repeat(np.arange(n), k), place.astype(np.int64).ravel(), n, bits)
+
+
+def set_parities(values: np.ndarray, places: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    n = len(places) - 1
+    place = _text.mix64(values ^ np.uint64(0x7C15D3A9E84B62F1)) & np.uint64(bits - 1)
+    return _parities(np.repeat(np.arange(n), np.diff(places)), place.astype(np.int64), n, bits)
 
 
 def most_odd_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
@@ -35,8 +50,28 @@ def most_odd_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = SK
     return int(bits / 2 * (1 - np.exp(4 * samples * (similarity - 1) / bits)))
 
 
+def possible_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``left`` against rows of ``right`` in other components that may be similar enough.
+
+    The estimate from the odd sketches passes what is clearly apart. Then the bitmaps of whole sets: with J >= p the
+    symmetric difference is at most (1 - p) / (1 + p) of both sizes together, and no XOR has more bits than it; so a pair
+    that is dropped there is not similar enough, for certain.
+    """
+    words, most = SKETCH_BITS // 64, most_odd_bits(SIFT * percent / 80)
+    for begin in range(0, len(left), 64):
+        rows = left[begin : begin + 64]
+        i, j = np.nonzero((component[rows][:, None] < component[right]) & (np.minimum(n[rows][:, None], n[right]) * 100 >= np.maximum(n[rows][:, None], n[right]) * percent))
+        for at in range(0, len(i), 1 << 16):
+            a, b = rows[i[at : at + (1 << 16)]], right[j[at : at + (1 << 16)]]
+            near = np.bitwise_count(sketch[a, :words] ^ sketch[b, :words]).sum(axis=1, dtype=np.int64) <= most
+            a, b = a[near], b[near]
+            apart = np.bitwise_count(sketch[a, words:] ^ sketch[b, words:]).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+            yield a[near], b[near]
+
+
 def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``doc_id, n, h1, h2, keys, sketch`` of each row: shingles, a 128-bit hash of their set, band keys, odd sketch."""
+    """``doc_id, n, h1, h2, keys, sketch`` of each row: shingles, a 128-bit hash of their set, band keys, both bitmaps."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _text.MinHash(BANDS * ROWS, SEED)
@@ -54,7 +89,7 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFram
                 full = np.flatnonzero(n > 0)
                 at_keys = np.zeros(len(n) + 1, np.int32)
                 np.cumsum((n > 0) * BANDS, out=at_keys[1:])
-                bits = odd_sketches(minima)
+                bits = np.concatenate([odd_sketches(minima), set_parities(values, places)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, end - begin),
@@ -62,13 +97,13 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFram
                         pa.array(h1),
                         pa.array(h2),
                         pa.ListArray.from_arrays(pa.array(at_keys), pa.array(key[full].ravel().view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel())),
+                        pa.array([b.tobytes() for b in bits], pa.binary()),
                     ],
                     names=["doc_id", "n", "h1", "h2", "keys", "sketch"],
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sketch, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(sketch, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -104,8 +139,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
     return laid.mapInArrow(compare, "u bigint, v bigint")
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u, v`` of possible links between components within a key's group: ``key, class, component, n, sketch``.
+
+    A large group is dealt into blocks, and each two blocks meet in a group of their own; small groups share a task.
+    """
+    counts = rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "class", "component", "n", "sketch")
+    groups = max(1, rows.count() // GROUP)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by("meeting")
+        meeting, first, second, ids, component, n = (table[c].to_numpy() for c in ("meeting", "first", "second", "class", "component", "n"))
+        sketch = np.frombuffer(b"".join(b.as_py() for b in table["sketch"]), np.uint64).reshape(len(table), -1)
+        cuts = np.append(np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1])), len(meeting))
+        found = set()
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            at = np.arange(begin, end)
+            one, two = at[first[at]], at[second[at]]
+            sides = [(one, two)] if (first[at] & second[at]).all() else [(one, two), (two, one)]
+            for left, right in sides:
+                for a, b in possible_pairs(component, n, sketch, left, right, percent):
+                    found.update(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))
+        rows = sorted(found)
+        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return met.withColumn("task", F.pmod("meeting", F.lit(groups))).groupBy("task").applyInArrow(pairs, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -118,8 +178,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     1. Documents with equal sets are one class, named by its smallest id; only classes go on.
     2. Classes that share a band's key are candidates. In each key's group every class is tried against the smallest
        one, never every pair; links are confirmed on full sets, and groups of links become components.
-    3. Where a key's group still spans several components, pairs across components whose sizes and odd sketches allow
-       the similarity are confirmed as well. Pairs within a component could add no link that matters.
+    3. Where a key's group still spans several components, pairs across components whose sizes and bitmaps allow the
+       similarity are confirmed as well. Pairs within a component could add no link that matters.
     """
     names = {"id_col": id_col, "text_col": text_col, "k": k}
     sketches = written(sketched(docs, **names), "sketches")
@@ -136,10 +196,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = members.join(first.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     open_rows = written(placed.join(split, "key").join(own.select(F.col("doc_id").alias("class"), "n", "sketch"), "class"), "open")
-    a, b = (open_rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "component", "n", "sketch"))) for s in "ab")
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    sifted = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & sizes & (_apart("sketch_a", "sketch_b") <= most_odd_bits(SIFT * percent / 80)))
-    more = written(sifted.select(F.least("class_a", "class_b").alias("u"), F.greatest("class_a", "class_b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more = written(across(open_rows, percent), "pairs")
     found = first
     if not more.isEmpty():
         late = confirmed(more, docs, **names, percent=percent)
