@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a non-content page says (fixed values).
 NON_CONTENT_PHRASES = ("blank page", "do not write on this page", "turn over", "copyright", "acknowledgements", "periodic table", "data sheet", "formula sheet")
@@ -15,7 +16,7 @@ NON_CONTENT_PHRASES = ("blank page", "do not write on this page", "turn over", "
 SEASONS = {"m": "March", "s": "June", "w": "November"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKD with combining marks dropped; Spark has no such function."""
     for s in texts:
