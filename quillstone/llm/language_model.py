@@ -263,14 +263,33 @@ def statistics(model: DataFrame) -> Statistics:
     return Statistics(totals[1][0], totals[1][1], totals[1][2], totals[1][3], totals[2][2], totals[2][3], *means)
 
 
-def _bloom(rows: list, blocks: int) -> Bloom:
-    starts, sizes = np.zeros(blocks, np.uint64), np.full(blocks, 64, np.uint64)
-    parts, at = [b"\0" * 8], 64
-    for r in rows:  # blocks without a key point at the empty one before all others
-        starts[r["block"]], sizes[r["block"]] = at, 8 * len(r["bits"])
-        parts.append(bytes(r["bits"]))
-        at += 8 * len(r["bits"])
-    return Bloom(np.frombuffer(b"".join(parts), np.uint8), starts, sizes)
+def _one_block(bits: bytes) -> Bloom:
+    return Bloom(np.frombuffer(bits, np.uint8), np.zeros(1, np.uint64), np.array([8 * len(bits)], np.uint64))
+
+
+def held_model(model: DataFrame, blocks: int) -> Held:
+    """The whole model in memory. Blocks are fetched one partition at a time into arrays of their final size."""
+    sizes = model.select("kind", "block", "n", F.octet_length("bits").alias("bits")).collect()
+    starts, widths = np.zeros((2, blocks), np.uint64), np.full((2, blocks), 64, np.uint64)
+    at, first, n = [8, 8], {}, 0  # a block without a key points at eight empty bytes before all others
+    for r in sorted(sizes, key=lambda r: (r["kind"], r["block"])):
+        k = r["kind"] - 1
+        starts[k, r["block"]], widths[k, r["block"]] = 8 * at[k], 8 * r["bits"]
+        at[k] += r["bits"]
+        if k == 0:
+            first[r["block"]], n = n, n + r["n"]
+    bits = [np.zeros(size, np.uint8) for size in at]
+    keys, counts = np.empty(n, np.uint64), np.empty(n, np.int64)
+    for r in model.select("kind", "block", "keys", "counts", "bits").toLocalIterator():
+        k, begin = r["kind"] - 1, int(starts[r["kind"] - 1, r["block"]]) // 8
+        bits[k][begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        if k == 0:
+            own, at_key = np.frombuffer(r["keys"], np.uint64), first[r["block"]]
+            keys[at_key : at_key + len(own)] = own
+            counts[at_key : at_key + len(own)] = np.frombuffer(r["counts"], np.int64)
+    if counts.max(initial=0) < 1 << 31:
+        counts = counts.astype(np.int32)
+    return Held(keys, counts, *(Bloom(bits[k], starts[k], widths[k]) for k in (0, 1)))
 
 
 _OUT = ("n_tokens", "n_known", "base_score", "score")
@@ -293,12 +312,8 @@ def scored(docs: DataFrame, model: DataFrame, *, text_col: str = "text", broadca
     size = model.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("bits")), F.lit(0))).first()[0]
     if size > broadcast_bytes:
         return _scored_in_chunks(docs, model, known, at, schema).withColumn("train_tokens", F.lit(known.tokens).cast("bigint"))
-    rows = sorted(model.select("kind", "block", "keys", "counts", "bits", "blocks").collect(), key=lambda r: (r["kind"], r["block"]))
-    blocks = rows[0]["blocks"] if rows else 1
-    words = [r for r in rows if r["kind"] == 1]
-    keys, counts = (np.frombuffer(b"".join(bytes(r[c]) for r in words), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-    filters = [_bloom([r for r in rows if r["kind"] == k], blocks) for k in (1, 2)]
-    held = docs.sparkSession.sparkContext.broadcast((Held(keys, counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts, *filters), known))
+    blocks = model.select(F.max("blocks")).first()[0] or 1
+    held = docs.sparkSession.sparkContext.broadcast((held_model(model, blocks), known))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,7 +351,7 @@ def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at:
             keys = np.frombuffer(keys.as_buffer(), np.uint64)
             counts, levels = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             if len(own):
-                one = _bloom([{"block": 0, "bits": own["bits"][0].as_py()}], 1)
+                one = _one_block(own["bits"][0].as_py())
                 levels = one.levels(keys)
                 if kind.as_py() == 1:
                     counts = Held(np.frombuffer(own["keys"][0].as_py(), np.uint64), np.frombuffer(own["counts"][0].as_py(), np.int64), one, one).counts(keys)

@@ -58,7 +58,7 @@ def test_levels_are_read_back():
     keys = lm._text.mix64(np.arange(20_000, dtype=np.uint64))
     counts = np.arange(20_000) % 300 + 1
     bits = lm.Bloom.block(keys, counts)
-    one = lm._bloom([{"block": 0, "bits": bits}], 1)
+    one = lm._one_block(bits)
     got = one.levels(keys)
     assert (got >= lm.level(counts)).all() and (got == lm.level(counts)).mean() > 0.98
     assert (one.levels(lm._text.mix64(np.arange(30_000, 60_000, dtype=np.uint64))) > 0).mean() < 0.02
