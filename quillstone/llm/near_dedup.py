@@ -22,6 +22,8 @@ SKETCH_BITS, SIFT = 1024, 0.55
 PARITY_BITS = 2048
 #: Rows of a key that meet in one block, and rows of several keys that one task takes at a time.
 BLOCK, GROUP = 1024, 8192
+#: Slots that candidate ids are hashed into to keep other texts from being shuffled; bounds what is broadcast for it.
+SLOTS = 1 << 20
 #: Members that one task compares with a centre's text before the centre is dealt out again.
 FAN = 256
 
@@ -116,6 +118,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
     dealt = pairs.join(many, "u", "left").select("u", "v", F.when(F.col("deals").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("deals"))).alias("deal"))
     rows = dealt.select("u", "deal", F.lit(1).alias("place"), F.col("v").alias("doc")).union(dealt.select("u", "deal", F.lit(0), F.col("u")).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    # Before texts are shuffled, those whose id falls into no candidate's slot are left out: at most SLOTS numbers.
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")
+    texts = texts.withColumn("slot", slot).join(F.broadcast(rows.select(slot).distinct()), "slot", "left_semi").drop("slot")
     laid = rows.join(texts, "doc").select("u", "deal", "place", "doc", "text").repartition("u", "deal").sortWithinPartitions("u", "deal", "place")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

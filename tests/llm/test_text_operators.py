@@ -253,8 +253,9 @@ def test_edits_and_fingerprints(spark, run_bytes):
     by_text = {}
     for r in got:
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
-        by_text.setdefault(next(t or "" for i, t in rows if i == r["doc_id"]), set()).add(r["fingerprint"])
-    assert all(len(v) == 1 for t, v in by_text.items() if t != "twice")
+        if r["doc_id"] not in (9, 150):  # ids of two texts each
+            by_text.setdefault(next(t or "" for i, t in rows if i == r["doc_id"]), set()).add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
     assert sum(r["near_edited"] for r in got) > 2 * sum(r["near_next"] for r in got)
 
 
