@@ -142,7 +142,7 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
 def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int) -> list[str]:
     """Features by greedy cover: each next one is in the most toxic texts that fewer than COVER chosen ones explain.
 
-    Copies of one toxic text share all their words; covering keeps the few that explain other texts as well.
+    Equal texts count once. Near copies share their other words, too; covering keeps the few that explain more.
     """
     held = rows.sparkSession.sparkContext.broadcast(frozenset(weights))
 
@@ -151,9 +151,9 @@ def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int)
             found = [sorted({f for w in set(_WORD.findall((t.as_py() or "").lower())) for f in word_features(w) if f in held.value}) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["features"])
 
-    texts = {tuple(r[0]) for r in rows.select("text").mapInArrow(features, "features array<string>").collect()}
+    texts = sorted(tuple(r[0]) for r in rows.select("text").distinct().mapInArrow(features, "features array<string>").collect())
     where: dict[str, set[int]] = {}
-    for i, found in enumerate(sorted(texts)):
+    for i, found in enumerate(texts):
         for f in found:
             where.setdefault(f, set()).add(i)
     need, chosen = dict.fromkeys(range(len(texts)), COVER), []
