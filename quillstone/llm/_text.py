@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 SEGMENT = 1 << 20
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)

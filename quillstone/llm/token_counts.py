@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructType
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = -1
 #: Distinct words whose counts a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -35,6 +35,8 @@ THREAT = frozenset("kill hurt destroy murder stab shoot tuer frapper töten schl
 #: Clause weights of the grammar: an insult near a target, under negation, in reported speech; a threat to a target.
 NEAR_TARGET, NEGATED, REPORTED, THREATENED = 1.25, 0.35, 0.6, 2.0
 REACH = 3
+#: Words whose class a task remembers, and features that it counts before it sends them on; bound a task's memory.
+REMEMBERED, HELD_FEATURES = 100_000, 200_000
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
@@ -55,12 +57,16 @@ class Grammar:
     def __post_init__(self):
         self._classes: dict[str, tuple[str, float]] = {}
 
+    def fresh(self) -> Grammar:
+        """The same grammar without remembered words, for a task of its own."""
+        return Grammar(self.weights, self.slope, self.bias)
+
     def word_class(self, word: str) -> tuple[str, float]:
         """The lexical transducer: a word's class, and its weight for an insult."""
         if (found := self._classes.get(word)) is None:
             weight = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
             found = ("insult", weight) if weight > 0 else ("target", 0.0) if word in TARGET else ("negation", 0.0) if word in NEGATION else ("report", 0.0) if word in REPORT else ("threat", 0.0) if word in THREAT else ("", 0.0)
-            if len(self._classes) > 500_000:
+            if len(self._classes) > REMEMBERED:
                 self._classes.clear()
             self._classes[word] = found
         return found
@@ -126,15 +132,19 @@ def remainder_is(doc_id: Column, divisor: int, value: int) -> Column:
 def _feature_counts(rows: DataFrame) -> DataFrame:
     """How many texts of either label have each word and stem; counted in the tasks, then summed."""
 
+    def counted(seen: dict[int, Counter]) -> pa.RecordBatch:
+        names = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "bad", "good"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen[label].update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
-        names = list(seen[1])  # a feature without a toxic text has no weight
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "bad", "good"])
-        rest = [f for f in seen[0] if f not in seen[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array(np.zeros(len(rest), np.int64)), pa.array([seen[0][f] for f in rest], pa.int64())], names=["feature", "bad", "good"])
+                if len(seen[0]) + len(seen[1]) > HELD_FEATURES:
+                    yield counted(seen)
+                    seen = {0: Counter(), 1: Counter()}
+        yield counted(seen)
 
     return rows.select("text", "label").mapInArrow(count, "feature string, bad bigint, good bigint").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
@@ -156,6 +166,7 @@ def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int)
     for i, found in enumerate(texts):
         for f in found:
             where.setdefault(f, set()).add(i)
+    count = {f: len(at) for f, at in where.items()}
     need, chosen = dict.fromkeys(range(len(texts)), COVER), []
     while where and len(chosen) < most:
         best = max(where, key=lambda f: (len(where[f]) * weights[f], f))
@@ -168,8 +179,10 @@ def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int)
                 for f in [f for f, at in where.items() if i in at]:
                     where[f].discard(i)
         stem = best.removesuffix("*")
-        for f in [f for f in where if best.endswith("*") and f.startswith(stem)]:  # the chosen stem stands for these
-            del where[f]
+        for f in list(where):  # what stands for the same words, and a chosen stem's longer forms
+            other = f.removesuffix("*")
+            if best.endswith("*") and f.startswith(stem) or (stem.startswith(other) or other.startswith(stem)) and count[f] <= 1.3 * count[best]:
+                del where[f]
     return chosen
 
 
@@ -197,8 +210,9 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     held = labelled.sparkSession.sparkContext.broadcast(grammar)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = held.value.fresh()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([round(held.value.weight(t.as_py()), 2) for t in batch.column(0)], pa.float64())], names=["label", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([round(g.weight(t.as_py()), 2) for t in batch.column(0)], pa.float64())], names=["label", "weight"])
 
     points = rows.mapInArrow(weigh, "label int, weight double").groupBy("weight", "label").count().collect()
     x, y, c = (np.array([r[k] for r in points], float) for k in ("weight", "label", "count"))
@@ -229,7 +243,7 @@ def scored(docs: DataFrame, grammar: Grammar, *, text_col: str = "text") -> Data
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("weight", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = held.value
+        g = held.value.fresh()
         for batch in batches:
             found = [g.matched(t.as_py()) for t in batch.column(at)]
             values = [g.score(math.log1p(sum(w for _, _, w in f))) for f in found]
