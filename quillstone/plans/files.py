@@ -69,16 +69,13 @@ TRIAGE = """triage AS (
 
 
 @query(f"""WITH {TRIAGE}
-SELECT row_number() OVER (ORDER BY CASE outcome WHEN 'disagreed' THEN 0 WHEN 'reordered' THEN 1 ELSE 2 END, paper, lpad(ordinal::VARCHAR, 4, '0'), question_id) AS place, question_id, paper, outcome FROM {"triage"} WHERE confidence < 75""")
+SELECT CASE outcome WHEN 'disagreed' THEN 0 WHEN 'reordered' THEN 1 ELSE 2 END AS rank, paper, lpad(ordinal::VARCHAR, 4, '0') AS label, question_id, outcome FROM triage WHERE confidence < 75""")
 def triage_report(spark: SparkSession, d: str) -> DataFrame:
-    """Findings below the floor, disagreements first; the order is global, as the report is one sheet of review work."""
-    from pyspark.sql import Window
-
-    b = bank(spark, d)
+    """Findings below the floor with the columns that order the report, disagreements first; the sink sorts."""
     outcome = F.when(F.col("question_id") % 10 == F.col("answer"), "agreed").when((F.col("question_id") % 3 == 0) & (F.col("question_id") % 7 == F.col("answer")), "reordered").otherwise("disagreed")
     rank = F.when(F.col("outcome") == "disagreed", 0).when(F.col("outcome") == "reordered", 1).otherwise(2)
-    w = Window.orderBy(rank, "paper", F.lpad(F.col("ordinal").cast("string"), 4, "0"), "question_id")
-    return b.where(F.col("confidence") < 100 * FLOOR).withColumn("outcome", outcome).select(F.row_number().over(w).alias("place"), "question_id", "paper", "outcome")
+    rows = bank(spark, d).where(F.col("confidence") < 100 * FLOOR).withColumn("outcome", outcome)
+    return rows.select(rank.alias("rank"), "paper", F.lpad(F.col("ordinal").cast("string"), 4, "0").alias("label"), "question_id", "outcome")
 
 
 @query("""

@@ -45,9 +45,9 @@ def replayed(spark: SparkSession, answers: DataFrame, tags: DataFrame) -> DataFr
     return both.select("question_id", "topic_id", "current", outcome.alias("outcome"))
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """An ordered report as CSV with a header; ``place`` is its order."""
-    rows.orderBy("place").write.mode("overwrite").option("header", True).csv(path)
+def write_report(rows: DataFrame, path: str, *order: str) -> None:
+    """A report as CSV files with a header, sorted over all of them by the named columns."""
+    rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def swap_snapshot(rows: DataFrame, path: str) -> DataFrame:

@@ -176,3 +176,22 @@ def test_a_plan_embeds_only_what_changed(spark):
 
     stored = spark.createDataFrame([(1, hashlib.sha256(b"a").hexdigest()), (2, "old")], "group_id bigint, stored_hash string")
     assert rows(retrieval.embedding_plan(c, stored)) == [(1, "unchanged"), (2, "stale"), (3, "missing_text"), (4, "new")]
+
+
+# --- sources
+
+
+def test_reports_snapshots_and_replays(spark, tmp_path):
+    from quillstone.sources import files
+
+    df = spark.createDataFrame([(2, "b"), (0, "c"), (1, "a")], "rank int, t string").repartition(3)
+    files.write_report(df, f"{tmp_path}/report", "rank")
+    got = [line for p in sorted((tmp_path / "report").glob("part-*.csv")) for line in p.read_text().splitlines()[1:]]
+    assert got == ["0,c", "1,a", "2,b"]
+    one, two = files.swap_snapshot(df, f"{tmp_path}/snap"), files.swap_snapshot(df.where("rank = 1"), f"{tmp_path}/snap")
+    assert (one.count(), two.count()) == (3, 1)
+    tags = spark.createDataFrame([(1, 7), (2, 7)], "question_id bigint, topic_id bigint")
+    answers = spark.createDataFrame([(1, 7, 0.9), (2, 8, 0.9), (3, 7, 0.9)], files.ANSWERS)
+    assert rows(files.replayed(spark, answers, tags).select("question_id", "outcome")) == [(1, "agreed"), (2, "disagreed"), (3, "unknown")]
+    now = files.manifest(spark, f"{tmp_path}/report")
+    assert {r["state"] for r in files.changed_documents(now, now).collect()} == {"same"}
