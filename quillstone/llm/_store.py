@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch; Spark's own default is eight times as large, which several workers cannot hold beside a heap.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size for the operators' tasks, unless the session has a size of its own."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local session without the setting gets a temporary folder, a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or None

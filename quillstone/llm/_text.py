@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 CHUNK_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15

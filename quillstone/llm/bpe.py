@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from quillstone.llm._store import small_batches
 from quillstone.llm._text import row_slices
 from quillstone.llm.token_counts import byte_letters
 
@@ -146,6 +147,7 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
     """
     from quillstone.llm._store import written
 
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     at = kept.index(text_col)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm._store import small_batches, written
+
 WINDOW = 10
 #: Bytes of benchmark text whose windows make one automaton; a larger benchmark is scanned for in several blocks.
 BLOCK_BYTES = 8 << 20
@@ -104,6 +106,7 @@ def contamination(
     each text is scanned once and nothing is shuffled; with more, each block's automaton scans all texts and the
     blocks' spans are combined per row.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
@@ -115,8 +118,6 @@ def contamination(
 
     if blocks == 1:
         return _scan(docs, id_col, text_col, shared(0), window)
-    from quillstone.llm._store import written
-
     rows = written(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
     parts = None
     for k in range(blocks):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
+from quillstone.llm._store import small_batches
 from quillstone.llm.toxicity import remainder_is
 
 #: A dictionary's bytes, about how many labelled rows of a language fill it, and the most that one text gives.
@@ -93,6 +94,7 @@ def identified(docs: DataFrame, contents: dict[str, bytes], *, text_col: str = "
     Null texts and texts without a letter are ``und`` and rejected; others get a learned language, and are rejected
     when the margin is narrower than ``min_margin``. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(contents)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import _text
-from quillstone.llm._store import written
+from quillstone.llm._store import small_batches, written
 from quillstone.llm.components import components
 
 #: A pair of similarity 0.8 shares none of 32 bands of 5 minima with probability (1 - 0.8^5)^32 < 4e-6.
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     3. Where a key's group still spans several components, pairs across components whose sizes and bitmaps allow the
        similarity are confirmed as well. Pairs within a component could add no link that matters.
     """
+    small_batches(docs.sparkSession)
     names = {"id_col": id_col, "text_col": text_col, "k": k}
     sketches = written(sketched(docs, **names), "sketches")
     sets = sketches.where("n > 0 AND doc_id IS NOT NULL")

@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm._store import small_batches, written
+
 #: Labelled rows that the lexicon and the weights are fitted on, about (a hash picks them); bounds the fit at any size.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Most lexicon entries, the heaviest first; bounds what is broadcast.
 LEXICON = 4_000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -129,24 +131,25 @@ def remainder_is(doc_id: Column, divisor: int, value: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == value, F.lit(False))
 
 
-def _feature_counts(rows: DataFrame) -> DataFrame:
-    """How many texts of either label have each word and stem; counted in the tasks, then summed."""
+def _feature_counts(rows: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """In how many of the texts each word and stem is (of the wanted ones); counted in the tasks, then summed."""
+    held = rows.sparkSession.sparkContext.broadcast(wanted)
 
-    def counted(seen: dict[int, Counter]) -> pa.RecordBatch:
-        names = list(seen[0].keys() | seen[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "bad", "good"])
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[label].update({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)})
-                if len(seen[0]) + len(seen[1]) > HELD_FEATURES:
+            for text in batch.column(0):
+                found = {f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in word_features(w)}
+                seen.update(found if held.value is None else found & held.value)
+                if len(seen) > HELD_FEATURES:
                     yield counted(seen)
-                    seen = {0: Counter(), 1: Counter()}
+                    seen = Counter()
         yield counted(seen)
 
-    return rows.select("text", "label").mapInArrow(count, "feature string, bad bigint, good bigint").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return rows.select("text").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int) -> list[str]:
@@ -192,8 +195,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     About ``fit_rows`` rows are used, chosen by a hash of text and label. Without labels of both kinds nothing is
     learned: every text then scores as one without insults.
     """
-    from quillstone.llm._store import written
-
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     n = rows.count()
     if n > fit_rows:
@@ -202,9 +204,11 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Grammar()
-    bad, good = (F.col("bad") + 0.5) / (sizes[1] + 1), (F.col("good") + 0.5) / (sizes[0] + 1)
-    strong = _feature_counts(rows).where(F.col("bad") >= 3).select("feature", F.log(bad / good).alias("weight")).where(F.col("weight") >= MIN_WEIGHT)
-    weights = {r["feature"]: float(r["weight"]) for r in strong.collect()}
+    # Toxic texts are the few: what is in three of them or more is then counted in the others.
+    bad = {r["feature"]: r["n"] for r in _feature_counts(rows.where("label = 1")).where("n >= 3").collect()}
+    good = {r["feature"]: r["n"] for r in _feature_counts(rows.where("label = 0"), frozenset(bad)).collect()}
+    odds = {f: math.log((n + 0.5) / (sizes[1] + 1)) - math.log((good.get(f, 0) + 0.5) / (sizes[0] + 1)) for f, n in bad.items()}
+    weights = {f: w for f, w in odds.items() if w >= MIN_WEIGHT}
     chosen = _covering(rows.where("label = 1"), weights, max(3, sizes[1] // 500), lexicon)
     grammar = Grammar({f: weights[f] for f in chosen})
     held = labelled.sparkSession.sparkContext.broadcast(grammar)
@@ -236,6 +240,7 @@ def scored(docs: DataFrame, grammar: Grammar, *, text_col: str = "text") -> Data
     Null and empty texts have no clause and get the score of a text without insults. Columns of the same names are
     replaced. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(grammar)
     kept = [c for c in docs.columns if c not in ("score", "clauses")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
