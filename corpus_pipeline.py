@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillstone.llm import bpe, decontaminate, language, near_dedup, toxicity
 from quillstone.llm._store import written
 
+#: Ids of removed documents up to which they are broadcast, so that no text is shuffled to leave them out.
+BROADCAST_IDS = 1 << 20
+
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The text beside the other columns as one struct, so that no name of theirs can clash with an operator's."""
@@ -38,6 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = written(near_dedup.near_duplicates(docs.select("doc_id", "text")), "groups").where("doc_id IS NOT NULL")
     gone = found.where("NOT kept").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
     repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
