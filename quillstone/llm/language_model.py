@@ -25,6 +25,8 @@ BITS_PER_ENTRY, PROBES = 12, 7
 TRUST = 8.0
 #: Counts of level l lie in [2^(l-1), 2^l).
 LEVELS = 40
+#: What a pair of each level counts as, in tenths: whole numbers, so that a context's sum is the same in any order.
+PAIR_TENTHS = np.array([0, 10, *(26 << i for i in range(LEVELS - 2))], np.int64)
 _END = np.uint64(0x6A09E667F3BCC909)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,45 +108,45 @@ class Statistics:
     pair_singles: int
     pair_doubles: int
     means: np.ndarray
-    pair_means: np.ndarray
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of additively smoothed unigram probabilities."""
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def log10(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log10 probabilities from the levels of a word, of the one before it, and of the two together.
+    def log10(self, word: np.ndarray, types: np.ndarray, tenths: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 probabilities from a word's level, its context's distinct continuations and their sum, and the pair's level.
 
-        Unigrams are discounted absolutely, and what is taken off is the unknown word's; bigrams are discounted
-        likewise and mixed in by how often the context was seen. A level stands for the mean count of its keys.
+        Unigrams are discounted absolutely, and what is taken off is the unknown word's; a level stands for the mean
+        count of its keys. Pairs are discounted likewise: what each of a context's continuations gives up goes to the
+        unigrams. A context's pairs are divided by the sum of what their levels stand for, so that the probabilities
+        of all words and the unknown one sum to 1 after every context; only the filter's false positives come on top.
         """
         if not self.tokens:
             return np.full(len(word), math.log10(0.5))
         off = self.singles / max(1, self.singles + 2 * self.doubles)
         off = min(max(off, 0.05), 0.95)
-        unknown = min(0.99, max(off * self.types, 0.5) / self.tokens)
-        one = np.where(word > 0, (self.means[word] - off) / self.tokens, unknown)
+        one = np.where(word > 0, (self.means[word] - off) / self.tokens, off * self.types / self.tokens)
         pair_off = min(max(self.pair_singles / max(1, self.pair_singles + 2 * self.pair_doubles), 0.05), 0.9)
-        seen = np.maximum(self.means[context], self.pair_means[pair])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            two = np.where(pair > 0, (self.pair_means[pair] - pair_off) / seen, 0.0)
-            trust = np.where((context > 0) & (pair > 0), seen / (seen + TRUST), 0.0)
-        # The mass that discounting leaves goes to the unigrams, for seen and unseen pairs alike.
-        rest = 1 - np.where(context > 0, self.means[context] / (self.means[context] + TRUST), 0.0) * (1 - pair_off)
-        return np.log10(np.maximum(trust * two, 0.0) + rest * one)
+        seen = tenths / 10
+        two = np.where((pair > 0) & (tenths > 0), (np.minimum(PAIR_TENTHS[pair], tenths) / 10 - pair_off) / (seen + TRUST), 0.0)
+        rest = (TRUST + pair_off * types) / (seen + TRUST)
+        return np.log10(two + rest * one)
 
 
 class Held:
-    """The model in memory: both filters, and the unigram table as sorted hashes and counts."""
+    """The model in memory: both filters, and the unigram table as sorted hashes and their facts.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, one: Bloom, two: Bloom):
-        self.keys, self.values, self.one, self.two = keys, counts, one, two
+    A word's facts are its count, its distinct continuations, and the sum of their pairs' levels in tenths.
+    """
+
+    def __init__(self, keys: np.ndarray, facts: tuple[np.ndarray, np.ndarray, np.ndarray], one: Bloom, two: Bloom):
+        self.keys, self.values, self.one, self.two = keys, facts, one, two
 
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
+    def facts(self, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         if not len(self.keys):
-            return np.zeros(len(tokens), np.int64)
+            return tuple(np.zeros(len(tokens), np.int64) for _ in self.values)
         at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        return np.where(self.keys[at] == tokens, self.values[at], 0)
+        return tuple(np.where(self.keys[at] == tokens, v[at], 0) for v in self.values)
 
     def word_levels(self, tokens: np.ndarray) -> np.ndarray:
         return self.one.levels(tokens)
@@ -156,21 +158,21 @@ class Held:
 class Looked(Held):
     """What the blocks answered about the n-grams of one chunk, as sorted tables."""
 
-    def __init__(self, answers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, answers: dict[int, tuple[np.ndarray, ...]]):
         self.tables = answers
 
     def _of(self, kind: int, keys: np.ndarray, field: int) -> np.ndarray:
         table = self.tables[kind]
         return table[field][np.searchsorted(table[0], keys)]
 
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
-        return self._of(1, tokens, 1)
+    def facts(self, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(self._of(1, tokens, i) for i in (2, 3, 4))
 
     def word_levels(self, tokens: np.ndarray) -> np.ndarray:
-        return self._of(1, tokens, 2)
+        return self._of(1, tokens, 1)
 
     def pair_levels(self, pairs: np.ndarray) -> np.ndarray:
-        return self._of(2, pairs, 2)
+        return self._of(2, pairs, 1)
 
 
 def _scores(column: pa.Array, model: Held, known: Statistics) -> list[np.ndarray]:
@@ -180,8 +182,9 @@ def _scores(column: pa.Array, model: Held, known: Statistics) -> list[np.ndarray
         tokens, places = token_hashes(data, offsets)
         pairs, before = bigrams(tokens, places)
         distinct, which = np.unique(np.append(tokens, _END), return_inverse=True)
-        counts, levels = model.counts(distinct)[which[:-1]], model.word_levels(distinct)
-        values = known.log10(levels[which[:-1]], levels[np.searchsorted(distinct, before)], model.pair_levels(pairs))
+        counts, types, tenths = model.facts(distinct)
+        counts, context = counts[which[:-1]], np.searchsorted(distinct, before)
+        values = known.log10(model.word_levels(distinct)[which[:-1]], types[context], tenths[context], model.pair_levels(pairs))
         at = places[:-1]
         out[0][begin:end] = np.diff(places)
         out[1][begin:end] = np.add.reduceat((counts > 0).astype(np.int64), at)
@@ -198,37 +201,58 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, blocks: int) -> Iterator[tuple
             yield i, keys[a:b], counts[a:b]
 
 
-_COUNTED = "kind int, block int, keys binary, counts binary"
-_MODEL = "kind int, block int, n bigint, n1 bigint, n2 bigint, total bigint, level_n array<bigint>, level_sum array<bigint>, keys binary, counts binary, bits binary"
+_COUNTED = "kind int, block int, keys binary, counts binary, contexts binary"
+_MODEL = "kind int, block int, n bigint, n1 bigint, n2 bigint, total bigint, level_n array<bigint>, level_sum array<bigint>, keys binary, counts binary, types binary, tenths binary, bits binary"
+_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 5]
+_NAMES = [c.split()[0] for c in _MODEL.split(", ")]
+
+
+def _model_table(rows: list[dict]) -> pa.Table:
+    return pa.table([pa.array([r.get(c) for r in rows], k) for c, k in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The model's blocks, a written table: for either kind (1 words, 2 pairs) filter bits, totals, and words' counts.
+    """The model's blocks, a written table: for either kind (1 words, 2 pairs) filter bits, totals, and words' facts.
 
     A task counts the n-grams of a few million tokens at a time and sends each block's sorted keys and counts as one
     row, so a frequent word or a text copied many times makes one entry of each task; a block then adds up what the
-    tasks sent. Blocks grow in number with the texts and not in size. Null and empty texts have only their end token.
+    tasks sent. A block of pairs sends each block of words how many continuations it holds of their contexts, and what
+    these count as; the blocks of words add that up. Blocks grow in number with the texts and not in size. Null and
+    empty texts have only their end token.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     blocks = 1 << max(0, math.ceil(math.log2(max(1, size / BLOCK_BYTES))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        held: list[np.ndarray] = []
         n = 0
 
+        def row(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> pa.RecordBatch:
+            values = [[kind], [block], [keys.tobytes()], [counts.tobytes()], [contexts.tobytes()]]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["kind", "block", "keys", "counts", "contexts"])
+
         def out() -> Iterator[pa.RecordBatch]:
-            for kind in (1, 2):
-                if held[kind - 1]:
-                    keys, counts = np.unique(np.concatenate(held[kind - 1]), return_counts=True)
-                    held[kind - 1].clear()
-                    for block, k, c in _blocks(keys, counts.astype(np.int32), blocks):
-                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["kind", "block", "keys", "counts"])
+            if not held:
+                return
+            tokens = np.concatenate(held)
+            held.clear()
+            keys, counts = np.unique(tokens, return_counts=True)
+            for block, k, c in _blocks(keys, counts.astype(np.int32), blocks):
+                yield row(1, block, k, c, np.empty(0, np.uint64))
+            # Each text ends with the end token, which so is also before the next one's first word.
+            pairs, before = bigrams(tokens, np.array([0, len(tokens)]))
+            order = np.argsort(pairs)
+            pairs = pairs[order]
+            at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            contexts, counts = before[order[at]], np.diff(np.append(at, len(pairs))).astype(np.int32)
+            for block, k, i in _blocks(pairs[at], np.arange(len(at)), blocks):
+                yield row(2, block, k, counts[i], contexts[i])
 
         for batch in batches:
             for _, _, data, offsets in _text.text_chunks(batch.column(0)):
-                tokens, places = token_hashes(data, offsets)
-                held[0].append(tokens)
-                held[1].append(bigrams(tokens, places)[0])
+                tokens, _ = token_hashes(data, offsets)
+                held.append(tokens)
                 n += len(tokens)
                 if n > 3_000_000:
                     yield from out()
@@ -247,20 +271,42 @@ def train(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         level_n, level_sum = np.bincount(levels, minlength=LEVELS), np.bincount(levels, counts, minlength=LEVELS)
         row = {"kind": kind, "block": table["block"][0].as_py(), "n": len(keys), "n1": int((counts == 1).sum()), "n2": int((counts == 2).sum()), "total": int(counts.sum()), "level_n": level_n, "level_sum": level_sum.astype(np.int64)}
         row |= {"keys": keys.tobytes() if kind == 1 else b"", "counts": counts.tobytes() if kind == 1 else b"", "bits": Bloom.block(keys, counts)}
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 3]
-        return pa.table([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
-
-    return written(docs.select(F.col(text_col).alias("text")).mapInArrow(count, _COUNTED).groupBy("kind", "block").applyInArrow(add_up, _MODEL), "language-model").withColumn("blocks", F.lit(blocks))
+        if kind == 1:
+            return _model_table([row])
+        contexts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in table["contexts"]])[order[at]]
+        order = np.argsort(contexts, kind="stable")
+        contexts = contexts[order]
+        at = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
+        types, tenths = np.diff(np.append(at, len(contexts))), np.add.reduceat(PAIR_TENTHS[levels[order]], at)
+        parts = [{"kind": 1, "block": block, "keys": k.tobytes(), "types": types[i].tobytes(), "tenths": tenths[i].tobytes()} for block, k, i in _blocks(contexts[at], np.arange(len(at)), blocks)]
+        return _model_table([row, *parts])
+
+    def join_up(table: pa.Table) -> pa.Table:
+        own = table.filter(pa.compute.is_valid(table["bits"]))
+        if table["kind"][0].as_py() == 2:
+            return own
+        row = own.to_pylist()[0]
+        words, parts = np.frombuffer(row["keys"], np.uint64), table.filter(pa.compute.is_null(table["bits"]))
+        facts = {c: np.zeros(len(words), np.int64) for c in ("types", "tenths")}
+        for keys, *values in zip(*(parts[c] for c in ("keys", *facts)), strict=True):
+            at = np.searchsorted(words, np.frombuffer(keys.as_buffer(), np.uint64))
+            for total, v in zip(facts.values(), values, strict=True):
+                total[at] += np.frombuffer(v.as_buffer(), np.int64)
+        return _model_table([row | {c: v.tobytes() for c, v in facts.items()}])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, _COUNTED)
+    added = counted.groupBy("kind", "block").applyInArrow(add_up, _MODEL)
+    return written(added.groupBy("kind", "block").applyInArrow(join_up, _MODEL), "language-model").withColumn("blocks", F.lit(blocks))
 
 
 def statistics(model: DataFrame) -> Statistics:
-    means, totals = [], {}
-    each = {r["kind"]: r for r in model.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n", "n1", "n2", "total")), *(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("level_n", "level_sum") for i in range(LEVELS))).collect()}
-    for kind in (1, 2):
-        r = each.get(kind)
-        totals[kind] = [r[c] for c in ("total", "n", "n1", "n2")] if r else [0, 0, 0, 0]
-        means.append(np.array([0.0] + [r[f"level_sum{i}"] / max(1, r[f"level_n{i}"]) or 2.0**i if r else 0.0 for i in range(1, LEVELS)]))
-    return Statistics(totals[1][0], totals[1][1], totals[1][2], totals[1][3], totals[2][2], totals[2][3], *means)
+    each = {r["kind"]: r for r in model.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("total", "n", "n1", "n2"))).collect()}
+    levels = model.where("kind = 1").select(F.posexplode(F.arrays_zip("level_n", "level_sum")).alias("level", "of")).groupBy("level").agg(F.sum("of.level_n").alias("n"), F.sum("of.level_sum").alias("sum"))
+    means = np.array([0.0, *(2.0**i for i in range(1, LEVELS))])
+    for r in levels.where("level > 0 AND n > 0").collect():
+        means[r["level"]] = r["sum"] / r["n"]
+    words, pairs = ([each[kind][c] for c in ("total", "n", "n1", "n2")] if kind in each else [0] * 4 for kind in (1, 2))
+    return Statistics(*words, *pairs[2:], means)
 
 
 def _one_block(bits: bytes) -> Bloom:
@@ -279,19 +325,20 @@ def held_model(model: DataFrame, blocks: int) -> Held:
         if k == 0:
             first[r["block"]], n = n, n + r["n"]
     bits = [np.zeros(size, np.uint8) for size in at]
-    keys, counts = np.empty(n, np.uint64), np.empty(n, np.int64)
-    for r in model.select("kind", "block", "keys", "counts", "bits").toLocalIterator():
+    keys, facts = np.empty(n, np.uint64), tuple(np.empty(n, np.int64) for _ in _FACTS)
+    for r in model.select("kind", "block", "keys", *_FACTS, "bits").toLocalIterator():
         k, begin = r["kind"] - 1, int(starts[r["kind"] - 1, r["block"]]) // 8
         bits[k][begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
         if k == 0:
             own, at_key = np.frombuffer(r["keys"], np.uint64), first[r["block"]]
             keys[at_key : at_key + len(own)] = own
-            counts[at_key : at_key + len(own)] = np.frombuffer(r["counts"], np.int64)
-    if counts.max(initial=0) < 1 << 31:
-        counts = counts.astype(np.int32)
-    return Held(keys, counts, *(Bloom(bits[k], starts[k], widths[k]) for k in (0, 1)))
+            for c, values in zip(_FACTS, facts, strict=True):
+                values[at_key : at_key + len(own)] = np.frombuffer(r[c], np.int64)
+    facts = tuple(v.astype(np.int32) if v.max(initial=0) < 1 << 31 else v for v in facts)
+    return Held(keys, facts, *(Bloom(bits[k], starts[k], widths[k]) for k in (0, 1)))
 
 
+_FACTS = ("counts", "types", "tenths")
 _OUT = ("n_tokens", "n_known", "base_score", "score")
 
 
@@ -309,7 +356,7 @@ def scored(docs: DataFrame, model: DataFrame, *, text_col: str = "text", broadca
     schema = StructType([*docs.schema.fields])
     for name, kind in zip(_OUT, (LongType(), LongType(), DoubleType(), DoubleType()), strict=True):
         schema = schema.add(name, kind)
-    size = model.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("bits")), F.lit(0))).first()[0]
+    size = model.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", *_FACTS, "bits")), F.lit(0))), F.lit(0))).first()[0]
     if size > broadcast_bytes:
         return _scored_in_chunks(docs, model, known, at, schema).withColumn("train_tokens", F.lit(known.tokens).cast("bigint"))
     blocks = model.select(F.max("blocks")).first()[0] or 1
@@ -349,20 +396,20 @@ def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at:
         out = []
         for chunk, kind, block, keys in zip(*(asked[c] for c in ("chunk", "kind", "block", "keys")), strict=True):
             keys = np.frombuffer(keys.as_buffer(), np.uint64)
-            counts, levels = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            levels, facts = np.zeros(len(keys), np.int64), tuple(np.zeros(len(keys) if kind.as_py() == 1 else 0, np.int64) for _ in _FACTS)
             if len(own):
                 one = _one_block(own["bits"][0].as_py())
                 levels = one.levels(keys)
                 if kind.as_py() == 1:
-                    counts = Held(np.frombuffer(own["keys"][0].as_py(), np.uint64), np.frombuffer(own["counts"][0].as_py(), np.int64), one, one).counts(keys)
-            out.append((chunk.as_py(), kind.as_py(), keys.tobytes(), counts.tobytes(), levels.tobytes()))
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["chunk", "kind", "keys", "counts", "levels"])
+                    facts = Held(np.frombuffer(own["keys"][0].as_py(), np.uint64), tuple(np.frombuffer(own[c][0].as_py(), np.int64) for c in _FACTS), one, one).facts(keys)
+            out.append((chunk.as_py(), kind.as_py(), keys.tobytes(), levels.tobytes(), *(v.tobytes() for v in facts)))
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), *[pa.binary()] * 5))], names=["chunk", "kind", "keys", "levels", *_FACTS])
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         tables = {}
         for kind in (1, 2):
             own = answers.filter(pa.compute.equal(answers["kind"], kind))
-            parts = [np.frombuffer(b"".join(v.as_py() for v in own[c]), t) for c, t in (("keys", np.uint64), ("counts", np.int64), ("levels", np.int64))]
+            parts = [np.frombuffer(b"".join(v.as_py() for v in own[c]), np.uint64 if c == "keys" else np.int64) for c in ("keys", "levels", *(_FACTS if kind == 1 else ()))]
             order = np.argsort(parts[0])
             tables[kind] = tuple(p[order] for p in parts)
         whole = pa.Table.from_struct_array(rows["row"])
@@ -372,7 +419,7 @@ def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at:
         return whole
 
     asked = texts.groupBy("chunk").applyInArrow(ask, "chunk bigint, kind int, block int, keys binary")
-    answers = asked.groupBy("kind", "block").cogroup(model.select("kind", "block", "keys", "counts", "bits").groupBy("kind", "block")).applyInArrow(answer, "chunk bigint, kind int, keys binary, counts binary, levels binary")
+    answers = asked.groupBy("kind", "block").cogroup(model.select("kind", "block", "keys", *_FACTS, "bits").groupBy("kind", "block")).applyInArrow(answer, "chunk bigint, kind int, keys binary, levels binary, counts binary, types binary, tenths binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 

@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 from collections import Counter
@@ -62,3 +63,24 @@ def test_levels_are_read_back():
     got = one.levels(keys)
     assert (got >= lm.level(counts)).all() and (got == lm.level(counts)).mean() > 0.98
     assert (one.levels(lm._text.mix64(np.arange(30_000, 60_000, dtype=np.uint64))) > 0).mean() < 0.02
+
+
+def test_probabilities_of_texts_sum_to_at_most_one(spark):
+    """Over all texts of up to three words of the vocabulary and one unknown word; contexts have few or many continuations."""
+    texts = ["a b"] * 300 + ["a c"] * 90 + ["a"] * 50 + ["b d", "c e", "d"] * 4 + ["e a"]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [" ".join(p) for n in range(4) for p in itertools.product(["a", "b", "c", "d", "e", "unseen"], repeat=n)]
+    found = spark.createDataFrame([(t,) for t in asked], "text string")
+    for bound in (lm.BROADCAST_BYTES, 0):
+        assert 0.95 < sum(10 ** r["score"] for r in lm.scored(found, model, broadcast_bytes=bound).collect()) <= 1
+
+
+def test_continuations_are_counted_over_all_training_rows(spark):
+    import numpy as np
+
+    texts = ["a b", "a c", "a b c"] * 40 + ["a", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    pairs = Counter(p for t in texts for p in zip([None, *tokens(t)[:-1]], tokens(t), strict=True))
+    want = sorted((sum(v for (c, _), v in pairs.items() if c == w), sum(c == w for c, _ in pairs), sum(int(lm.PAIR_TENTHS[lm.level(np.array([v]))[0]]) for (c, _), v in pairs.items() if c == w)) for w in {c for c, _ in pairs})
+    held = lm.held_model(lm.train(docs), 1)
+    assert sorted(zip(*(v.tolist() for v in held.values), strict=True)) == want
