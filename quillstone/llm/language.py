@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 from quillstone.llm._store import small_batches
 from quillstone.llm.toxicity import remainder_is
 
-#: A dictionary's bytes, about how many labelled rows of a language fill it, and the most that one text gives.
+#: A dictionary's bytes, about how many distinct texts of a language fill it, and the most that one text gives.
 DICTIONARY_BYTES, SAMPLE_ROWS, ROW_BYTES = 128 << 10, 96, 4096
 LEVEL, PIECE_BYTES = 3, 2048
 #: Relative margin between the two smallest encodings below which a text is rejected.
@@ -24,6 +24,7 @@ MIN_MARGIN = 0.002
 MIN_LETTERS = 32
 UNKNOWN = "und"
 
+_NO_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -68,18 +69,24 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary's content for each language: parts of about ``sample_rows`` distinct texts, chosen by a hash.
+    """A dictionary's content for each language: parts of at least about ``sample_rows`` distinct texts, chosen by a hash.
 
-    Rows with null language or text teach nothing. What is collected is bounded by the parameters and the number of
-    languages, whatever the table's size.
+    The share that is drawn comes from the (estimated) number of a language's distinct texts, so copies neither count nor
+    displace others; all are drawn where there are fewer than twice ``sample_rows``. A longer text gives ``ROW_BYTES``
+    characters from a place that a hash chooses, all ASCII but letters being folded before. Rows with null language or
+    text teach nothing. What is collected is bounded by the parameters and the number of languages, whatever the table's
+    size.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * sample_rows / n) * (1 << 30))))) if counts else F.lit(None)
+    hashed = F.xxhash64("text", F.lit(41))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n")).collect()}
     if not counts:
         return {}
-    at = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(1 << 30))
-    picked = rows.where(at < share[F.col("lang")]).select("lang", F.substring("text", 1, ROW_BYTES).alias("text"), at.alias("at")).distinct()
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * sample_rows / max(1, n)) * (1 << 30)))))
+    at = F.pmod(hashed, F.lit(1 << 30))
+    folded = rows.where(at < share[F.col("lang")]).select("lang", at.alias("at"), F.xxhash64("text", F.lit(43)).alias("place"), F.regexp_replace("text", _NO_LETTERS, " ").alias("text"))
+    begin = F.pmod("place", F.greatest(F.lit(1), F.length("text") - ROW_BYTES + 1)).cast("int") + 1
+    picked = folded.select("lang", F.col("text").substr(begin, F.lit(ROW_BYTES)).alias("text"), "at").distinct()
     contents: dict[str, bytes] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
         have = contents.setdefault(r["lang"], b"")

@@ -114,6 +114,20 @@ def test_a_narrow_margin_is_rejected(spark):
     assert language.identified(df, contents).first()["lang_rejected"]
 
 
+def test_copies_do_not_displace_a_language(spark):
+    copies = spark.range(20_000).select(F.lit("one and the same text again").alias("text"), F.lit("fr").alias("lang"))
+    others = spark.createDataFrame([("".join(chr(97 + int(d)) for d in f"{i:04d}") * 3, "fr") for i in range(300)] + [("words of another", "en")] * 3, "text string, lang string")
+    contents = language.fit(copies.unionByName(others))
+    assert len(set(contents["fr"].split())) >= language.SAMPLE_ROWS
+    assert contents["en"] == b" words of another "
+
+
+def test_dictionaries_learn_from_whole_texts(spark):
+    texts = ["1 2 " * 3000 + "late words here", *("begin " * 1000 + f"{c} " * 9000 for c in "abcdefgh")]
+    contents = language.fit(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"))
+    assert b" late words here " in contents["en"] and sum(f" {c} {c} ".encode() in contents["en"] for c in "abcdefgh") >= 4
+
+
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language.op9_language(spark, SF).where("held_out").join(docs, "doc_id")
