@@ -20,7 +20,7 @@ BANDS, ROWS, SEED = 32, 5, 90_071
 SKETCH_BITS, SIFT = 1024, 0.55
 #: Bits of the parity bitmap of a document's whole set, whose XOR can only understate a symmetric difference.
 PARITY_BITS = 2048
-#: Rows of a key that meet in one block, and rows of several keys that one task takes at a time.
+#: Rows of a key in one block, and rows, as often as they meet others, that one task takes at a time.
 BLOCK, GROUP = 1024, 8192
 #: Slots that candidate ids are hashed into to keep other texts from being shuffled; bounds what is broadcast for it.
 SLOTS = 1 << 20
@@ -144,15 +144,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
     return laid.mapInArrow(compare, "u bigint, v bigint")
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` of possible links between components within a key's group: ``key, class, component, n, sketch``.
+def meetings(rows: DataFrame) -> DataFrame:
+    """The rows of each key dealt out to meet those of other components: ``task, meeting, first, second`` and their own columns.
 
-    A large group is dealt into blocks, and each two blocks meet in a group of their own; small groups share a task.
+    A key of at most BLOCK rows is one meeting. In a larger one the largest component and all the others are dealt into
+    blocks apart, and each block of the others meets every block; the largest component never meets itself. Tasks are
+    counted from the rows as dealt out, so that each gets about GROUP of them and no key is one task's.
     """
-    counts = rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "class", "component", "n", "sketch")
-    groups = max(1, rows.count() // GROUP)
+    of_component = rows.groupBy("key", "component").count()
+    sizes = of_component.groupBy("key").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("main")).where(F.col("all") > BLOCK)
+    few = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    sizes = written(sizes.select("key", "all", "most", "main", few.alias("few"), F.ceil(F.col("most") / BLOCK).cast("int").alias("many")), "sizes")
+    more = sizes.agg(F.coalesce(F.sum((F.col("all") - F.col("most")) * (F.col("few") + F.col("many")) + F.col("most") * F.col("few") - F.col("all")), F.lit(0))).first()[0]
+    tasks = max(1, -(-(rows.count() + more) // GROUP))
+    dealt = rows.join(sizes.select("key", "main", "few", "many"), "key", "left")
+    # Blocks of the others come first; a row of the largest component meets only these.
+    mine = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    few, many = F.coalesce("few", F.lit(1)), F.coalesce("many", F.lit(0))
+    block = F.when(mine, few + F.pmod(F.xxhash64("class"), many)).otherwise(F.pmod(F.xxhash64("class"), few)).cast("int")
+    dealt = dealt.select("key", "class", "component", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), F.when(mine, few).otherwise(few + many) - 1)).alias("other"))
+    met = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "class", "component", "n", "sketch")
+    return met.withColumn("task", F.pmod("meeting", F.lit(tasks)))
+
+
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u, v`` of possible links between components within a key's group: ``key, class, component, n, sketch``."""
 
     def pairs(table: pa.Table) -> pa.Table:
         table = table.sort_by("meeting")
@@ -170,7 +186,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
         rows = sorted(found)
         return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return met.withColumn("task", F.pmod("meeting", F.lit(groups))).groupBy("task").applyInArrow(pairs, "u bigint, v bigint").distinct()
+    return meetings(rows).groupBy("task").applyInArrow(pairs, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -54,6 +54,25 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, k, block, group):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == brute(rows, k)
 
 
+def test_rows_of_a_large_key_meet_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "GROUP", 64)
+    # Key 1: one component of 1,500 rows and three outliers; key 2: 200 rows of two components; key 3: a small one.
+    rows = [(1, i, 0 if i < 1500 else i) for i in range(1503)] + [(2, i, i % 2) for i in range(200)] + [(3, i, i) for i in range(9)]
+    df = spark.createDataFrame([(*r, 5, bytes(384)) for r in rows], "key bigint, class bigint, component bigint, n bigint, sketch binary")
+    met = near_dedup.meetings(df).select("task", "meeting", "first", "second", "class", "component").collect()
+    sizes = np.bincount([r["task"] for r in met])
+    assert len(met) < 2 * 1503 + 200 * 14 + 9 and sizes.max() < 6 * 64
+    halls = {}
+    for r in met:
+        halls.setdefault(r["meeting"], []).append(r)
+    together = {(a["class"], b["class"]) for h in halls.values() for a in h if a["first"] for b in h if b["second"]}
+    for _, i, c in rows:
+        for _, j, d in [r for r in rows if r[0] == 1 and r[1] >= 1500] if i >= 200 else []:
+            assert c == d or (i, j) in together or (j, i) in together
+    assert all((i, j) in together or (j, i) in together for i in range(0, 200, 2) for j in range(1, 200, 2))
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dedup.near_duplicates(df).count() == 0
