@@ -288,3 +288,18 @@ def test_similar_texts_are_those_of_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(r["query_id"], r["id"]) for r in fingerprints.similar(df.where("doc_id < 4"), df).collect()}
     assert {(i, 100 + i) for i in range(4)} <= got and all(a != b for a, b in got)
+
+
+def test_similar_texts_with_copies_other_shingles_and_thresholds(spark):
+    words = [[f"t{i}w{j}" for j in range(40)] for i in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    rows += [(100 + i, " ".join(w[:22])) for i, w in enumerate(words)]  # 22 of 40 shingles are shared
+    rows += [(202, rows[0][1]), (203, rows[0][1]), (204, " ".join(reversed(words[1]))), (205, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    few = df.where("doc_id < 60 OR doc_id = 205")
+    found = lambda **options: {(r["query_id"], r["id"]) for r in fingerprints.similar(few, df, **options).collect()}
+    assert found() == {(0, 202)}
+    assert found(threshold=0.5) == {(0, 202), *((i, 100 + i) for i in range(60))}
+    assert found(k=1) == {(0, 202), (1, 204)}
+    members = {r["id"]: r["representative"] for r in fingerprints.copies(df).collect()}
+    assert len(members) == len(rows) and {i for i, m in members.items() if m == 0} == {0, 202, 203}
