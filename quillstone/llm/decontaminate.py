@@ -9,19 +9,23 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quillstone.llm._store import small_batches, written
+from quillstone.llm._store import new_path, small_batches, written
 
 WINDOW = 10
-#: Bytes of benchmark text whose windows make one automaton; a larger benchmark is scanned for in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Nodes of one automaton at most, about (a window adds a node for each of its characters); a node takes about 56 bytes of
+#: each Python worker. A larger benchmark is dealt into several automata.
+BLOCK_NODES = 4_000_000
 
 #: Words of the text as it stands; with A-Z, which count as the lower-case letters that the automaton reads.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_SPAN = "array<struct<item_id:bigint,first_word:bigint,end_word:bigint,begin:bigint,end:bigint>>"
+_SPAN = StructType([StructField(n, LongType()) for n in ("item_id", "first_word", "end_word", "begin", "end")])
 
 
 def normalised(text: str | None) -> bytes:
@@ -38,14 +42,13 @@ def windows(text: str | None, window: int = WINDOW) -> list[str]:
     return sorted({f" {' '.join(found[i : i + window])} " for i in range(max(1, len(found) - window + 1))})
 
 
-def automaton(items: Iterable[tuple[int | None, str | None]], window: int = WINDOW) -> ahocorasick.Automaton:
-    built, owners, lengths = ahocorasick.Automaton(), {}, {}
-    for item_id, text in items:
-        for w in windows(text, window):
-            owners.setdefault(w, set()).add(item_id)
-            lengths[w] = w.count(" ") - 1
+def automaton(found: Iterable[tuple[str, int | None]]) -> ahocorasick.Automaton:
+    """One automaton over windows, each with its number of words and the items that have it (a null id is no item)."""
+    built, owners = ahocorasick.Automaton(), {}
+    for w, item_id in found:
+        owners.setdefault(w, set()).add(item_id)
     for w, ids in owners.items():
-        built.add_word(w, (lengths[w], tuple(i for i in ids if i is not None)))
+        built.add_word(w, (w.count(" ") - 1, tuple(i for i in ids if i is not None)))
     if len(built):
         built.make_automaton()
     return built
@@ -72,21 +75,44 @@ def spans_of(text: str | None, built: ahocorasick.Automaton) -> tuple[int, int,
     return n_words, int(hit.sum()), sorted(ids, key=str), spans
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, shared, window: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def window_table(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``window, item`` of each item's distinct windows."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), _texts(batch.column(1)), strict=True):
+                found = windows(text, window)
+                for i in range(0, len(found), 4096):
+                    part = found[i : i + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([item.as_py()] * len(part), pa.int64())], names=["window", "item"])
+
+    rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return rows.mapInArrow(cut, "window string, item bigint").distinct()
+
+
+def _block(folder: str, number: int) -> Iterator[tuple[str, int | None]]:
+    """The windows of one block, read by a task from the shared folder."""
+    files, at = pa.fs.FileSystem.from_uri(f"{folder}/block={number}")
+    for info in files.get_file_info(pa.fs.FileSelector(at, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            table = pq.read_table(info.path, filesystem=files, columns=["window", "item"], partitioning=None)
+            yield from zip(table["window"].to_pylist(), table["item"].to_pylist(), strict=True)
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, folder: str, number: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(shared.value, window)
-        out = None
+        built = automaton(_block(folder, number))
+        out = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "first_word", "end_word", "begin", "end")]))
         for batch in batches:
             rows = [spans_of(t, built) for t in _texts(batch.column(1))]
-            out = out or pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "first_word", "end_word", "begin", "end")]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], out)],
                 names=["id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, n_words bigint, n_hit bigint, item_ids array<bigint>, spans {_SPAN}")
+    chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = StructType([StructField("id", chosen.schema["id"].dataType), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(LongType())), StructField("spans", ArrayType(_SPAN))])
+    return chosen.mapInArrow(scan, schema)
 
 
 def _texts(column: pa.Array) -> Iterator[str | None]:
@@ -96,32 +122,30 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES
 ) -> DataFrame:
     """For each document row: words, hit words, items with an occurring window, and the spans in the original text.
 
-    Columns: ``id, n_words, n_hit, item_ids, spans``. Null or wordless texts have no words and no hits; a null item
-    id hits words but is no item; repeated rows give repeated rows. The benchmark is a query set of stated size: it
-    is measured first and dealt into automata of at most about ``block_bytes`` of text. With one block, as is usual,
-    each text is scanned once and nothing is shuffled; with more, each block's automaton scans all texts and the
-    blocks' spans are combined per row.
+    Columns: ``id, n_words, n_hit, item_ids, spans``; the id may be of any type, a struct of oddly named columns
+    included. Null or wordless texts have no words and no hits; a null item id hits words but is no item; repeated rows
+    give repeated rows; empty tables give no rows, or no hits. The benchmark's distinct windows are written to the shared
+    folder in blocks of about ``block_nodes`` automaton nodes, and each task reads the block it needs, so nothing of the
+    benchmark passes through the driver. With one block, as is usual, each text is scanned once by the one automaton and
+    nothing is shuffled; with more, each block's automaton scans all texts and the blocks' spans are combined per row.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    context = docs.sparkSession.sparkContext
-
-    def shared(k: int):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        return context.broadcast([tuple(r) for r in part.collect()])
-
+    spark = docs.sparkSession
+    found = written(window_table(benchmark, item_col=item_col, text_col=item_text_col, window=window), "windows")
+    nodes = found.agg(F.coalesce(F.sum(F.length("window")), F.lit(0))).first()[0]
+    blocks = max(1, -(-nodes // block_nodes))
+    folder = new_path(spark, "window-blocks")
+    found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int")).repartition(F.col("block")).write.partitionBy("block").parquet(folder)
     if blocks == 1:
-        return _scan(docs, id_col, text_col, shared(0), window)
-    rows = written(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
+        return _scan(docs, id_col, text_col, folder, 0)
+    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
     parts = None
     for k in range(blocks):
-        part = _scan(rows, "row", "text", shared(k), window)
+        part = _scan(rows, "row", "text", folder, k)
         parts = part if parts is None else parts.unionByName(part)
     whole = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first_word"], s["end_word"] - 1)))))
@@ -143,6 +167,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words, hit words and items of the benchmark; null and empty texts have none."""
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return digest(contamination(docs.select("doc_id", "text"), bench.select("item_id", "text")))
 
