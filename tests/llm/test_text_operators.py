@@ -1,8 +1,10 @@
 import base64
 import hashlib
+import pathlib
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def contaminated(spark):
     return items, docs, spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame([(*r, "c", 3) for r in docs], "doc_id bigint, text string, spans string, n_hit int")
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 40])
-def test_contamination_is_that_of_brute_force(contaminated, block_bytes):
+@pytest.mark.parametrize("block_nodes", [decontaminate.BLOCK_NODES, 900])
+def test_contamination_is_that_of_brute_force(contaminated, block_nodes):
     items, docs, bench, df = contaminated
-    got = decontaminate.contamination(df, bench, block_bytes=block_bytes).collect()
+    got = decontaminate.contamination(df, bench, block_nodes=block_nodes).collect()
     key = lambda r: (r[0] or 0, *r[1:])
     assert sorted(((r["id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got), key=key) == sorted(((i, *brute_contamination(t, items)) for i, t in docs), key=key)
     whole = {i: t for i, t in docs}
@@ -64,6 +66,25 @@ def test_contamination_of_empty_tables(contaminated):
     assert {r["n_hit"] for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
 
 
+def test_ids_may_have_any_name_and_type(contaminated):
+    items, _, bench, df = contaminated
+    odd = df.select(F.struct(F.col("doc_id").alias("my col"), F.lit(1).alias("a`b.c")).alias("the row"), F.col("text").alias("own text"))
+    got = decontaminate.contamination(odd, bench, id_col="the row", text_col="own text").collect()
+    assert {r["id"]["my col"] for r in got if r["n_hit"]} >= {4, 5, 6, 8} and all(r["id"]["a`b.c"] == 1 for r in got)
+
+
+def test_a_block_is_bounded_by_its_nodes(spark):
+    items = [(i, " ".join(f"w{RNG.randrange(10**6)}" for _ in range(60))) for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    table = decontaminate.window_table(bench)
+    nodes = table.agg(F.sum(F.length("window"))).first()[0]
+    built = decontaminate.automaton((r["window"], r["item"]) for r in table.collect())
+    assert table.count() == 400 * 51 and 0.3 * nodes < built.get_stats()["nodes_count"] <= nodes + 1
+    docs = spark.createDataFrame([(i, "x " + t[40:] + " y") for i, t in items[:30]], "doc_id bigint, text string")
+    got = decontaminate.contamination(docs, bench, block_nodes=nodes // 5).collect()
+    assert sorted((r["id"], r["item_ids"]) for r in got) == [(i, [i]) for i in range(30)]
+
+
 # --- toxicity
 
 
@@ -191,8 +212,24 @@ def test_shards_hold_every_row_once_and_evenly(spark):
     assert len(set(same)) > 30
     check_shards(shards.shuffled(df.limit(5), 40).collect(), 40, [r["doc_id"] for r in df.limit(5).collect()])
     assert shards.shuffled(df.limit(0), 40).count() == 0
-    written = shards.write_shards(df, new_path(spark, "shards"), 4)
+    path = new_path(spark, "shards")
+    written = shards.write_shards(df, path, 4, bucket_bytes=3000)
     assert written.count() == len(rows) and written.where("shard = 0").count() in (125, 126)
+    for f in pathlib.Path(path.removeprefix("file://")).rglob("*.parquet"):
+        slots = pq.read_table(f)["slot"].to_pylist()
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+
+
+def test_repeated_rows_are_scattered(spark, monkeypatch):
+    monkeypatch.setattr(shards, "HOT_COPIES", 50)
+    rows = [(None, "one and the same row")] * 900 + [(i, "a text of its own") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = shards.shuffled(df, 7, bucket_bytes=2000).collect()
+    check_shards(got, 7, [r[0] for r in rows])
+    same = [r["shard"] for r in got if r["doc_id"] is None]
+    assert min(same.count(i) for i in range(7)) > 80
+    _, each = shards._scattered(df, "text", 17)
+    assert each.agg(F.max("n"), F.sum("n")).first() == (1, 1200)
 
 
 # --- WARC
