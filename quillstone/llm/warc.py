@@ -24,6 +24,8 @@ MIN_REVISIT_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, content_length bigint, payload_length bigint, path string, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
+#: Bytes of records in an archive, before compression, from which on the next one is begun.
+ARCHIVE_BYTES = 1 << 30
 _READ = 1 << 20
 _BATCH_BYTES = 8 << 20
 
@@ -66,10 +68,14 @@ def with_roles(pages: DataFrame, *, id_col: str = "page_id", payload_col: str =
     return rows.join(firsts, "payload_hash", "left").withColumn("first_id", first)
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", urn: str = "urn:page:", date: str = "1970-01-01T00:00:00Z", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Write one gzip archive for each partition, a member for each record; returns path and records of each.
+def write_archives(
+    pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", urn: str = "urn:page:", date: str = "1970-01-01T00:00:00Z", min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
+    """Write gzip archives of about ``archive_bytes`` of records, a member for each record; returns path and records of each.
 
-    A task writes under a name of its own attempt and renames at its end, so a retried task leaves one archive.
+    A task writes its partition's records in a total order of their own, so archives begin and end at the same records
+    however often it runs; each is written under a name of the attempt and renamed when it is whole, so a retried task
+    leaves one archive of each number. Null ids are written without a number; repeated rows are records of their own.
     """
     rows = with_roles(pages, id_col=id_col, payload_col=payload_col, min_bytes=min_bytes).select(
         F.concat(F.lit(urn), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("record_id"),
@@ -83,23 +89,37 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = pa.fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name = f"{at}/part-{task.partitionId():06d}.warc.gz"
-        own, n = f"{at}/.{task.taskAttemptId()}.tmp", 0
-        with files.open_output_stream(own, compression=None) as out:
-            for batch in batches:
-                for row in zip(*batch.columns, strict=True):
-                    record_id, url, payload, length, digest, refers_to = (x.as_py() for x in row)
-                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(packer.compress(record(record_id, url, payload or b"", length, base64.b32encode(digest).decode(), refers_to, date)) + packer.flush())
-                    n += 1
-        files.delete_file(own) if not n else files.move(own, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name] if n else [], pa.string()), pa.array([n] if n else [], pa.int64())], names=["path", "records"])
+        own, paths, counts = f"{at}/.{task.taskAttemptId()}.tmp", [], []
+        out, n, held = None, 0, 0
+
+        def close() -> None:
+            out.close()
+            paths.append(f"{at}/part-{task.partitionId():06d}-{len(paths):04d}.warc.gz")
+            counts.append(n)
+            files.move(own, paths[-1])
+
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                if out is None:
+                    out, n, held = files.open_output_stream(own, compression=None), 0, 0
+                record_id, url, payload, length, digest, refers_to = (x.as_py() for x in row)
+                whole = record(record_id, url, payload or b"", length, base64.b32encode(digest).decode(), refers_to, date)
+                packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                out.write(packer.compress(whole) + packer.flush())
+                n, held = n + 1, held + len(whole)
+                if held >= archive_bytes:
+                    close()
+                    out = None
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "records"])
 
     files, at = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(at, recursive=True)
     from quillstone.llm._store import written
 
-    return written(rows.mapInArrow(write, "path string, records bigint"), "warc-manifest")
+    ordered = rows.sortWithinPartitions("record_id", "payload_hash", "refers_to", "url")
+    return written(ordered.mapInArrow(write, "path string, records bigint"), "warc-manifest")
 
 
 @dataclass
@@ -262,15 +282,21 @@ class WarcSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """The records of a folder's archives. Sets filterPushdown of Python sources in the session, which Spark leaves off.
+
+    Spark keeps the predicates that one query pushed into a source for a later query that pushes none. Every query made
+    from this table therefore pushes one at least: that there is a record type, which each WARC record must have.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").options(**options).load(folder)
+    return spark.read.format("warc").options(**options).load(folder).where(F.col("record_type").isNotNull())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of each page written to archives and read back: its payload's size and digest, and what it repeats."""
     folder = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
-    back = read_archives(spark, folder, payload="false", verify="true").where(F.col("record_type").isin("response", "revisit"))
+    back = read_archives(spark, folder, payload="false", verify="true")
     number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("bigint")
     return back.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
 

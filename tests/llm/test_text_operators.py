@@ -271,6 +271,17 @@ def test_header_predicates_are_pushed_down(spark):
     assert len(left) == 1 and len(kept.tests) == 1
 
 
+def test_archives_roll_over_and_a_payload_may_be_half_of_all(spark):
+    rows = [(i, f"http://x/{i}", "the same page " * 40 if i % 2 else f"page {i} " * 30) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    folder = new_path(spark, "warc")
+    made = warc.write_archives(pages, folder, archive_bytes=20_000).collect()
+    assert len(made) > 8 and sum(r["records"] for r in made) == 400 and max(r["records"] for r in made) < 120
+    back = warc.read_archives(spark, folder, verify="true")
+    assert back.where("record_type = 'revisit'").agg(F.count("*"), F.min("refers_to"), F.max("refers_to")).first() == (199, "urn:page:1", "urn:page:1")
+    assert back.select("record_id").distinct().count() == 400
+
+
 def test_no_pages_and_small_payloads(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id bigint, url string, html string")
     folder = new_path(spark, "warc")
