@@ -1,8 +1,11 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
-
-A clause is scanned once by composed transducers: the lexical one turns words into classes (insult with a learned
-weight, threat, target, negation, report), the others scale an insult's weight by what stands near it. A text's
-score is a logistic function of its summed clause weights, so isolated words matter only as their clause does.
+"""Toxicity by weighted finite-state transducers over clauses.
+
+The lexical transducer turns a clause's words into symbols: an insult or a threat, a target, a negation, a report of
+speech, or another word. Small transducers then mark what stands near an insult or a threat, each reading what the one
+before it gave out; they are composed into two machines, one that reads the clause backwards and marks what follows, and
+one that reads it forwards, marks what precedes and tells each match's kind. A match weighs its word's learned weight
+times the fitted gain of its kind. A text's score is a logistic function of its summed clause weights, so words matter
+only as their clause does.
 """
 
 from __future__ import annotations
@@ -10,8 +13,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +29,121 @@ FIT_ROWS = 8_000
 #: Most lexicon entries, the heaviest first; bounds what is broadcast.
 LEXICON = 4_000
 PREFIXES = (4, 5, 6, 7, 8)
-#: Least log odds of a lexicon entry.
-MIN_WEIGHT = 1.5
+#: Toxic texts of the sample that a feature must be in to be learned, and the least log odds of a lexicon entry.
+LEAST_TEXTS, MIN_WEIGHT = 3, 1.5
 #: Chosen features that a toxic text of the sample is explained by before it stops asking for more.
 COVER = 2
 
-TARGET = frozenset("you your yours u ur he she they him her them tu te vous votre toi du dich dir ihr euch dein usted ustedes ti vosotros".split())
-NEGATION = frozenset("not never no isn't aren't don't wasn't neither nor pas jamais ne nicht nie kein keine keinen nunca jamás ni".split())
-REPORT = frozenset("said says say wrote writes called calls quoted quote quotes claimed reported dit disait écrit sagte sagt schrieb dijo dice escribió".split())
-THREAT = frozenset("kill hurt destroy murder stab shoot tuer frapper töten schlagen matar golpear".split())
-#: Clause weights of the grammar: an insult near a target, under negation, in reported speech; a threat to a target.
-NEAR_TARGET, NEGATED, REPORTED, THREATENED = 1.25, 0.35, 0.6, 2.0
+#: Whom a clause may be aimed at; the second list also stands before its verb where it is the object.
+TARGET = frozenset("you your yours yourself u ur he she they tu vous votre vos du ihr sie dein deine usted ustedes vosotros tus".split())
+OBJECT = frozenset("him her them te toi t lui dich dir euch ihn ihm ti os lo".split())
+NEGATION = frozenset("not never no neither nor cannot pas jamais ne n ni nicht nie niemals kein keine keinen nunca jamás".split())
+REPORT = frozenset("said says say saying told wrote writes called calls quoted quote quotes claimed reported dit disait écrit affirme sagte sagt schrieb behauptet dijo dice escribió afirmó".split())
+
+
+def _inflected(stems: str, endings: str, *others: str) -> list[str]:
+    return [stem + ending.strip("-") for stem in stems.split() for ending in endings.split()] + [w for o in others for w in o.split()]
+
+
+#: What is threatened, in the forms of the verbs.
+THREAT = frozenset(
+    _inflected("kill murder hurt destroy punch attack slaughter", "- s ed ing", "crush crushes crushed crushing smash smashes smashed smashing shoot shoots shot shooting stab stabs stabbed stabbing beat beats beaten beating strangle strangles strangled strangling")
+    + _inflected("tu frapp massacr étrangl poignard égorg extermin", "er e es ent ez ons erai eras era erons erez eront é ée és")
+    + _inflected("töt ermord erschieß erschlag erwürg vernicht verprügel zusammenschlag", "en e est st t et te ten", "getötet umbringen umbringe umbringst umbringt erschossen erschossest erschlägt schlagen schlägt")
+    + _inflected("mat golpe asesin apuñal estrangul destroz", "ar o as a an amos aré arás ará aremos arán aron é ó ado")
+)
+#: Words within which a target or a negation is near; a report is so within its whole clause.
 REACH = 3
 #: Words whose class a task remembers, and features that it counts before it sends them on; bound a task's memory.
 REMEMBERED, HELD_FEATURES = 100_000, 200_000
 
-_CLAUSE = re.compile(r"[.!?;:\n]+")
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_CLAUSE = re.compile(r"[.!?;\n]+")
+#: Words; an apostrophe parts them, but for the English negation.
+_WORD = re.compile(r"[^\W_]+n['’]t\b|[^\W_]+")
+
+#: Plain symbols; an insult and a threat have a symbol for each set of marks.
+OTHER, AIMED, AIMED_OBJECT, DENIES, REPORTS = range(5)
+MARKS = 128
+INSULT, THREATENS = 5, 5 + MARKS
+SYMBOLS = 5 + 2 * MARKS
+BEFORE_TARGET, BEFORE_OBJECT, BEFORE_NEGATION, BEFORE_REPORT, AFTER_TARGET, AFTER_NEGATION, AFTER_REPORT = (1 << i for i in range(7))
+#: Kinds of match: for an insult, whether a target is near, a negation precedes, one follows, and speech is reported;
+#: for a threat to someone the last three.
+KINDS = 24
+
+
+class Transducer:
+    """A deterministic transducer: ``arcs[state][symbol]`` is the next state and the symbol that it gives out."""
+
+    def __init__(self, arcs: list[list[tuple[int, int]]]):
+        self.arcs = arcs
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one gives out. Its states are the pairs that can be reached."""
+        number, pairs, arcs = {(0, 0): 0}, [(0, 0)], []
+        for mine, others in pairs:
+            row = []
+            for after, middle in self.arcs[mine]:
+                then, out = other.arcs[others][middle]
+                if (after, then) not in number:
+                    number[after, then] = len(pairs)
+                    pairs.append((after, then))
+                row.append((number[after, then], out))
+            arcs.append(row)
+        return Transducer(arcs)
+
+    def run(self, symbols: Iterable[int]) -> list[int]:
+        state, out = 0, []
+        for symbol in symbols:
+            state, given = self.arcs[state][symbol]
+            out.append(given)
+        return out
+
+
+def marker(mark: int, *triggers: int, reach: int | None = REACH) -> Transducer:
+    """Marks insults and threats that come within ``reach`` words after a trigger. States count the words since one."""
+    states = 1 + (reach or 1)
+
+    def arc(state: int, symbol: int) -> tuple[int, int]:
+        if symbol in triggers:
+            return 1, symbol
+        after = 0 if state == 0 else state if reach is None else (state + 1) % states
+        if state and symbol >= INSULT:
+            base = INSULT if symbol < THREATENS else THREATENS
+            symbol = base + (symbol - base | mark)
+        return after, symbol
+
+    return Transducer([[arc(state, symbol) for symbol in range(SYMBOLS)] for state in range(states)])
+
+
+def teller() -> Transducer:
+    """Gives out the kind of each match, or KINDS: a threat is one if it has an object, before or after it."""
+
+    def kind(symbol: int) -> int:
+        if symbol < INSULT:
+            return KINDS
+        marks = (symbol - INSULT) % MARKS
+        near = bool(marks & (BEFORE_TARGET | BEFORE_OBJECT | AFTER_TARGET))
+        rest = bool(marks & BEFORE_NEGATION) + 2 * bool(marks & AFTER_NEGATION) + 4 * bool(marks & (BEFORE_REPORT | AFTER_REPORT))
+        if symbol < THREATENS:
+            return near + 2 * rest
+        return 16 + rest if marks & (BEFORE_OBJECT | AFTER_TARGET) else KINDS
+
+    return Transducer([[(0, kind(symbol)) for symbol in range(SYMBOLS)]])
+
+
+@cache
+def machines() -> tuple[Transducer, Transducer]:
+    """The composed machines: the one that reads a clause from its end, and the one that then reads it from its start."""
+    back = marker(AFTER_TARGET, AIMED, AIMED_OBJECT).then(marker(AFTER_NEGATION, DENIES)).then(marker(AFTER_REPORT, REPORTS, reach=None))
+    on = marker(BEFORE_TARGET, AIMED).then(marker(BEFORE_OBJECT, AIMED_OBJECT)).then(marker(BEFORE_NEGATION, DENIES)).then(marker(BEFORE_REPORT, REPORTS, reach=None))
+    return back, on.then(teller())
+
+
+#: What each kind of match is made of: near a target, a negation before, after, reported, and a threat.
+DESIGN = np.array([[k & 1, k >> 1 & 1, k >> 2 & 1, k >> 3 & 1, 0] if k < 16 else [0, k & 1, k >> 1 & 1, k >> 2 & 1, 1] for k in range(KINDS)], float)
+#: The logarithms of the gains before any text is seen, and how many units of information each prior is worth.
+PRIOR, TRUST = np.log([1.25, 0.35, 0.6, 0.6, 5.0]), np.array([25.0, 25.0, 25.0, 25.0, 4.0])
 
 
 def word_features(word: str) -> list[str]:
@@ -50,74 +152,69 @@ def word_features(word: str) -> list[str]:
 
 @dataclass
 class Grammar:
-    """Lexicon of insult weights (words, and stems that end in ``*``), and the logistic line over a text's weight."""
+    """Lexicon of insult weights (words, and stems that end in ``*``), the log gains of what matches are made of, and the
+    logistic line over a text's weight."""
 
     weights: dict[str, float] = field(default_factory=dict)
     slope: float = 1.0
     bias: float = -3.0
+    gains: tuple[float, ...] = tuple(PRIOR.tolist())
 
     def __post_init__(self):
-        self._classes: dict[str, tuple[str, float]] = {}
+        self._classes: dict[str, tuple[int, float]] = {}
+        self._gain = np.exp(DESIGN @ np.array(self.gains)).tolist()
 
     def fresh(self) -> Grammar:
         """The same grammar without remembered words, for a task of its own."""
-        return Grammar(self.weights, self.slope, self.bias)
+        return Grammar(self.weights, self.slope, self.bias, self.gains)
 
-    def word_class(self, word: str) -> tuple[str, float]:
-        """The lexical transducer: a word's class, and its weight for an insult."""
+    def word_class(self, word: str) -> tuple[int, float]:
+        """The lexical transducer: a word's symbol, and its weight for an insult or a threat."""
         if (found := self._classes.get(word)) is None:
             weight = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
-            found = ("insult", weight) if weight > 0 else ("target", 0.0) if word in TARGET else ("negation", 0.0) if word in NEGATION else ("report", 0.0) if word in REPORT else ("threat", 0.0) if word in THREAT else ("", 0.0)
+            lists = ((THREATENS, THREAT), (DENIES, NEGATION), (AIMED, TARGET), (AIMED_OBJECT, OBJECT), (REPORTS, REPORT))
+            symbol = INSULT if weight > 0 else DENIES if word.endswith(("n't", "n’t")) else next((s for s, words in lists if word in words), OTHER)
             if len(self._classes) > REMEMBERED:
                 self._classes.clear()
-            self._classes[word] = found
+            found = self._classes[word] = symbol, weight if symbol == INSULT else float(symbol == THREATENS)
         return found
 
-    def clause(self, words: list[str]) -> float:
-        """One pass over a clause: states are the distances to the last target and negation, and whether speech is reported."""
-        target, negation, report, total = REACH + 1, REACH + 1, False, 0.0
-        pending: list[list[float]] = []
-        for word in words:
-            kind, weight = self.word_class(word)
-            target, negation = target + 1, negation + 1
-            for p in pending:
-                p[1] += 1
-            if kind == "target":
-                target = 0
-                total += sum(p[0] * (NEAR_TARGET - 1) for p in pending if p[1] <= REACH and p[2])
-                pending = [p for p in pending if not (p[1] <= REACH and p[2])]
-            elif kind == "negation":
-                negation = 0
-            elif kind == "report":
-                report = True
-            elif kind in ("insult", "threat"):
-                if kind == "threat":
-                    weight = THREATENED if target <= REACH else 0.0
-                if negation <= REACH:
-                    weight *= NEGATED
-                if report:
-                    weight *= REPORTED
-                if target <= REACH and kind == "insult":
-                    weight *= NEAR_TARGET
-                total += weight
-                pending.append([weight, 0, kind == "insult" and target > REACH])
-        return total
+    def kinds(self, words: list[str]) -> list[tuple[int, float]]:
+        """Kind and weight of a clause's matches."""
+        classes = [self.word_class(w) for w in words]
+        symbols = [symbol for symbol, _ in classes]
+        if max(symbols, default=0) < INSULT:
+            return []
+        back, on = machines()
+        told = on.run(reversed(back.run(reversed(symbols))))
+        return [(kind, weight) for kind, (_, weight) in zip(told, classes, strict=True) if kind < KINDS]
 
-    def matched(self, text: str | None) -> list[tuple[int, int, float]]:
-        """Clauses with weight: begin, end (code points of the text) and weight."""
+    def clauses(self, text: str | None) -> Iterator[tuple[int, int, list[tuple[int, float]]]]:
+        """Begin and end (code points of the text) and matches of the clauses that have some."""
         if not text:
-            return []
+            return
         lowered = text.lower()
-        if not any(self.word_class(w)[0] in ("insult", "threat") for w in set(_WORD.findall(lowered))):
-            return []
+        if not any(self.word_class(w)[0] >= INSULT for w in set(_WORD.findall(lowered))):
+            return
         if len(lowered) != len(text):  # a letter whose lower case is longer
             lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        found, begin = [], 0
+        begin = 0
         for stop in [*(m.span() for m in _CLAUSE.finditer(lowered)), (len(lowered), len(lowered))]:
-            if weight := self.clause(_WORD.findall(lowered[begin : stop[0]])):
-                found.append((begin, stop[0], weight))
+            if found := self.kinds(_WORD.findall(lowered[begin : stop[0]])):
+                yield begin, stop[0], found
             begin = stop[1]
-        return found
+
+    def matched(self, text: str | None) -> list[tuple[int, int, float]]:
+        """Clauses with weight: begin, end (code points of the text) and weight."""
+        return [(begin, end, sum(w * self._gain[kind] for kind, w in found)) for begin, end, found in self.clauses(text)]
+
+    def profile(self, text: str | None) -> list[float]:
+        """The weights of a text's matches by kind, in hundredths' steps."""
+        out = [0.0] * KINDS
+        for _, _, found in self.clauses(text):
+            for kind, weight in found:
+                out[kind] += weight
+        return [round(x, 2) for x in out]
 
     def weight(self, text: str | None) -> float:
         return math.log1p(sum(w for _, _, w in self.matched(text)))
@@ -126,6 +223,36 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * weight + self.bias))))
 
 
+def fitted_line(profiles: np.ndarray, labels: np.ndarray, counts: np.ndarray, steps: int = 60) -> tuple[float, float, np.ndarray]:
+    """Slope, bias and log gains that explain the labels best, by Fisher scoring with priors on the gains."""
+    theta = np.concatenate([[1.0, -3.0], PRIOR])
+    centre, trust = np.concatenate([[0.0, 0.0], PRIOR]), np.concatenate([[0.01, 0.01], TRUST])
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        gains = np.exp(DESIGN @ theta[2:])
+        total = profiles @ gains
+        weight = np.log1p(total)
+        z = np.clip(theta[0] * weight + theta[1], -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        loss = (counts * (np.logaddexp(0, z) - labels * z)).sum() + (trust * (theta - centre) ** 2).sum() / 2
+        slopes = theta[0] * (profiles * gains) @ DESIGN / (1 + total)[:, None]
+        return loss, p, np.column_stack([weight, np.ones(len(weight)), slopes]), weight
+
+    loss, p, jacobian, _ = at(theta)
+    for _ in range(steps):
+        grad = jacobian.T @ (counts * (p - labels)) + trust * (theta - centre)
+        hess = jacobian.T @ (jacobian * (counts * p * (1 - p))[:, None]) + np.diag(trust)
+        step, size = np.clip(np.linalg.solve(hess, grad), -2, 2), 1.0
+        while size > 1e-4 and (found := at(theta - size * step))[0] > loss:
+            size /= 2
+        if size <= 1e-4:
+            break
+        theta, (loss, p, jacobian, _) = theta - size * step, found
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return float(theta[0]), float(theta[1]), theta[2:]
+
+
 def remainder_is(doc_id: Column, divisor: int, value: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == value, F.lit(False))
@@ -192,8 +319,10 @@ def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int)
 def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Grammar:
     """Learn the lexicon and the logistic line from labelled rows; null labels are left out.
 
-    About ``fit_rows`` rows are used, chosen by a hash of text and label. Without labels of both kinds nothing is
-    learned: every text then scores as one without insults.
+    About ``fit_rows`` rows are used, chosen by a hash of text and label, which bounds what the driver holds. The lexicon
+    has words and stems of at least LEAST_TEXTS toxic texts whose log odds reach MIN_WEIGHT; the gains of targets,
+    negations, reports and threats are fitted together with the line. Without labels of both kinds nothing is learned:
+    every text then scores as one without insults.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
@@ -204,34 +333,24 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Grammar()
-    # Toxic texts are the few: what is in three of them or more is then counted in the others.
-    bad = {r["feature"]: r["n"] for r in _feature_counts(rows.where("label = 1")).where("n >= 3").collect()}
+    # Toxic texts are the few: what is in LEAST_TEXTS of them or more is then counted in the others.
+    bad = {r["feature"]: r["n"] for r in _feature_counts(rows.where("label = 1")).where(F.col("n") >= LEAST_TEXTS).collect()}
     good = {r["feature"]: r["n"] for r in _feature_counts(rows.where("label = 0"), frozenset(bad)).collect()}
     odds = {f: math.log((n + 0.5) / (sizes[1] + 1)) - math.log((good.get(f, 0) + 0.5) / (sizes[0] + 1)) for f, n in bad.items()}
     weights = {f: w for f, w in odds.items() if w >= MIN_WEIGHT}
-    chosen = _covering(rows.where("label = 1"), weights, max(3, sizes[1] // 500), lexicon)
+    chosen = _covering(rows.where("label = 1"), weights, max(LEAST_TEXTS, sizes[1] // 500), lexicon)
     grammar = Grammar({f: weights[f] for f in chosen})
     held = labelled.sparkSession.sparkContext.broadcast(grammar)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = held.value.fresh()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([round(g.weight(t.as_py()), 2) for t in batch.column(0)], pa.float64())], names=["label", "weight"])
-
-    points = rows.mapInArrow(weigh, "label int, weight double").groupBy("weight", "label").count().collect()
-    x, y, c = (np.array([r[k] for r in points], float) for k in ("weight", "label", "count"))
-    theta = np.zeros(2)
-    for _ in range(50):  # Newton's steps, with a small ridge as the classes may be separable
-        p = 1 / (1 + np.exp(-np.clip(theta[0] * x + theta[1], -30, 30)))
-        grad = np.array([(c * (p - y) * x).sum(), (c * (p - y)).sum()]) + 0.01 * theta
-        w = c * p * (1 - p)
-        hess = np.array([[(w * x * x).sum(), (w * x).sum()], [(w * x).sum(), w.sum()]]) + 0.01 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        theta -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    grammar.slope, grammar.bias = float(theta[0]), float(theta[1])
-    return grammar
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g.profile(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64()))], names=["label", "profile"])
+
+    points = rows.mapInArrow(weigh, "label int, profile array<double>").groupBy("profile", "label").count().collect()
+    points.sort(key=lambda r: (r["label"], r["profile"]))
+    grammar.slope, grammar.bias, gains = fitted_line(np.array([r["profile"] for r in points]), *(np.array([r[k] for r in points], float) for k in ("label", "count")))
+    return Grammar(grammar.weights, grammar.slope, grammar.bias, tuple(gains.tolist()))
 
 
 def scored(docs: DataFrame, grammar: Grammar, *, text_col: str = "text") -> DataFrame:
@@ -276,6 +395,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity, learned from the labelled ones whose ids may be; null and empty texts score as clean."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     grammar = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored(docs, grammar).select("doc_id", remainder_is(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("clauses").alias("n_clauses"))

@@ -3,6 +3,7 @@ import hashlib
 import pathlib
 import random
 import re
+import tempfile
 
 import pyarrow.parquet as pq
 import pytest
@@ -92,12 +93,69 @@ def test_a_clause_is_scored_and_not_its_words_alone():
     g = toxicity.Grammar({"idiot": 5.0, "scum*": 4.0})
     plain, target, denied, told = (g.weight(t) for t in ("an idiot", "you are an idiot", "not an idiot", "he said an idiot"))
     assert target > plain > denied > 0 and plain > told > 0
-    assert g.weight("Scumbag!") > 0 and g.weight("they kill you") > 0 == g.weight("kill the process")
+    assert g.weight("an idiot never") < plain and g.weight("an idiot, a bigger one than others, she wrote") < g.weight("an idiot, a bigger one than others, she found")
+    assert g.weight("he isn’t an idiot") < g.weight("he is an idiot") == g.weight("he's an idiot")
+    assert g.weight("Scumbag!") > 0 and g.weight("he said: you idiot") < g.weight("he saw: you idiot")
     text = "İ Fine. You IDIOT; bye"
     assert [text[b:e].strip() for b, e, _ in g.matched(text)] == ["You IDIOT"]
     assert g.weight(None) == g.weight("") == g.weight("nice") == 0
 
 
+@pytest.mark.parametrize("text", ["I will kill you", "I will hurt you tonight", "they kill you", "we are killing them", "je vais te tuer", "ich werde dich töten", "te voy a matar", "I'll stab you", "on t'étranglera"])
+def test_a_threat_needs_an_object(text):
+    g = toxicity.Grammar()
+    assert g.weight(text) > 0
+    assert 0 < g.weight("he said " + text) < g.weight(text)
+    assert g.weight("you should kill the process") == g.weight("kill the process") == 0
+    assert g.weight("I will never kill you") < g.weight("I will kill you")
+
+
+def test_composition_is_what_its_parts_do_in_turn():
+    one, two, three = toxicity.marker(toxicity.BEFORE_TARGET, toxicity.AIMED), toxicity.marker(toxicity.BEFORE_NEGATION, toxicity.DENIES, reach=2), toxicity.marker(toxicity.BEFORE_REPORT, toxicity.REPORTS, reach=None)
+    whole = one.then(two).then(three).then(toxicity.teller())
+    assert 4 < len(whole.arcs) <= 4 * 3 * 2
+    for _ in range(300):
+        symbols = [RNG.choice([0, 1, 2, 3, 4, toxicity.INSULT, toxicity.THREATENS, toxicity.THREATENS + toxicity.AFTER_TARGET]) for _ in range(RNG.randrange(12))]
+        assert whole.run(symbols) == toxicity.teller().run(three.run(two.run(one.run(symbols))))
+
+
+def brute_kinds(symbols):
+    """The same by looking at each match's surroundings."""
+    out = []
+    for i, s in enumerate(symbols):
+        if s < toxicity.INSULT:
+            continue
+        before, after = symbols[max(0, i - 3) : i], symbols[i + 1 : i + 4]
+        deny_before, deny_after, told = toxicity.DENIES in before, toxicity.DENIES in after, toxicity.REPORTS in symbols
+        rest = deny_before + 2 * deny_after + 4 * told
+        aimed = lambda side: not {toxicity.AIMED, toxicity.AIMED_OBJECT}.isdisjoint(side)
+        if s == toxicity.INSULT:
+            out.append((aimed(before) or aimed(after)) + 2 * rest)
+        elif aimed(after) or toxicity.AIMED_OBJECT in before:
+            out.append(16 + rest)
+    return out
+
+
+def test_kinds_are_those_of_looking_around_each_match():
+    words = {0: "x", 1: "you", 2: "dich", 3: "not", 4: "said", toxicity.INSULT: "idiot", toxicity.THREATENS: "kill"}
+    g = toxicity.Grammar({"idiot": 1.0})
+    for _ in range(2000):
+        symbols = [RNG.choice(list(words)) for _ in range(RNG.randrange(15))]
+        assert [k for k, _ in g.kinds([words[s] for s in symbols])] == brute_kinds(symbols)
+
+
+def test_gains_are_learned():
+    """Where insults under negation are never toxic and others always are, the fit says so beyond the prior."""
+    import numpy as np
+
+    profiles = np.zeros((4, toxicity.KINDS))
+    profiles[0, 0], profiles[1, 2], profiles[2, 16], labels = 5, 5, 1, np.array([1.0, 0, 1, 0])
+    slope, bias, gains = toxicity.fitted_line(profiles, labels, np.array([300.0, 300, 300, 300]))
+    g = toxicity.Grammar({}, slope, bias, tuple(gains))
+    scores = [g.score(float(np.log1p(p @ np.exp(toxicity.DESIGN @ gains)))) for p in profiles]
+    assert gains[1] < toxicity.PRIOR[1] and scores[0] > 0.9 > 0.5 > scores[1] and scores[2] > 0.9 and scores[3] < 0.1
+
+
 def test_scores_of_odd_rows_and_of_no_labels(spark):
     rows = [(1, None, 0.5), (2, "", 1.0), (3, "moron " * 20_000, 2.0), (3, "moron", 2.0), (None, "fine", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
@@ -110,6 +168,15 @@ def test_scores_of_odd_rows_and_of_no_labels(spark):
     assert toxicity.scored(df.limit(0), toxicity.Grammar()).count() == 0
 
 
+def test_a_score_of_seven_tenths_is_toxic(spark):
+    folder = tempfile.mkdtemp(prefix="quillstone-")
+    spark.createDataFrame([(i, "fine words" if i % 2 else "you moron") for i in range(40)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.op2_toxicity(spark, folder).collect()
+    assert len(rows) == 40 and all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert {r["predicted"] for r in rows if r["doc_id"] % 2} == {0}
+
+
 def test_held_out_toxicity(spark):
     found = toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     hits, said, true = found.agg(F.expr("count_if(predicted = 1 AND toxic = 1)"), F.expr("count_if(predicted = 1)"), F.expr("count_if(toxic = 1)")).first()
