@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import _text
+from quillstone.llm._pairs import compared, plain_shingles
 from quillstone.llm._store import small_batches, written
 from quillstone.llm.components import components
 
 #: A pair of similarity 0.8 shares none of 32 bands of 5 minima with probability (1 - 0.8^5)^32 < 4e-6.
-BANDS, ROWS, SEED = 32, 5, 90_071
+BANDS, ROWS, SEED, LEAST_PERCENT = 32, 5, 90_071, 80
 #: Bits of the odd sketch of a document's minima, and the estimate below which a pair is passed over: with 160 samples
 #: a pair of similarity 0.8 comes out below 0.55 about once in 10^8 times.
 SKETCH_BITS, SIFT = 1024, 0.55
@@ -22,10 +24,6 @@ SKETCH_BITS, SIFT = 1024, 0.55
 PARITY_BITS = 2048
 #: Rows of a key in one block, and rows, as often as they meet others, that one task takes at a time.
 BLOCK, GROUP = 1024, 8192
-#: Slots that candidate ids are hashed into to keep other texts from being shuffled; bounds what is broadcast for it.
-SLOTS = 1 << 20
-#: Members that one task compares with a centre's text before the centre is dealt out again.
-FAN = 256
 
 
 def _parities(rows: np.ndarray, places: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -109,39 +107,8 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFram
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose full shingle sets have 100 * intersection >= percent * union.
-
-    Pairs are laid out by ``u``, whose text comes first and is compared with each ``v`` that follows; a ``u`` of many
-    partners is dealt out several times, so that no task gets them all.
-    """
-    many = pairs.groupBy("u").count().where(F.col("count") > FAN).select("u", F.ceil(F.col("count") / FAN).alias("deals"))
-    dealt = pairs.join(many, "u", "left").select("u", "v", F.when(F.col("deals").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("deals"))).alias("deal"))
-    rows = dealt.select("u", "deal", F.lit(1).alias("place"), F.col("v").alias("doc")).union(dealt.select("u", "deal", F.lit(0), F.col("u")).distinct())
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    # Before texts are shuffled, those whose id falls into no candidate's slot are left out: at most SLOTS numbers.
-    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")
-    texts = texts.withColumn("slot", slot).join(F.broadcast(rows.select(slot).distinct()), "slot", "left_semi").drop("slot")
-    laid = rows.join(texts, "doc").select("u", "deal", "place", "doc", "text").repartition("u", "deal").sortWithinPartitions("u", "deal", "place")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, members = None, np.empty(0, np.uint64)
-        for batch in batches:
-            u, place, doc = (batch.column(i).to_numpy() for i in (0, 2, 3))
-            out: list[tuple[int, int]] = []
-            for begin, _, data, offsets in _text.text_chunks(batch.column(4)):
-                starts, ends, at = _text.words(data, offsets)
-                values, places = _text.shingles(_text.word_hashes(data, starts, ends), at, k)
-                for i in range(len(offsets) - 1):
-                    own, row = np.unique(values[places[i] : places[i + 1]]), begin + i
-                    if place[row] == 0:
-                        centre, members = u[row], own
-                        continue
-                    shared = len(np.intersect1d(members, own, assume_unique=True)) if centre == u[row] else 0
-                    if shared and 100 * shared >= percent * (len(own) + len(members) - shared):
-                        out.append((int(u[row]), int(doc[row])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-    return laid.mapInArrow(compare, "u bigint, v bigint")
+    """The pairs ``u, v`` whose full shingle sets have 100 * intersection >= percent * union."""
+    return compared(pairs, docs, id_col=id_col, text_col=text_col, shingler=partial(plain_shingles, k=k)).where(F.col("shared") * 100 >= F.col("joint") * percent).select("u", "v")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -194,7 +161,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set has the distinct runs of ``k`` words, or the whole
     sequence of a shorter text. Null, empty and wordless texts have no set and link with nothing; a row with a null id
-    links with nothing, has a null component and is kept. Rows that share an id are one document.
+    links with nothing, has a null component and is kept. Rows that share an id are one document. The bands are made for
+    80 % and find more above; a lower ``percent``, at which they would miss pairs, is refused.
 
     1. Documents with equal sets are one class, named by its smallest id; only classes go on.
     2. Classes that share a band's key are candidates. In each key's group every class is tried against the smallest
@@ -202,6 +170,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     3. Where a key's group still spans several components, pairs across components whose sizes and bitmaps allow the
        similarity are confirmed as well. Pairs within a component could add no link that matters.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent lies between {LEAST_PERCENT}, which the bands are made for, and 100")
     small_batches(docs.sparkSession)
     names = {"id_col": id_col, "text_col": text_col, "k": k}
     sketches = written(sketched(docs, **names), "sketches")
@@ -230,6 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group by word pairs; null and empty texts are alone."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=2)
 
 

@@ -76,6 +76,8 @@ def test_rows_of_a_large_key_meet_in_bounded_tasks(spark, monkeypatch):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dedup.near_duplicates(df).count() == 0
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(df, percent=60)
 
 
 def test_no_possible_pair_is_passed_over():

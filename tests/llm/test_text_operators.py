@@ -362,8 +362,8 @@ def test_no_pages_and_small_payloads(spark):
 # --- fingerprints
 
 
-def brute_edits(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def brute_edits(rows, tie):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1] or ""], r[1] or ""))
     out = []
     for i, (doc_id, text) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
@@ -373,12 +373,17 @@ def brute_edits(rows):
     return sorted(out, key=str)
 
 
+def ties(spark, rows):
+    df = spark.createDataFrame([(t,) for t in {t or "" for _, t in rows}], "text string")
+    return {r["text"]: r["tie"] for r in df.select("text", fingerprints._tie(F.col("text")).alias("tie")).collect()}
+
+
 @pytest.mark.parametrize("run_bytes", [8 << 20, 3000])
 def test_edits_and_fingerprints(spark, run_bytes):
-    rows = [(i * 3, prose(i % 40)) for i in range(150)] + [(9, "twice"), (9, "twice"), (None, "no id"), (2000, None), (2001, ""), (2002, "漢" * 9000), (150, "head again")]
+    rows = [(i * 3, prose(i % 40)) for i in range(150)] + [(9, "twice"), (9, "twice"), (None, "no id"), (2000, None), (2001, ""), (2002, "漢" * 9000), (150, "head again"), (-(1 << 63), "least"), ((1 << 63) - 1, "most"), ((1 << 63) - 2, "but one")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, fingerprint string")
     got = fingerprints.with_edits(df, run_bytes=run_bytes).collect()
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_text"]) for r in got), key=str) == brute_edits(rows)
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_text"]) for r in got), key=str) == brute_edits(rows, ties(spark, rows))
     by_text = {}
     for r in got:
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
@@ -388,6 +393,58 @@ def test_edits_and_fingerprints(spark, run_bytes):
     assert sum(r["near_edited"] for r in got) > 2 * sum(r["near_next"] for r in got)
 
 
+def test_a_third_of_all_rows_may_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HOT_COPIES", 40)
+    rows = [(i, prose(12)) for i in range(200)] + [(77, prose(9)) for _ in range(150)] + [(None, prose(9)) for _ in range(150)] + [(77, "the same row")] * 100 + [(None, None)] * 100
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    facts = fingerprints.signed(df)
+    cuts, hot = fingerprints._units(facts, sum(len((t or "").encode()) for _, t in rows), 2000)
+    assert {r["doc_id"] for r in hot.where("parts > 1").collect()} == {77, None} and 77.0 in cuts
+    got = fingerprints.with_edits(df, facts, run_bytes=2000).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_text"]) for r in got), key=str) == brute_edits(rows, ties(spark, rows))
+
+
+def test_near_texts_are_found_through_bands_and_verified(spark):
+    base = [" ".join(f"b{i}w{j}" for j in range(60)) for i in range(12)]
+    rows = [(i * 20, b) for i, b in enumerate(base)] + [(1000 + i, b + " and one") for i, b in enumerate(base[:8])] + [(2000 + i, b) for i, b in enumerate(base[8:10])]
+    rows += [(5000 + j, base[0] + f" x{j}") for j in range(60)] + [(400, None), (420, ""), (440, "one"), (460, " "), (None, base[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sketches = fingerprints.signed(df)
+    near = {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in fingerprints.linked(df, sketches).collect()}
+
+    def sets(t):
+        w = ["", "", "", "", *(t or "").split()] if (t or "").split() else []
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    texts = {i: sets(t) for i, t in rows if i is not None}
+    alike = lambda a, b: len(texts[a] & texts[b]) / max(1, len(texts[a] | texts[b]))
+    want = {i for i in texts if i % 20 == 0 and any(j != i and alike(i, j) >= 0.8 for j in texts)}
+    assert set(near) == want
+    assert all(j != i and abs(alike(i, j) - x) < 1e-12 and x >= 0.8 for i, (j, x) in near.items())
+    rode = fingerprints.with_edits(df, sketches, spark.createDataFrame([(i, *v) for i, v in near.items()], "doc_id bigint, near_id bigint, near_jaccard double"), run_bytes=3000).collect()
+    assert len(rode) == len(rows) and {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in rode if r["near_id"] is not None} == near
+
+
+def test_similar_finds_nine_in_ten_of_brute_force(spark):
+    rng, rows = random.Random(6), []
+    for family in range(40):
+        words = [f"f{family}w{j}" for j in range(110)]
+        for copy in range(6):
+            own = list(words)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(110)] = f"e{rng.randrange(10**6)}"
+            rows.append((family * 10 + copy, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shingles = {i: {tuple((["", "", "", "", *t.split()])[j : j + 5]) for j in range(110)} for i, t in rows}
+    by_text, want = {}, set()
+    for i, t in rows:
+        by_text.setdefault(t, i)
+    for q in (i for i, _ in rows if i % 20 == 0):
+        want |= {(q, i) for i in by_text.values() if i != q and dict(rows)[i] != dict(rows)[q] and len(shingles[q] & shingles[i]) >= 0.8 * len(shingles[q] | shingles[i])}
+    got = {(r["query_id"], r["id"]) for r in fingerprints.similar(df.where("doc_id % 20 = 0"), df).where("jaccard < 1").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 20
+
+
 def test_fingerprints_of_few_rows(spark):
     df = spark.createDataFrame([(5, "one row of text")], "doc_id bigint, text string")
     r = fingerprints.with_edits(df).collect()
@@ -395,6 +452,9 @@ def test_fingerprints_of_few_rows(spark):
     assert fingerprints.with_edits(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (None, "c d")], "doc_id bigint, text string")
     assert sorted(x["edited_text"] for x in fingerprints.with_edits(nulls).collect()) == ["a c", "c a"]
+    clash = spark.createDataFrame([(1, "a b", 2, 3)], "doc_id bigint, text string, fingerprint int, `my col` int")
+    assert fingerprints.fingerprinted(clash).columns == ["doc_id", "text", "my col", "fingerprint"] and fingerprints.fingerprinted(clash.limit(0)).count() == 0
+    assert fingerprints.similar(clash.limit(0), clash).count() == fingerprints.similar(clash, clash).count() == 0
 
 
 def test_similar_texts_are_those_of_brute_force(spark):
