@@ -10,49 +10,82 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What a non-content page says (fixed values).
-NON_CONTENT_PHRASES = ("blank page", "do not write on this page", "turn over", "copyright", "acknowledgements", "periodic table", "data sheet", "formula sheet")
-#: Separators of a season's code and its name (fixed values).
-SEASONS = {"m": "March", "s": "June", "w": "November"}
+# What documents of this kind print, and how extraction shows it.
+#: Stock wording of covers, instructions, data sheets and blank pages.
+NON_CONTENT_PHRASES = (
+    "blank page",
+    "read these instructions first",
+    "additional materials",
+    "candidate name",
+    "list of formulae",
+    "data sheet",
+    "the following data may be used",
+    "permission to reproduce items",
+    "this document consists of",
+)
+#: A text of so many characters or fewer, ends trimmed, is no text layer.
+NO_TEXT_LAYER = 40
+CONTROL = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F"
+HEADER_STRIP = rf"(?U)(?:(?<=\s)\d{{1,2}}[ \t]+)?(?:BLANK PAGE[ \t]+)?,[{CONTROL}][{CONTROL}, ]*"
+REACTION_ARROW = r"(?<=[A-Za-z0-9)\]+–−])[ \t]+\x01[ \t]+(?=[A-Z0-9(])"
+MARK_BRACKET = r"\[\s*\d{1,2}\s*\]"
+NUMBER_LINE = r"(?imd)^\s*\d{1,2}(?:\s+(?!hours?\b|minutes?\b)\S|[.()])"
+OPTION_LINE = r"(?md)^\s*[A-D][.)\s]"
+FURNITURE_NOISE = r"(?U)[\x00-\x1F\x7F,\s]"
+BLANK_PAGE = r"(?i)BLANK\s+PAGE"
+LEADING_MARKS = r"^(\d{1,2})(?:\s*\*|ft)?(?:\s|$)"
+MARK_CODE = r"\b[MABC](\d)(?:FT|dep)?\b"
+LABEL_NUMBER = r"^([A-Z]?\d{1,2})"
+LABEL_GROUP = r"\(\s*([a-zA-Z]+)\s*\)"
+
+_ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 
 
 @F.pandas_udf(StringType())
-def fold_accents(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKD with combining marks dropped; Spark has no such function."""
+def _folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+        yield s.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def fold_accents(text: Column) -> Column:
+    """NFKD with combining marks dropped. Spark has no such function, so texts that are not ASCII go to Python."""
+    return F.coalesce(_folded(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def normalise(text: Column) -> Column:
-    """For exact comparison of questions: no leading item number, accents folded, lower case, letters, digits and spaces."""
-    kept = F.regexp_replace(F.lower(fold_accents(F.regexp_replace(text, r"^\s*\d+\s+", ""))), r"[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(kept, r" +", " "))
+    """For exact comparison of questions: no leading item number, accents folded, lower case; only letters, digits and spaces stay."""
+    return F.regexp_replace(F.lower(fold_accents(F.regexp_replace(text, r"(?U)^\s*\d+\s+", ""))), r"[^a-z0-9 ]", "")
 
 
 def clean_extracted(text: Column, symbols: bool = False) -> Column:
-    """Take extraction's control characters out; a clean text stays as it is, an emptied one is null.
+    """Take extraction's control characters out; a clean text stays as it is, an emptied one is empty, a null is null.
 
-    In order: header strips (a number between control runs), arrow and tick restored if ``symbols``, the other control
-    characters, spaces collapsed.
+    In order: nothing in place of NUL; header strips with their page number and notice; with ``symbols``, the glyph
+    between two formulas as an arrow and elsewhere as a tick; a space for each other control character; spaces collapsed.
     """
-    out = F.regexp_replace(text, r"(?<=\s)\d+ ,[\x01-\x08]+,", " ")
+    out = F.regexp_replace(F.regexp_replace(text, r"\x00", ""), HEADER_STRIP, "")
     if symbols:
-        out = F.regexp_replace(F.regexp_replace(out, "\x02", "→"), "\x03", "✓")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]+", ""), r"[ \t]{2,}", " "))
-    return F.when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), F.nullif(out, F.lit(""))).otherwise(text)
+        out = F.regexp_replace(F.regexp_replace(out, REACTION_ARROW, " → "), r"\x01", "✓")
+    out = stripped(F.regexp_replace(F.regexp_replace(out, f"[{CONTROL}]", " "), " {2,}", " "))
+    return F.when(text.rlike(f"[{CONTROL}]"), out).otherwise(text)
 
 
 def is_furniture(line: Column) -> Column:
-    """Only a page number, a barcode's asterisks or a blank-page notice."""
-    left = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"(?i)blank page", ""), r"\*[ 0-9]*\*", ""), r"\s+", " "))
-    return (left == "") | left.rlike(r"^[0-9]+$")
+    """Nothing but a page number, the barcode's control characters and commas, and a blank-page notice."""
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, FURNITURE_NOISE, " "), BLANK_PAGE, ""), FURNITURE_NOISE, "")
+    return (left == "") | left.rlike(r"(?U)^\d+$")
 
 
 def is_non_content(text: Column) -> Column:
-    """A page with a stock phrase and no mark bracket, item number or option line; never when the text is missing."""
+    """A page with a stock phrase and no mark bracket, numbered line or option line; never without a text layer."""
     phrase = F.exists(F.array(*map(F.lit, NON_CONTENT_PHRASES)), lambda p: F.contains(F.lower(text), p))
-    content = text.rlike(r"\[\d{1,2}\]") | text.rlike(r"(?m)^\s*\d{1,2}\s*$") | text.rlike(r"(?m)^\s*[A-D]\s+\S")
-    return F.coalesce((F.trim(text) != "") & phrase & ~content, F.lit(False))
+    content = text.rlike(MARK_BRACKET) | text.rlike(NUMBER_LINE) | text.rlike(OPTION_LINE)
+    return F.coalesce((F.length(stripped(text)) > NO_TEXT_LAYER) & phrase & ~content, F.lit(False))
 
 
 def slug(text: Column, fallback: str = "topic") -> Column:
@@ -61,13 +94,14 @@ def slug(text: Column, fallback: str = "topic") -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+    """White space of any kind as single spaces, without the template's private bullet."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"\x07", ""), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def normalise_label(label: Column) -> Column:
     """``7 (a) (II)`` as ``7(a)(ii)``, with an optional section letter; null where there is no number."""
-    root = F.upper(F.regexp_extract(label, r"^\s*([A-Za-z]?\d+)", 1))
-    groups = F.regexp_extract_all(label, F.lit(r"\(\s*([A-Za-z]+|\d+)\s*\)"), F.lit(1))
+    root = F.regexp_extract(stripped(label), LABEL_NUMBER, 1)
+    groups = F.regexp_extract_all(label, F.lit(LABEL_GROUP), F.lit(1))
     return F.when(root != "", F.concat(root, F.array_join(F.transform(groups, lambda g: F.concat(F.lit("("), F.lower(g), F.lit(")"))), "")))
 
 
@@ -90,9 +124,10 @@ def bracket_marks(text: Column) -> Column:
 
 
 def code_marks(cell: Column) -> Column:
-    """A mark row's value: its leading number, or else the sum of codes such as ``M1 A1``."""
-    codes = F.transform(F.regexp_extract_all(cell, F.lit(r"\b[ABCM](\d)\b"), F.lit(1)), lambda x: x.cast("int"))
-    return F.coalesce(F.nullif(F.regexp_extract(cell, r"^\s*(\d+)\b", 1), F.lit("")).cast("int"), F.aggregate(codes, F.lit(0), lambda a, b: a + b))
+    """A mark row's value: its leading number, or else the sum of codes such as ``M1 A1``; null without either."""
+    codes = F.transform(F.regexp_extract_all(cell, F.lit(MARK_CODE), F.lit(1)), lambda x: x.cast("int"))
+    summed = F.when(F.size(codes) > 0, F.aggregate(codes, F.lit(0), lambda a, b: a + b))
+    return F.coalesce(F.nullif(F.regexp_extract(stripped(cell), LEADING_MARKS, 1), F.lit("")).cast("int"), summed)
 
 
 def duration(ms: Column) -> Column:
@@ -116,3 +151,9 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays in double; null for a zero or differently long vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def vector_text(vector: Column) -> Column:
+    """A vector as ``[0.25,-1,1e-05]``: seven significant digits, without trailing zeros; null for a null vector."""
+    digits = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.7g", x.cast("double")), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(vector.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(vector, digits), ","), F.lit("]")))

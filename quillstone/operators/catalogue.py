@@ -14,27 +14,29 @@ def published(questions: DataFrame) -> DataFrame:
 
 
 def canonical_ids(questions: DataFrame) -> DataFrame:
-    """``question_id, canonical_id``: rows of equal body, kind and answer; the greatest id stands for them.
+    """``question_id, canonical_id``: rows of equal body, kind and answer (null equals null); the greatest id stands for them.
 
-    The key is hashed before it is shuffled.
+    Only ids and a 256-bit hash of the key are shuffled, and a group's head comes from a partial aggregate.
     """
-    key = F.xxhash64("body", "kind", F.col("answer"))
-    return questions.select("question_id", "body", "kind", "answer", F.max("question_id").over(Window.partitionBy(key, "body", "kind", "answer")).alias("canonical_id")).select("question_id", "canonical_id")
+    keyed = questions.select("question_id", F.unhex(F.sha2(F.to_json(F.struct("body", "kind", "answer")), 256)).alias("key"))
+    heads = keyed.groupBy("key").agg(F.max("question_id").alias("canonical_id"))
+    return keyed.join(heads, "key").select("question_id", "canonical_id")
 
 
 def topic_codes(edges: DataFrame, topics: DataFrame) -> DataFrame:
     """Each question's topic codes, the primary one first, then by code."""
-    rows = edges.join(F.broadcast(topics.select("topic_id", "code")), "topic_id").withColumn("rank", F.when(F.col("is_primary"), 0).otherwise(1))
+    rows = edges.join(topics.select("topic_id", "code"), "topic_id").withColumn("rank", F.when(F.col("is_primary"), 0).otherwise(1))
     return rows.groupBy("question_id").agg(joined(["rank", "code"], F.col("code"), ",").alias("topic_codes"))
 
 
 def also_in(groups: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every other member of a question's duplicate group, newest first; null where there is none."""
-    rows = groups.join(questions.select("question_id", "year", "paper"), "question_id")
-    lists = rows.groupBy("canonical_id").agg(F.sort_array(F.collect_list(F.struct("year", "question_id", "paper")), asc=False).alias("all")).where(F.size("all") > 1)
-    both = rows.select("question_id", "canonical_id").join(lists, "canonical_id")
-    others = F.filter("all", lambda r: r["question_id"] != F.col("question_id"))
-    return both.select("question_id", F.array_join(F.transform(others, lambda r: F.concat(r["paper"], F.lit("/"), r["question_id"])), "|").alias("also_in"))
+    """Where the questions of each duplicate group appear: ``canonical_id, question_id, year, paper, others``.
+
+    A question's other sittings are its group's rows but its own; they are given once for each group and not once for
+    each member, which would be the square of a group's size. Questions without a duplicate have no row.
+    """
+    sizes = groups.groupBy("canonical_id").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return groups.join(sizes, "canonical_id").join(questions.select("question_id", "year", "paper"), "question_id")
 
 
 def leaf_rows(roots: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,20 @@ def duplicate_key(norm: Column, answer: Column, row_id: Column) -> Column:
     return F.when(alone, F.concat(F.lit("solo:"), row_id.cast("string"))).otherwise(F.sha2(F.concat(norm, F.lit("\x00"), F.coalesce(answer.cast("string"), F.lit("\x01"))), 256))
 
 
-def duplicates(rows: DataFrame, *, id_col: str, text_col: str, answer_col: str) -> DataFrame:
-    """``canonical_id, members``: groups of the same normalised text and answer; the newest id names its group."""
-    keyed = rows.select(id_col, duplicate_key(normalise(F.col(text_col)), F.col(answer_col), F.col(id_col)).alias("key"))
-    return keyed.groupBy("key").agg(F.max(id_col).alias("canonical_id"), F.array_sort(F.collect_list(id_col)).alias("members")).drop("key")
+def duplicates(rows: DataFrame, *, id_col: str, text_col: str, answer_col: str, newest: Sequence[str]) -> DataFrame:
+    """``<id>, canonical_id`` of every row: groups of the same normalised text and answer, named by their newest row.
+
+    Newest is the greatest by the columns of ``newest``, then by id. Only ids, those columns and a hash of the text are
+    shuffled; a group's head is found by a partial aggregate, and members are rows, so a group may be of any size.
+    """
+    keyed = rows.select(F.col(id_col), *(F.col(c) for c in newest if c != id_col), duplicate_key(normalise(F.col(text_col)), F.col(answer_col), F.col(id_col)).alias("key"))
+    heads = keyed.groupBy("key").agg(F.max_by(id_col, F.struct(*newest, id_col)).alias("canonical_id"))
+    return keyed.select(id_col, "key").join(heads, "key").select(id_col, "canonical_id")
 
 
 def pointers(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     """Every row's canonical id worked out anew: null for the canonical row itself and for rows without duplicates."""
-    member = groups.select("canonical_id", F.explode("members").alias(id_col)).where(F.col("canonical_id") != F.col(id_col))
+    member = groups.where(F.col("canonical_id") != F.col(id_col))
     return rows.select(id_col).join(member, id_col, "left")
 
 

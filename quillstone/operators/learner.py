@@ -58,13 +58,24 @@ def weak_topics(stats: DataFrame) -> DataFrame:
 
 
 def revision_queue(weak: DataFrame, answers: DataFrame, edges: DataFrame, questions: DataFrame) -> DataFrame:
-    """Questions of a user's weak topics: those last answered wrong, then those never tried; at most twenty."""
-    pool = weak.select("user_id", "topic_id").join(edges.select("topic_id", "question_id"), "topic_id").select("user_id", "question_id").distinct()
-    pool = pool.join(questions.where("status = 'approved'").select("question_id"), "question_id", "left_semi")
-    tried = pool.join(answers.select("user_id", "question_id", "is_correct", F.lit(True).alias("tried")), ["user_id", "question_id"], "left")
-    rank = F.when(F.col("tried").isNull(), 1).when(~F.col("is_correct"), 0)
+    """Questions of a user's weak topics: those last answered wrong, then those never tried, by id; at most twenty.
+
+    Topics are never joined with all their questions for each user. Wrong answers come from the log. Of a topic's
+    numbered questions a user needs the first twenty and as many more as they have tried of it, which are looked up by
+    number.
+    """
+    listed = edges.select("topic_id", "question_id").distinct().join(questions.where("status = 'approved'").select("question_id"), "question_id", "left_semi")
+    numbered = listed.withColumn("number", F.row_number().over(Window.partitionBy("topic_id").orderBy("question_id")))
+    asked = weak.select("user_id", "topic_id")
+    tried = answers.select("user_id", "question_id", "is_correct").join(listed, "question_id").join(asked, ["user_id", "topic_id"])
+    wrong = tried.where("NOT is_correct").select("user_id", "question_id").distinct()
+    counts = tried.groupBy("user_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+    reach = asked.join(counts, ["user_id", "topic_id"], "left").select("user_id", "topic_id", F.explode(F.sequence(F.lit(1), (QUEUE + F.coalesce("n", F.lit(0))).cast("int"))).alias("number"))
+    found = reach.join(numbered, ["topic_id", "number"]).select("user_id", "question_id").distinct()
+    new = found.join(answers.select("user_id", "question_id"), ["user_id", "question_id"], "left_anti")
+    rows = wrong.withColumn("rank", F.lit(0)).unionByName(new.withColumn("rank", F.lit(1)))
     w = Window.partitionBy("user_id").orderBy("rank", "question_id")
-    return tried.withColumn("rank", rank).where("rank IS NOT NULL").withColumn("place", F.row_number().over(w)).where(F.col("place") <= QUEUE).select("user_id", "question_id", "rank", "place")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= QUEUE).select("user_id", "question_id", "rank", "place")
 
 
 def assigned_seq(new: DataFrame, log: DataFrame, *order: str) -> DataFrame:

@@ -6,18 +6,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import collapse_spaces
 from quillstone.operators.common import joined
 
-#: Gap before the next item's mark, share of height that puts lines on one row, overlap that lets a bar see a line.
-REGION_GAP, ROW_OVERLAP, SPAN_OVERLAP = 4, 0.25, 0.5
+# Fixed values, in points but for the share.
+#: Gap before the next item's mark, least height of a region, bottom of a page's body, share of the lower line's height
+#: that puts lines on one row, and overlap that lets a bar see a line.
+REGION_GAP, REGION_HEIGHT, BODY_BOTTOM, ROW_OVERLAP, SPAN_OVERLAP = 8.0, 1.0, 780.0, 0.25, 0.5
 
 
 def segment_regions(marks: DataFrame, spans: DataFrame) -> DataFrame:
-    """A region from each item's mark to just above the next one on its page; the last ends with the page's content."""
-    bottom = spans.where("trim(line) <> ''").groupBy("doc_id", "page").agg(F.max("y1").alias("bottom"))
+    """A region from each item's mark to just above the next one on its page.
+
+    The last one of a page ends just below the lowest line that begins under its mark and within the body, or with the
+    body where there is none. No region is lower than a point.
+    """
     w = Window.partitionBy("doc_id", "page").orderBy("y0", "line_no")
-    ended = marks.withColumn("next", F.lead("y0").over(w)).join(bottom, ["doc_id", "page"], "left")
-    return ended.select("doc_id", "page", "line_no", "y0", F.greatest(F.col("y0"), F.coalesce(F.col("next") - REGION_GAP, "bottom", "y1")).alias("y1"))
+    ended = marks.select("doc_id", "page", "line_no", "y0", F.lead("y0").over(w).alias("next"))
+    last = ended.where("next IS NULL").select("doc_id", "page", F.col("y0").alias("top"))
+    body = spans.where(F.trim("line") != "").where(F.col("y0") <= BODY_BOTTOM).select("doc_id", "page", "y0", "y1")
+    ink = body.join(last, ["doc_id", "page"]).where("y0 > top").groupBy("doc_id", "page").agg(F.max("y1").alias("ink"))
+    bottom = F.when(F.col("next").isNotNull(), F.col("next") - REGION_GAP).otherwise(F.coalesce(F.col("ink") + REGION_GAP, F.lit(BODY_BOTTOM)))
+    return ended.join(ink, ["doc_id", "page"], "left").select("doc_id", "page", "line_no", "y0", F.greatest(F.col("y0") + REGION_HEIGHT, bottom).alias("y1"))
 
 
 def outline(lines: DataFrame) -> DataFrame:
@@ -65,18 +75,23 @@ def range_cut(marks: DataFrame, breaks: DataFrame) -> DataFrame:
 
 
 def visual_rows(spans: DataFrame) -> DataFrame:
-    """Lines of a page that overlap a row by a quarter of their height, read from left to right; a page is one small group."""
+    """Lines of a page in visual rows, read from left to right: ``doc_id, page, row, text``.
+
+    Lines come in order of ``line_no``; one joins the row before it if it overlaps any line of it by a quarter of the
+    lower one's height. Which lines a row has depends on what it took in before, so each page is one ordered scan; a page
+    is small. Blank lines are passed over.
+    """
 
     def group(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
-        for s in page.sort_values(["y0", "x0", "line_no"]).itertuples():
-            for row in rows:
-                if any(min(s.y1, o.y1) - max(s.y0, o.y0) >= ROW_OVERLAP * (s.y1 - s.y0) for o in row):
-                    row.append(s)
-                    break
+        for s in page.sort_values("line_no").itertuples():
+            lower = lambda o, s=s: min(s.y1 - s.y0, o.y1 - o.y0)
+            if rows and any(lower(o) > 0 and (min(s.y1, o.y1) - max(s.y0, o.y0)) / lower(o) >= ROW_OVERLAP for o in rows[-1]):
+                rows[-1].append(s)
             else:
                 rows.append([s])
-        out = [(key[0], key[1], i, " ".join(s.line for s in sorted(row, key=lambda s: (s.x0, s.line_no)))) for i, row in enumerate(rows)]
+        out = [(key[0], key[1], i, " ".join(s.line for s in sorted(row, key=lambda s: (round(s.x0), s.y0, s.line_no)))) for i, row in enumerate(rows)]
         return pd.DataFrame(out, columns=["doc_id", "page", "row", "text"])
 
-    return spans.groupBy("doc_id", "page").applyInPandas(group, "doc_id bigint, page int, row int, text string")
+    inked = spans.where(F.trim("line") != "")
+    return inked.groupBy("doc_id", "page").applyInPandas(group, "doc_id bigint, page int, row int, text string").withColumn("text", collapse_spaces(F.col("text")))

@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import cosine
+from quillstone.sources.files import work_folder
 
 THRESHOLD, LIMIT = 0.82, 5
 #: Queries that are held in memory at a time by a similarity search.
@@ -26,39 +30,55 @@ def match_vector(corpus: DataFrame, query: list[float], *, threshold: float = TH
 def search(corpus: DataFrame, queries: DataFrame, *, threshold: float, limit: int = LIMIT) -> DataFrame:
     """The ``limit`` nearest vectors above a similarity for each of a stated set of queries, exactly.
 
-    Queries go to the workers in blocks of bounded size; each block is one pass over all vectors, in which a task keeps
-    its best few for each query, so what is shuffled does not grow with the corpus' density around a query.
+    Queries are written to the shared folder in blocks of bounded size; one pass over the vectors holds a batch of them
+    and one block at a time, so neither is collected, however many they are. A task keeps its best few of a batch for each
+    query, so what is shuffled does not grow with the corpus' density around a query. Null vectors match nothing, nor do
+    vectors of other lengths than the query's or of length zero; a vector never matches itself (by id).
     """
     spark = corpus.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = part.select("vec_id", "embedding").collect()
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), _unit(np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1))))
-
-        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                own = batch.column(0).to_numpy()
-                v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(own), -1))
-                found = q @ v.T
-                found[ids[:, None] == own] = -2
-                k = min(limit, len(own))
-                top = np.argpartition(-found, k - 1, axis=1)[:, :k]
-                best = np.take_along_axis(found, top, 1)
-                i, j = np.nonzero(best >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[top[i, j]]), pa.array(best[i, j].astype(np.float64))], names=["query_id", "vec_id", "similarity"])
-
-        one = corpus.select("vec_id", "embedding").where("embedding IS NOT NULL").mapInArrow(score, "query_id bigint, vec_id bigint, similarity double")
-        out = one if out is None else out.unionByName(one)
+    folder = work_folder(spark)
+    sized = F.size("embedding")
+    asked = queries.select("vec_id", "embedding").where(F.col("embedding").isNotNull() & (sized > 0))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked.withColumn("dim", sized).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("dim", "block").write.partitionBy("dim", "block").parquet(folder)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = pa.fs.FileSystem.from_uri(folder)
+        found = sorted(f.path for f in files.get_file_info(pa.fs.FileSelector(at, recursive=True)) if f.path.endswith(".parquet"))
+        for batch in batches:
+            lengths = pa.compute.list_value_length(batch.column(1)).to_numpy()
+            for dim in np.unique(lengths):
+                rows = batch.filter(pa.array(lengths == dim))
+                own = rows.column(0).to_numpy()
+                v = _matrix(rows.column(1), int(dim))
+                for path in found:
+                    if f"/dim={dim}/" in path:
+                        block = pq.read_table(path, filesystem=files, columns=["vec_id", "embedding"], partitioning=None).combine_chunks()
+                        yield _best(block["vec_id"].to_numpy(), _matrix(block["embedding"].combine_chunks(), int(dim)), own, v, threshold, limit)
+
+    vectors = corpus.select("vec_id", "embedding").where(F.col("embedding").isNotNull() & (sized > 0))
+    out = vectors.mapInArrow(score, "query_id bigint, vec_id bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vectors), dim)
+
+
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, threshold: float, limit: int) -> pa.RecordBatch:
+    """The best few of a batch of vectors for each query of a block: found in single precision, given in double."""
+    found = _unit(q) @ _unit(v).T
+    found[ids[:, None] == own] = -2
+    k = min(limit, len(own))
+    top = np.argpartition(-found, k - 1, axis=1)[:, :k]
+    i, j = np.nonzero(np.take_along_axis(found, top, 1) >= threshold - 1e-5)
+    at = top[i, j]
+    exact = (q[i].astype(np.float64) * v[at]).sum(axis=1) / np.maximum(1e-300, np.linalg.norm(q[i].astype(np.float64), axis=1) * np.linalg.norm(v[at].astype(np.float64), axis=1))
+    keep = exact >= threshold
+    return pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(own[at][keep]), pa.array(exact[keep])], names=["query_id", "vec_id", "similarity"])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
@@ -78,12 +98,27 @@ def trigrams(text: Column) -> Column:
 
 
 def fuzzy_search(texts: DataFrame, queries: DataFrame, *, threshold: float = 0.3) -> DataFrame:
-    """Texts whose trigram sets are at least ``threshold`` alike to those of a stated set of queries.
+    """Texts whose trigram sets are at least ``threshold`` alike to those of a stated set of queries, exactly.
 
-    Both sides are distinct texts, so repeated questions add nothing; candidates meet on shared trigrams.
+    Both sides are distinct texts, so repeated questions add nothing. Each set is ordered from its rarest trigram on; two
+    sets as alike as that share one among the first n - ceil(threshold * n) + 1 of either, so candidates meet on those
+    alone and not on trigrams that most texts have. Sizes are held against each other before the sets are. Null texts
+    match nothing.
     """
-    q = queries.select("query").distinct().select("query", trigrams(F.col("query")).alias("qt"))
-    t = texts.select("text").distinct().select("text", trigrams(F.col("text")).alias("tt"))
-    shared = q.select("query", F.size("qt").alias("nq"), F.explode("qt").alias("g")).join(t.select("text", F.size("tt").alias("nt"), F.explode("tt").alias("g")), "g")
-    counted = shared.groupBy("query", "text", "nq", "nt").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("query", "text", F.round(F.col("n") / (F.col("nq") + F.col("nt") - F.col("n")), 4).alias("similarity")).where(F.col("similarity") >= threshold)
+    exact = threshold - 0.00005  # similarities are rounded to four decimals
+    every = texts.select("text").union(queries.select("query")).where("text IS NOT NULL").distinct().select("text", trigrams(F.col("text")).alias("grams"))
+    each = every.select("text", F.explode("grams").alias("g"))
+    common = each.groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
+    ordered = each.join(common, "g").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("texts", "g"))).alias("by"))
+    n = F.size("by")
+    sets = ordered.select("text", F.transform("by", lambda x: x["g"]).alias("grams"), (n - F.ceil(n * exact) + 1).cast("int").alias("ahead"))
+
+    def first(of: DataFrame, text: str, grams: str) -> DataFrame:
+        chosen = sets.join(of.toDF("text").distinct(), "text", "left_semi")
+        return chosen.select(F.col("text").alias(text), F.col("grams").alias(grams), F.explode(F.slice("grams", F.lit(1), F.col("ahead"))).alias("g"))
+
+    met = first(queries.select("query"), "query", "qt").join(first(texts.select("text"), "text", "tt"), "g")
+    sizes = F.least(F.size("qt"), F.size("tt")) >= F.greatest(F.size("qt"), F.size("tt")) * exact
+    pairs = met.where(sizes).select("query", "text", "qt", "tt").dropDuplicates(["query", "text"])
+    shared = F.size(F.array_intersect("qt", "tt"))
+    return pairs.select("query", "text", F.round(shared / (F.size("qt") + F.size("tt") - shared), 4).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -13,14 +13,13 @@ from quillstone.plans.roles import attempts, bank, docs, edges, leaves, roots, s
 GROUPS = "groups AS (SELECT question_id, max(question_id) OVER (PARTITION BY body, kind, answer) AS canonical_id FROM bank)"
 CODES = "codes AS (SELECT question_id, string_agg(code, ',' ORDER BY is_primary DESC, code) AS topic_codes FROM edges JOIN topics USING (topic_id) GROUP BY question_id)"
 ALSO = """also AS (
-  SELECT g.question_id, string_agg(b.paper || '/' || b.question_id, '|' ORDER BY b.year DESC, b.question_id DESC) AS also_in
-  FROM groups g JOIN groups o ON g.canonical_id = o.canonical_id AND g.question_id <> o.question_id JOIN bank b ON b.question_id = o.question_id GROUP BY g.question_id)"""
+  SELECT canonical_id, question_id, year, paper, others FROM groups JOIN (SELECT canonical_id, count(*) - 1 AS others FROM groups GROUP BY canonical_id) USING (canonical_id) JOIN bank USING (question_id) WHERE others > 0)"""
 
 
 @query("SELECT r_name AS level, n_name AS subject, n_nationkey AS subject_id, coalesce(nullif(n_name, 'NATION_0'), 'none') AS description FROM nation JOIN region ON n_regionkey = r_regionkey")
 def v_subjects(spark: SparkSession, d: str) -> DataFrame:
     subjects, levels = table(spark, d, "nation"), table(spark, d, "region")
-    return subjects.join(F.broadcast(levels), subjects["n_regionkey"] == levels["r_regionkey"]).select(
+    return subjects.join(levels, subjects["n_regionkey"] == levels["r_regionkey"]).select(
         F.col("r_name").alias("level"), F.col("n_name").alias("subject"), F.col("n_nationkey").alias("subject_id"), F.coalesce(F.nullif("n_name", F.lit("NATION_0")), F.lit("none")).alias("description")
     )
 
@@ -90,12 +89,12 @@ def paper_type(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("paper", "paper_type")
 
 
-@query(f"WITH {MODE} SELECT paper, CASE WHEN paper % 5 = 0 THEN 'stored' ELSE paper_type END AS paper_type, questions, coalesce(documents, '') AS documents FROM papers LEFT JOIN (SELECT root % 1500 AS paper, string_agg(DISTINCT flag, '|' ORDER BY flag) AS documents FROM leaves GROUP BY root % 1500) USING (paper)")
+@query(f"WITH {MODE} SELECT paper, year, CASE WHEN paper % 5 = 0 THEN 'stored' ELSE paper_type END AS paper_type, questions, coalesce(documents, '') AS documents FROM papers LEFT JOIN (SELECT root % 1500 AS paper, string_agg(DISTINCT flag, '|' ORDER BY flag) AS documents FROM leaves GROUP BY root % 1500) USING (paper)")
 def v_papers(spark: SparkSession, d: str) -> DataFrame:
     """A stored type wins over the mode of the questions' types; documents are listed by type."""
     kinds = leaves(spark, d).groupBy((F.col("root") % 1500).alias("paper")).agg(F.array_join(F.array_sort(F.collect_set("flag")), "|").alias("documents"))
     stored = F.when(F.col("paper") % 5 == 0, F.lit("stored"))
-    return _papers(spark, d).join(kinds, "paper", "left").select("paper", F.coalesce(stored, "paper_type").alias("paper_type"), "questions", F.coalesce("documents", F.lit("")).alias("documents"))
+    return _papers(spark, d).join(kinds, "paper", "left").select("paper", "year", F.coalesce(stored, "paper_type").alias("paper_type"), "questions", F.coalesce("documents", F.lit("")).alias("documents"))
 
 
 @query(f"WITH {MODE} SELECT paper, paper_type, questions FROM papers WHERE paper_type IN ('1-URGENT', '5-LOW') AND questions > 0")
@@ -116,14 +115,15 @@ def options_map(spark: SparkSession, d: str) -> DataFrame:
     return made.select("conv_id", F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("options"))
 
 
-@query(f"WITH {GROUPS}, {CODES}, {ALSO} " + "SELECT question_id, paper, answer, topic_codes, also_in, round(price / nullif(ordinal, 0), 4) AS ratio FROM bank LEFT JOIN codes USING (question_id) LEFT JOIN also USING (question_id) WHERE status = 'approved'")
+@query(f"WITH {GROUPS}, {CODES}, {ALSO} " + "SELECT question_id, bank.paper, ordinal, answer, topic_codes, canonical_id, coalesce(others, 0) AS others, round(price / nullif(ordinal, 0), 4) AS ratio FROM bank LEFT JOIN codes USING (question_id) LEFT JOIN (SELECT question_id, canonical_id, others FROM also) a USING (question_id) WHERE status = 'approved'")
 def v_mcq(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with their topics, and the duplicate group whose sittings ``also_in`` lists."""
     q = bank(spark, d)
-    rows = C.published(q).select("question_id", "paper", "answer", F.round(F.col("price") / F.nullif("ordinal", F.lit(0)), 4).alias("ratio"))
-    return rows.join(C.topic_codes(edges(spark, d), topics(spark, d)), "question_id", "left").join(C.also_in(C.canonical_ids(q), q), "question_id", "left")
+    rows = C.published(q).select("question_id", "paper", "ordinal", "answer", F.round(F.col("price") / F.nullif("ordinal", F.lit(0)), 4).alias("ratio"))
+    return rows.join(C.topic_codes(edges(spark, d), topics(spark, d)), "question_id", "left").join(C.also_in(C.canonical_ids(q), q).select("question_id", "canonical_id", "others"), "question_id", "left").withColumn("others", F.coalesce("others", F.lit(0)))
 
 
-@query(f"WITH {GROUPS}, {ALSO} SELECT question_id, also_in FROM also")
+@query(f"WITH {GROUPS}, {ALSO} SELECT canonical_id, question_id, year, paper, others FROM also")
 def also_in(spark: SparkSession, d: str) -> DataFrame:
     q = bank(spark, d)
     return C.also_in(C.canonical_ids(q), q)
@@ -133,7 +133,7 @@ def also_in(spark: SparkSession, d: str) -> DataFrame:
 def publish_gate(spark: SparkSession, d: str) -> DataFrame:
     """Approved questions of published subjects (here the subject 1), by a semi-join on the subjects."""
     subjects = table(spark, d, "nation").where("n_nationkey = 1").select(F.col("n_nationkey").cast("bigint").alias("subject_id"))
-    return C.published(bank(spark, d)).join(F.broadcast(subjects), "subject_id", "left_semi").select("question_id", "paper", "ordinal")
+    return C.published(bank(spark, d)).join(subjects, "subject_id", "left_semi").select("question_id", "paper", "ordinal")
 
 
 @query(f"WITH {GROUPS} SELECT question_id, paper FROM bank JOIN groups USING (question_id) WHERE status = 'approved' AND question_id = canonical_id AND question_id IN (SELECT question_id FROM edges WHERE topic_id = 4)")
@@ -235,9 +235,9 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 def review_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of two hundred, flagged and least certain first, with the exact total."""
     rows = _review(spark, d)
-    total = rows.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("one"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy(F.desc("is_flagged"), F.asc_nulls_first("confidence"), "root").offset(200).limit(200)
-    return page.select("root", "is_flagged", "confidence", F.lit(1).alias("one")).join(F.broadcast(total), "one").drop("one")
+    return page.select("root", "is_flagged", "confidence", total.scalar().alias("total"))
 
 
 @query("SELECT root, state, decided FROM (SELECT root, state, CASE WHEN root % 11 = 0 THEN NULL ELSE o_orderdate END AS decided FROM roots WHERE state <> 'P') ORDER BY decided DESC NULLS LAST, root LIMIT 300")
@@ -257,7 +257,7 @@ def asset_is_public(spark: SparkSession, d: str) -> DataFrame:
 def session_fanout(spark: SparkSession, d: str) -> DataFrame:
     """A session's document stands for every paper of its subject and session."""
     sessions = table(spark, d, "nation").select(F.col("n_nationkey").alias("session"), (F.col("n_nationkey") + 2000).alias("year"), (F.col("n_nationkey") % 4).cast("bigint").alias("subject_id"))
-    return bank(spark, d).join(F.broadcast(sessions), ["year", "subject_id"]).select("session", "question_id", "paper")
+    return bank(spark, d).join(sessions, ["year", "subject_id"]).select("session", "question_id", "paper")
 
 
 BANDS = """bands AS (
@@ -308,7 +308,7 @@ def topic_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     links = links.unionByName(known.where("topic_id % 6 = 0").select((F.col("topic_id") + 1000).alias("old"), (F.col("topic_id") + 2000).alias("new")))
     at = tags.where("is_primary").select("question_id", "topic_id")
     for _ in range(2):
-        at = at.join(F.broadcast(links), at["topic_id"] == links["old"], "left").select("question_id", F.when(F.col("old").isNotNull(), F.col("new")).otherwise(F.col("topic_id")).alias("topic_id"))
+        at = at.join(links, at["topic_id"] == links["old"], "left").select("question_id", F.when(F.col("old").isNotNull(), F.col("new")).otherwise(F.col("topic_id")).alias("topic_id"))
     return at.where("topic_id IS NOT NULL")
 
 

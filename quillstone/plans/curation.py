@@ -13,30 +13,40 @@ from quillstone.plans.registry import query
 from quillstone.plans.roles import bank, docs, leaves, lines, roots, table
 from quillstone.plans.strings import NORM
 
+SITTINGS = "2000 + doc_id % 25 AS year, source AS paper, doc_id % 40 AS ordinal"
 DUPES = f"""
-normed AS (SELECT doc_id, lang, {NORM.format('text')} AS norm FROM documents),
-keyed AS (SELECT doc_id, CASE WHEN length(norm) < 60 THEN 'solo:' || doc_id ELSE norm || chr(1) || lang END AS key FROM normed),
-grouped AS (SELECT max(doc_id) AS canonical_id, string_agg(doc_id, ',' ORDER BY doc_id) AS members, count(*) AS n, key FROM keyed GROUP BY key)"""
+normed AS (SELECT doc_id, lang, n_chars, {SITTINGS}, {NORM.format('text')} AS norm FROM documents),
+keyed AS (SELECT *, CASE WHEN length(norm) < 60 THEN 'solo:' || doc_id ELSE norm || chr(1) || lang END AS key FROM normed),
+grouped AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY key ORDER BY year DESC, paper DESC, ordinal DESC, doc_id DESC) AS canonical_id FROM keyed)"""
 
 
-@query(f"WITH {DUPES} SELECT canonical_id, members FROM grouped")
+def _sittings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as questions of a sitting: year, paper and ordinal say which of a group is the newest."""
+    k = F.col("doc_id")
+    return docs(spark, d).select("doc_id", "text", "lang", "n_chars", (2000 + k % 25).alias("year"), F.col("source").alias("paper"), (k % 40).alias("ordinal"))
+
+
+def _duplicates(rows: DataFrame) -> DataFrame:
+    return U.duplicates(rows, id_col="doc_id", text_col="text", answer_col="lang", newest=["year", "paper", "ordinal"])
+
+
+@query(f"WITH {DUPES} SELECT doc_id, canonical_id FROM grouped")
 def dedupe_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups = U.duplicates(docs(spark, d), id_col="doc_id", text_col="text", answer_col="lang")
-    return groups.select("canonical_id", F.array_join("members", ",").alias("members"))
+    """Groups as membership: each document and the one that stands for its group."""
+    return _duplicates(_sittings(spark, d))
 
 
-@query(f"WITH {DUPES} SELECT k.doc_id, CASE WHEN k.doc_id <> g.canonical_id THEN g.canonical_id END AS canonical_id FROM keyed k JOIN grouped g USING (key)")
+@query(f"WITH {DUPES} SELECT doc_id, CASE WHEN doc_id <> canonical_id THEN canonical_id END AS canonical_id FROM grouped")
 def dedupe_apply(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs(spark, d)
-    return U.pointers(rows, U.duplicates(rows, id_col="doc_id", text_col="text", answer_col="lang"), "doc_id")
+    rows = _sittings(spark, d)
+    return U.pointers(rows, _duplicates(rows), "doc_id")
 
 
-@query(f"WITH normed AS (SELECT doc_id, lang, {NORM.format('text')} AS norm FROM documents WHERE n_chars BETWEEN 500 AND 5000), " + """
-keyed AS (SELECT doc_id, CASE WHEN length(norm) < 60 THEN 'solo:' || doc_id ELSE norm || chr(1) || lang END AS key FROM normed) SELECT max(doc_id) AS canonical_id, count(*) AS n FROM keyed GROUP BY key""")
+@query(f"WITH {DUPES.replace('FROM documents', 'FROM documents WHERE n_chars BETWEEN 500 AND 5000')} SELECT canonical_id, count(*) AS n FROM grouped GROUP BY canonical_id")
 def scope_then_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The scope is cut first, so that a group's head is always in scope."""
-    scoped = docs(spark, d).where("n_chars BETWEEN 500 AND 5000")
-    return U.duplicates(scoped, id_col="doc_id", text_col="text", answer_col="lang").select("canonical_id", F.size("members").cast("bigint").alias("n"))
+    scoped = _sittings(spark, d).where("n_chars BETWEEN 500 AND 5000")
+    return _duplicates(scoped).groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH groups AS (SELECT question_id, max(question_id) OVER (PARTITION BY body, kind, answer) AS canonical_id FROM bank) SELECT g.question_id, sha256(b.body || b.question_id) AS value FROM groups g JOIN bank b ON b.question_id = g.canonical_id")

@@ -8,53 +8,72 @@ from pyspark.sql import functions as F
 from quillstone.operators.common import joined
 from quillstone.plans.registry import query
 from quillstone.plans.roles import FLOOR, bank, docs, edges, table, topics
+from quillstone.sources import names as N
 from quillstone.sources.files import changed_documents, manifest, replayed
-from quillstone.sources.names import built_name, page_links as links_of, parsed_name, storage_prefix
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
+    """A document name for each question; some are of no known type or malformed."""
     k = F.col("question_id")
-    season = F.element_at(F.array(*map(F.lit, "msw")), (k % 3).cast("int") + 1)
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
     tail = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit("_"), 1 + k % 9)).otherwise(F.concat(F.lit("_"), 1 + k % 9, 1 + k % 3))
-    stem = F.concat(F.lit(5000) + k % 100, F.lit("_"), season, F.lpad((k % 100).cast("string"), 2, "0"), F.when(k % 17 == 0, "").otherwise("_"), F.lit("qp"), tail)
+    stem = F.concat(F.lit(5000) + k % 100, F.lit("_"), pick("mswW", k), F.lpad((k % 100).cast("string"), 2, "0"), F.when(k % 17 == 0, "").otherwise("_"), pick(TYPES, k / 4), tail)
     return bank(spark, d).select("question_id", stem.alias("stem"))
 
 
+TYPES = ("qp", "ms", "GT", "zz", "er")
 NAMES = """names AS (
-  SELECT question_id, (5000 + question_id % 100) || '_' || ['m', 's', 'w'][question_id % 3 + 1] || lpad((question_id % 100)::VARCHAR, 2, '0') || CASE WHEN question_id % 17 = 0 THEN '' ELSE '_' END || 'qp' ||
+  SELECT question_id, (5000 + question_id % 100) || '_' || ['m', 's', 'w', 'W'][question_id % 4 + 1] || lpad((question_id % 100)::VARCHAR, 2, '0') || CASE WHEN question_id % 17 = 0 THEN '' ELSE '_' END || ['qp', 'ms', 'GT', 'zz', 'er'][question_id // 4 % 5 + 1] ||
     CASE question_id % 4 WHEN 0 THEN '' WHEN 1 THEN '_' || (1 + question_id % 9) ELSE '_' || (1 + question_id % 9) || (1 + question_id % 3) END AS stem FROM bank),
+cut AS (
+  SELECT question_id, stem, nullif(regexp_extract(stem, p, 1), '') AS syllabus, nullif(lower(regexp_extract(stem, p, 2)), '') AS letter, TRY_CAST(nullif(regexp_extract(stem, p, 3), '') AS INT) AS yy,
+    nullif(lower(regexp_extract(stem, p, 4)), '') AS doc_type, TRY_CAST(nullif(regexp_extract(stem, p, 5), '') AS INT) AS component, TRY_CAST(nullif(regexp_extract(stem, p, 6), '') AS INT) AS variant
+  FROM names, (SELECT '(?i)^(\\d{4})_([msw])(\\d{2})_(qp|ms|er|gt|in|ci)(?:_(\\d)(\\d)?)?$' AS p)),
 parsed AS (
-  SELECT question_id, stem, nullif(regexp_extract(stem, p, 1), '') AS syllabus, nullif(regexp_extract(stem, p, 2), '') AS season, TRY_CAST(nullif(regexp_extract(stem, p, 3), '') AS INT) AS yy,
-    nullif(regexp_extract(stem, p, 4), '') AS doc_type, TRY_CAST(nullif(regexp_extract(stem, p, 5), '') AS INT) AS component, TRY_CAST(nullif(regexp_extract(stem, p, 6), '') AS INT) AS variant
-  FROM names, (SELECT '^(\\d{4})_([msw])(\\d{2})_([a-z]{2})(?:_(\\d)(\\d)?)?$' AS p))"""
+  SELECT *, CASE letter WHEN 'm' THEN 'feb_march' WHEN 's' THEN 'may_june' WHEN 'w' THEN 'oct_nov' END AS season, CASE letter WHEN 'm' THEN 'fm' WHEN 's' THEN 'mj' WHEN 'w' THEN 'on' END AS short, CASE WHEN yy >= 90 THEN yy + 1900 ELSE yy + 2000 END AS year FROM cut)"""
 
 
-@query(f"WITH {NAMES} SELECT question_id, stem, syllabus, season, CASE WHEN yy >= 90 THEN yy + 1900 ELSE yy + 2000 END AS year, doc_type, component, variant FROM parsed")
+@query(f"WITH {NAMES} SELECT question_id, stem, syllabus, season, year, doc_type, component, variant FROM parsed")
 def parse_doc_name(spark: SparkSession, d: str) -> DataFrame:
-    return _names(spark, d).select("question_id", "stem", parsed_name(F.col("stem")).alias("p")).select("question_id", "stem", "p.*")
+    return _names(spark, d).select("question_id", "stem", N.parsed_name(F.col("stem")).alias("p")).select("question_id", "stem", "p.*")
 
 
-@query(f"""WITH {NAMES}
-SELECT question_id, stem, stem AS rebuilt, syllabus || '/' || CASE WHEN yy >= 90 THEN yy + 1900 ELSE yy + 2000 END || '/' || season AS prefix FROM parsed WHERE syllabus IS NOT NULL""")
+@query(f"""WITH {NAMES}, keyed AS (SELECT *, 'papers/' || syllabus || '/' || year || '-' || short || '/p' || component || coalesce(variant::VARCHAR, '') AS prefix, question_id % 30 AS number, question_id % 3 AS place FROM parsed WHERE syllabus IS NOT NULL)
+SELECT question_id, stem, lower(stem) || '.pdf' AS rebuilt, prefix, prefix || '/' || doc_type || '.pdf' AS document, prefix || '/crops/' || number || '.png' AS crop,
+  prefix || '/crops/' || number || '(a)' || CASE WHEN place = 0 THEN '' ELSE '.' || place END || '.png' AS structured_crop, prefix || '/crops/ms-' || number || '-a-iii' || CASE WHEN place = 0 THEN '' ELSE '.' || place END || '.png' AS scheme_crop FROM keyed""")
 def build_doc_key(spark: SparkSession, d: str) -> DataFrame:
-    p = parse_doc_name(spark, d).where("syllabus IS NOT NULL")
-    rebuilt = built_name(*(F.col(c) for c in ("syllabus", "season", "year", "doc_type", "component", "variant")))
-    return p.select("question_id", "stem", rebuilt.alias("rebuilt"), storage_prefix(F.col("syllabus"), F.col("year"), F.col("season")).alias("prefix"))
+    """File name, prefix and the keys of a document and its pictures; names without a component have no keys."""
+    p = parse_doc_name(spark, d).where("syllabus IS NOT NULL").withColumn("number", F.col("question_id") % 30)
+    rebuilt = N.built_name(*(F.col(c) for c in ("syllabus", "season", "year", "doc_type", "component", "variant")))
+    prefix, place = F.col("prefix"), F.col("question_id") % 3
+    p = p.withColumn("prefix", N.storage_prefix(*(F.col(c) for c in ("syllabus", "year", "season", "component", "variant"))))
+    return p.select(
+        "question_id",
+        "stem",
+        rebuilt.alias("rebuilt"),
+        "prefix",
+        N.document_key(prefix, F.col("doc_type")).alias("document"),
+        N.crop_key(prefix, F.col("number")).alias("crop"),
+        N.structured_crop_key(prefix, F.concat("number", F.lit("(a)")), place).alias("structured_crop"),
+        N.mark_scheme_crop_key(prefix, F.concat("number", F.lit("(a)(iii)")), place).alias("scheme_crop"),
+    )
 
 
 @query("""WITH found AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages),
 links AS (SELECT page_id, unnest(range(len(h)))::INT AS place, unnest(h) AS href FROM found)
 SELECT page_id, place, href, file FROM (SELECT *, row_number() OVER (PARTITION BY page_id, file ORDER BY place) AS n FROM (SELECT *, regexp_extract(href, '([^/]*)$', 1) AS file FROM links)) WHERE n = 1""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return links_of(table(spark, d, "pages")).select("page_id", "place", "href", "file")
+    return N.page_links(table(spark, d, "pages")).select("page_id", "place", "href", "file")
 
 
 @query()
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Checksums of the table's files, held against an earlier manifest in which one differs."""
-    now = manifest(spark, f"{d}/documents.parquet")
-    before = now.withColumn("checksum", F.lit("0" * 64))
-    return changed_documents(before, now)
+    """Checksums of two tables' files, held against an earlier manifest: the same, replaced, new and gone."""
+    now = manifest(spark, f"{d}/documents.parquet").unionByName(manifest(spark, f"{d}/labels.parquet")).unionByName(manifest(spark, f"{d}/benchmark.parquet"))
+    old = F.when(F.col("file").startswith("documents"), F.lit("0" * 64)).otherwise(F.col("checksum"))
+    before = now.where(~F.col("file").startswith("labels")).withColumn("checksum", old)
+    gone = before.where(F.col("file").startswith("documents")).withColumn("file", F.concat(F.lit("earlier-"), "file"))
+    return changed_documents(before.unionByName(gone), now)
 
 
 @query()
@@ -79,10 +98,10 @@ def triage_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, source, length(text) < 40 AS sparse, left(text, 30) AS stem, (SELECT string_agg(code, ',' ORDER BY code) FROM topics WHERE n_objectives > 0) AS closed_list
+SELECT doc_id, source, length(text) < 40 AS sparse, text AS stem, (SELECT string_agg(code, ',' ORDER BY code) FROM topics WHERE n_objectives > 0) AS closed_list
 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def tag_worksheet(spark: SparkSession, d: str) -> DataFrame:
-    """Untagged documents with the closed list of topics, which is a handful of codes."""
+    """Untagged documents with their whole text and the closed list of topics, which is one row of a handful of codes."""
     listed = topics(spark, d).where("n_objectives > 0").agg(joined(["code"], F.col("code"), ",").alias("closed_list"))
     rows = docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left_anti")
-    return rows.select("doc_id", "source", (F.length("text") < 40).alias("sparse"), F.substring("text", 1, 30).alias("stem")).withColumn("one", F.lit(1)).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one").drop("one")
+    return rows.select("doc_id", "source", (F.length("text") < 40).alias("sparse"), F.col("text").alias("stem"), listed.scalar().alias("closed_list"))

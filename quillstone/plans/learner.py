@@ -58,7 +58,7 @@ def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
     every = topics(spark, d).where("n_objectives > 0").agg(F.count(F.lit(1)).alias("all_topics"))
     share = F.sum("correct") / F.sum("attempted")
     rows = stats.groupBy("user_id").agg(F.sum("attempted").alias("attempted"), F.round(share, 4).alias("accuracy"), F.count(F.lit(1)).alias("covered"), F.min("accuracy").alias("worst"), L.tone(share).alias("tone"))
-    return rows.withColumn("one", F.lit(1)).join(F.broadcast(every.withColumn("one", F.lit(1))), "one").drop("one")  # one row
+    return rows.withColumn("all_topics", every.scalar())
 
 
 @query("WITH " + CURRENT + "SELECT user_id, topic_id, attempted, accuracy, rank FROM weak")
@@ -120,7 +120,13 @@ def quota_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("asked"), F.count_if("admitted").alias("used"), F.count_if(~F.col("admitted")).alias("refused"))
 
 
-@query()
+@query("""
+WITH RECURSIVE requests AS (
+  SELECT user_id, created_at::DATE AS day, seq, 1 + question_id % 3 AS amount, row_number() OVER (PARTITION BY user_id, created_at::DATE ORDER BY seq) AS n FROM attempts),
+scan AS (
+  SELECT user_id, day, seq, amount, n, amount <= 5 AS admitted, CASE WHEN amount <= 5 THEN amount ELSE 0 END AS used FROM requests WHERE n = 1
+  UNION ALL SELECT r.user_id, r.day, r.seq, r.amount, r.n, s.used + r.amount <= 5, s.used + CASE WHEN s.used + r.amount <= 5 THEN r.amount ELSE 0 END FROM scan s JOIN requests r ON r.user_id = s.user_id AND r.day = s.day AND r.n = s.n + 1)
+SELECT user_id, day, seq, amount, admitted, used FROM scan""")
 def quota_ledger_mixed(spark: SparkSession, d: str) -> DataFrame:
     requests = attempts(spark, d).select("user_id", F.to_date("created_at").alias("day"), "seq", (1 + F.col("question_id") % 3).alias("amount"))
     return L.quota_ledger_mixed(requests, 5)
@@ -164,7 +170,12 @@ def owner_rows(spark: SparkSession, d: str) -> DataFrame:
     return attempts(spark, d).where("user_id = 8").select("seq", "question_id", "is_correct")
 
 
-@query()
+@query("""
+WITH RECURSIVE items AS (SELECT doc_id, line_no AS place, (10 + length(line) // 4)::INT AS height FROM spans),
+bins AS (
+  SELECT doc_id, place, height, 0 AS bin, height AS total FROM items WHERE place = 0
+  UNION ALL SELECT i.doc_id, i.place, i.height, CASE WHEN b.total + i.height > 900 THEN b.bin + 1 ELSE b.bin END, CASE WHEN b.total + i.height > 900 THEN i.height ELSE b.total + i.height END FROM bins b JOIN items i ON i.doc_id = b.doc_id AND i.place = b.place + 1)
+SELECT doc_id, place, height, bin FROM bins""")
 def pack_batches(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.plans.roles import spans
 

@@ -15,19 +15,19 @@ def _old(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     status = F.element_at(F.array(*map(F.lit, ("approved", "rejected", "needs_review", "extracted"))), (k % 4).cast("int") + 1)
     flags = F.when(k % 5 == 0, F.array(F.lit("unmatched_mark_scheme"))).when(k % 5 == 1, F.array(F.lit("low_confidence"), F.lit("unmatched_mark_scheme"))).otherwise(F.array().cast("array<string>"))
-    return docs(spark, d).where("doc_id % 3 <> 0").select(k.alias("key"), F.substring("text", 1, 12).alias("text"), F.when(k % 2 == 0, F.col("source")).alias("scheme"), status.alias("status"), flags.alias("flags"))
+    return docs(spark, d).where("doc_id % 3 <> 0").select(k.alias("key"), F.col("text"), F.when(k % 2 == 0, F.col("source")).alias("scheme"), status.alias("status"), flags.alias("flags"))
 
 
 def _new(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     flags = F.when(k % 4 == 0, F.array(F.lit("unmatched_mark_scheme"))).when(k % 7 == 0, F.array(F.lit("sparse"))).otherwise(F.array().cast("array<string>"))
-    return docs(spark, d).where("doc_id % 2 = 0").select(k.alias("key"), F.concat(F.lit("*"), F.substring("text", 1, 12)).alias("text"), F.when(k % 10 == 0, F.lit("new")).alias("scheme"), F.lit(None).cast("string").alias("status"), flags.alias("flags"))
+    return docs(spark, d).where("doc_id % 2 = 0").select(k.alias("key"), F.concat(F.lit("*"), "text").alias("text"), F.when(k % 10 == 0, F.lit("new")).alias("scheme"), F.lit(None).cast("string").alias("status"), flags.alias("flags"))
 
 
 SNAPSHOTS = """
-old AS (SELECT doc_id AS key, left(text, 12) AS text, CASE WHEN doc_id % 2 = 0 THEN source END AS scheme, ['approved', 'rejected', 'needs_review', 'extracted'][doc_id % 4 + 1] AS status,
+old AS (SELECT doc_id AS key, text, CASE WHEN doc_id % 2 = 0 THEN source END AS scheme, ['approved', 'rejected', 'needs_review', 'extracted'][doc_id % 4 + 1] AS status,
   CASE doc_id % 5 WHEN 0 THEN ['unmatched_mark_scheme'] WHEN 1 THEN ['low_confidence', 'unmatched_mark_scheme'] ELSE [] END AS flags FROM documents WHERE doc_id % 3 <> 0),
-new AS (SELECT doc_id AS key, '*' || left(text, 12) AS text, CASE WHEN doc_id % 10 = 0 THEN 'new' END AS scheme,
+new AS (SELECT doc_id AS key, '*' || text AS text, CASE WHEN doc_id % 10 = 0 THEN 'new' END AS scheme,
   CASE WHEN doc_id % 4 = 0 THEN ['unmatched_mark_scheme'] WHEN doc_id % 7 = 0 THEN ['sparse'] ELSE [] END AS flags FROM documents WHERE doc_id % 2 = 0)"""
 
 
@@ -76,7 +76,7 @@ def promote_current(spark: SparkSession, d: str) -> DataFrame:
     """One version of each subject is current: the named one, here the latest; all others are demoted."""
     n = table(spark, d, "nation")
     named = n.groupBy("n_regionkey").agg(F.max("n_nationkey").alias("m"))
-    return n.join(F.broadcast(named), "n_regionkey").select(F.col("n_nationkey").alias("version"), F.col("n_regionkey").alias("subject"), (F.col("n_nationkey") == F.col("m")).alias("is_current"))
+    return n.join(named, "n_regionkey").select(F.col("n_nationkey").alias("version"), F.col("n_regionkey").alias("subject"), (F.col("n_nationkey") == F.col("m")).alias("is_current"))
 
 
 @query("""

@@ -12,21 +12,22 @@ from quillstone.plans.roles import lines, spans
 
 
 @query("""
-WITH marks AS (SELECT * FROM spans WHERE line_no % 5 = 0), bottoms AS (SELECT doc_id, page, max(y1) AS bottom FROM spans WHERE trim(line) <> '' GROUP BY doc_id, page)
-SELECT doc_id, page, line_no, y0, greatest(y0, coalesce(lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, line_no) - 4, bottom, y1)) AS y1 FROM marks LEFT JOIN bottoms USING (doc_id, page)""")
+WITH marks AS (SELECT doc_id, page, line_no, y0, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, line_no) AS next FROM spans WHERE line_no % 5 = 0),
+inks AS (SELECT s.doc_id, s.page, max(s.y1) AS ink FROM spans s JOIN marks m ON m.doc_id = s.doc_id AND m.page = s.page AND m.next IS NULL AND s.y0 > m.y0 WHERE trim(s.line) <> '' AND s.y0 <= 780 GROUP BY s.doc_id, s.page)
+SELECT doc_id, page, line_no, y0, greatest(y0 + 1.0, CASE WHEN next IS NOT NULL THEN next - 8.0 ELSE coalesce(ink + 8.0, 780.0) END)::DOUBLE AS y1 FROM marks LEFT JOIN inks USING (doc_id, page)""")
 def segment_regions(spark: SparkSession, d: str) -> DataFrame:
     all_spans = spans(spark, d)
     return O.segment_regions(all_spans.where("line_no % 5 = 0"), all_spans)
 
 
 @query("""
-WITH marked AS (SELECT doc_id, line_no, line, CASE WHEN line_no % 10 = 0 THEN 1 WHEN line_no % 5 = 0 THEN 2 END AS level, CASE WHEN line_no % 5 = 0 THEN left(line, 1) END AS code FROM lines),
+WITH marked AS (SELECT doc_id, line_no, line, CASE WHEN line_no % 10 = 0 THEN 1 WHEN line_no % 5 = 0 THEN 2 END AS level, CASE WHEN line_no % 5 = 0 THEN split_part(line, ' ', 1) END AS code FROM lines),
 rooted AS (SELECT *, last_value(CASE WHEN level = 1 THEN code END IGNORE NULLS) OVER w AS root, count(CASE WHEN level = 1 THEN 1 END) OVER w AS run FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 path AS (SELECT *, last_value(CASE WHEN level = 2 THEN code END IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM rooted)
 SELECT doc_id, root, section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, min(line_no) AS first_line FROM path WHERE level IS NULL AND root IS NOT NULL GROUP BY doc_id, root, section""")
 def outline_sections(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("line_no")
-    marked = lines(spark, d).select("doc_id", "line_no", "line", F.when(n % 10 == 0, 1).when(n % 5 == 0, 2).alias("level"), F.when(n % 5 == 0, F.substring("line", 1, 1)).alias("code"))
+    marked = lines(spark, d).select("doc_id", "line_no", "line", F.when(n % 10 == 0, 1).when(n % 5 == 0, 2).alias("level"), F.when(n % 5 == 0, F.split_part("line", F.lit(" "), F.lit(1))).alias("code"))
     return O.outline(marked)
 
 
@@ -60,13 +61,13 @@ def range_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT doc_id, page, left(line, 1) AS label, y0, y1 FROM spans WHERE line_no % 4 <> 1),
+WITH f AS (SELECT doc_id, page, line_no % 3 AS label, y0, y1 FROM spans WHERE line_no % 4 <> 1),
 o AS (SELECT *, coalesce((y0 - max(y1) OVER (PARTITION BY doc_id, page, label ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 3)::INT, 0) AS fresh FROM f),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page, label ORDER BY y0, y1) AS island FROM o)
 SELECT doc_id, page, label, min(y0) AS y0, max(y1) AS y1, count(*) AS n FROM i GROUP BY doc_id, page, label, island""")
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of one label on a page, merged where at most 3 apart."""
-    boxes = spans(spark, d).where("line_no % 4 <> 1").withColumn("label", F.substring("line", 1, 1))
+    boxes = spans(spark, d).where("line_no % 4 <> 1").withColumn("label", F.col("line_no") % 3)
     return islands(boxes, ["doc_id", "page", "label"], "y0", "y1", 3)
 
 

@@ -21,7 +21,12 @@ def query(sql: str | None = None, roles: bool = True) -> Callable[[Query], Query
         QUERIES[f.__name__] = f
         if sql is not None:
             body = sql.strip()
-            ORACLES[f.__name__] = f"WITH {ROLES_SQL}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}" if roles else body
+            head, own = "WITH", body
+            for start in ("WITH RECURSIVE ", "WITH "):
+                if body.upper().startswith(start):
+                    head, own = start.strip(), ", " + body[len(start) :]
+                    break
+            ORACLES[f.__name__] = f"{head} {ROLES_SQL} {own}" if roles else body
         return f
 
     return register

@@ -27,14 +27,15 @@ def match_question(spark: SparkSession, d: str) -> DataFrame:
     return R.match_vector(_vectors(spark, d), _query(spark, d), threshold=0.2).select("vec_id", "subject", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT * FROM (SELECT e.vec_id, round({SIM}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 0 AND e.vec_id % 2 = 0) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 5")
+@query(f"SELECT * FROM (SELECT e.vec_id, round({SIM}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 0) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 5")
 def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Grounding chunks by source and subject (here, even ids of subject 0)."""
-    chunks = _vectors(spark, d).where("vec_id % 2 = 0")
-    return R.match_vector(chunks, _query(spark, d), threshold=0.1, subject=0).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    """Grounding chunks of one subject, nearest first."""
+    return R.match_vector(_vectors(spark, d), _query(spark, d), threshold=0.1, subject=0).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""
+SELECT query_id, vec_id, round(s, 4) AS similarity, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, e.vec_id) AS rank
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings e WHERE e.vec_id <> q.vec_id AND {SIM} >= 0.2) WHERE rank <= 5""")
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every twentieth vector against all: the five nearest with a similarity of 0.2 or more."""
     v = _vectors(spark, d)
@@ -73,7 +74,9 @@ def embed_plan(spark: SparkSession, d: str) -> DataFrame:
     return R.embedding_plan(mcq, stored)
 
 
-@query()
+@query("""
+SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, CASE WHEN n.vec_id IS NOT NULL THEN len(n.embedding) ELSE len(o.embedding) END AS dim, sha256(coalesce(n.vec_id, o.vec_id)::VARCHAR) AS hash, CASE WHEN n.vec_id IS NOT NULL THEN 'm2' ELSE 'm1' END AS model
+FROM (SELECT * FROM embeddings WHERE vec_id % 3 <> 0) o FULL JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) n ON o.vec_id = n.vec_id""")
 def embed_merge(spark: SparkSession, d: str) -> DataFrame:
     """New vectors written over stored ones by question, with their hash and model."""
     v = _vectors(spark, d).select("vec_id", "embedding", F.sha2(F.col("vec_id").cast("string"), 256).alias("hash"))

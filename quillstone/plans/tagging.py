@@ -35,7 +35,7 @@ FROM first_pass""")
 def apply_tags(spark: SparkSession, d: str) -> DataFrame:
     """First-pass decisions: a code outside the closed list is dropped and reported, a low confidence goes to review."""
     closed = spark.range(2).select(F.col("id").cast("int").alias("topic"), F.lit(True).alias("known"))
-    rows = _first(spark, d).join(F.broadcast(closed), "topic", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = _first(spark, d).join(closed, "topic", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     low = F.col("known") & (F.col("confidence") < G.FLOOR)
     return rows.select("doc_id", "topic", F.when(F.col("known"), "applied").otherwise("unknown_code").alias("outcome"), F.when(low & (F.col("status") != "approved"), "needs_review").otherwise(F.col("status")).alias("new_status"), low.alias("flagged"))
 

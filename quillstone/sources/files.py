@@ -45,9 +45,19 @@ def replayed(spark: SparkSession, answers: DataFrame, tags: DataFrame) -> DataFr
     return both.select("question_id", "topic_id", "current", outcome.alias("outcome"))
 
 
+#: In which order a reader gets each view's rows.
+VIEW_ORDERS = {"v_subjects": ("level", "subject"), "v_topics": ("topic_id", "code"), "v_papers": ("-year", "paper"), "v_mcq": ("paper", "ordinal", "question_id")}
+
+
 def write_report(rows: DataFrame, path: str, *order: str) -> None:
-    """A report as CSV files with a header, sorted over all of them by the named columns."""
-    rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    """A report as CSV files with a header, sorted over all of them by the named columns; ``-`` before a name turns it."""
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    rows.orderBy(*by).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_view(rows: DataFrame, path: str, view: str) -> None:
+    """A view's rows in its reader's order."""
+    write_report(rows, path, *VIEW_ORDERS[view])
 
 
 def swap_snapshot(rows: DataFrame, path: str) -> DataFrame:

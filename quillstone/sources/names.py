@@ -5,28 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import stripped
+
+# The grammar of document names, and what its letters stand for.
 #: ``<syllabus>_<season><yy>_<type>[_<component>[<variant>]]``
-NAME = r"^(\d{4})_([msw])(\d{2})_([a-z]{2})(?:_(\d)(\d)?)?$"
+NAME = r"(?i)^(\d{4})_([msw])(\d{2})_(qp|ms|er|gt|in|ci)(?:_(\d)(\d)?)?$"
+SEASONS = {"m": "feb_march", "s": "may_june", "w": "oct_nov"}
+SHORT_SEASONS = {"feb_march": "fm", "may_june": "mj", "oct_nov": "on"}
 #: Two-digit years from here on are of the last century.
 PIVOT = 90
 
 
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
 def parsed_name(stem: Column) -> Column:
     """A document name's dimensions as a struct; all null for a name that is not of the grammar."""
-    part = lambda i: F.nullif(F.regexp_extract(stem, NAME, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(stripped(stem), NAME, i), F.lit(""))
     year = part(3).cast("int")
     return F.struct(
-        part(1).alias("syllabus"), part(2).alias("season"), F.when(year >= PIVOT, year + 1900).otherwise(year + 2000).alias("year"), part(4).alias("doc_type"), part(5).cast("int").alias("component"), part(6).cast("int").alias("variant")
+        part(1).alias("syllabus"),
+        _looked_up(SEASONS, F.lower(part(2))).alias("season"),
+        F.when(year >= PIVOT, year + 1900).otherwise(year + 2000).alias("year"),
+        F.lower(part(4)).alias("doc_type"),
+        part(5).cast("int").alias("component"),
+        part(6).cast("int").alias("variant"),
     )
 
 
 def built_name(syllabus: Column, season: Column, year: Column, doc_type: Column, component: Column, variant: Column) -> Column:
+    """The file name that dimensions came from."""
     tail = F.when(component.isNotNull(), F.concat(F.lit("_"), component, F.coalesce(variant.cast("string"), F.lit(""))))
-    return F.concat(syllabus, F.lit("_"), season, F.format_string("%02d", year % 100), F.lit("_"), doc_type, F.coalesce(tail, F.lit("")))
+    letter = _looked_up({name: letter for letter, name in SEASONS.items()}, season)
+    return F.concat(syllabus, F.lit("_"), letter, F.format_string("%02d", year % 100), F.lit("_"), doc_type, F.coalesce(tail, F.lit("")), F.lit(".pdf"))
+
+
+def storage_prefix(syllabus: Column, year: Column, season: Column, component: Column, variant: Column) -> Column:
+    """Where a paper's files lie: ``papers/<syllabus>/<year>-<season>/p<component><variant>``; null without a component."""
+    sitting = F.concat_ws("-", year.cast("string"), _looked_up(SHORT_SEASONS, season))
+    return F.concat(F.lit("papers/"), syllabus, F.lit("/"), sitting, F.lit("/p"), component.cast("string"), F.coalesce(variant.cast("string"), F.lit("")))
+
+
+def document_key(prefix: Column, doc_type: Column) -> Column:
+    return F.concat(prefix, F.lit("/"), doc_type, F.lit(".pdf"))
+
+
+def crop_key(prefix: Column, number: Column) -> Column:
+    return F.concat(prefix, F.lit("/crops/"), number.cast("string"), F.lit(".png"))
+
+
+def _page_suffix(sort_order: Column) -> Column:
+    return F.when(sort_order == 0, "").otherwise(F.concat(F.lit("."), sort_order.cast("string")))
+
+
+def structured_crop_key(prefix: Column, label: Column, sort_order: Column) -> Column:
+    """A structured question's crop; pages after its first have a number of their own."""
+    return F.concat(prefix, F.lit("/crops/"), label, _page_suffix(sort_order), F.lit(".png"))
 
 
-def storage_prefix(syllabus: Column, year: Column, season: Column) -> Column:
-    return F.concat_ws("/", syllabus, year.cast("string"), season)
+def mark_scheme_crop_key(prefix: Column, label: Column, sort_order: Column) -> Column:
+    """A mark-scheme row's picture beside the questions' crops: ``8(a)(iii)`` as ``ms-8-a-iii``."""
+    safe = F.array_join(F.filter(F.split(label, r"[()]+"), lambda part: part != ""), "-")
+    return F.concat(prefix, F.lit("/crops/ms-"), safe, _page_suffix(sort_order), F.lit(".png"))
 
 
 def page_links(pages: DataFrame, pattern: str = r'href="([^"]*)"') -> DataFrame:

@@ -15,11 +15,21 @@ def rows(df):
 
 def test_duplicates_need_the_same_text_and_answer(spark):
     text = "A long enough question about the refraction of light in a block of glass, with numbers 12"
-    df = spark.createDataFrame([(2019, "7 " + text, "A"), (2024, text.upper(), "A"), (2020, text, "D"), (1, "short", "A"), (2, "short", "A"), (3, None, "A"), (4, text, None), (5, text, None)], "id bigint, text string, answer string")
-    got = curation.duplicates(df, id_col="id", text_col="text", answer_col="answer")
-    assert rows(got) == rows(spark.createDataFrame([(2024, [2019, 2024]), (2020, [2020]), (1, [1]), (2, [2]), (3, [3]), (5, [4, 5])], "c bigint, m array<bigint>"))
-    assert rows(curation.pointers(df, got, "id").where("canonical_id IS NOT NULL")) == [(2019, 2024), (4, 5)]
-    assert curation.duplicates(df.limit(0), id_col="id", text_col="text", answer_col="answer").count() == 0
+    columns = "id bigint, text string, answer string, year int, ordinal int"
+    df = spark.createDataFrame([(20, "7 " + text, "A", 2019, 1), (11, text.upper(), "A", 2024, 1), (12, text, "D", 2020, 1), (1, "short", "A", 1, 1), (2, "short", "A", 1, 1), (3, None, "A", 1, 1), (4, text, None, 1, 9), (5, text, None, 1, 2), (6, text, None, None, None)], columns)
+    names = {"id_col": "id", "text_col": "text", "answer_col": "answer", "newest": ["year", "ordinal"]}
+    got = curation.duplicates(df, **names)
+    assert rows(got) == [(1, 1), (11, 11), (12, 12), (2, 2), (20, 11), (3, 3), (4, 4), (5, 4), (6, 4)]
+    assert rows(curation.pointers(df, got, "id").where("canonical_id IS NOT NULL")) == [(20, 11), (5, 4), (6, 4)]
+    assert curation.duplicates(df.limit(0), **names).count() == 0
+
+
+def test_canonical_ids_tell_null_from_empty(spark):
+    df = spark.createDataFrame([(1, "a", "k", None), (2, "a", "k", None), (3, "a", "k", 1), (4, None, "k", 1), (5, "", "k", 1), (6, None, "k", 1)], "question_id bigint, body string, kind string, answer int")
+    groups = catalogue.canonical_ids(df)
+    assert rows(groups) == [(1, 2), (2, 2), (3, 3), (4, 6), (5, 5), (6, 6)]
+    shown = catalogue.also_in(groups, df.withColumn("year", F.lit(2000)).withColumn("paper", F.lit("p")))
+    assert rows(shown.select("canonical_id", "question_id", "others")) == [(2, 1, 1), (2, 2, 1), (6, 4, 1), (6, 6, 1)]
 
 
 def test_two_claimants_of_a_label_both_go(spark):
@@ -59,6 +69,24 @@ def test_the_latest_answer_counts(spark):
     assert [(r["attempted"], r["correct"], r["accuracy"], r["median_ms"]) for r in got] == [(2, 1, 0.5, 10)]
 
 
+def test_a_revision_queue_is_that_of_brute_force(spark):
+    """One topic has nearly all questions, and one user has tried most of them."""
+    rng = random.Random(4)
+    questions = [(q, rng.choice(["approved", "approved", "extracted"])) for q in range(300)]
+    edges = [(q, 0) for q in range(300)] + [(q, 1 + q % 3) for q in range(0, 300, 5)]
+    answers = [(1, q, rng.choice([True, False, None])) for q in range(0, 280)] + [(2, q, False) for q in range(0, 300, 40)] + [(3, 7, True)]
+    weak = [(1, 0), (1, 2), (2, 0), (2, 1), (3, 3)]
+    of = lambda data, schema: spark.createDataFrame(data, schema)
+    got = learner.revision_queue(of(weak, "user_id bigint, topic_id bigint"), of(answers, "user_id bigint, question_id bigint, is_correct boolean"), of(edges, "question_id bigint, topic_id bigint"), of(questions, "question_id bigint, status string"))
+    known, right = dict(questions), {(u, q): c for u, q, c in answers}
+    want = []
+    for user in (1, 2, 3):
+        pool = {q for q, t in edges if (user, t) in weak and known[q] == "approved"}
+        ranked = sorted((1 if (user, q) not in right else 0, q) for q in pool if (user, q) not in right or right[user, q] is False)
+        want += [(user, q, rank, i + 1) for i, (rank, q) in enumerate(ranked[:20])]
+    assert rows(got) == sorted(want, key=str)
+
+
 def test_quota_stops_at_the_limit(spark):
     a = spark.createDataFrame([(s, 1) for s in range(1, 6)], "seq bigint, user_id bigint").withColumn("day", F.lit("2024-01-01").cast("date"))
     assert [r["admitted"] for r in learner.quota_ledger(a, 3).orderBy("seq").collect()] == [True, True, True, False, False]
@@ -142,8 +170,18 @@ def test_an_outline_resets_its_sections(spark):
 
 
 def test_rows_of_overlapping_lines(spark):
-    df = spark.createDataFrame([(1, 0, 0, "b", 0, 10, 50), (1, 0, 1, "a", 2, 12, 10), (1, 0, 2, "c", 20, 30, 0)], "doc_id bigint, page int, line_no int, line string, y0 int, y1 int, x0 int")
-    assert rows(outline.visual_rows(df).select("row", "text")) == [(0, "a b"), (1, "c")]
+    """A tall line joins a short one by the short one's height; only the row before is looked at; blank lines are none."""
+    lines = [(1, 0, 0, "b", 0, 10, 50), (1, 0, 1, "a", 2, 12, 10), (1, 0, 2, "c", 20, 30, 0), (1, 0, 3, " ", 20, 30, 0), (1, 0, 4, "tall", 29, 89, 9), (1, 0, 5, "low", 27, 31, 0), (1, 0, 6, "d", 0, 10, 0), (1, 1, 0, "x\t\x07y", 0, 0, 0), (1, 1, 1, "z", 0, 0, 0)]
+    df = spark.createDataFrame(lines, "doc_id bigint, page int, line_no int, line string, y0 int, y1 int, x0 int")
+    assert rows(outline.visual_rows(df).select("page", "row", "text")) == [(0, 0, "a b"), (0, 1, "c"), (0, 2, "low tall"), (0, 3, "d"), (1, 0, "x y"), (1, 1, "z")]
+
+
+def test_regions_end_above_the_next_mark_or_below_the_ink(spark):
+    columns = "doc_id bigint, page int, line_no int, line string, y0 double, y1 double"
+    spans = [(1, 0, 0, "1", 50.0, 60.0), (1, 0, 1, "text", 65.0, 75.0), (1, 0, 2, "2", 100.0, 110.0), (1, 0, 3, "more", 112.0, 190.0), (1, 0, 4, " ", 300.0, 310.0), (1, 0, 5, "footer", 790.0, 800.0), (1, 1, 0, "3", 50.0, 60.0), (1, 1, 1, "4", 55.0, 65.0)]
+    df = spark.createDataFrame(spans, columns)
+    got = outline.segment_regions(df.where("line IN ('1', '2', '3', '4')"), df)
+    assert rows(got.select("page", "line_no", "y1")) == [(0, 0, 92.0), (0, 2, 198.0), (1, 0, 51.0), (1, 1, 780.0)]
 
 
 # --- catalogue and retrieval
@@ -170,6 +208,28 @@ def test_search_is_exact(spark, monkeypatch, block):
     assert {(r["query_id"], r["vec_id"]) for r in retrieval.search(df, df.where("vec_id % 20 = 0"), threshold=0.5).collect()} == want
 
 
+def test_search_passes_over_null_and_ragged_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [1.0]), (5, []), (6, [0.0, 0.0]), (7, [2.0])], "vec_id bigint, embedding array<float>")
+    assert {(r["query_id"], r["vec_id"]) for r in retrieval.search(df, df, threshold=0.5).collect()} == {(1, 2), (2, 1), (4, 7), (7, 4)}
+    assert retrieval.search(df, df.limit(0), threshold=0.5).count() == retrieval.search(df.limit(0), df, threshold=0.5).count() == 0
+
+
+def test_fuzzy_search_is_that_of_brute_force(spark):
+    """Half of all texts share a long beginning."""
+    rng = random.Random(3)
+    texts = [("the common beginning of " if i % 2 else "") + "".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 25))) for i in range(120)] + ["", None, "a", "A"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def grams(t):
+        p = "  " + t.lower() + " "
+        return {p[i : i + 3] for i in range(len(p) - 2)}
+
+    asked = [t for t in texts[::7] if t is not None]
+    want = {(q, t): round(len(grams(q) & grams(t)) / len(grams(q) | grams(t)), 4) for q in asked for t in texts if t is not None}
+    got = {(r["query"], r["text"]): r["similarity"] for r in retrieval.fuzzy_search(df, spark.createDataFrame([(t,) for t in asked], "query string")).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.3}
+
+
 def test_a_plan_embeds_only_what_changed(spark):
     c = spark.createDataFrame([(1, "a"), (2, "b"), (3, " "), (4, "d")], "group_id bigint, text string")
     import hashlib
@@ -195,3 +255,6 @@ def test_reports_snapshots_and_replays(spark, tmp_path):
     assert rows(files.replayed(spark, answers, tags).select("question_id", "outcome")) == [(1, "agreed"), (2, "disagreed"), (3, "unknown")]
     now = files.manifest(spark, f"{tmp_path}/report")
     assert {r["state"] for r in files.changed_documents(now, now).collect()} == {"same"}
+    files.write_view(spark.createDataFrame([(2001, "b"), (2003, "a"), (2003, "A")], "year int, paper string"), f"{tmp_path}/view", "v_papers")
+    shown = [line for p in sorted((tmp_path / "view").glob("part-*.csv")) for line in p.read_text().splitlines()[1:]]
+    assert shown == ["2003,A", "2003,a", "2001,b"]
