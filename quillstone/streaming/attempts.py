@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +14,8 @@ from quillstone.operators.common import latest_by
 from quillstone.operators.learner import topic_mastery
 from quillstone.sources.files import work_folder
 
+#: Parts of a snapshot, of which a batch rewrites those of its users; a number above all batches'.
+PARTS, ALL = 32, 1 << 62
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -28,53 +32,90 @@ def run_to_end(writer, folder: str) -> StreamingQuery:
     return q
 
 
-def _versions(folder: str) -> tuple[Callable[[SparkSession], DataFrame | None], Callable[[DataFrame, int], None]]:
-    """Snapshots by batch: a repeated batch overwrites its own snapshot and reads the one before it."""
+class Snapshot:
+    """A keyed snapshot in parts by a hash of the user; a batch rewrites the parts of its own users and no others.
 
-    def read(spark: SparkSession, before: int) -> DataFrame | None:
-        return spark.read.parquet(f"{folder}/state/v{before}") if before >= 0 else None
+    Each part is written under the number of the batch, so a repeated batch overwrites what it wrote, and reads what was
+    there before it. Versions that no repeated batch can ask for are deleted.
+    """
 
-    def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/state/v{batch}")
+    def __init__(self, folder: str):
+        self.folder = folder
 
-    return read, write
+    @staticmethod
+    def part(user: str = "user_id") -> Column:
+        return F.pmod(F.xxhash64(user), F.lit(PARTS)).cast("int")
+
+    def _newest(self, spark: SparkSession, before: int) -> dict[int, int]:
+        """The number of the newest version of each part that is older than ``before``."""
+        found: dict[int, int] = {}
+        for part, version in self._written():
+            if version < before:
+                found[part] = max(version, found.get(part, -1))
+        return found
+
+    def _written(self) -> list[tuple[int, int]]:
+        files, at = pyarrow.fs.FileSystem.from_uri(self.folder)
+        infos = files.get_file_info(pyarrow.fs.FileSelector(at, recursive=True, allow_not_found=True))
+        found = (re.fullmatch(r"/part=(\d+)/v=(\d+)", f.path.removeprefix(at.rstrip("/"))) for f in infos if f.type == pyarrow.fs.FileType.Directory)
+        return [(int(m[1]), int(m[2])) for m in found if m]
+
+    def read(self, spark: SparkSession, before: int, parts: Iterable[int] | None = None) -> DataFrame | None:
+        """The rows before a batch, of some parts or of all; None if there are none yet."""
+        newest = {p: v for p, v in self._newest(spark, before).items() if parts is None or p in parts}
+        if not newest:
+            return None
+        paths = [f"{self.folder}/part={p}/v={v}" for p, v in sorted(newest.items())]
+        return spark.read.parquet(*paths)
+
+    def write(self, rows: DataFrame, number: int, user: str = "user_id") -> None:
+        laid = rows.withColumn("part", self.part(user)).withColumn("v", F.lit(number)).repartition("part")
+        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(self.folder)
+        files, at = pyarrow.fs.FileSystem.from_uri(self.folder)
+        newest = self._newest(rows.sparkSession, number)
+        for p, v in self._written():
+            if v < newest.get(p, -1):
+                files.delete_dir(f"{at}/part={p}/v={v}")
+
+
+def _touched(batch: DataFrame) -> list[int]:
+    """The parts of a batch's users, at most PARTS."""
+    return [r[0] for r in batch.select(Snapshot.part()).distinct().collect()]
+
+
+def _merge_answers(state: Snapshot, batch: DataFrame, number: int) -> list[int]:
+    parts = _touched(batch)
+    held, rows = state.read(batch.sparkSession, number, parts), latest_by(batch, ["user_id", "question_id"], F.desc("seq"))
+    state.write(latest_by(held.unionByName(rows), ["user_id", "question_id"], F.desc("seq")) if held is not None else rows, number)
+    return parts
 
 
 def stream_current_answers(attempts: DataFrame) -> DataFrame:
     """Latest answers by ``seq``: each batch is merged into the last snapshot, so a late smaller ``seq`` never wins."""
     spark, folder = attempts.sparkSession, work_folder(attempts.sparkSession)
-    read, write = _versions(folder)
-    last = [-1]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        held = read(batch.sparkSession, number - 1)
-        rows = latest_by(batch, ["user_id", "question_id"], F.desc("seq"))
-        write(latest_by(held.unionByName(rows), ["user_id", "question_id"], F.desc("seq")) if held is not None else rows, number)
-        last[0] = number
-
-    run_to_end(attempts.writeStream.foreachBatch(merge), folder)
-    found = read(spark, last[0])
+    state = Snapshot(f"{folder}/answers")
+    run_to_end(attempts.writeStream.foreachBatch(lambda batch, number: _merge_answers(state, batch, number) and None), folder)
+    found = state.read(spark, ALL)
     return found if found is not None else spark.createDataFrame([], attempts.schema)
 
 
 def stream_topic_mastery(attempts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Mastery on submit: only users of the batch are worked out anew (a median cannot be merged), the rest are kept."""
+    """Mastery on submit: worked out anew from the current answers of the parts that a batch touches, kept in the others.
+
+    A median cannot be merged, but it needs only the latest answers, not the log.
+    """
     spark, folder = attempts.sparkSession, work_folder(attempts.sparkSession)
-    last = [-1]
+    answers, mastery = Snapshot(f"{folder}/answers"), Snapshot(f"{folder}/mastery")
 
     def merge(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
-        users = batch.select("user_id").distinct()
-        log = s.read.parquet(f"{folder}/log").where(F.col("batch") <= number).drop("batch")
-        fresh = topic_mastery(log.join(users, "user_id", "left_semi"), edges)
-        if number:
-            fresh = s.read.parquet(f"{folder}/mastery/v{number - 1}").join(users, "user_id", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{folder}/mastery/v{number}")
-        last[0] = number
+        parts = _merge_answers(answers, batch, number)
+        current = answers.read(batch.sparkSession, number + 1, parts)
+        if current is not None:
+            mastery.write(topic_mastery(current, edges), number)
 
     run_to_end(attempts.writeStream.foreachBatch(merge), folder)
-    return spark.read.parquet(f"{folder}/mastery/v{last[0]}")
+    found = mastery.read(spark, ALL)
+    return found if found is not None else topic_mastery(spark.createDataFrame([], attempts.schema), edges)
 
 
 def _appended(rows: DataFrame, mode: str = "append") -> DataFrame:

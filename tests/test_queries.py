@@ -75,6 +75,24 @@ def test_streams_end_where_their_batch_twins_do(spark):
     assert len(want) > 100 and sorted(got) == sorted(want)
 
 
+def test_a_snapshot_rewrites_what_a_batch_touches(spark, tmp_path):
+    from quillstone.streaming.attempts import ALL, Snapshot, _merge_answers
+
+    state = Snapshot(f"file://{tmp_path}/answers")
+    of = lambda *rows: spark.createDataFrame(rows, "user_id bigint, question_id bigint, seq bigint")
+    _merge_answers(state, of(*((u, 1, 10 + u) for u in range(40))), 0)
+    _merge_answers(state, of((3, 1, 99), (3, 2, 5), (4, 1, 1)), 1)
+    _merge_answers(state, of((3, 1, 98)), 2)
+    _merge_answers(state, of((3, 1, 98)), 2)  # the same batch again
+    assert sorted(map(tuple, state.read(spark, ALL).where("user_id IN (3, 4, 5)").collect())) == [(3, 1, 99), (3, 2, 5), (4, 1, 14), (5, 1, 15)]
+    assert state.read(spark, ALL).count() == 41
+    versions = {}
+    for part, v in state._written():
+        versions.setdefault(part, []).append(v)
+    mine = spark.range(1).select(Snapshot.part(F.lit(3).cast("bigint"))).first()[0]
+    assert sorted(versions[mine]) == [1, 2] and sum(len(v) > 1 for v in versions.values()) <= 2
+
+
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_plans_have_no_nested_loops(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
