@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, decontaminate, language, near_dedup, toxicity
-from quillstone.llm._store import written
+from quillstone.llm._store import column, discard, discarded, new_path, written
 
 #: Ids of removed documents up to which they are broadcast, so that no text is shuffled to leave them out.
 BROADCAST_IDS = 1 << 20
@@ -14,11 +14,11 @@ BROADCAST_IDS = 1 << 20
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The text beside the other columns as one struct, so that no name of theirs can clash with an operator's."""
-    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others"))
+    return docs.select("text", F.struct(*(column(c) for c in docs.columns if c != "text")).alias("others"))
 
 
 def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in columns))
+    return rows.select(*(F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +44,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if gone.count() <= BROADCAST_IDS:  # else both sides are shuffled
         gone = F.broadcast(gone)
     repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    columns = [column(c) for c in docs.columns]
+    left = docs.join(gone, "doc_id", "left_anti").select(*columns)
     if repeated.isEmpty():
         return left
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten consecutive words of a benchmark item (or all words of a shorter one)."""
-    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select("text", F.struct(*(column(c) for c in docs.columns)).alias("row"))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.contamination(rows, benchmark, id_col="row").where("n_hit = 0").select("id.*")
 
@@ -77,7 +78,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole table of documents, each stored and read again; the last one's rows.
+
+    What a stage stored on its way is deleted once its result is, and a result once the next one is. Empty tables give no
+    rows.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with discarded():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last is not None:
+            discard(last)
+        last = path
     return docs

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch; Spark's own default is eight times as large, which several workers cannot hold beside a heap.
@@ -14,11 +18,19 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded size for the operators' tasks, unless the session has a size of its own."""
+    """Arrow batches of bounded size for the operators' tasks, unless the session has a size of its own.
+
+    Spark reads the setting when a query is planned, which may be long after an operator has returned, so it stays set.
+    """
     if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots, spaces and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local session without the setting gets a temporary folder, a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or None
@@ -30,8 +42,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths made within each open ``discarded``, the innermost last.
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def discard(*paths: str) -> None:
+    """Delete folders that nothing will read again; those that are not there are passed over."""
+    for path in paths:
+        files, at = pyarrow.fs.FileSystem.from_uri(path)
+        if files.get_file_info(at).type != pyarrow.fs.FileType.NotFound:
+            files.delete_dir(at)
+
+
+@contextmanager
+def discarded() -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end: what is to stay must have been stored elsewhere by then.
+
+    Lazy results read such tables, and a lost executor may read them again, so only who stores a result can say when it is
+    stored; the operators themselves delete nothing.
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        discard(*_made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from quillstone.llm._store import small_batches
+from quillstone.llm._store import column, small_batches
 from quillstone.llm._text import row_slices
 from quillstone.llm.token_counts import byte_letters
 
@@ -149,7 +149,7 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
 
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
     schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
 
@@ -161,11 +161,11 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
                 found = [own.ids(t.as_py()) for t in rows.column(at)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64())], names=[*kept, "ids", "n_tokens"])
 
-    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0))
+    size = F.coalesce(F.octet_length(column(text_col)), F.lit(0))
     if not docs.where(size >= long_text).limit(1).count():
         return docs.mapInArrow(encode, schema)
 
-    row = F.struct(*(F.col(f"`{c}`") for c in kept))
+    row = F.struct(*(column(c) for c in kept))
     long = written(docs.where(size >= long_text).select(F.monotonically_increasing_id().alias("key"), row.alias("row")), "bpe-long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
             out += own.joined(ids) if glue is not None else [x for i in ids for x in i]
         return pa.table({"key": rows["key"][:1], "ids": pa.array([out], pa.list_(pa.int32()))})
 
-    dealt = long.select("key", F.col(f"row.`{text_col}`").alias("text")).mapInArrow(cut, "key bigint, part int, glue bigint, special int, bodies array<binary>").repartition("key", "part")
+    dealt = long.select("key", F.col("row").getField(text_col).alias("text")).mapInArrow(cut, "key bigint, part int, glue bigint, special int, bodies array<binary>").repartition("key", "part")
     ids = dealt.mapInArrow(encode_part, "key bigint, part int, glue bigint, ids array<int>").groupBy("key").applyInArrow(assemble, "key bigint, ids array<int>")
     whole = long.join(ids, "key", "left").select("row.*", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
     return docs.where(size < long_text).mapInArrow(encode, schema).unionByName(whole)
@@ -199,7 +199,7 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
 def decoded(df: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded`` and ``ids_sha256`` (of the decimal ids joined by commas) added; null ids are none."""
     kept = [c for c in df.columns if c not in ("decoded", "ids_sha256")]
-    df = df.select(*(F.col(f"`{c}`") for c in kept))
+    df = df.select(*(column(c) for c in kept))
     at = kept.index(ids_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +220,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of ids and the digests of its ids and of the text decoded from them; null is empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = vocabulary_path()
     return decoded(encoded(docs, path).drop("text"), path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

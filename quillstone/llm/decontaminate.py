@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quillstone.llm._store import new_path, small_batches, written
+from quillstone.llm._store import column, new_path, small_batches, written
 
 WINDOW = 10
 #: Nodes of one automaton at most, about (a window adds a node for each of its characters); a node takes about 56 bytes of
@@ -110,7 +110,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, folder: str, number: int)
                 names=["id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    chosen = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     schema = StructType([StructField("id", chosen.schema["id"].dataType), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(LongType())), StructField("spans", ArrayType(_SPAN))])
     return chosen.mapInArrow(scan, schema)
 
@@ -142,7 +142,7 @@ def contamination(
     found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int")).repartition(F.col("block")).write.partitionBy("block").parquet(folder)
     if blocks == 1:
         return _scan(docs, id_col, text_col, folder, 0)
-    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
+    rows = written(docs.select(column(id_col).alias("doc"), column(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
     parts = None
     for k in range(blocks):
         part = _scan(rows, "row", "text", folder, k)

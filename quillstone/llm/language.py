@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from quillstone.llm._store import small_batches
+from quillstone.llm._store import column, small_batches
 from quillstone.llm.toxicity import remainder_is
 
 #: A dictionary's bytes, about how many distinct texts of a language fill it, and the most that one text gives.
@@ -68,12 +68,12 @@ class Classifier:
         return best[0], 1 / math.fsum(2.0 ** max(-60, sizes[0][0] - s) for s, _ in sizes), margin if len(folded) >= MIN_LETTERS else 1.0
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, row_bytes: int = ROW_BYTES) -> dict[str, bytes]:
     """A dictionary's content for each language: parts of at least about ``sample_rows`` distinct texts, chosen by a hash.
 
     The share that is drawn comes from the (estimated) number of a language's distinct texts, so copies neither count nor
-    displace others; all are drawn where there are fewer than twice ``sample_rows``. A longer text gives ``ROW_BYTES``
-    characters from a place that a hash chooses, all ASCII but letters being folded before. Rows with null language or
+    displace others; all are drawn where there are fewer than twice ``sample_rows``. A longer text gives ``row_bytes``
+    characters from a place of it that a hash chooses, wherever that is, all ASCII but letters being folded before. Rows with null language or
     text teach nothing. What is collected is bounded by the parameters and the number of languages, whatever the table's
     size.
     """
@@ -85,13 +85,13 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * sample_rows / max(1, n)) * (1 << 30)))))
     at = F.pmod(hashed, F.lit(1 << 30))
     folded = rows.where(at < share[F.col("lang")]).select("lang", at.alias("at"), F.xxhash64("text", F.lit(43)).alias("place"), F.regexp_replace("text", _NO_LETTERS, " ").alias("text"))
-    begin = F.pmod("place", F.greatest(F.lit(1), F.length("text") - ROW_BYTES + 1)).cast("int") + 1
-    picked = folded.select("lang", F.col("text").substr(begin, F.lit(ROW_BYTES)).alias("text"), "at").distinct()
+    begin = F.pmod("place", F.greatest(F.lit(1), F.length("text") - row_bytes + 1)).cast("int") + 1
+    picked = folded.select("lang", F.col("text").substr(begin, F.lit(row_bytes)).alias("text"), "at").distinct()
     contents: dict[str, bytes] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
         have = contents.setdefault(r["lang"], b"")
         if len(have) < dictionary_bytes:
-            contents[r["lang"]] = have + letters(r["text"])[:ROW_BYTES]
+            contents[r["lang"]] = have + letters(r["text"])[:row_bytes]
     return {lang: content[:dictionary_bytes] for lang, content in contents.items() if len(content) >= 8}
 
 
@@ -104,7 +104,7 @@ def identified(docs: DataFrame, contents: dict[str, bytes], *, text_col: str = "
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(contents)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +120,7 @@ def identified(docs: DataFrame, contents: dict[str, bytes], *, text_col: str = "
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learned from those whose ids may be; null texts and texts without a letter are ``und``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     contents = fit(docs.where(~remainder_is(F.col("doc_id"), 4, 2)))
     return identified(docs.select("doc_id", "text"), contents).select("doc_id", remainder_is(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from quillstone.llm._store import new_path, small_batches, written
+from quillstone.llm._store import column, new_path, small_batches, written
 
 #: Bytes of a bucket, which one task holds at a time, and of the run of buckets that it works through.
 BUCKET_BYTES, RUN_BYTES = 16 << 20, 128 << 20
@@ -19,7 +19,7 @@ ROW_OVERHEAD = 16
 HOT_COPIES = 4096
 
 
-def row_size(text_col: str):
+def row_size(text_col: str | Column):
     """UTF-8 bytes of the text (null: none) plus a fixed overhead."""
     return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + ROW_OVERHEAD
 
@@ -30,8 +30,8 @@ def _scattered(df: DataFrame, text_col: str, seed: int) -> tuple[DataFrame, Data
     All columns are hashed, so rows of one id, text or source are spread. Rows that repeat in every column are
     interchangeable; many of them are numbered in a written table first, and scattered by that number.
     """
-    keys = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    rows = df.select(F.xxhash64(F.lit(seed), *keys).alias("h"), row_size(f"`{text_col}`").alias("size"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    keys = [column(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = df.select(F.xxhash64(F.lit(seed), *keys).alias("h"), row_size(column(text_col)).alias("size"), F.struct(*(column(c) for c in df.columns)).alias("row"))
     tally = (F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     each = written(rows.groupBy("h").agg(*tally), "shard-hashes")
     hot = each.where(F.col("n") > HOT_COPIES).select("h")
@@ -55,7 +55,7 @@ def shuffled(df: DataFrame, n_shards: int, *, text_col: str = "text", seed: int
     """
     spark = df.sparkSession
     small_batches(spark)
-    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")))
+    df = df.select(*(column(c) for c in df.columns if c not in ("shard", "slot")))
     rows, each = _scattered(df, text_col, seed)
     n, size = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-size // bucket_bytes))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from quillstone.llm._store import column
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = -1
 #: Distinct words whose counts a task remembers.
@@ -103,7 +105,7 @@ def counted(docs: DataFrame, vocabulary: str, *, text_col: str = "text") -> Data
     Each task builds the automaton from the file once and remembers a bounded number of words; nothing is shuffled.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +132,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of words and of the pieces they are greedily cut into; null is empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return counted(docs, vocabulary_path()).select("doc_id", "n_words", "n_tokens")
 

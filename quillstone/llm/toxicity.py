@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm._store import small_batches, written
+from quillstone.llm._store import column, small_batches, written
 
 #: Labelled rows that the lexicon and the weights are fitted on, about (a hash picks them); bounds the fit at any size.
 FIT_ROWS = 8_000
@@ -362,7 +362,7 @@ def scored(docs: DataFrame, grammar: Grammar, *, text_col: str = "text") -> Data
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(grammar)
     kept = [c for c in docs.columns if c not in ("score", "clauses")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("weight", pa.float64())]))
 

@@ -60,3 +60,5 @@ def test_null_empty_long_and_repeated_rows(spark, own):
         out = bpe.decoded(bpe.encoded(df, bpe.vocabulary_path(), long_text=limit), bpe.vocabulary_path()).collect()
         assert sorted((r["doc_id"] or 0, r["decoded"], r["n_tokens"], r["ids_sha256"]) for r in out) == sorted((i or 0, t or "", len(own.ids(t)), own.ids_sha256(own.ids(t))) for i, t, _ in rows)
     assert bpe.encoded(df.limit(0), bpe.vocabulary_path()).count() == 0
+    none = spark.createDataFrame([(None, "x"), ([], "y")], "ids array<int>, decoded string")
+    assert [(r["decoded"], r["ids_sha256"]) for r in bpe.decoded(none, bpe.vocabulary_path()).collect()] == [("", own.ids_sha256([]))] * 2

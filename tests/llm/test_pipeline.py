@@ -3,6 +3,7 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstone.llm import bpe
@@ -53,8 +54,24 @@ def test_each_stage_takes_what_it_should(spark, folder):
 
 
 def test_the_whole_run_and_empty_tables(spark, folder):
+    from pathlib import Path
+
+    from quillstone.llm._store import shared_folder
+
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
     assert corpus_pipeline.run(spark, folder).count() > 100
+    assert [p.name.partition("-")[0] + p.name[5:9] for p in set(shared.iterdir()) - before] == ["stage-bpe"]
     empty = tempfile.mkdtemp(prefix="quillstone-") + "/sf"
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(os.path.join(empty, f"{name}.parquet"))
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 OR doc_id > 999").withColumn("my col", F.lit(1)).withColumn("a.b`c", F.lit("x")).withColumn("n_hit", F.lit(0)).withColumn("lang_rejected", F.lit(True))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder), name)
+        assert docs.columns == columns
+    assert docs.count() > 20

@@ -249,6 +249,7 @@ def test_counts_are_those_of_greedy_longest_match(spark):
         assert real.count(word.encode()) == greedy(own, word.encode())
     rows = [(1, None, 1), (2, "", 1), (3, "The the\tthe", 1), (3, "The the\tthe", 1), (4, "x" * 50_000, 1)]
     out = token_counts.counted(spark.createDataFrame(rows, "doc_id int, text string, n_tokens int"), token_counts.vocabulary_path()).collect()
+    assert token_counts.counted(spark.createDataFrame([], "doc_id int, text string"), token_counts.vocabulary_path()).count() == 0
     assert [(r["n_words"], r["n_tokens"]) for r in out[:4]] == [(0, 0), (0, 0), (3, 3), (3, 3)] and out[4]["n_words"] == 1
 
 
