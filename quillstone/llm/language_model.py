@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from quillstone.llm import _text
-from quillstone.llm._store import written
+from quillstone.llm._store import column, small_batches, written
 from quillstone.llm.toxicity import remainder_is
 
-#: Bytes of filter and unigram table that are broadcast; a larger model is taken to the texts by a join, in chunks.
-BROADCAST_BYTES = 512 << 20
+#: Bytes of filter and unigram table that are broadcast, of which each Python worker holds a copy and the driver two; a
+#: larger model is taken to the texts by a join, in chunks.
+BROADCAST_BYTES = 256 << 20
 #: Bytes of text whose n-grams are counted in one group, and of a chunk of texts that is scored by a join.
 BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 16 << 20
-BITS_PER_ENTRY, PROBES = 12, 7
+#: Tokens whose n-grams a task counts at a time, at about 80 bytes each.
+COUNTED_TOKENS = 2_000_000
+BITS_PER_ENTRY, PROBES = 16, 11
 #: Weight of the unigram model against bigrams: a context of c occurrences trusts them by c / (c + TRUST).
 TRUST = 8.0
 #: Counts of level l lie in [2^(l-1), 2^l).
@@ -108,6 +111,8 @@ class Statistics:
     pair_singles: int
     pair_doubles: int
     means: np.ndarray
+    #: How often the filter of pairs says yes to a key that was never entered.
+    false_rate: float = 0.0
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of additively smoothed unigram probabilities."""
@@ -119,7 +124,9 @@ class Statistics:
         Unigrams are discounted absolutely, and what is taken off is the unknown word's; a level stands for the mean
         count of its keys. Pairs are discounted likewise: what each of a context's continuations gives up goes to the
         unigrams. A context's pairs are divided by the sum of what their levels stand for, so that the probabilities
-        of all words and the unknown one sum to 1 after every context; only the filter's false positives come on top.
+        of all words and the unknown one sum to 1 after every context, but for the filter's false positives. How many
+        known words these are likely to hit after a context follows from the filter's fill, and what they would add is
+        divided out.
         """
         if not self.tokens:
             return np.full(len(word), math.log10(0.5))
@@ -130,7 +137,9 @@ class Statistics:
         seen = tenths / 10
         two = np.where((pair > 0) & (tenths > 0), (np.minimum(PAIR_TENTHS[pair], tenths) / 10 - pair_off) / (seen + TRUST), 0.0)
         rest = (TRUST + pair_off * types) / (seen + TRUST)
-        return np.log10(two + rest * one)
+        added = sum(self.false_rate**at * ((PAIR_TENTHS[at] - PAIR_TENTHS[at - 1]) / 10 - (pair_off if at == 1 else 0)) for at in (1, 2, 3))
+        false = np.where(tenths > 0, (self.types - types) * added / (seen + TRUST), 0.0)
+        return np.log10((two + rest * one) / (1 + false))
 
 
 class Held:
@@ -202,8 +211,8 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, blocks: int) -> Iterator[tuple
 
 
 _COUNTED = "kind int, block int, keys binary, counts binary, contexts binary"
-_MODEL = "kind int, block int, n bigint, n1 bigint, n2 bigint, total bigint, level_n array<bigint>, level_sum array<bigint>, keys binary, counts binary, types binary, tenths binary, bits binary"
-_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 5]
+_MODEL = "kind int, block int, n bigint, n1 bigint, n2 bigint, total bigint, ones bigint, level_n array<bigint>, level_sum array<bigint>, keys binary, counts binary, types binary, tenths binary, bits binary"
+_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 5]
 _NAMES = [c.split()[0] for c in _MODEL.split(", ")]
 
 
@@ -220,6 +229,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     these count as; the blocks of words add that up. Blocks grow in number with the texts and not in size. Null and
     empty texts have only their end token.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     blocks = 1 << max(0, math.ceil(math.log2(max(1, size / BLOCK_BYTES))))
 
@@ -254,7 +264,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 tokens, _ = token_hashes(data, offsets)
                 held.append(tokens)
                 n += len(tokens)
-                if n > 3_000_000:
+                if n > COUNTED_TOKENS:
                     yield from out()
                     n = 0
         yield from out()
@@ -270,7 +280,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         levels = level(counts)
         level_n, level_sum = np.bincount(levels, minlength=LEVELS), np.bincount(levels, counts, minlength=LEVELS)
         row = {"kind": kind, "block": table["block"][0].as_py(), "n": len(keys), "n1": int((counts == 1).sum()), "n2": int((counts == 2).sum()), "total": int(counts.sum()), "level_n": level_n, "level_sum": level_sum.astype(np.int64)}
-        row |= {"keys": keys.tobytes() if kind == 1 else b"", "counts": counts.tobytes() if kind == 1 else b"", "bits": Bloom.block(keys, counts)}
+        row |= {"keys": keys.tobytes() if kind == 1 else b"", "counts": counts.tobytes() if kind == 1 else b"", "bits": (bits := Bloom.block(keys, counts)), "ones": int(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum())}
         if kind == 1:
             return _model_table([row])
         contexts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in table["contexts"]])[order[at]]
@@ -300,13 +310,15 @@ def train(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def statistics(model: DataFrame) -> Statistics:
+    """The model's totals; all zero for a model of no texts."""
     each = {r["kind"]: r for r in model.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("total", "n", "n1", "n2"))).collect()}
     levels = model.where("kind = 1").select(F.posexplode(F.arrays_zip("level_n", "level_sum")).alias("level", "of")).groupBy("level").agg(F.sum("of.level_n").alias("n"), F.sum("of.level_sum").alias("sum"))
     means = np.array([0.0, *(2.0**i for i in range(1, LEVELS))])
     for r in levels.where("level > 0 AND n > 0").collect():
         means[r["level"]] = r["sum"] / r["n"]
+    fill = model.where("kind = 2").agg(F.sum("ones") / F.sum(8 * F.octet_length("bits"))).first()[0] or 0.0
     words, pairs = ([each[kind][c] for c in ("total", "n", "n1", "n2")] if kind in each else [0] * 4 for kind in (1, 2))
-    return Statistics(*words, *pairs[2:], means)
+    return Statistics(*words, *pairs[2:], means, float(fill) ** PROBES)
 
 
 def _one_block(bits: bytes) -> Bloom:
@@ -342,42 +354,44 @@ _FACTS = ("counts", "types", "tenths")
 _OUT = ("n_tokens", "n_known", "base_score", "score")
 
 
-def scored(docs: DataFrame, model: DataFrame, *, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def scored(docs: DataFrame, model: DataFrame, *, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, carried: Sequence[str] | None = None) -> DataFrame:
     """The rows with ``n_tokens, n_known, train_tokens, base_score, score`` added (columns of these names are replaced).
 
-    Null and empty texts have one token, their end. The model is broadcast if it has at most ``broadcast_bytes``; a
+    Only the ``carried`` columns come back from the workers, by default all; a text that is not wanted need not. Null and empty texts have one token, their end. The model is broadcast if it has at most ``broadcast_bytes``; a
     larger one stays where it is: chunks of texts send each block the n-grams they have, and get its answers back. Both
     ways give the same scores.
     """
+    small_batches(docs.sparkSession)
     known = statistics(model)
     kept = [c for c in docs.columns if c not in (*_OUT, "train_tokens")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
-    schema = StructType([*docs.schema.fields])
+    back = [i for i, c in enumerate(kept) if carried is None or c in carried]
+    schema = StructType([docs.schema.fields[i] for i in back])
     for name, kind in zip(_OUT, (LongType(), LongType(), DoubleType(), DoubleType()), strict=True):
         schema = schema.add(name, kind)
     size = model.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", *_FACTS, "bits")), F.lit(0))), F.lit(0))).first()[0]
     if size > broadcast_bytes:
-        return _scored_in_chunks(docs, model, known, at, schema).withColumn("train_tokens", F.lit(known.tokens).cast("bigint"))
+        return _scored_in_chunks(docs, model, known, at, back, schema).withColumn("train_tokens", F.lit(known.tokens).cast("bigint"))
     blocks = model.select(F.max("blocks")).first()[0] or 1
     held = docs.sparkSession.sparkContext.broadcast((held_model(model, blocks), known))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _scores(batch.column(at), *held.value))], names=[*kept, *_OUT])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), *map(pa.array, _scores(batch.column(at), *held.value))], names=[*(kept[i] for i in back), *_OUT])
 
     return docs.mapInArrow(score, schema).withColumn("train_tokens", F.lit(known.tokens).cast("bigint"))
 
 
-def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at: int, schema: StructType) -> DataFrame:
+def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at: int, back: list[int], schema: StructType) -> DataFrame:
     names = docs.columns
-    text = F.col(f"`{names[at]}`")
+    text = column(names[at])
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     blocks = model.select(F.max("blocks")).first()[0] or 1
-    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    row = F.struct(*(column(c) for c in names))
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-size // CHUNK_BYTES)))).cast("bigint")
     dealt = written(docs.select(chunk.alias("chunk"), row.alias("row")), "scoring")
-    texts = dealt.select("chunk", F.col(f"row.`{names[at]}`").alias("text"))
+    texts = dealt.select("chunk", F.col("row").getField(names[at]).alias("text"))
 
     def ask(table: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[np.array([_END])], []]
@@ -414,6 +428,7 @@ def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at:
             tables[kind] = tuple(p[order] for p in parts)
         whole = pa.Table.from_struct_array(rows["row"])
         values = _scores(whole.column(at).combine_chunks(), Looked(tables), known)
+        whole = whole.select([names[i] for i in back])
         for name, v in zip(_OUT, values, strict=True):
             whole = whole.append_column(name, pa.array(v))
         return whole
@@ -424,9 +439,10 @@ def _scored_in_chunks(docs: DataFrame, model: DataFrame, known: Statistics, at:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability under the training documents' model, and its additive unigram score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs.where(~remainder_is(F.col("doc_id"), 5, 1)))
-    return scored(docs, model).select("doc_id", remainder_is(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored(docs, model, carried=["doc_id"]).select("doc_id", remainder_is(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op3_language_model": op3_language_model}

@@ -31,6 +31,8 @@ def test_base_scores_are_exact_and_both_ways_agree(docs):
     two = sorted(lm.scored(docs, model, broadcast_bytes=0).collect(), key=key)
     want = {(i or 0, len(tokens(t))): (sum(counts[x] > 0 for x in tokens(t)), sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t))) for i, t in ROWS}
     assert len(one) == len(two) == len(ROWS)
+    for bound in (lm.BROADCAST_BYTES, 0):
+        assert lm.scored(docs, model, broadcast_bytes=bound, carried=["doc_id"]).columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens"]
     for a, b in zip(one, two, strict=True):
         known, base = want[key(a)]
         assert a["n_known"] == known and a["train_tokens"] == n
@@ -75,6 +77,64 @@ def test_probabilities_of_texts_sum_to_at_most_one(spark):
         assert 0.95 < sum(10 ** r["score"] for r in lm.scored(found, model, broadcast_bytes=bound).collect()) <= 1
 
 
+def test_probabilities_after_each_context_sum_to_one(spark):
+    """Over the known words and the unknown one, after 200 contexts of sf0.01 drawn by how often they occur."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = lm.train(docs.where(~remainder_is(F.col("doc_id"), 5, 1)))
+    known, held = lm.statistics(model), lm.held_model(model, model.select(F.max("blocks")).first()[0])
+    words, (counts, types, tenths) = held.keys, held.values
+    assert len(words) == known.types > 50_000
+    level = held.word_levels(words)
+    draw = np.random.default_rng(1).choice(len(words), 200, p=counts / counts.sum())
+    sums = []
+    for context in draw:
+        with np.errstate(over="ignore"):
+            pair = held.pair_levels(lm._text.mix64(words[context] * lm._PAIR + words))
+        each = 10 ** known.log10(level, np.full(len(words), types[context]), np.full(len(words), tenths[context]), pair)
+        unknown = 10 ** known.log10(np.zeros(1, int), types[context : context + 1], tenths[context : context + 1], np.zeros(1, int))[0]
+        sums.append(each.sum() + unknown)
+    # Without the filter each would be 1; its false positives vary about what is divided out for them.
+    assert abs(np.mean(sums) - 1) < 0.01 and 0.75 < min(sums) and max(sums) < 1.25
+
+
+def test_scores_are_those_of_a_brute_force_model(spark):
+    """Absolute discounting of quantised pairs backed off to discounted unigrams, with exact counts and no filter."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) % 200) for _ in range(300)]
+    train, rest = texts[:250], texts[250:]
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(4))
+    known = lm.statistics(model)
+    one = Counter(w for t in train for w in tokens(t))
+    two = Counter(p for t in train for p in zip([None, *tokens(t)[:-1]], tokens(t), strict=True))
+    n, lev = sum(one.values()), lambda c: c.bit_length()
+    stands = lambda c: float(lm.PAIR_TENTHS[lev(c)]) / 10
+    off = min(max(sum(c == 1 for c in one.values()) / (sum(c == 1 for c in one.values()) + 2 * sum(c == 2 for c in one.values())), 0.05), 0.95)
+    pair_off = min(max(sum(c == 1 for c in two.values()) / (sum(c == 1 for c in two.values()) + 2 * sum(c == 2 for c in two.values())), 0.05), 0.9)
+    level_mean = {i: np.mean([c for c in one.values() if lev(c) == i]) for i in {lev(c) for c in one.values()}}
+
+    def score(text):
+        total, before = 0.0, None
+        for w in tokens(text):
+            base = (level_mean[lev(one[w])] - off) / n if one[w] else off * len(one) / n
+            after = [c for (b, _), c in two.items() if b == before]
+            seen = sum(map(stands, after))
+            own = (stands(two[before, w]) - pair_off) / (seen + lm.TRUST) if two[before, w] else 0.0
+            f, per = known.false_rate, seen + lm.TRUST
+            false = (len(one) - len(after)) * (f * (1 - pair_off) + f**2 * 1.6 + f**3 * 2.6) / per if seen else 0.0
+            total += math.log10((own + (lm.TRUST + pair_off * len(after)) / per * base) / (1 + false))
+            before = w
+        return total
+
+    got = {r["text"]: r["score"] for r in lm.scored(spark.createDataFrame([(t,) for t in rest], "text string"), model).collect()}
+    close = [math.isclose(got[t], score(t), rel_tol=1e-9) for t in rest]
+    assert np.mean(close) > 0.8  # others meet a false positive of the filter
+    assert known.tokens == n and known.false_rate < 0.002
+
+
 def test_continuations_are_counted_over_all_training_rows(spark):
     import numpy as np
 
