@@ -158,12 +158,14 @@ def paper_questions(spark: SparkSession, d: str) -> DataFrame:
     return C.published(bank(spark, d)).select("paper", "question_id", "ordinal")
 
 
-@query("SELECT l.question_id, count(*) AS papers FROM (SELECT question_id, nullif(question_id % 4, 0) AS variant, ordinal FROM bank) l JOIN (SELECT nullif(question_id % 4, 0) AS variant, ordinal FROM bank WHERE question_id < 200) r ON l.ordinal = r.ordinal AND l.variant IS NOT DISTINCT FROM r.variant GROUP BY l.question_id")
+@query("""
+WITH q AS (SELECT question_id, nullif(question_id % 4, 0) AS variant, ordinal FROM bank), r AS (SELECT variant, ordinal, count(*) AS papers FROM q GROUP BY variant, ordinal)
+SELECT question_id, papers FROM q JOIN r ON q.ordinal = r.ordinal AND q.variant IS NOT DISTINCT FROM r.variant""")
 def paper_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """A paper by number and variant, where a missing variant matches a missing one."""
+    """How many papers have a question's number and variant, where a missing variant matches a missing one."""
     q = bank(spark, d).select("question_id", F.nullif(F.col("question_id") % 4, F.lit(0)).alias("variant"), "ordinal")
-    r = q.where("question_id < 200").select(F.col("variant").alias("r_variant"), F.col("ordinal").alias("r_ordinal"))
-    return q.join(r, (F.col("ordinal") == F.col("r_ordinal")) & F.col("variant").eqNullSafe(F.col("r_variant"))).groupBy("question_id").agg(F.count(F.lit(1)).alias("papers"))
+    r = q.groupBy(F.col("variant").alias("r_variant"), F.col("ordinal").alias("r_ordinal")).agg(F.count(F.lit(1)).alias("papers"))
+    return q.join(r, (F.col("ordinal") == F.col("r_ordinal")) & F.col("variant").eqNullSafe(F.col("r_variant"))).select("question_id", "papers")
 
 
 @query("SELECT DISTINCT question_id, paper, kind FROM bank WHERE question_id IN (SELECT question_id FROM attempts)")
