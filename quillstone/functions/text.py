@@ -153,7 +153,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _seven_digits(x: Column) -> Column:
+    """A double in seven significant digits without trailing zeros; what lies halfway goes to the even digit, not up."""
+    every = F.format_string("%.16e", x)
+    even = F.when(every.rlike(r"^-?\d\.\d{5}[02468]50{9}e"), F.regexp_replace(every, "50{9}e", "e").cast("double")).otherwise(x)
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.7g", even), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
 def vector_text(vector: Column) -> Column:
     """A vector as ``[0.25,-1,1e-05]``: seven significant digits, without trailing zeros; null for a null vector."""
-    digits = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.7g", x.cast("double")), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    return F.when(vector.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(vector, digits), ","), F.lit("]")))
+    return F.when(vector.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: _seven_digits(x.cast("double"))), ","), F.lit("]")))

@@ -131,7 +131,7 @@ def test_keys_of_documents_and_pictures(spark):
 
 
 def test_vectors_as_text(spark):
-    values = [0.25, -1.0, 1e-5, 123456789.0, 0.1 + 0.2, 0.0, 1e20, 12.5, 0.0001, -3.14159265]
+    values = [0.25, -1.0, 1e-5, 123456789.0, 0.1 + 0.2, 0.0, 1e20, 12.5, 0.0001, -3.14159265, 0.12890625, 0.12890635, -12.890625, 1.5]
     df = spark.createDataFrame([(values,), ([],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(T.vector_text(F.col("v"))).collect()] == ["[" + ",".join(f"{x:.7g}" for x in values) + "]", "[]", None]
 
