@@ -71,7 +71,14 @@ def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     return islands(boxes, ["doc_id", "page", "label"], "y0", "y1", 3)
 
 
-@query()
+@query("""
+WITH RECURSIVE shifted AS (
+  SELECT doc_id, page, line_no, line, x0, y0 - line_no % 2 * 8 AS y0, y1 - line_no % 2 * 8 AS y1, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS n FROM spans WHERE trim(line) <> ''),
+scan AS (
+  SELECT doc_id, page, n, 0 AS row, [{'a': y0, 'b': y1}] AS held FROM shifted WHERE n = 1
+  UNION ALL SELECT s.doc_id, s.page, s.n, CASE WHEN near THEN row ELSE row + 1 END, CASE WHEN near THEN list_append(held, {'a': y0, 'b': y1}) ELSE [{'a': y0, 'b': y1}] END
+  FROM (SELECT s.*, c.row, c.held, len(list_filter(c.held, lambda m: (least(s.y1, m.b) - greatest(s.y0, m.a)) / least(s.y1 - s.y0, m.b - m.a) >= 0.25)) > 0 AS near FROM scan c JOIN shifted s ON s.doc_id = c.doc_id AND s.page = c.page AND s.n = c.n + 1) s)
+SELECT doc_id, page, row, trim(regexp_replace(string_agg(line, ' ' ORDER BY x0, y0, line_no), '\\s+', ' ', 'g')) AS text FROM scan JOIN shifted USING (doc_id, page, n) GROUP BY doc_id, page, row""")
 def visual_rows(spark: SparkSession, d: str) -> DataFrame:
     shifted = spans(spark, d).withColumn("y0", F.col("y0") - (F.col("line_no") % 2) * 8).withColumn("y1", F.col("y1") - (F.col("line_no") % 2) * 8)
     return O.visual_rows(shifted.select("doc_id", "page", "line_no", "line", "y0", "y1", "x0"))
