@@ -46,7 +46,7 @@ class Snapshot:
     def part(user: str = "user_id") -> Column:
         return F.pmod(F.xxhash64(user), F.lit(PARTS)).cast("int")
 
-    def _newest(self, spark: SparkSession, before: int) -> dict[int, int]:
+    def _newest(self, before: int) -> dict[int, int]:
         """The number of the newest version of each part that is older than ``before``."""
         found: dict[int, int] = {}
         for part, version in self._written():
@@ -62,7 +62,7 @@ class Snapshot:
 
     def read(self, spark: SparkSession, before: int, parts: Iterable[int] | None = None) -> DataFrame | None:
         """The rows before a batch, of some parts or of all; None if there are none yet."""
-        newest = {p: v for p, v in self._newest(spark, before).items() if parts is None or p in parts}
+        newest = {p: v for p, v in self._newest(before).items() if parts is None or p in parts}
         if not newest:
             return None
         paths = [f"{self.folder}/part={p}/v={v}" for p, v in sorted(newest.items())]
@@ -72,7 +72,7 @@ class Snapshot:
         laid = rows.withColumn("part", self.part(user)).withColumn("v", F.lit(number)).repartition("part")
         laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(self.folder)
         files, at = pyarrow.fs.FileSystem.from_uri(self.folder)
-        newest = self._newest(rows.sparkSession, number)
+        newest = self._newest(number)
         for p, v in self._written():
             if v < newest.get(p, -1):
                 files.delete_dir(f"{at}/part={p}/v={v}")
