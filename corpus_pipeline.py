@@ -61,8 +61,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, their number and digest, and the digest of the text decoded from them."""
     path = bpe.vocabulary_path()
-    ids = bpe.encoded(docs.select("doc_id", "text"), path).drop("text")
-    return bpe.decoded(ids, path).select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = bpe.encoded(docs.select("doc_id", "text"), path, carried=["doc_id"], decode=True)
+    return ids.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of an Arrow batch; Spark's own default is eight times as large, which several workers cannot hold beside a heap.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch; Spark's own default is 16 times as large, which several workers cannot hold beside a heap.
+BATCH_BYTES = 4 << 20
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import groupby
 
@@ -27,6 +27,8 @@ LEAF_BYTES = 1 << 10
 #: UTF-8 bytes of a text from which on its parts are encoded as rows of their own.
 LONG_TEXT = 1 << 20
 PART_BYTES = 1 << 18
+#: What decoding adds: the text, and the digest of the decimal ids joined by commas.
+DECODED = ("decoded", "ids_sha256")
 #: The pre-tokenizer of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -138,12 +140,14 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_text: int = LONG_TEXT) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_text: int = LONG_TEXT, carried: Sequence[str] | None = None, decode: bool = False) -> DataFrame:
     """The rows with ``ids`` and ``n_tokens`` added (columns of these names are replaced).
 
     Each whole text gets the ids that the tokenizers library gives it without added special tokens. Null and empty
     texts have none. Texts of at least ``long_text`` bytes are cut into parts at places where the pre-tokenizer always
     splits; the parts are dealt over all tasks and their ids put together again by text. Other rows are not shuffled.
+    Only the ``carried`` columns come back from the workers, by default all. With ``decode`` the same workers add what
+    ``decoded`` would, so that ids need not be sent to others.
     """
     from quillstone.llm._store import written
 
@@ -151,7 +155,11 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
-    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
+    back = [i for i, c in enumerate(kept) if (carried is None or c in carried) and not (decode and c in DECODED)]
+    names = [*(kept[i] for i in back), "ids", "n_tokens", *(DECODED if decode else ())]
+    schema = StructType([docs.schema.fields[i] for i in back]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
+    if decode:
+        schema = schema.add(DECODED[0], StringType()).add(DECODED[1], StringType())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary)
@@ -159,7 +167,8 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
             for begin, end in row_slices(batch.column(at)):
                 rows = batch.slice(begin, end - begin)
                 found = [own.ids(t.as_py()) for t in rows.column(at)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64())], names=[*kept, "ids", "n_tokens"])
+                more = [pa.array(map(f, found), pa.string()) for f in (own.text, own.ids_sha256)] if decode else []
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in back), pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64()), *more], names=names)
 
     size = F.coalesce(F.octet_length(column(text_col)), F.lit(0))
     if not docs.where(size >= long_text).limit(1).count():
@@ -192,13 +201,15 @@ def encoded(docs: DataFrame, vocabulary: str, *, text_col: str = "text", long_te
 
     dealt = long.select("key", F.col("row").getField(text_col).alias("text")).mapInArrow(cut, "key bigint, part int, glue bigint, special int, bodies array<binary>").repartition("key", "part")
     ids = dealt.mapInArrow(encode_part, "key bigint, part int, glue bigint, ids array<int>").groupBy("key").applyInArrow(assemble, "key bigint, ids array<int>")
-    whole = long.join(ids, "key", "left").select("row.*", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+    whole = long.join(ids, "key", "left").select(*(F.col("row").getField(kept[i]).alias(kept[i]) for i in back), "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+    if decode:
+        whole = decoded(whole, vocabulary)
     return docs.where(size < long_text).mapInArrow(encode, schema).unionByName(whole)
 
 
 def decoded(df: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded`` and ``ids_sha256`` (of the decimal ids joined by commas) added; null ids are none."""
-    kept = [c for c in df.columns if c not in ("decoded", "ids_sha256")]
+    kept = [c for c in df.columns if c not in DECODED]
     df = df.select(*(column(c) for c in kept))
     at = kept.index(ids_col)
 
@@ -208,7 +219,7 @@ def decoded(df: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> DataFram
             for begin in range(0, len(batch), 512):
                 rows = batch.slice(begin, 512)
                 ids = [i.values.to_pylist() if i.is_valid else [] for i in rows.column(at)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(map(own.text, ids), pa.string()), pa.array(map(own.ids_sha256, ids), pa.string())], names=[*kept, "decoded", "ids_sha256"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(map(own.text, ids), pa.string()), pa.array(map(own.ids_sha256, ids), pa.string())], names=[*kept, *DECODED])
 
     return df.mapInArrow(decode, StructType([*df.schema.fields]).add("decoded", StringType()).add("ids_sha256", StringType()))
 
@@ -223,7 +234,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of ids and the digests of its ids and of the text decoded from them; null is empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = vocabulary_path()
-    return decoded(encoded(docs, path).drop("text"), path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded(docs, path, carried=["doc_id"], decode=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op5_bpe": op5_bpe}

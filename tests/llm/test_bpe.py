@@ -58,6 +58,9 @@ def test_null_empty_long_and_repeated_rows(spark, own):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
     for limit in (bpe.LONG_TEXT, 1000):
         out = bpe.decoded(bpe.encoded(df, bpe.vocabulary_path(), long_text=limit), bpe.vocabulary_path()).collect()
+        once = bpe.encoded(df, bpe.vocabulary_path(), long_text=limit, carried=["doc_id"], decode=True)
+        assert once.columns == ["doc_id", "ids", "n_tokens", "decoded", "ids_sha256"]
+        assert sorted(map(tuple, once.collect()), key=str) == sorted(((r["doc_id"], r["ids"], r["n_tokens"], r["decoded"], r["ids_sha256"]) for r in out), key=str)
         assert sorted((r["doc_id"] or 0, r["decoded"], r["n_tokens"], r["ids_sha256"]) for r in out) == sorted((i or 0, t or "", len(own.ids(t)), own.ids_sha256(own.ids(t))) for i, t, _ in rows)
     assert bpe.encoded(df.limit(0), bpe.vocabulary_path()).count() == 0
     none = spark.createDataFrame([(None, "x"), ([], "y")], "ids array<int>, decoded string")
