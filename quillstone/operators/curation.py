@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import normalise
 from quillstone.operators.common import unambiguous
+from quillstone.sources.files import stored
 
 #: Normalised characters below which a text is never taken for a duplicate.
 LEAST_CHARS = 60
@@ -26,7 +27,8 @@ def duplicates(rows: DataFrame, *, id_col: str, text_col: str, answer_col: str,
     Newest is the greatest by the columns of ``newest``, then by id. Only ids, those columns and a hash of the text are
     shuffled; a group's head is found by a partial aggregate, and members are rows, so a group may be of any size.
     """
-    keyed = rows.select(F.col(id_col), *(F.col(c) for c in newest if c != id_col), duplicate_key(normalise(F.col(text_col)), F.col(answer_col), F.col(id_col)).alias("key"))
+    norm = rows.select(F.col(id_col), *(F.col(c) for c in dict.fromkeys([*newest, answer_col]) if c != id_col), normalise(F.col(text_col)).alias("_norm"))
+    keyed = stored(norm.select(id_col, *(c for c in newest if c != id_col), duplicate_key(F.col("_norm"), F.col(answer_col), F.col(id_col)).alias("key")))
     heads = keyed.groupBy("key").agg(F.max_by(id_col, F.struct(*newest, id_col)).alias("canonical_id"))
     return keyed.select(id_col, "key").join(heads, "key").select(id_col, "canonical_id")
 

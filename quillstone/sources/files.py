@@ -19,6 +19,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='quillstone-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, so that what several branches read is worked out once."""
+    path = work_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Name, byte size and SHA-256 of each file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
