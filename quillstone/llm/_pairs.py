@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import _text
+from quillstone.llm._store import written
 
 #: Slots that candidate ids are hashed into to keep other texts from being shuffled; bounds what is broadcast for it.
 SLOTS = 1 << 20
@@ -31,7 +32,8 @@ def compared(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, s
     Pairs are laid out by ``u``, whose text comes first and is compared with each ``v`` that follows; a ``u`` of many
     partners is dealt out several times, so that no task gets them all.
     """
-    many = pairs.groupBy("u").count().where(F.col("count") > FAN).select("u", F.ceil(F.col("count") / FAN).alias("deals"))
+    # Written, so that its size is known: a short list is broadcast, and no task gets all pairs of a large family.
+    many = written(pairs.groupBy("u").count().where(F.col("count") > FAN).select("u", F.ceil(F.col("count") / FAN).alias("deals")), "large-fans")
     dealt = pairs.join(many, "u", "left").select("u", "v", F.when(F.col("deals").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("deals"))).alias("deal"))
     rows = dealt.select("u", "deal", F.lit(1).alias("place"), F.col("v").alias("doc")).union(dealt.select("u", "deal", F.lit(0), F.col("u")).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("text IS NOT NULL")
