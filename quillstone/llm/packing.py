@@ -197,7 +197,7 @@ def packed(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         raise ValueError(f"the id column can't be called {id_col}")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(column(id_col), column(text_col).cast("string").alias("text" if id_col != "text" else "body"))
+    docs = docs.select(column(id_col).alias("key"), column(text_col).cast("string").alias("text"))
     schema = StructType([docs.schema[0]])
     for name in PIECE:
         schema = schema.add(name, BinaryType() if name == "ids" else LongType())
@@ -205,7 +205,7 @@ def packed(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     def filler(kind: pa.DataType, level: int) -> _Filler:
         kinds = {"ids": pa.binary()}
-        return _Filler(pa.schema([(id_col, kind), *((name, kinds.get(name, pa.int64())) for name in PIECE)]), capacity, _numbers(level))
+        return _Filler(pa.schema([("key", kind), *((name, kinds.get(name, pa.int64())) for name in PIECE)]), capacity, _numbers(level))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first, bins = _words(tokenizer), cuts(capacity, cut_cost), None
@@ -235,17 +235,17 @@ def packed(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
         return run
 
-    done, level = written(docs.mapInArrow(fill, schema), "packing"), 0
+    done, level, tasks = written(docs.mapInArrow(fill, schema), "packing"), 0, 1 << 28
     full = done.where("sequence_id IS NOT NULL")
     left = done.where("sequence_id IS NULL")
     while (n := left.count()) > 0:
         level += 1
-        tasks = -(-n // (REST * capacity))
-        rest = left.repartition(1) if tasks == 1 else left.repartition(tasks, column(id_col), "start")
+        tasks = max(1, min(-(-n // (REST * capacity)), tasks // 2))
+        rest = left.repartition(1) if tasks == 1 else left.repartition(tasks, "key", "start")
         done = written(rest.mapInArrow(refill(level, tasks == 1), schema), "packing-rest")
         full = full.unionByName(done.where("sequence_id IS NOT NULL"))
         left = done.where("sequence_id IS NULL")
-    return full
+    return full.select(F.col("key").alias(id_col), *PIECE)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterable[tuple]:

@@ -107,7 +107,7 @@ def test_odd_rows(spark, library):
     rows = [("a", "Two words", 1, "x"), (None, None, None, None), ("a", "Two words", 1, "x"), ("b", "", 2, "y")]
     found = packing.packed(spark.createDataFrame(rows, schema), PATH, id_col="sequence.id")
     assert found.columns == ["sequence.id", *packing.PIECE]
-    by = sorted((r[0] or "", r["length"], r["doc_tokens"]) for r in found.collect())
+    by = sorted((r["sequence.id"] or "", r["length"], r["doc_tokens"]) for r in found.collect())
     n = len(ids_of(library, "Two words"))
     assert by == [("", 1, 1), ("a", n, n), ("a", n, n), ("b", 1, 1)]
     assert len({(r["sequence_id"], r["offset"]) for r in found.collect()}) == 4
