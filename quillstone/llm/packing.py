@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -20,7 +22,7 @@ from quillstone.llm.token_counts import byte_letters, vocabulary_path
 CAPACITY, END_ID = 4096, 2
 #: Tokens of padding that a cut must save.
 CUT_COST = 8.0
-#: Words that a worker remembers, and the bytes of the longest one.
+#: Words that a worker remembers of late, and as many from before, and the bytes of the longest one.
 REMEMBERED, LONGEST = 400_000, 48
 #: Bytes of a text that are split into words at a time, and of ids in an Arrow batch that goes back.
 STRETCH, BATCH_IDS = 1 << 20, 1 << 20
@@ -30,16 +32,20 @@ REST = 64
 
 PIECE = ("start", "length", "doc_tokens", "ids", "sequence_id", "offset")
 
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-#: Latin letters that no normal form composes further and that lower-case one by one, before marks that end a sentence.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+#: Printable ASCII and Latin letters that no normal form composes further and that lower-case one by one.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+#: The tokenizer's own rule for parts of a stretch, on these characters.
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^0-9a-zß-öø-ſ]+")
 
 
 class Words(dict):
     """A tokenizer's ids, as little-endian bytes, of each stretch of a text between ASCII white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its stretches in turn. A plain
-    word goes to the library's model at once, without its normaliser; anything else goes through the whole library.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its stretches in turn. A stretch
+    of common characters is cut by the tokenizer's rule and goes to the library's model at once, without its normaliser;
+    anything else, and what may be a special token, goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -49,21 +55,31 @@ class Words(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.letter = {b: c for c, b in byte_letters().items()}
+        self.model = self.library.model
+        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        self.before: dict[bytes, bytes] = {}
+
+    def plain(self, word: str) -> list[int]:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def found(self, stretch: bytes) -> bytes:
         text = stretch.decode("utf-8", "replace")
-        if plain := _SIMPLE.fullmatch(text):
-            parts = [p for p in (plain[1].lower(), plain[2]) if p]
-            ids = [t.id for p in parts for t in self.library.model.tokenize("".join(self.letter[b] for b in p.encode()))]
+        if _SIMPLE.fullmatch(text) and "<|" not in text:
+            ids = []
+            for part in _PART.findall(text.lower()):
+                ids += self.plain(part)
         else:
             ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, stretch: bytes) -> bytes:
-        ids = self.found(stretch)
+        ids = self.before.get(stretch)
+        if ids is None:
+            ids = self.found(stretch)
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids

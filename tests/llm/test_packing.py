@@ -25,7 +25,7 @@ def ids_of(library, text, end=(2,)):
 
 def texts():
     rng = random.Random(11)
-    yield from ["", " ", "Don't STOP, we'll go!", "a<|endoftext|>b <|STARTOFTEXT|> <|endoftext|>", "J̌ ǰ İ İ ǅ ǰ", "don't 're's", "x" * 3000, "　a　b\x85c\x1cd", "Ñandú, Łódź. Œuvre! ſtop", "a,b. c.d .e;", "́a", "漢字 ½ 12345 ⅷ"]
+    yield from ["", " ", "Don't STOP, we'll go!", "a<|endoftext|>b <|STARTOFTEXT|> <|endoftext|>", "J̌ ǰ İ İ ǅ ǰ", "don't 're's", "x" * 3000, "　a　b\x85c\x1cd", "Ñandú, Łódź. Œuvre! ſtop", "a,b. c.d .e;", "it's I'LL 'd''ve x're't 12.5% <<|>> <a@b.c>", "2024-01-02T03:04 ....!!", "́a", "漢字 ½ 12345 ⅷ"]
     for _ in range(300):
         yield "".join(chr(rng.choice([32, 10, 9, 39, 115, 116, 74, 97, 48, 46, 44, 0xC9, 0xDF, 0x130, 0x17F, 0x20AC, 0x3000, 0x85, 0xA0, 0x301, 0x30C, 0x1F1E6])) for _ in range(rng.randrange(60)))
 
@@ -34,11 +34,14 @@ def test_ids_are_the_library_s(library, monkeypatch):
     words = packing.Words(PATH)
     for text in texts():
         assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == ids_of(library, text, ())
+    for c in map(chr, range(33, 0x250)):
+        text = f"a{c}b {c} {c}{c} 1{c}' {c.upper()}'S"
+        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == ids_of(library, text, ()), hex(ord(c))
     monkeypatch.setattr(packing, "STRETCH", 50)
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     words, long = packing.Words(PATH), " ".join(texts())
     assert np.frombuffer(words.ids(long.encode()), "<u4").tolist() == ids_of(library, long, ())
-    assert len(words) <= 5
+    assert len(words) <= 5 and len(words.before) <= 5
 
 
 @pytest.mark.parametrize("capacity, cost", [(64, 0.0), (64, 4.0), (100, 2.0), (4096, 8.0)])
