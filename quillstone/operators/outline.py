@@ -1,4 +1,4 @@
-"""Reading of laid-out documents: regions, outlines, rows, and nearest and range joins over spans."""
+"""Reading of laid-out documents: outlines, entries, rows, and the nearest lines of a bar."""
 
 from __future__ import annotations
 
@@ -9,25 +9,8 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import collapse_spaces
 from quillstone.operators.common import joined
 
-# Fixed values, in points but for the share.
-#: Gap before the next item's mark, least height of a region, bottom of a page's body, share of the lower line's height
-#: that puts lines on one row, and overlap that lets a bar see a line.
-REGION_GAP, REGION_HEIGHT, BODY_BOTTOM, ROW_OVERLAP, SPAN_OVERLAP = 8.0, 1.0, 780.0, 0.25, 0.5
-
-
-def segment_regions(marks: DataFrame, spans: DataFrame) -> DataFrame:
-    """A region from each item's mark to just above the next one on its page.
-
-    The last one of a page ends just below the lowest line that begins under its mark and within the body, or with the
-    body where there is none. No region is lower than a point.
-    """
-    w = Window.partitionBy("doc_id", "page").orderBy("y0", "line_no")
-    ended = marks.select("doc_id", "page", "line_no", "y0", F.lead("y0").over(w).alias("next"))
-    last = ended.where("next IS NULL").select("doc_id", "page", F.col("y0").alias("top"))
-    body = spans.where(F.trim("line") != "").where(F.col("y0") <= BODY_BOTTOM).select("doc_id", "page", "y0", "y1")
-    ink = body.join(last, ["doc_id", "page"]).where("y0 > top").groupBy("doc_id", "page").agg(F.max("y1").alias("ink"))
-    bottom = F.when(F.col("next").isNotNull(), F.col("next") - REGION_GAP).otherwise(F.coalesce(F.col("ink") + REGION_GAP, F.lit(BODY_BOTTOM)))
-    return ended.join(ink, ["doc_id", "page"], "left").select("doc_id", "page", "line_no", "y0", F.greatest(F.col("y0") + REGION_HEIGHT, bottom).alias("y1"))
+# The share of the lower line's height that puts lines on one row, and the overlap that lets a bar see a line.
+ROW_OVERLAP, SPAN_OVERLAP = 0.25, 0.5
 
 
 def outline(lines: DataFrame) -> DataFrame:
@@ -65,15 +48,6 @@ def nearest_lines(bars: DataFrame, lines: DataFrame) -> DataFrame:
     return best.withColumn("conflict", F.row_number().over(w) > 1)
 
 
-def range_cut(marks: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Each item ends at the next mark, or earlier at the first break that lies strictly between."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    ranges = marks.select("doc_id", "line_no", F.coalesce(F.lead("line_no").over(w), F.lit(1 << 30)).alias("next"))
-    b = breaks.select("doc_id", F.col("line_no").alias("break"))
-    hits = ranges.join(b, "doc_id").where("break > line_no AND break < next").groupBy("doc_id", "line_no").agg(F.min("break").alias("cut"))
-    return ranges.join(hits, ["doc_id", "line_no"], "left")
-
-
 def visual_rows(spans: DataFrame) -> DataFrame:
     """Lines of a page in visual rows, read from left to right: ``doc_id, page, row, text``.
 

@@ -11,15 +11,6 @@ from quillstone.plans.registry import query
 from quillstone.plans.roles import lines, spans
 
 
-@query("""
-WITH marks AS (SELECT doc_id, page, line_no, y0, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, line_no) AS next FROM spans WHERE line_no % 5 = 0),
-inks AS (SELECT s.doc_id, s.page, max(s.y1) AS ink FROM spans s JOIN marks m ON m.doc_id = s.doc_id AND m.page = s.page AND m.next IS NULL AND s.y0 > m.y0 WHERE trim(s.line) <> '' AND s.y0 <= 780 GROUP BY s.doc_id, s.page)
-SELECT doc_id, page, line_no, y0, greatest(y0 + 1.0, CASE WHEN next IS NOT NULL THEN next - 8.0 ELSE coalesce(ink + 8.0, 780.0) END)::DOUBLE AS y1 FROM marks LEFT JOIN inks USING (doc_id, page)""")
-def segment_regions(spark: SparkSession, d: str) -> DataFrame:
-    all_spans = spans(spark, d)
-    return O.segment_regions(all_spans.where("line_no % 5 = 0"), all_spans)
-
-
 @query("""
 WITH marked AS (SELECT doc_id, line_no, line, CASE WHEN line_no % 10 = 0 THEN 1 WHEN line_no % 5 = 0 THEN 2 END AS level, CASE WHEN line_no % 5 = 0 THEN split_part(line, ' ', 1) END AS code FROM lines),
 rooted AS (SELECT *, last_value(CASE WHEN level = 1 THEN code END IGNORE NULLS) OVER w AS root, count(CASE WHEN level = 1 THEN 1 END) OVER w AS run FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
@@ -52,14 +43,6 @@ def nearest_pair(spark: SparkSession, d: str) -> DataFrame:
     return O.nearest_lines(all_spans.where("line_no % 7 = 3").withColumn("y", F.col("y0") - 1), all_spans)
 
 
-@query("""
-WITH r AS (SELECT doc_id, line_no, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), 1073741824)::INT AS next FROM spans WHERE line_no % 5 = 0)
-SELECT r.doc_id, r.line_no, any_value(r.next) AS next, min(b.line_no) AS cut FROM r LEFT JOIN (SELECT doc_id, line_no FROM spans WHERE line_no % 9 = 4) b ON b.doc_id = r.doc_id AND b.line_no > r.line_no AND b.line_no < r.next GROUP BY r.doc_id, r.line_no""")
-def range_cut(spark: SparkSession, d: str) -> DataFrame:
-    all_spans = spans(spark, d)
-    return O.range_cut(all_spans.where("line_no % 5 = 0"), all_spans.where("line_no % 9 = 4"))
-
-
 @query("""
 WITH f AS (SELECT doc_id, page, line_no % 3 AS label, y0, y1 FROM spans WHERE line_no % 4 <> 1),
 o AS (SELECT *, coalesce((y0 - max(y1) OVER (PARTITION BY doc_id, page, label ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 3)::INT, 0) AS fresh FROM f),

@@ -112,25 +112,6 @@ def cross_check(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("doc_id", "page", F.array_join(problems(flagged(~F.array_contains(found, (F.col("doc_id") % 10).cast("string")), "number_not_on_page"), flagged(F.col("width") <= 0, "degenerate_box")), ",").alias("problems"))
 
 
-@query("""
-WITH now AS (SELECT doc_id, page, max(y1) AS bottom, count(*) AS n FROM spans GROUP BY doc_id, page)
-SELECT doc_id, page, bottom, stored, CASE WHEN n > 10 AND bottom - stored > 1 THEN 'missing_option' ELSE 'midline_cut' END AS verdict FROM (SELECT *, bottom - (doc_id % 5) * 6 AS stored FROM now) WHERE bottom > stored""")
-def region_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Stored extents against recomputed ones: what a cut lost decides the verdict."""
-    now = spans(spark, d).groupBy("doc_id", "page").agg(F.max("y1").alias("bottom"), F.count(F.lit(1)).alias("n")).withColumn("stored", F.col("bottom") - (F.col("doc_id") % 5) * 6)
-    verdict = F.when((F.col("n") > 10) & (F.col("bottom") - F.col("stored") > 1), "missing_option").otherwise("midline_cut")
-    return now.where("bottom > stored").select("doc_id", "page", "bottom", "stored", verdict.alias("verdict"))
-
-
-@query("""
-SELECT doc_id, page, line_no FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS regions, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS rn FROM spans WHERE line_no % 5 = 0) WHERE regions > 1 AND rn = 1 AND x1 - x0 < 120""")
-def spurious_tail(spark: SparkSession, d: str) -> DataFrame:
-    """The last of several regions of a document, where it is too small to be one."""
-    w = Window.partitionBy("doc_id")
-    marked = spans(spark, d).where("line_no % 5 = 0").withColumn("regions", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("line_no"))))
-    return marked.where("regions > 1 AND rn = 1 AND x1 - x0 < 120").select("doc_id", "page", "line_no")
-
-
 @query("SELECT subject_id, count(*) FILTER (status = 'approved' AND confidence < 75) AS below_floor, count(*) FILTER (status = 'approved' AND confidence < 60) AS below_06, count(*) AS n FROM bank GROUP BY subject_id")
 def tag_quality(spark: SparkSession, d: str) -> DataFrame:
     ok = F.col("status") == "approved"
@@ -166,16 +147,6 @@ def count_agreement(spark: SparkSession, d: str) -> DataFrame:
     return _topic_counts(spark, d).join(listed, "topic_id").where("n <> shown").select("topic_id", F.col("n").alias("counted"), "shown")
 
 
-@query("""
-WITH r AS (SELECT root, n FROM leaves GROUP BY root, n)
-SELECT root, n AS missing FROM (SELECT root, unnest(range(n + 1, nxt)) AS n FROM (SELECT root, n, lead(n) OVER (PARTITION BY root ORDER BY n) AS nxt FROM r) WHERE nxt > n + 1) WHERE EXISTS (SELECT 1 FROM bank b WHERE b.question_id = root)""")
-def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers missing between neighbours, where a candidate exists to fill them."""
-    w = Window.partitionBy("root").orderBy("n")
-    found = leaves(spark, d).select("root", "n").distinct().withColumn("nxt", F.lead("n").over(w)).where("nxt > n + 1")
-    return found.select("root", F.explode(F.sequence(F.col("n") + 1, F.col("nxt") - 1)).alias("missing")).join(bank(spark, d).select(F.col("question_id").alias("root")), "root", "left_semi")
-
-
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <> n_chars + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END")
 def length_mismatch(spark: SparkSession, d: str) -> DataFrame:
     """Texts that are not as long as was recorded (here, one longer for every thirteenth)."""
