@@ -49,19 +49,3 @@ def matched(questions: DataFrame, entries: DataFrame) -> DataFrame:
     rest_q = questions.join(both.select("doc", "question_id"), ["doc", "question_id"], "left_anti").select("doc", "label", "question_id", F.lit(None).cast("bigint").alias("entry_id"))
     rest_e = entries.join(both.select("doc", "entry_id"), ["doc", "entry_id"], "left_anti").select("doc", "label", F.lit(None).cast("bigint").alias("question_id"), "entry_id")
     return both.select("doc", "label", "question_id", "entry_id").withColumn("outcome", F.lit("matched")).unionByName(rest_q.withColumn("outcome", F.lit("question_left"))).unionByName(rest_e.withColumn("outcome", F.lit("entry_left")))
-
-
-def answer_grid(tokens: DataFrame) -> DataFrame:
-    """``doc_id, number, answer`` from a token stream: a number, a letter A to E, a number of marks.
-
-    Of hits that overlap (two apart, through a shared number) the odd ones of a run are kept, as a greedy scan would;
-    a number with two different answers is dropped. Input: ``doc_id, place, token``, without blank tokens.
-    """
-    w = Window.partitionBy("doc_id").orderBy("place")
-    shape = tokens.select("doc_id", F.row_number().over(w).alias("at"), F.col("token").alias("number"), F.lead("token", 1).over(w).alias("answer"), F.lead("token", 2).over(w).alias("marks"))
-    hits = shape.where(F.col("number").rlike(r"^\d{1,2}$") & F.col("answer").rlike("^[A-E]$") & F.col("marks").rlike(r"^\d{1,2}$"))
-    run = hits.withColumn("opens", (F.col("at") - F.lag("at").over(Window.partitionBy("doc_id").orderBy("at")) != 2).cast("int"))
-    run = run.withColumn("run", F.sum(F.coalesce("opens", F.lit(1))).over(Window.partitionBy("doc_id").orderBy("at")))
-    kept = run.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("at"))).where("i % 2 = 1")
-    grid = kept.groupBy("doc_id", F.col("number").cast("int").alias("number")).agg(F.min("answer").alias("answer"), F.max("answer").alias("other"))
-    return grid.where("answer = other").drop("other")

@@ -1,4 +1,4 @@
-"""Reading of laid-out documents: outlines, entries, rows, and the nearest lines of a bar."""
+"""Reading of laid-out pages: visual rows, and the nearest lines of a bar."""
 
 from __future__ import annotations
 
@@ -7,33 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import collapse_spaces
-from quillstone.operators.common import joined
 
 # The share of the lower line's height that puts lines on one row, and the overlap that lets a bar see a line.
 ROW_OVERLAP, SPAN_OVERLAP = 0.25, 0.5
 
 
-def outline(lines: DataFrame) -> DataFrame:
-    """Lines under their open heading path: ``level`` 1 or 2 opens a heading, null is text.
-
-    A root heading closes the section below it. Headings of equal codes (a "continued" one) are one section.
-    """
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rooted = lines.withColumn("root", F.last(F.when(F.col("level") == 1, F.col("code")), ignorenulls=True).over(so_far)).withColumn("run", F.count(F.when(F.col("level") == 1, 1)).over(so_far))
-    inner = Window.partitionBy("doc_id", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    path = rooted.withColumn("section", F.last(F.when(F.col("level") == 2, F.col("code")), ignorenulls=True).over(inner))
-    text = path.where("level IS NULL AND root IS NOT NULL")
-    return text.groupBy("doc_id", "root", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.min("line_no").alias("first_line"))
-
-
-def entries(lines: DataFrame) -> DataFrame:
-    """Entries of a marking document: the text under each label and the sum of its codes."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = lines.withColumn("entry", F.last("label", ignorenulls=True).over(w)).where("label IS NULL AND entry IS NOT NULL")
-    return filled.groupBy("doc_id", "entry").agg(joined(["line_no"], F.col("line"), " ").alias("content"), F.sum("code_marks").alias("marks"))
-
-
 def nearest_lines(bars: DataFrame, lines: DataFrame) -> DataFrame:
     """For each bar the nearest line above and below that overlaps it by more than half a unit across.
 

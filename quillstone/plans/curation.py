@@ -144,29 +144,6 @@ def subtree_text(spark: SparkSession, d: str) -> DataFrame:
     return leaves(spark, d).where("flag <> ''").groupBy("root").agg(F.trim(joined(["n"], F.concat("flag", "marks"), " ")).alias("text"))
 
 
-TOKENS = """
-tokens AS (
-  SELECT paper AS doc_id, unnest(range(3))::INT + 3 * (row_number() OVER (PARTITION BY paper ORDER BY question_id) - 1) AS place, unnest([(question_id % 40)::VARCHAR, chr((65 + answer)::INT), CASE WHEN question_id % 6 = 0 THEN 'x' ELSE '1' END]) AS token FROM bank),
-shape AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos, token AS number, lead(token, 1) OVER (PARTITION BY doc_id ORDER BY place) AS answer, lead(token, 2) OVER (PARTITION BY doc_id ORDER BY place) AS marks FROM tokens),
-hits AS (SELECT * FROM shape WHERE regexp_matches(number, '^\\d{1,2}$') AND regexp_matches(answer, '^[A-E]$') AND regexp_matches(marks, '^\\d{1,2}$')),
-runs AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, coalesce((pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <> 2)::INT, 1) AS opens FROM hits)),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS i FROM runs) WHERE i % 2 = 1),
-grid AS (SELECT doc_id, number::INT AS number, min(answer) AS answer FROM kept GROUP BY doc_id, number::INT HAVING min(answer) = max(answer))"""
-
-
-@query(f"WITH {TOKENS} SELECT doc_id, number, answer FROM grid")
-def answer_grid(spark: SparkSession, d: str) -> DataFrame:
-    return U.answer_grid(_tokens(spark, d))
-
-
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("paper").orderBy("question_id")) - 1
-    three = F.array((F.col("question_id") % 40).cast("string"), F.char(65 + F.col("answer")), F.when(F.col("question_id") % 6 == 0, "x").otherwise("1"))
-    return bank(spark, d).select(F.col("paper").alias("doc_id"), (at * 3).alias("base"), three.alias("t")).select("doc_id", "base", F.posexplode("t").alias("i", "token")).select("doc_id", (F.col("base") + F.col("i")).alias("place"), "token")
-
-
 @query("""
 SELECT root, count(*) AS leaves, string_agg(label, ',' ORDER BY n, label) AS labels FROM leaves WHERE flag = 'A' AND marks % 10 = 0 GROUP BY root""")
 def marks_worksheet(spark: SparkSession, d: str) -> DataFrame:

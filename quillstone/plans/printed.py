@@ -95,3 +95,111 @@ regions AS (
   SELECT doc_id, page, number, 45.0::DOUBLE AS x0, y0 - 8 AS y0, 555.0::DOUBLE AS x1, greatest(y0 + 1, CASE WHEN next IS NULL THEN coalesce(ink + 8, 780) ELSE next - 8 END) AS y1
   FROM bounded LEFT JOIN inks USING (doc_id, page))
 """
+
+#: Read by both dialects: eight orders are a document, two of them a page; a line item is listed once.
+_LISTED = "CAST(floor(l_orderkey / 8.0) AS BIGINT) AS doc_id, CAST(l_orderkey % 8 AS INT) AS o, CAST(l_linenumber AS INT) AS n, CAST(min(l_quantity) AS INT) AS q, min(l_partkey) AS part, min(l_suppkey) AS supp"
+
+#: A syllabus's rows: text, size of type, weight, left edge.
+_SYLLABUS = (
+    ("n = 1 AND o IN (0, 4, 6)", "(o + 1) || CASE WHEN o = 0 AND doc_id % 5 = 0 OR o = 6 THEN ' Subject contents' WHEN o = 4 AND doc_id % 2 = 0 THEN ' Assessment' ELSE ' Subject content' END", "18.0", "true", "62.4"),
+    ("n = 1", "(o % 3 + 1) || ' Section ' || o || CASE WHEN o > 2 THEN ' Continued ' ELSE '' END", "13.0", "true", "62.4"),
+    ("n % 3 = 2", "(o % 3 + 1) || '.' || (q % 3 + 1) || ' Topic ' || q || CASE WHEN q % 2 = 0 THEN ' continued' ELSE '' END", "10.0", "true", "62.4"),
+    ("q % 7 = 1", "(o % 3 + 1) || '.1.' || (q % 2 + 1) || ' Part of ' || part", "10.0", "false", "62.4"),
+    ("q % 2 = 0", "n || ' explain ' || part", "10.0", "false", "62.4"),
+    ("q % 3 = 0", "'and more of ' || supp", "10.0", "false", "85.0"),
+    ("q % 5 = 0", "'7 no item, too far in'", "10.0", "false", "85.0"),
+)
+#: A mark scheme's lines; documents of every third number write marks as lone numbers.
+_SCHEME = (
+    ("n = 1 AND o % 2 = 0", "'before the notice'"),
+    ("n = 1 AND o % 2 = 0 AND part % 9 <> 0", "'© of the board'"),
+    ("n = 1 AND o = 0", "'1 general principle'"),
+    ("n = 1 AND o % 2 = 0", "'Page ' || (o + 1) || ' of 8'"),
+    ("n = 1 AND o % 2 = 0", "'Question'"),
+    ("n = 1 AND o % 2 = 0", "' Answer '"),
+    ("n = 1 AND o = 4", "'Section B'"),
+    ("n = 1", "(o + 1) || '(a)'"),
+    ("n = 2", "(o + 1) || '(a)(i)2 first point'"),
+    ("n = 3", "'( b )'"),
+    ("n = 4", "(o + q % 3) || ' (b) (ii) of ' || part"),
+    ("n = 5", "'((c) (v)'"),
+    ("n = 6", "CAST(o + 2 AS STRING)"),
+    ("n = 6 AND q % 2 = 0", "'4Be'"),
+    ("n = 7", "'(i) B' || (o + 3)"),
+    ("true", "'award  for ' || part"),
+    ("q % 13 = 0", "(o + 2) || ' 250 J'"),
+    ("q % 2 = 0 AND doc_id % 3 <> 0", "'M' || (q % 3 + 1)"),
+    ("q % 4 = 1 AND doc_id % 3 <> 0", "'a1'"),
+    ("q % 3 = 1", "CAST(q % 4 AS STRING)"),
+)
+#: Threshold documents: components up to order 3, grades, then combinations by code or by list.
+_THRESHOLDS = (
+    ("n = 1 AND o < 4", "'Component ' || (o + 1) || CASE WHEN q % 4 = 0 THEN '' ELSE CAST(q % 3 + 1 AS STRING) END"),
+    ("n = 1 AND o < 4", "CAST(80 + q AS STRING)"),
+    ("n = 1 AND o < 4", "' ' || (70 + q % 5)"),
+    ("n = 1 AND o < 4", "CAST(60 + q % 5 AS STRING)"),
+    ("n = 1 AND o < 4", "CASE WHEN doc_id % 7 = 3 AND o = 2 THEN 'n/a' ELSE '50' END"),
+    ("n = 1 AND o < 4", "'40'"),
+    ("n = 1 AND o < 4", "'30'"),
+    ("n = 1 AND o = 4 AND doc_id % 5 <> 0", "'A*'"),
+    ("n = 2 AND q % 2 = 0", "'11'"),
+    ("n = 1 AND o > 4", "CASE WHEN q % 2 = 0 THEN 'A' || substr('XYZ', CAST(q % 3 + 1 AS INT), 1) ELSE '1' || (q % 3) || ', 21, 4' || (o % 2) END"),
+    ("n = 1 AND o > 4", "CAST(160 + q AS STRING)"),
+    ("n = 1 AND o > 4 AND q % 2 = 0", "'11, 21,31'"),
+    ("n = 1 AND o > 4", "'140'"),
+    ("n = 1 AND o > 4", "'99'"),
+    ("n = 1 AND o > 4", "'88'"),
+    ("n = 1 AND o > 4", "'77'"),
+    ("n = 1 AND o > 4", "CAST(60 + q % 7 AS STRING)"),
+    ("n = 1 AND o > 4 AND part % 11 <> 0", "'12'"),
+    ("n = 3", "'the end'"),
+)
+#: Answer grids: pages of orders 0 and 1 are modern, of 2 to 5 legacy, the rest neither.
+_GRIDS = (
+    ("n = 1 AND o % 2 = 0", "'12'"),
+    ("n = 1 AND o % 2 = 0", "'a'"),
+    ("n = 1 AND o < 2", "'Question'"),
+    ("n = 1 AND o = 0", "'ANSWER   Mark'"),
+    ("n = 1 AND o = 1", "'Answer'"),
+    ("n = 1 AND o = 1", "'Marks'"),
+    ("n = 1 AND o IN (2, 4)", "'Question Number'"),
+    ("n = 1 AND o IN (2, 4)", "'Key'"),
+    ("q % 17 <> 0", "CAST(o * 5 + n AS STRING)"),
+    ("true", "substr('ABCDEabcdeX', CAST((o * 5 + n + CASE WHEN q % 19 = 0 THEN 1 ELSE 0 END) % 11 + 1 AS INT), 1)"),
+    ("o < 2 AND q % 11 <> 0", "'1'"),
+)
+
+
+def _listed(spark: SparkSession, d: str, rules: tuple, names: tuple) -> DataFrame:
+    base = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.expr(e) for e in _split(_LISTED)[3:])).selectExpr(*_split(_LISTED)[:3], "q", "part", "supp")
+    field = lambda c, e: F.expr(e).cast("double" if c in ("size", "x0") else "boolean" if c == "bold" else "string").alias(c)
+    each = [F.when(F.expr(rule[0]), F.struct((F.col("o") * 200 + F.col("n") * 20 + k).alias("line_no"), *map(field, names, rule[1:]))) for k, rule in enumerate(rules)]
+    return base.select("doc_id", F.floor(F.col("o") / 2).cast("int").alias("page"), F.explode(F.filter(F.array(*each), lambda s: s.isNotNull())).alias("s")).select("doc_id", "page", "s.*")
+
+
+def syllabus_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, _SYLLABUS, ("text", "size", "bold", "x0")).withColumnRenamed("line_no", "row_no")
+
+
+def scheme_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, _SCHEME, ("line",))
+
+
+def threshold_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, _THRESHOLDS, ("line",))
+
+
+def grid_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, _GRIDS, ("line",))
+
+
+def _listed_sql(name: str, rules: tuple, names: tuple) -> str:
+    field = lambda c, e: f"({e})::{'DOUBLE' if c in ('size', 'x0') else 'BOOLEAN' if c == 'bold' else 'VARCHAR'} AS {c}"
+    rows = " UNION ALL ".join(f"SELECT doc_id, (o // 2)::INT AS page, o * 200 + n * 20 + {k} AS line_no, {', '.join(map(field, names, rule[1:]))} FROM listed WHERE {rule[0]}" for k, rule in enumerate(rules))
+    return f"listed AS (SELECT {_LISTED} FROM lineitem GROUP BY l_orderkey, l_linenumber),\n{name} AS ({rows})"
+
+
+SYLLABUS_SQL = _listed_sql("syllabus", _SYLLABUS, ("text", "size", "bold", "x0"))
+SCHEME_SQL = _listed_sql("scheme", _SCHEME, ("line",))
+THRESHOLDS_SQL = _listed_sql("thresholds", _THRESHOLDS, ("line",))
+GRIDS_SQL = _listed_sql("grids", _GRIDS, ("line",))

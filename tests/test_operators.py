@@ -41,26 +41,6 @@ def test_two_claimants_of_a_label_both_go(spark):
     assert rows(got.where("outcome = 'question_left'").select("question_id")) == [(11,), (12,), (13,)]
 
 
-def test_an_answer_grid_refuses_conflicts(spark):
-    tokens = "Question Answer Marks 1 A 1 2 B 1 3 C 1 3 D 1 4 E 1 x 5 A 1".split()
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(tokens)], "doc_id int, place int, token string")
-    assert rows(curation.answer_grid(df).select("number", "answer")) == [(1, "A"), (2, "B"), (4, "E"), (5, "A")]
-    overlapping = spark.createDataFrame([(1, i, t) for i, t in enumerate("1 A 2 B 3".split())], "doc_id int, place int, token string")
-    assert rows(curation.answer_grid(overlapping).select("number", "answer")) == [(1, "A")]
-
-
-# --- learner
-
-
-LOG = "seq bigint, user_id bigint, question_id bigint, is_correct boolean, time_ms bigint, created_at timestamp"
-
-
-def log(spark, *attempts):
-    from datetime import datetime
-
-    return spark.createDataFrame([(*a, datetime(2024, 1, 1)) for a in attempts], LOG)
-
-
 def test_the_latest_answer_counts(spark):
     a = log(spark, (2, 1, 1, False, 30), (5, 1, 1, True, 10), (3, 1, 2, None, 5), (4, 1, 3, False, None))
     assert rows(learner.current_answers(a).select("question_id", "seq")) == [(1, 5), (2, 3), (3, 4)]
@@ -164,11 +144,6 @@ def test_islands_and_gaps(spark):
     assert rows(common.gaps(numbers, ["k"], "n")) == [("a", 2), ("a", 3)]
 
 
-def test_an_outline_resets_its_sections(spark):
-    df = spark.createDataFrame([(1, 0, "t", None, None), (1, 1, "H", 1, "A"), (1, 2, "s", 2, "A1"), (1, 3, "x", None, None), (1, 4, "H", 1, "B"), (1, 5, "yy", None, None), (1, 6, "H", 1, "A"), (1, 7, "z", 2, "A1"), (1, 8, "w", None, None)], "doc_id int, line_no int, line string, level int, code string")
-    assert rows(outline.outline(df).select("root", "section", "n_lines")) == [("A", "A1", 2), ("B", None, 1)]
-
-
 def test_rows_of_overlapping_lines(spark):
     """A tall line joins a short one by the short one's height; only the row before is looked at; blank lines are none."""
     lines = [(1, 0, 0, "b", 0, 10, 50), (1, 0, 1, "a", 2, 12, 10), (1, 0, 2, "c", 20, 30, 0), (1, 0, 3, " ", 20, 30, 0), (1, 0, 4, "tall", 29, 89, 9), (1, 0, 5, "low", 27, 31, 0), (1, 0, 6, "d", 0, 10, 0), (1, 1, 0, "x\t\x07y", 0, 0, 0), (1, 1, 1, "z", 0, 0, 0)]
@@ -176,14 +151,6 @@ def test_rows_of_overlapping_lines(spark):
     assert rows(outline.visual_rows(df).select("page", "row", "text")) == [(0, 0, "a b"), (0, 1, "c"), (0, 2, "low tall"), (0, 3, "d"), (1, 0, "x y"), (1, 1, "z")]
 
 
-def test_regions_end_above_the_next_mark_or_below_the_ink(spark):
-    columns = "doc_id bigint, page int, line_no int, line string, y0 double, y1 double"
-    spans = [(1, 0, 0, "1", 50.0, 60.0), (1, 0, 1, "text", 65.0, 75.0), (1, 0, 2, "2", 100.0, 110.0), (1, 0, 3, "more", 112.0, 190.0), (1, 0, 4, " ", 300.0, 310.0), (1, 0, 5, "footer", 790.0, 800.0), (1, 1, 0, "3", 50.0, 60.0), (1, 1, 1, "4", 55.0, 65.0)]
-    df = spark.createDataFrame(spans, columns)
-    got = outline.segment_regions(df.where("line IN ('1', '2', '3', '4')"), df)
-    assert rows(got.select("page", "line_no", "y1")) == [(0, 0, 92.0), (0, 2, 198.0), (1, 0, 51.0), (1, 1, 780.0)]
-
-
 # --- catalogue and retrieval
 
 
