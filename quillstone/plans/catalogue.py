@@ -115,12 +115,79 @@ def options_map(spark: SparkSession, d: str) -> DataFrame:
     return made.select("conv_id", F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("options"))
 
 
-@query(f"WITH {GROUPS}, {CODES}, {ALSO} " + "SELECT question_id, bank.paper, ordinal, answer, topic_codes, canonical_id, coalesce(others, 0) AS others, round(price / nullif(ordinal, 0), 4) AS ratio FROM bank LEFT JOIN codes USING (question_id) LEFT JOIN (SELECT question_id, canonical_id, others FROM also) a USING (question_id) WHERE status = 'approved'")
+#: Questions' assets and trees, read by both dialects: a part of a question has a sub-part for every fifth supplier.
+_PART = "CAST(root AS STRING) AS root, CAST(root AS STRING) || '(' || n || ')' AS id, n, max(marks) AS marks, min(flag) AS flag, min(part) AS part, min(supp) AS supp"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return leaves(spark, d).groupBy("root", "n").agg(F.max("marks").alias("marks"), F.min("flag").alias("flag"), F.min("part").alias("part"), F.min("supp").alias("supp")).select(F.col("root").cast("string").alias("root"), F.concat("root", F.lit("("), "n", F.lit(")")).alias("id"), "n", "marks", "flag", "part", "supp")
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    top = roots(spark, d).selectExpr("CAST(root AS STRING) AS id", "CAST(NULL AS STRING) AS parent", "CAST(root AS STRING) AS root", "0 AS ordinal", "CAST(NULL AS INT) AS max_marks", "priority AS mark_scheme_text", "CAST(NULL AS STRING) AS review_flag")
+    parts = _parts(spark, d)
+    first = parts.selectExpr("id", "root AS parent", "root", "n * 10 AS ordinal", "marks AS max_marks", "flag || part AS mark_scheme_text", "nullif(flag, 'N') AS review_flag")
+    below = parts.where("supp % 5 = 0").selectExpr("id || '(i)' AS id", "id AS parent", "root", "n * 10 + 1 AS ordinal", "marks + 1 AS max_marks", "CAST(supp AS STRING) AS mark_scheme_text", "nullif(flag, 'A') AS review_flag")
+    return top.unionByName(first).unionByName(below)
+
+
+def _assets(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of questions, of their parts' mark schemes, and of some questions' own; some boxes have no width."""
+    parts = _parts(spark, d)
+    box = ("10.0 AS x0", "20.0 AS y0", "CASE WHEN part % 7 = 0 THEN 10.0 ELSE 26.0 END AS x1", "21.0 + supp % 50 AS y1")
+    one = lambda rows, owner, kind, order: rows.selectExpr(f"{owner} AS owner", f"'{kind}' AS kind", f"{order} AS sort_order", "supp % 4 AS page_number", "part || '-' || n AS storage_key", *box)
+    made = one(parts, "root", "question_crop", "n % 3").unionByName(one(parts.where("part % 2 = 0"), "id", "mark_scheme_crop", "1")).unionByName(one(parts.where("part % 4 = 0"), "id", "mark_scheme_crop", "0"))
+    return made.unionByName(one(parts.where("n = 1 AND part % 3 = 0"), "root", "mark_scheme_crop", "0"))
+
+
+def _crop_text(name: str):
+    """Crops flattened for the comparison alone."""
+    shown = lambda c: F.concat_ws(":", c["page_number"], c["storage_key"], F.coalesce(c["aspect_ratio"].cast("decimal(12,4)").cast("string"), F.lit("-")))
+    return F.array_join(F.transform(name, shown), ";")
+
+
+def _part_text(part):
+    crops = F.transform(part["mark_scheme_crops"], lambda c: F.concat_ws(":", c["page_number"], c["storage_key"], F.coalesce(c["aspect_ratio"].cast("decimal(12,4)").cast("string"), F.lit("-"))))
+    return F.concat_ws("/", part["display_label"], part["max_marks"], part["mark_scheme_text"], F.coalesce(part["review_flag"], F.lit("-")), F.array_join(crops, ";"))
+
+
+NESTED = f"""
+parts_ AS (SELECT {_PART} FROM leaves GROUP BY root, n),
+tree AS (
+  SELECT root::VARCHAR AS id, NULL::VARCHAR AS parent, root::VARCHAR AS root, 0 AS ordinal, NULL::INT AS max_marks, priority AS mark_scheme_text, NULL::VARCHAR AS review_flag FROM roots
+  UNION ALL SELECT id, root, root, n * 10, marks, flag || part, nullif(flag, 'N') FROM parts_ UNION ALL SELECT id || '(i)', id, root, n * 10 + 1, marks + 1, supp::VARCHAR, nullif(flag, 'A') FROM parts_ WHERE supp % 5 = 0),
+assets AS (
+  SELECT owner, kind, sort_order, supp % 4 AS page_number, part || '-' || n AS storage_key, coalesce(round((1.0 + supp % 50) / CASE WHEN part % 7 <> 0 THEN 16.0 END, 4)::DECIMAL(12, 4)::VARCHAR, '-') AS ratio
+  FROM (SELECT *, root AS owner, 'question_crop' AS kind, n % 3 AS sort_order FROM parts_ UNION ALL SELECT *, id, 'mark_scheme_crop', 1 FROM parts_ WHERE part % 2 = 0
+    UNION ALL SELECT *, id, 'mark_scheme_crop', 0 FROM parts_ WHERE part % 4 = 0 UNION ALL SELECT *, root, 'mark_scheme_crop', 0 FROM parts_ WHERE n = 1 AND part % 3 = 0)),
+crop_texts AS (SELECT owner, kind, string_agg(page_number || ':' || storage_key || ':' || ratio, ';' ORDER BY sort_order, page_number, storage_key) AS crops FROM assets GROUP BY owner, kind),
+leaf_texts AS (
+  SELECT t.root, string_agg(id || '/' || max_marks || '/' || mark_scheme_text || '/' || coalesce(review_flag, '-') || '/' || coalesce(crops, ''), '|' ORDER BY ordinal, id) AS parts, string_agg(DISTINCT review_flag, ',' ORDER BY review_flag) AS flags
+  FROM tree t LEFT JOIN crop_texts c ON c.owner = t.id AND c.kind = 'mark_scheme_crop' WHERE parent IS NOT NULL AND id NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) GROUP BY t.root),
+nested AS (
+  SELECT t.id, t.mark_scheme_text, coalesce(q.crops, '') AS crops, coalesce(l.parts, '') AS parts, coalesce(m.crops, '') AS mark_scheme_crops, coalesce(l.flags, '') AS flags
+  FROM tree t LEFT JOIN crop_texts q ON q.owner = t.id AND q.kind = 'question_crop' LEFT JOIN crop_texts m ON m.owner = t.id AND m.kind = 'mark_scheme_crop' LEFT JOIN leaf_texts l ON l.root = t.id WHERE t.parent IS NULL)"""
+
+
+@query(
+    f"WITH {GROUPS}, {CODES}, {ALSO}, {NESTED}"
+    """, options AS (SELECT question_id, string_agg(option || '=' || option || body, '|' ORDER BY option) AS options FROM (SELECT question_id, body, unnest(['A', 'B', 'C', 'D']) AS option, unnest([0, 1, 2, 3]) AS k FROM bank WHERE question_id % 9 <> 0) WHERE (question_id + k) % 5 <> 0 GROUP BY question_id),
+first AS (SELECT owner, arg_min({'k': storage_key, 'r': ratio}, (sort_order, page_number, storage_key)) AS crop FROM assets WHERE kind = 'question_crop' GROUP BY owner)
+SELECT question_id, bank.paper, ordinal, answer, coalesce(options, '') AS options, crop.k AS crop_storage_key, nullif(crop.r, '-') AS crop_aspect_ratio, topic_codes, canonical_id, coalesce(others, 0) AS others
+FROM bank LEFT JOIN codes USING (question_id) LEFT JOIN (SELECT question_id, canonical_id, others FROM also) a USING (question_id) LEFT JOIN options USING (question_id) LEFT JOIN first ON owner = question_id::VARCHAR
+WHERE status = 'approved' AND answer <> 0"""
+)
 def v_mcq(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with their topics, and the duplicate group whose sittings ``also_in`` lists."""
+    """Questions with a key (here, an answer but 0), their options, first crop and topics, and the duplicate group whose sittings ``also_in`` lists."""
     q = bank(spark, d)
-    rows = C.published(q).select("question_id", "paper", "ordinal", "answer", F.round(F.col("price") / F.nullif("ordinal", F.lit(0)), 4).alias("ratio"))
-    return rows.join(C.topic_codes(edges(spark, d), topics(spark, d)), "question_id", "left").join(C.also_in(C.canonical_ids(q), q).select("question_id", "canonical_id", "others"), "question_id", "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    letters = F.explode(F.array(*(F.struct(F.lit(c).alias("option"), F.lit(k).alias("k")) for k, c in enumerate("ABCD"))))
+    options = q.where("question_id % 9 <> 0").select("question_id", "body", letters.alias("o")).where("(question_id + o.k) % 5 <> 0").select("question_id", "o.option", F.concat("o.option", "body").alias("content"))
+    rows = C.published(q).select("question_id", "paper", "ordinal", "answer", F.nullif("answer", F.lit(0)).alias("correct_option"))
+    assets = _assets(spark, d).withColumn("owner", F.expr("try_cast(owner AS BIGINT)"))
+    view = C.mcq_view(rows, options, assets).drop("correct_option")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    view = view.withColumn("options", shown).withColumn("crop_aspect_ratio", F.col("crop_aspect_ratio").cast("decimal(12,4)").cast("string"))
+    return view.join(C.topic_codes(edges(spark, d), topics(spark, d)), "question_id", "left").join(C.also_in(C.canonical_ids(q), q).select("question_id", "canonical_id", "others"), "question_id", "left").withColumn("others", F.coalesce("others", F.lit(0)))
 
 
 @query(f"WITH {GROUPS}, {ALSO} SELECT canonical_id, question_id, year, paper, others FROM also")
@@ -191,17 +258,19 @@ def leaf_rows(spark: SparkSession, d: str) -> DataFrame:
     return C.leaf_rows(roots(spark, d), leaves(spark, d))
 
 
-@query("SELECT r.root, coalesce(p.parts, '') AS parts FROM roots r LEFT JOIN (SELECT root, string_agg(label || ':' || marks || ':' || flag, '|' ORDER BY n, label || ':' || marks || ':' || flag) AS parts FROM leaves GROUP BY root) p USING (root)")
+@query(f"WITH {NESTED} SELECT id, parts FROM nested")
 def question_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Parts nested under their question by root key; a question without parts has an empty list, not null."""
-    parts = leaves(spark, d).groupBy("root").agg(joined(["n"], F.concat_ws(":", "label", "marks", "flag")).alias("parts"))
-    return roots(spark, d).select("root").join(parts, "root", "left").select("root", F.coalesce("parts", F.lit("")).alias("parts"))
+    """The leaves nested under their question, each with its crops; a question without parts has an empty list, not null."""
+    view = C.structured_view(_tree(spark, d), _assets(spark, d))
+    return view.select("id", F.array_join(F.transform("parts", _part_text), "|").alias("parts"))
 
 
-@query("SELECT r.root, r.paper, coalesce(p.n_parts, 0) AS n_parts, coalesce(p.marks, 0)::BIGINT AS marks, coalesce(p.crops, '') AS crops FROM roots r LEFT JOIN (SELECT root, count(*) AS n_parts, sum(marks) AS marks, string_agg(part, ',' ORDER BY n, part::VARCHAR) AS crops FROM leaves GROUP BY root) p USING (root) WHERE r.state <> 'P'")
+@query(f"WITH {NESTED} SELECT id, mark_scheme_text, crops, parts, mark_scheme_crops FROM nested WHERE id IN (SELECT root::VARCHAR FROM roots WHERE state <> 'P')")
 def v_structured(spark: SparkSession, d: str) -> DataFrame:
-    parts = leaves(spark, d).groupBy("root").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("marks").alias("marks"), joined(["n"], F.col("part"), ",").alias("crops"))
-    return roots(spark, d).where("state <> 'P'").select("root", "paper").join(parts, "root", "left").select("root", "paper", F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("marks", F.lit(0)).alias("marks"), F.coalesce("crops", F.lit("")).alias("crops"))
+    """Structured questions with crops, parts with their crops, and mark-scheme crops, all nested; flattened for the comparison."""
+    open_ = roots(spark, d).where("state <> 'P'").select(F.col("root").cast("string").alias("id"))
+    view = C.structured_view(_tree(spark, d), _assets(spark, d)).join(open_, "id", "left_semi")
+    return view.select("id", "mark_scheme_text", _crop_text("crops").alias("crops"), F.array_join(F.transform("parts", _part_text), "|").alias("parts"), _crop_text("mark_scheme_crops").alias("mark_scheme_crops"))
 
 
 @query("SELECT part AS owner, arg_min(supp, n * 1000000 + supp) AS asset FROM leaves GROUP BY part")
@@ -216,21 +285,29 @@ def subtree_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("root").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))), ",").alias("flags"))
 
 
-REVIEW = """review AS (
-  SELECT r.root, r.paper, coalesce(bool_or(flag = 'R'), false) AS is_flagged, coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag), '') AS flags, any_value(CASE WHEN r.root % 6 = 0 THEN NULL ELSE 50 + r.root % 50 END) AS confidence
-  FROM roots r LEFT JOIN leaves l USING (root) WHERE r.state <> 'F' GROUP BY r.root, r.paper)"""
+REVIEW = f"""{NESTED},
+proposals AS (
+  SELECT root, string_agg(code || ':T' || code || ':' || confidence, '|' ORDER BY confidence DESC, code) AS topics, max(confidence) AS confidence
+  FROM (SELECT DISTINCT root, part % 10 AS topic_id, 50 + (supp * 7 + part) % 50 AS confidence FROM parts_ WHERE root::BIGINT % 6 <> 0) JOIN topics USING (topic_id) GROUP BY root),
+review AS (
+  SELECT n.id::BIGINT AS root, r.paper, list_contains(string_split(flags, ','), 'R') AS is_flagged, flags, parts, crops, coalesce(p.topics, '') AS proposed_topics, p.confidence
+  FROM nested n JOIN roots r ON r.root::VARCHAR = n.id LEFT JOIN proposals p ON p.root = n.id WHERE r.state <> 'F')"""
 
 
 def _review(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each undecided question; a flagged leaf lifts the whole."""
-    sub = leaves(spark, d).groupBy("root").agg(F.bool_or(F.col("flag") == "R").alias("is_flagged"), F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))
-    confidence = F.when(F.col("root") % 6 != 0, 50 + F.col("root") % 50)
-    return roots(spark, d).where("state <> 'F'").join(sub, "root", "left").select("root", "paper", F.coalesce("is_flagged", F.lit(False)).alias("is_flagged"), F.coalesce("flags", F.lit("")).alias("flags"), confidence.alias("confidence"))
+    """One row for each undecided question; a flagged leaf (R) lifts the whole."""
+    named = topics(spark, d).withColumn("title", F.concat(F.lit("T"), "code"))
+    tags = _parts(spark, d).where("CAST(root AS BIGINT) % 6 <> 0").select(F.col("root").alias("question_id"), (F.col("part") % 10).alias("topic_id"), (50 + (F.col("supp") * 7 + F.col("part")) % 50).alias("confidence")).distinct()
+    view = C.review_view(_tree(spark, d), _assets(spark, d), C.proposed_topics(tags, named))
+    undecided = roots(spark, d).where("state <> 'F'").select(F.col("root").cast("string").alias("id"), "root", "paper")
+    return view.join(undecided, "id").withColumn("is_flagged", F.array_contains("flags", "R")).withColumn("confidence", F.col("primary_topic_confidence"))
 
 
-@query(f"WITH {REVIEW} SELECT root, paper, is_flagged, flags, confidence FROM review")
+@query(f"WITH {REVIEW} SELECT * FROM review")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    return _review(spark, d)
+    """What awaits a decision, with nested crops, parts and proposed topics; flattened for the comparison."""
+    shown = F.array_join(F.transform("proposed_topics", lambda t: F.concat_ws(":", t["code"], t["title"], t["confidence"])), "|")
+    return _review(spark, d).select("root", "paper", "is_flagged", F.array_join("flags", ",").alias("flags"), F.array_join(F.transform("parts", _part_text), "|").alias("parts"), _crop_text("crops").alias("crops"), shown.alias("proposed_topics"), "confidence")
 
 
 @query(f"WITH {REVIEW} SELECT root, is_flagged, confidence, (SELECT count(*) FROM review) AS total FROM review ORDER BY is_flagged DESC, confidence ASC NULLS FIRST, root LIMIT 200 OFFSET 200")
@@ -242,10 +319,17 @@ def review_page(spark: SparkSession, d: str) -> DataFrame:
     return page.select("root", "is_flagged", "confidence", total.scalar().alias("total"))
 
 
-@query("SELECT root, state, decided FROM (SELECT root, state, CASE WHEN root % 11 = 0 THEN NULL ELSE o_orderdate END AS decided FROM roots WHERE state <> 'P') ORDER BY decided DESC NULLS LAST, root LIMIT 300")
+@query("""
+WITH primary_ AS (SELECT question_id, min(code || ':T' || code || ':' || confidence || ':' || source) AS topic FROM edges JOIN topics USING (topic_id) WHERE is_primary GROUP BY question_id)
+SELECT root, state, decided, topic AS primary_topic FROM (SELECT root, state, CASE WHEN root % 11 = 0 THEN NULL ELSE o_orderdate END AS decided FROM roots WHERE state <> 'P') LEFT JOIN primary_ ON question_id = root ORDER BY decided DESC NULLS LAST, root LIMIT 300""")
 def decided_log(spark: SparkSession, d: str) -> DataFrame:
+    """The latest three hundred decisions with the primary topic as one struct, null where there is none."""
     decided = F.when(F.col("root") % 11 != 0, F.col("o_orderdate"))
-    return roots(spark, d).where("state <> 'P'").select("root", "state", decided.alias("decided")).orderBy(F.desc_nulls_last("decided"), "root").limit(300)
+    log = roots(spark, d).where("state <> 'P'").select("root", "state", decided.alias("decided")).orderBy(F.desc_nulls_last("decided"), "root").limit(300)
+    tagged = C.primary_topics(edges(spark, d), topics(spark, d).withColumn("title", F.concat(F.lit("T"), "code"))).withColumnRenamed("question_id", "root")
+    t = F.col("primary_topic")
+    shown = F.when(t.isNotNull(), F.concat_ws(":", t["code"], t["title"], t["confidence"], t["source"]))
+    return log.join(tagged, "root", "left").select("root", "state", "decided", shown.alias("primary_topic"))
 
 
 @query("SELECT r.root, r.paper FROM roots r WHERE EXISTS (SELECT 1 FROM bank b WHERE b.question_id = r.root AND b.status = 'approved')")
