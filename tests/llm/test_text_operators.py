@@ -426,6 +426,37 @@ def test_near_texts_are_found_through_bands_and_verified(spark):
     assert len(rode) == len(rows) and {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in rode if r["near_id"] is not None} == near
 
 
+def test_near_texts_are_found_among_relatives_that_are_not_near(spark):
+    """Each query has one near text between many relatives below the threshold, of smaller and of larger ids; recall is stated."""
+    rng, rows = random.Random(80), []
+    for q in range(40):
+        words = [f"q{q}w{j}" for j in range(200)]
+        rows.append((10_000 + q * 20, " ".join(words)))
+        near = list(words)
+        near[rng.randrange(200)] = "changed"
+        rows.append((20_001 + q * 20, " ".join(near)))
+        for r in range(60):
+            relative, at = list(words), rng.sample(range(200), rng.choice([12, 16, 20]))
+            for i in at:
+                relative[i] = f"r{q}x{r}y{i}"
+            rows.append(((q * 100 + r) * 20 + 7 if r % 2 else 1_000_000 + (q * 100 + r) * 20 + 7, " ".join(relative)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    sets = {i: {tuple(["", "", "", "", *t.split()][j : j + 5]) for j in range(200)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    asked = [i for i in sets if i % 20 == 0]
+    want = {i for i in asked if any(j != i and alike(i, j) >= 0.8 for j in sets)}
+    near = {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
+    assert len(want) == 40 and set(near) <= want and len(near) >= 0.95 * len(want)
+    assert all(abs(alike(i, j) - x) < 1e-12 and x >= 0.8 for i, (j, x) in near.items())
+
+
+def test_equal_sets_are_one_class_and_near(spark):
+    rows = [(i, "the same words in all of these") for i in range(20, 400, 7)] + [(40, "the same words in all of these"), (1000, "another text of its own here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
+    assert near == {i: (max(r[0] for r in rows[:-1]) if i == 20 else 20, 1.0) for i in {r[0] for r in rows[:-1]} if i % 20 == 0}
+
+
 def test_similar_finds_nine_in_ten_of_brute_force(spark):
     rng, rows = random.Random(6), []
     for family in range(40):
