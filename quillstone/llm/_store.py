@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths made within each open ``discarded``, the innermost last.
-_made: list[list[str]] = []
+#: Paths made within the innermost open ``discarded`` of this context: other threads' and tasks' paths are never on it.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -66,13 +67,15 @@ def discarded() -> Iterator[None]:
     """Intermediate tables written inside are deleted at its end: what is to stay must have been stored elsewhere by then.
 
     Lazy results read such tables, and a lost executor may read them again, so only who stores a result can say when it is
-    stored; the operators themselves delete nothing.
+    stored; the operators themselves delete nothing. Runs in other threads keep their own lists.
     """
-    _made.append([])
+    made: list[str] = []
+    token = _made.set(made)
     try:
         yield
     finally:
-        discard(*_made.pop())
+        _made.reset(token)
+        discard(*made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

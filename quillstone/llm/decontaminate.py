@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -54,8 +55,8 @@ def automaton(found: Iterable[tuple[str, int | None]]) -> ahocorasick.Automaton:
     return built
 
 
-def spans_of(text: str | None, built: ahocorasick.Automaton) -> tuple[int, int, list[int], list[dict]]:
-    """Words, hit words, items, and each occurrence with its word range and its code-point range in the text."""
+def spans_of(text: str | None, built: ahocorasick.Automaton, spans: bool = True) -> tuple[int, int, list[int], list[dict]]:
+    """Words, hit words, items, and, if asked for, each occurrence with its word range and its code-point range in the text."""
     folded = normalised(text)
     n_words = max(0, folded.count(b" ") - 1)
     if not n_words or not len(built):
@@ -65,14 +66,15 @@ def spans_of(text: str | None, built: ahocorasick.Automaton) -> tuple[int, int,
     if not found:
         return n_words, 0, [], []
     gaps = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    places = [m.span() for m in WORD.finditer(text)]
-    hit, ids, spans = np.zeros(n_words, bool), set(), []
+    places = [m.span() for m in WORD.finditer(text)] if spans else []
+    hit, windows_hit, told = np.zeros(n_words, bool), {}, []
     for at, (length, owners) in found:
         end = int(np.searchsorted(gaps, at))
         hit[end - length : end] = True
-        ids.update(owners)
-        spans += [{"item_id": i, "first_word": end - length, "end_word": end, "begin": places[end - length][0], "end": places[end - 1][1]} for i in owners or (None,)]
-    return n_words, int(hit.sum()), sorted(ids, key=str), spans
+        windows_hit[id(owners)] = owners  # a window's items are told once, however often it occurs
+        if spans:
+            told += [{"item_id": i, "first_word": end - length, "end_word": end, "begin": places[end - length][0], "end": places[end - 1][1]} for i in owners or (None,)]
+    return n_words, int(hit.sum()), sorted(set().union(*windows_hit.values()), key=str), told
 
 
 def window_table(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -99,12 +101,18 @@ def _block(folder: str, number: int) -> Iterator[tuple[str, int | None]]:
             yield from zip(table["window"].to_pylist(), table["item"].to_pylist(), strict=True)
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, folder: str, number: int) -> DataFrame:
+@lru_cache(maxsize=1)
+def _automaton(folder: str, number: int) -> ahocorasick.Automaton:
+    """A block's automaton, kept in the worker from one task to the next; one at a time, so that blocks don't add up."""
+    return automaton(_block(folder, number))
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, folder: str, number: int, spans: bool = True) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(_block(folder, number))
+        built = _automaton(folder, number)
         out = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "first_word", "end_word", "begin", "end")]))
         for batch in batches:
-            rows = [spans_of(t, built) for t in _texts(batch.column(1))]
+            rows = [spans_of(t, built, spans) for t in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], out)],
                 names=["id", "n_words", "n_hit", "item_ids", "spans"],
@@ -122,7 +130,7 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES, spans: bool = True
 ) -> DataFrame:
     """For each document row: words, hit words, items with an occurring window, and the spans in the original text.
 
@@ -131,7 +139,8 @@ def contamination(
     give repeated rows; empty tables give no rows, or no hits. The benchmark's distinct windows are written to the shared
     folder in blocks of about ``block_nodes`` automaton nodes, and each task reads the block it needs, so nothing of the
     benchmark passes through the driver. With one block, as is usual, each text is scanned once by the one automaton and
-    nothing is shuffled; with more, each block's automaton scans all texts and the blocks' spans are combined per row.
+    nothing is shuffled; with more, each block's automaton scans all texts and the blocks' spans are combined per row. Without
+    ``spans`` one block gives empty ones: a window of very many items then costs no more than another.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -141,7 +150,7 @@ def contamination(
     folder = new_path(spark, "window-blocks")
     found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int")).repartition(F.col("block")).write.partitionBy("block").parquet(folder)
     if blocks == 1:
-        return _scan(docs, id_col, text_col, folder, 0)
+        return _scan(docs, id_col, text_col, folder, 0, spans)
     rows = written(docs.select(column(id_col).alias("doc"), column(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
     parts = None
     for k in range(blocks):
@@ -169,7 +178,7 @@ def digest(found: DataFrame) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words, hit words and items of the benchmark; null and empty texts have none."""
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return digest(contamination(docs.select("doc_id", "text"), bench.select("item_id", "text")))
+    return digest(contamination(docs.select("doc_id", "text"), bench.select("item_id", "text"), spans=False))
 
 
 def items_sha256(ids: Iterable[int]) -> str:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,13 +24,12 @@ MIN_LETTERS = 32
 UNKNOWN = "und"
 
 _NO_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case letters, with all ASCII that is no letter as single spaces; empty if the text has no letter."""
-    if not text or not _LETTER.search(text):
+    """Lower-case letters, with all ASCII that is no letter as single spaces; empty if the text has no letter (numerals are none)."""
+    if not text or not any(map(str.isalpha, text)):
         return b""
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split()) + b" "
 

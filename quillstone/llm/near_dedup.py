@@ -142,16 +142,16 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
         meeting, first, second, ids, component, n = (table[c].to_numpy() for c in ("meeting", "first", "second", "class", "component", "n"))
         sketch = np.frombuffer(b"".join(b.as_py() for b in table["sketch"]), np.uint64).reshape(len(table), -1)
         cuts = np.append(np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1])), len(meeting))
-        found = set()
+        found = [np.empty((0, 2), np.int64)]
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
             at = np.arange(begin, end)
             one, two = at[first[at]], at[second[at]]
             sides = [(one, two)] if (first[at] & second[at]).all() else [(one, two), (two, one)]
             for left, right in sides:
                 for a, b in possible_pairs(component, n, sketch, left, right, percent):
-                    found.update(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))
-        rows = sorted(found)
-        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
+                    found.append(np.column_stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
+        rows = np.concatenate(found)
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["u", "v"])
 
     return meetings(rows).groupBy("task").applyInArrow(pairs, "u bigint, v bigint").distinct()
 

@@ -15,8 +15,8 @@ from quillstone.llm._store import column
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = -1
-#: Distinct words whose counts a task remembers.
-REMEMBERED = 200_000
+#: Distinct words whose counts a task remembers, and the bytes of the longest one that it does.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -93,6 +93,22 @@ class LongestMatch:
         return total
 
 
+class Counts(dict):
+    """Pieces of a word, remembered if it is short: a bound on words and on their bytes, within a text as between texts."""
+
+    def __init__(self, automaton: LongestMatch):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.automaton.count(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
+        return n
+
+
 @cache
 def _automaton(path: str) -> LongestMatch:
     return LongestMatch(pieces(path))
@@ -102,24 +118,21 @@ def counted(docs: DataFrame, vocabulary: str, *, text_col: str = "text") -> Data
     """The rows with ``n_words`` and ``n_tokens`` added (columns of these names are replaced).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, each closed by the end mark. Null and empty texts have none.
-    Each task builds the automaton from the file once and remembers a bounded number of words; nothing is shuffled.
+    Each task builds the automaton from the file once and remembers a bounded number of short words; nothing is shuffled.
+    Repeated rows are counted each, and an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
     docs = docs.select(*(column(c) for c in kept))
     at = kept.index(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known = _automaton(vocabulary), {}
+        known = Counts(_automaton(vocabulary))
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(at):
                 found = (text.as_py() or "").encode("utf-8", "replace").translate(_LOWER).split()
-                for w in set(found).difference(known):
-                    known[w] = automaton.count(w)
                 words.append(len(found))
                 tokens.append(sum(map(known.__getitem__, found)))
-                if len(known) > REMEMBERED:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*kept, "n_words", "n_tokens"])
 
     return docs.mapInArrow(count, StructType([*docs.schema.fields]).add("n_words", LongType()).add("n_tokens", LongType()))

@@ -55,7 +55,7 @@ THREAT = frozenset(
 #: Words within which a target or a negation is near; a report is so within its whole clause.
 REACH = 3
 #: Words whose class a task remembers, and features that it counts before it sends them on; bound a task's memory.
-REMEMBERED, HELD_FEATURES = 100_000, 200_000
+REMEMBERED, LONGEST, HELD_FEATURES = 100_000, 64, 200_000
 
 _CLAUSE = re.compile(r"[.!?;\n]+")
 #: Words; an apostrophe parts them, but for the English negation.
@@ -174,9 +174,11 @@ class Grammar:
             weight = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
             lists = ((THREATENS, THREAT), (DENIES, NEGATION), (AIMED, TARGET), (AIMED_OBJECT, OBJECT), (REPORTS, REPORT))
             symbol = INSULT if weight > 0 else DENIES if word.endswith(("n't", "n’t")) else next((s for s, words in lists if word in words), OTHER)
-            if len(self._classes) > REMEMBERED:
-                self._classes.clear()
-            found = self._classes[word] = symbol, weight if symbol == INSULT else float(symbol == THREATENS)
+            found = symbol, weight if symbol == INSULT else float(symbol == THREATENS)
+            if len(word) <= LONGEST:
+                if len(self._classes) >= REMEMBERED:
+                    self._classes.clear()
+                self._classes[word] = found
         return found
 
     def kinds(self, words: list[str]) -> list[tuple[int, float]]:

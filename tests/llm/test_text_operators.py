@@ -510,3 +510,55 @@ def test_similar_texts_with_copies_other_shingles_and_thresholds(spark):
     assert found(k=1) == {(0, 202), (1, 204)}
     members = {r["id"]: r["representative"] for r in fingerprints.copies(df).collect()}
     assert len(members) == len(rows) and {i for i, m in members.items() if m == 0} == {0, 202, 203}
+
+
+def test_numerals_are_no_letters():
+    assert [language.letters(t) for t in ("½", "① ②", "ⅷ", "12 ٣", "²", "", None)] == [b""] * 7
+    assert language.letters("½ a") == b" \xc2\xbd a " and language.letters("ª") and language.letters("字")
+
+
+def test_long_words_are_counted_but_not_remembered():
+    counts = token_counts.Counts(token_counts.LongestMatch([(b"ab", False), (b"ab", True), (b"a", False), (b"b", True)]))
+    long = b"ab" * 500_000
+    assert counts[long] == 500_000 and not counts
+    assert counts[b"ab"] == 1 and list(counts) == [b"ab"]
+    grammar = toxicity.Grammar({"w:bad": 1.0}, 1.0, 0.0)
+    for i in range(50):
+        grammar.word_class("x" * 1000 + str(i))
+    assert not grammar._classes
+
+
+def test_a_window_of_very_many_items_costs_no_more_without_spans():
+    words = " ".join(f"w{i}" for i in range(10))
+    built = decontaminate.automaton((w, i) for i in range(2000) for w in decontaminate.windows(words))
+    text = " and ".join([words] * 40)
+    n, hit, ids, spans = decontaminate.spans_of(text, built)
+    assert len(spans) == 80_000 and hit == 400 and ids == sorted(range(2000), key=str)
+    assert decontaminate.spans_of(text, built, spans=False) == (n, hit, ids, [])
+
+
+def test_runs_in_other_threads_keep_their_tables(spark):
+    import threading
+
+    from quillstone.llm import _store
+
+    inside, left, rows = threading.Event(), threading.Event(), {}
+
+    def other():
+        inside.wait(30)
+        kept = _store.written(spark.range(5), "other")
+        left.wait(30)
+        rows["other"] = kept.count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with _store.discarded():
+        gone = _store.written(spark.range(3), "mine")
+        inside.set()
+        while not rows and thread.is_alive() and not left.is_set():
+            left.wait(2)
+            left.set()
+    thread.join(60)
+    assert rows == {"other": 5}
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        gone.count()
