@@ -55,7 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without any ten consecutive words of a benchmark item (or all words of a shorter one)."""
     rows = docs.select("text", F.struct(*(column(c) for c in docs.columns)).alias("row"))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate.contamination(rows, benchmark, id_col="row").where("n_hit = 0").select("id.*")
+    return decontaminate.contamination(rows, benchmark, id_col="row", spans=False).where("n_hit = 0").select("id.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
