@@ -75,6 +75,11 @@ def clean_extracted(text: Column, symbols: bool = False) -> Column:
     return F.when(text.rlike(f"[{CONTROL}]"), out).otherwise(text)
 
 
+def clean_column(text: Column, symbols: bool = False) -> Column:
+    """As ``clean_extracted``, for a stored column: a text that had nothing but dirt is null from then on."""
+    return F.when(text.rlike(f"[{CONTROL}]"), F.nullif(clean_extracted(text, symbols), F.lit(""))).otherwise(text)
+
+
 def is_furniture(line: Column) -> Column:
     """Nothing but a page number, the barcode's control characters and commas, and a blank-page notice."""
     left = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, FURNITURE_NOISE, " "), BLANK_PAGE, ""), FURNITURE_NOISE, "")

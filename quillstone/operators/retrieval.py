@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from quillstone.sources.files import work_folder
 THRESHOLD, LIMIT = 0.82, 5
 #: Queries that are held in memory at a time by a similarity search.
 QUERY_BLOCK = 2048
+#: Vectors that are held against a block at a time.
+CORPUS_BLOCK = 4096
+#: What a similarity in single precision may be off by.
+SINGLE = 1e-5
 
 
 def match_vector(corpus: DataFrame, query: list[float], *, threshold: float = THRESHOLD, limit: int = LIMIT, subject: int | None = None) -> DataFrame:
@@ -53,8 +58,10 @@ def search(corpus: DataFrame, queries: DataFrame, *, threshold: float, limit: in
                 v = _matrix(rows.column(1), int(dim))
                 for path in found:
                     if f"/dim={dim}/" in path:
-                        block = pq.read_table(path, filesystem=files, columns=["vec_id", "embedding"], partitioning=None).combine_chunks()
-                        yield _best(block["vec_id"].to_numpy(), _matrix(block["embedding"].combine_chunks(), int(dim)), own, v, threshold, limit)
+                        ids, q = _block(folder, path, int(dim))
+                        for begin in range(0, len(own), CORPUS_BLOCK):
+                            part = slice(begin, begin + CORPUS_BLOCK)
+                            yield _best(ids, q, own[part], v[part], threshold, limit)
 
     vectors = corpus.select("vec_id", "embedding").where(F.col("embedding").isNotNull() & (sized > 0))
     out = vectors.mapInArrow(score, "query_id bigint, vec_id bigint, similarity double")
@@ -62,20 +69,33 @@ def search(corpus: DataFrame, queries: DataFrame, *, threshold: float, limit: in
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+@lru_cache(maxsize=4)
+def _block(folder: str, path: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block of queries, kept by the worker: with few blocks it is read once and not for every batch."""
+    block = pq.read_table(path, filesystem=pa.fs.FileSystem.from_uri(folder)[0], columns=["vec_id", "embedding"], partitioning=None).combine_chunks()
+    return block["vec_id"].to_numpy(), _matrix(block["embedding"].combine_chunks(), dim)
+
+
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vectors), dim)
 
 
 def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, threshold: float, limit: int) -> pa.RecordBatch:
-    """The best few of a batch of vectors for each query of a block: found in single precision, given in double."""
+    """The best few of a batch of vectors for each query of a block, by similarity and then by id.
+
+    In single precision all that may be among them are found, those as near as the last of them included, so that copies of
+    a vector stand in line by their ids; they are ranked in double precision.
+    """
     found = _unit(q) @ _unit(v).T
     found[ids[:, None] == own] = -2
     k = min(limit, len(own))
-    top = np.argpartition(-found, k - 1, axis=1)[:, :k]
-    i, j = np.nonzero(np.take_along_axis(found, top, 1) >= threshold - 1e-5)
-    at = top[i, j]
+    last = np.partition(found, len(own) - k, axis=1)[:, len(own) - k]
+    i, at = np.nonzero(found >= np.maximum(last, threshold)[:, None] - 2 * SINGLE)
     exact = (q[i].astype(np.float64) * v[at]).sum(axis=1) / np.maximum(1e-300, np.linalg.norm(q[i].astype(np.float64), axis=1) * np.linalg.norm(v[at].astype(np.float64), axis=1))
-    keep = exact >= threshold
+    order = np.lexsort((own[at], -exact, i))
+    i, at, exact = i[order], at[order], exact[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = (exact >= threshold) & (rank < limit)
     return pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(own[at][keep]), pa.array(exact[keep])], names=["query_id", "vec_id", "similarity"])
 
 

@@ -9,7 +9,7 @@ from quillstone.operators.common import joined
 from quillstone.plans.registry import query
 from quillstone.plans.roles import FLOOR, bank, docs, edges, table, topics
 from quillstone.sources import names as N
-from quillstone.sources.files import changed_documents, manifest, replayed
+from quillstone.sources.files import applied_decisions, changed_documents, decisions_map, manifest, replayed, work_folder
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +85,32 @@ def replay_answers(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, answers, edges(spark, d).where("is_primary AND question_id % 13 <> 0"))
 
 
+@query("""
+WITH sheet AS (SELECT paper AS sheet, ordinal::VARCHAR AS position, question_id FROM bank WHERE status <> 'rejected'),
+told AS (SELECT paper AS sheet, (ordinal + CASE WHEN ordinal % 9 = 0 THEN 100 ELSE 0 END)::VARCHAR AS position, min(CASE WHEN ordinal % 8 = 0 THEN NULL WHEN ordinal % 5 = 0 THEN '9.9' ELSE '0.' || ordinal % 4 END) AS code FROM bank WHERE ordinal % 7 <> 0 GROUP BY ALL)
+SELECT coalesce(s.sheet, t.sheet) AS sheet, coalesce(s.position, t.position) AS position, question_id, code,
+  CASE WHEN t.sheet IS NULL THEN 'skipped' WHEN code IS NULL AND s.sheet IS NOT NULL THEN 'malformed' WHEN s.sheet IS NULL THEN 'unknown_position' WHEN code NOT IN (SELECT code FROM topics) THEN 'unknown_code' ELSE 'applied' END AS outcome
+FROM sheet s FULL JOIN told t ON s.sheet = t.sheet AND s.position = t.position""")
+def position_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions kept as one JSON object of position to code for each paper, read back and applied to its worksheet."""
+    q = bank(spark, d)
+    place = F.col("ordinal") + F.when(F.col("ordinal") % 9 == 0, 100).otherwise(0)
+    code = F.when(F.col("ordinal") % 8 == 0, F.lit(None)).when(F.col("ordinal") % 5 == 0, "9.9").otherwise(F.concat(F.lit("0."), F.col("ordinal") % 4))
+    told = q.where("ordinal % 7 <> 0").select("paper", place.cast("string").alias("position"), code.alias("code")).distinct()
+    path = work_folder(spark)
+    told.groupBy("paper").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("position", "code")))).alias("value")).write.partitionBy("paper").text(path)
+    read = decisions_map(spark, path).withColumnRenamed("paper", "sheet")
+    sheet = q.where("status <> 'rejected'").select(F.col("paper").alias("sheet"), F.col("ordinal").cast("string").alias("position"), "question_id")
+    return applied_decisions(sheet, read, topics(spark, d))
+
+
+@query(f"""WITH {NAMES} SELECT question_id, stem FROM parsed WHERE doc_type IN ('qp', 'er', 'gt') AND year BETWEEN 2010 AND 2040 AND (component IS NULL OR component IN (1, 2, 4))""")
+def wanted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of some types, years and components; those that cover a whole session name none and stay."""
+    parsed = N.parsed_name(F.col("stem"))
+    return _names(spark, d).where(N.wanted(parsed, doc_types=("qp", "er", "gt"), years=(2010, 2040), components=(1, 2, 4))).select("question_id", "stem")
+
+
 TRIAGE = """triage AS (
   SELECT question_id, paper, ordinal, confidence, CASE WHEN question_id % 10 = answer THEN 'agreed' WHEN question_id % 3 = 0 AND 10 + question_id % 7 = 10 + answer THEN 'reordered' ELSE 'disagreed' END AS outcome FROM bank)"""
 

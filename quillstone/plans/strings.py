@@ -20,8 +20,8 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: What extraction glues to a text or a scheme, by the id's remainder; the tables have no control characters of their own.
-TEXT_DIRT = {0: " [2] 11 ,\x01\x01\x01 \x01\x02\x02,", 1: " 5 BLANK PAGE ,\x01\x06, 6 ,\x01\x07,", 2: " output \x02 [2] \x0b", 3: " a\x00b\x7fc"}
-SCHEME_DIRT = {0: " 2H2O2 \x01 2H2O + O2", 1: " xx\x01 \x01xx", 2: " Cl2 + 2I–  \x01\tI2; \x01 tick", 3: ""}
+TEXT_DIRT = {0: " (3 marks) 27 ,\x03\x04 \x03,", 1: " 8 BLANK PAGE ,\x05, 4 ,\x06\x07,", 2: " level \x0e high \x0b", 3: " no\x00thing\x7fleft"}
+SCHEME_DIRT = {0: " 2Mg + O2 \x01 2MgO", 1: " row\x01 \x01two", 2: " Zn2+ + 2OH–  \x01\tZn(OH)2; \x01 seen", 3: ""}
 
 
 def _dirty(spark: SparkSession, d: str) -> DataFrame:
@@ -63,12 +63,13 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {DIRTY}, cleaned AS (SELECT doc_id, text AS t, comment AS c, scheme AS s, {_sql_clean('text')} AS text, {_sql_clean('comment')} AS comment, {_sql_clean('scheme', True)} AS scheme FROM dirty),
-told AS (SELECT doc_id, text, comment, scheme, concat_ws(',', CASE WHEN t IS DISTINCT FROM text THEN 'text' END, CASE WHEN c IS DISTINCT FROM comment THEN 'comment' END, CASE WHEN s IS DISTINCT FROM scheme THEN 'scheme' END) AS changed FROM cleaned)
+emptied AS (SELECT doc_id, t, c, s, CASE WHEN text = '' AND t <> '' THEN NULL ELSE text END AS text, CASE WHEN comment = '' AND c <> '' THEN NULL ELSE comment END AS comment, CASE WHEN scheme = '' AND s <> '' THEN NULL ELSE scheme END AS scheme FROM cleaned),
+told AS (SELECT doc_id, text, comment, scheme, concat_ws(',', CASE WHEN t IS DISTINCT FROM text THEN 'text' END, CASE WHEN c IS DISTINCT FROM comment THEN 'comment' END, CASE WHEN s IS DISTINCT FROM scheme THEN 'scheme' END) AS changed FROM emptied)
 SELECT doc_id, changed, text, comment, scheme FROM told WHERE changed <> ''""")
 def clean_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Three columns cleaned at once; only changed rows are returned."""
+    """Three columns cleaned at once; only changed rows are returned, emptied texts as null."""
     old = _dirty(spark, d)
-    new = {"text": T.clean_extracted(F.col("text")), "comment": T.clean_extracted(F.col("comment")), "scheme": T.clean_extracted(F.col("scheme"), symbols=True)}
+    new = {"text": T.clean_column(F.col("text")), "comment": T.clean_column(F.col("comment")), "scheme": T.clean_column(F.col("scheme"), symbols=True)}
     out = old.select("doc_id", *(F.col(c).alias(f"old_{c}") for c in new), *(v.alias(c) for c, v in new.items()))
     changed = F.filter(F.array(*(F.when(~F.col(f"old_{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in new)), lambda x: x.isNotNull())
     return out.withColumn("changed", F.array_join(changed, ",")).where("changed <> ''").select("doc_id", "changed", *new)

@@ -52,6 +52,32 @@ def replayed(spark: SparkSession, answers: DataFrame, tags: DataFrame) -> DataFr
     return both.select("question_id", "topic_id", "current", outcome.alias("outcome"))
 
 
+def decisions_map(spark: SparkSession, path: str) -> DataFrame:
+    """``position, code``, and what the path's folders name, of files that are each one JSON object of position to code.
+
+    A file that is no such object has null for both.
+
+    A value that is no text counts as malformed too: its code is null.
+    """
+    files = spark.read.option("wholetext", "true").text(path)
+    return files.select(*(c for c in files.columns if c != "value"), F.explode_outer(F.from_json("value", "map<string,string>")).alias("position", "code"))
+
+
+def applied_decisions(sheet: DataFrame, decisions: DataFrame, closed: DataFrame) -> DataFrame:
+    """What a pass over a worksheet does: ``sheet, position, question_id, code, outcome``.
+
+    The sheet has ``sheet, position, question_id`` (several rows of a group may share a position), decisions
+    ``sheet, position, code``, the closed list ``code``. Rows are ``applied``, ``unknown_code`` (outside the list),
+    ``malformed`` (no code) or ``skipped`` (no decision); a decision on a position that is not on its sheet is
+    ``unknown_position``, a sheet that could not be read at all ``malformed`` without one.
+    """
+    known = closed.select("code").distinct().withColumn("known", F.lit(True))
+    told = decisions.withColumn("told", F.lit(True)).join(known, "code", "left")
+    both = sheet.withColumn("listed", F.lit(True)).join(told, ["sheet", "position"], "full_outer")
+    outcome = F.when(F.col("told").isNull(), "skipped").when(F.col("position").isNull() | (F.col("code").isNull() & F.col("listed").isNotNull()), "malformed").when(F.col("listed").isNull(), "unknown_position").when(F.col("known").isNull(), "unknown_code").otherwise("applied")
+    return both.select("sheet", "position", "question_id", "code", outcome.alias("outcome"))
+
+
 #: In which order a reader gets each view's rows.
 VIEW_ORDERS = {"v_subjects": ("level", "subject"), "v_topics": ("topic_id", "code"), "v_papers": ("-year", "paper"), "v_mcq": ("paper", "ordinal", "question_id")}
 

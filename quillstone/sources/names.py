@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def built_name(syllabus: Column, season: Column, year: Column, doc_type: Column,
 
 
 def storage_prefix(syllabus: Column, year: Column, season: Column, component: Column, variant: Column) -> Column:
-    """Where a paper's files lie: ``papers/<syllabus>/<year>-<season>/p<component><variant>``; null without a component."""
+    """The folder of a paper: syllabus, then year and season, then component and variant; null for a document without a component."""
     sitting = F.concat_ws("-", year.cast("string"), _looked_up(SHORT_SEASONS, season))
     return F.concat(F.lit("papers/"), syllabus, F.lit("/"), sitting, F.lit("/p"), component.cast("string"), F.coalesce(variant.cast("string"), F.lit("")))
 
@@ -60,16 +62,26 @@ def _page_suffix(sort_order: Column) -> Column:
 
 
 def structured_crop_key(prefix: Column, label: Column, sort_order: Column) -> Column:
-    """A structured question's crop; pages after its first have a number of their own."""
+    """Key of a picture of a question in parts; from the second picture on, the key ends in its number."""
     return F.concat(prefix, F.lit("/crops/"), label, _page_suffix(sort_order), F.lit(".png"))
 
 
 def mark_scheme_crop_key(prefix: Column, label: Column, sort_order: Column) -> Column:
-    """A mark-scheme row's picture beside the questions' crops: ``8(a)(iii)`` as ``ms-8-a-iii``."""
+    """Key of a picture of a mark-scheme entry: the label's levels with dashes between them, so that no bracket is in a key."""
     safe = F.array_join(F.filter(F.split(label, r"[()]+"), lambda part: part != ""), "-")
     return F.concat(prefix, F.lit("/crops/ms-"), safe, _page_suffix(sort_order), F.lit(".png"))
 
 
+def wanted(parsed: Column, *, doc_types: Iterable[str], years: tuple[int, int], components: Iterable[int] = ()) -> Column:
+    """Whether a parsed name is of these types, years (both included) and, if any are given, components.
+
+    A document that names no component covers a whole session, so a choice of components never drops it. Names that were
+    not understood are not wanted.
+    """
+    of_component = F.lit(True) if not (chosen := list(components)) else parsed["component"].isNull() | parsed["component"].isin(chosen)
+    return F.coalesce(parsed["doc_type"].isin(list(doc_types)) & parsed["year"].between(*years) & of_component, F.lit(False))
+
+
 def page_links(pages: DataFrame, pattern: str = r'href="([^"]*)"') -> DataFrame:
     """The first link of each file name on each page, by place."""
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("place", "href"))

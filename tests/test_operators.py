@@ -237,3 +237,57 @@ def test_reports_snapshots_and_replays(spark, tmp_path):
     files.write_view(spark.createDataFrame([(2001, "b"), (2003, "a"), (2003, "A")], "year int, paper string"), f"{tmp_path}/view", "v_papers")
     shown = [line for p in sorted((tmp_path / "view").glob("part-*.csv")) for line in p.read_text().splitlines()[1:]]
     assert shown == ["2003,A", "2003,a", "2001,b"]
+
+
+def test_copies_of_a_vector_stand_in_line_by_their_ids(spark):
+    """More equal vectors than are asked for, in one batch and over several blocks of the corpus: the smallest ids win."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(100, 140)] + [(7, [3.0, 2.0, 1.0]), (1, [1.0, 2.0, 3.1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    found = retrieval.search(df, df.where("vec_id IN (120, 7)"), threshold=0.5)
+    assert rows_of(found.where("query_id = 120")) == [(100, 1), (101, 2), (102, 3), (103, 4), (104, 5)]
+    assert [r[0] for r in rows_of(found.where("query_id = 7"))] == [100, 101, 102, 103, 104]
+
+
+def rows_of(found):
+    return [(r["vec_id"], r["rank"]) for r in found.orderBy("rank").collect()]
+
+
+def test_ties_over_blocks_of_the_corpus(spark, monkeypatch):
+    import numpy as np
+
+    q = np.ones((1, 4), np.float32)
+    v = np.ones((50, 4), np.float32)
+    whole = retrieval._best(np.array([99]), q, np.arange(49, -1, -1), v, 0.9, 5).to_pydict()
+    assert whole["vec_id"] == [0, 1, 2, 3, 4] and len(set(whole["similarity"])) == 1
+
+
+def test_a_text_of_dirt_alone_becomes_null(spark):
+    from quillstone.functions.text import clean_column
+
+    df = spark.createDataFrame([("\x01\x02",), ("a\x07 b",), ("",), (None,), ("plain  text",), (" \x0b ",)], "t string")
+    assert [r[0] for r in df.select(clean_column(F.col("t"))).collect()] == [None, "a b", "", None, "plain  text", None]
+
+
+def test_which_documents_are_wanted(spark):
+    from quillstone.sources import names
+
+    stems = ["9702_s19_qp_12", "9702_s19_gt", "9702_s19_ms_12", "9702_w21_qp_4", "9702_s05_qp_12", "9702_m20_qp_32", "nonsense", None]
+    df = spark.createDataFrame([(s,) for s in stems], "s string")
+    chosen = lambda **o: [r["s"] for r in df.where(names.wanted(names.parsed_name(F.col("s")), **{"doc_types": ("qp", "gt"), "years": (2019, 2021), **o})).collect()]
+    assert chosen() == ["9702_s19_qp_12", "9702_s19_gt", "9702_w21_qp_4", "9702_m20_qp_32"]
+    assert chosen(components=(1, 4)) == ["9702_s19_qp_12", "9702_s19_gt", "9702_w21_qp_4"]
+    assert chosen(years=(2021, 2021)) == ["9702_w21_qp_4"]
+
+
+def test_decisions_kept_as_a_map(spark, tmp_path):
+    from quillstone.sources import files
+
+    for name, text in (("a", '{"1": "1.1", "2": "9.9", "7": "1.2", "3": null}'), ("b", '["no", "map"]'), ("c", "{}")):
+        (tmp_path / f"sheet={name}").mkdir()
+        (tmp_path / f"sheet={name}" / "decisions.json").write_text(text)
+    sheet = spark.createDataFrame([("a", "1", 10), ("a", "1", 11), ("a", "2", 12), ("a", "3", 13), ("a", "4", 14), ("c", "1", 20)], "sheet string, position string, question_id int")
+    closed = spark.createDataFrame([("1.1",), ("1.2",)], "code string")
+    got = files.applied_decisions(sheet, files.decisions_map(spark, str(tmp_path)), closed)
+    want = [("a", "1", 10, "1.1", "applied"), ("a", "1", 11, "1.1", "applied"), ("a", "2", 12, "9.9", "unknown_code"), ("a", "3", 13, None, "malformed"), ("a", "4", 14, None, "skipped"), ("a", "7", None, "1.2", "unknown_position"), ("b", None, None, None, "malformed"), ("c", "1", 20, None, "skipped")]
+    # An empty object has no decision at all, and is no less a map for it.
+    assert sorted((tuple(r) for r in got.where("NOT (sheet = 'c' AND position IS NULL)").collect()), key=repr) == sorted(want, key=repr)
