@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources.files import stored
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; ties are broken by the order alone, so make it total."""
@@ -14,6 +16,20 @@ def latest_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def numbered(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 within each key in an order, however many rows a key has.
+
+    Rows are dealt out by ranges of key and order and stored, so that the ranges stay as they are; each range numbers its
+    own, and starts where the ones before it end. A window over a whole key would be one task's.
+    """
+    laid = stored(rows.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()))
+    sizes = laid.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select(key, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = laid.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
+    return own.join(begins, [key, "_range"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
 def sorted_list(by: Iterable[str], *fields: str) -> Column:
     """An aggregate: the fields of a group's rows as structs, ordered by ``by``."""
     by = list(by)

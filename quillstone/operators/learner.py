@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.common import latest_by
+from quillstone.operators.common import latest_by, numbered
 
 WEAK_ATTEMPTS, WEAK_ACCURACY, WEAK_TOPICS, QUEUE = 3, 0.7, 5, 20
 
@@ -65,13 +65,13 @@ def revision_queue(weak: DataFrame, answers: DataFrame, edges: DataFrame, questi
     number.
     """
     listed = edges.select("topic_id", "question_id").distinct().join(questions.where("status = 'approved'").select("question_id"), "question_id", "left_semi")
-    numbered = listed.withColumn("number", F.row_number().over(Window.partitionBy("topic_id").orderBy("question_id")))
+    ranked = numbered(listed, "topic_id", "question_id", "number")
     asked = weak.select("user_id", "topic_id")
     tried = answers.select("user_id", "question_id", "is_correct").join(listed, "question_id").join(asked, ["user_id", "topic_id"])
     wrong = tried.where("NOT is_correct").select("user_id", "question_id").distinct()
     counts = tried.groupBy("user_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
     reach = asked.join(counts, ["user_id", "topic_id"], "left").select("user_id", "topic_id", F.explode(F.sequence(F.lit(1), (QUEUE + F.coalesce("n", F.lit(0))).cast("int"))).alias("number"))
-    found = reach.join(numbered, ["topic_id", "number"]).select("user_id", "question_id").distinct()
+    found = reach.join(ranked, ["topic_id", "number"]).select("user_id", "question_id").distinct()
     new = found.join(answers.select("user_id", "question_id"), ["user_id", "question_id"], "left_anti")
     rows = wrong.withColumn("rank", F.lit(0)).unionByName(new.withColumn("rank", F.lit(1)))
     w = Window.partitionBy("user_id").orderBy("rank", "question_id")

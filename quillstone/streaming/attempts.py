@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,8 +14,9 @@ from quillstone.operators.common import latest_by
 from quillstone.operators.learner import topic_mastery
 from quillstone.sources.files import work_folder
 
-#: Parts of a snapshot, of which a batch rewrites those of its users; a number above all batches'.
-PARTS, ALL = 32, 1 << 62
+#: A base is written anew once the batches since hold as many bytes as it does, and at least so many; bytes of a base's
+#: part; a number above all batches'.
+LEAST_BYTES, PART_BYTES, ALL = 64 << 20, 128 << 20, 1 << 62
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -33,89 +34,120 @@ def run_to_end(writer, folder: str) -> StreamingQuery:
 
 
 class Snapshot:
-    """A keyed snapshot in parts by a hash of the user; a batch rewrites the parts of its own users and no others.
+    """A keyed table that grows by batches: each writes its own rows and no others, and readers take every key's newest.
 
-    Each part is written under the number of the batch, so a repeated batch overwrites what it wrote, and reads what was
-    there before it. Versions that no repeated batch can ask for are deleted.
+    ``v=<n>`` has the rows of batch n, ``base=<n>-<parts>`` those of all batches before n, in so many parts by a hash of the
+    user. A base is written anew once the batches since have grown as large as it is, into parts of a bounded size, so a
+    row is rewritten a logarithmic number of times however long the stream runs. A repeated batch overwrites what it wrote
+    and reads what was there before it: a base never holds the batch that wrote it, and only what no repeated batch can
+    ask for is deleted. ``newest`` picks the rows that count among those of several batches, numbered by ``_v``.
     """
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, newest: Callable[[DataFrame], DataFrame], *, least_bytes: int = LEAST_BYTES, part_bytes: int = PART_BYTES):
+        self.folder, self.newest, self.least_bytes, self.part_bytes = folder, newest, least_bytes, part_bytes
 
     @staticmethod
-    def part(user: str = "user_id") -> Column:
-        return F.pmod(F.xxhash64(user), F.lit(PARTS)).cast("int")
-
-    def _newest(self, before: int) -> dict[int, int]:
-        """The number of the newest version of each part that is older than ``before``."""
-        found: dict[int, int] = {}
-        for part, version in self._written():
-            if version < before:
-                found[part] = max(version, found.get(part, -1))
-        return found
-
-    def _written(self) -> list[tuple[int, int]]:
+    def part(parts: int, user: str = "user_id") -> Column:
+        return F.pmod(F.xxhash64(user), F.lit(parts)).cast("int")
+
+    def written(self) -> tuple[dict[int, int], dict[tuple[int, int], int], dict[int, set[int]]]:
+        """Bytes of each complete batch and of each complete base (by number and parts), and the parts that a base's number has."""
         files, at = pyarrow.fs.FileSystem.from_uri(self.folder)
-        infos = files.get_file_info(pyarrow.fs.FileSelector(at, recursive=True, allow_not_found=True))
-        found = (re.fullmatch(r"/part=(\d+)/v=(\d+)", f.path.removeprefix(at.rstrip("/"))) for f in infos if f.type == pyarrow.fs.FileType.Directory)
-        return [(int(m[1]), int(m[2])) for m in found if m]
-
-    def read(self, spark: SparkSession, before: int, parts: Iterable[int] | None = None) -> DataFrame | None:
-        """The rows before a batch, of some parts or of all; None if there are none yet."""
-        newest = {p: v for p, v in self._newest(before).items() if parts is None or p in parts}
-        if not newest:
-            return None
-        paths = [f"{self.folder}/part={p}/v={v}" for p, v in sorted(newest.items())]
-        return spark.read.parquet(*paths)
-
-    def write(self, rows: DataFrame, number: int, user: str = "user_id") -> None:
-        laid = rows.withColumn("part", self.part(user)).withColumn("v", F.lit(number)).repartition("part")
-        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(self.folder)
+        sizes: dict[str, int] = {}
+        done, parts = set(), {}
+        for f in files.get_file_info(pyarrow.fs.FileSelector(at, recursive=True, allow_not_found=True)):
+            top, *rest = f.path.removeprefix(at.rstrip("/")).strip("/").split("/")
+            if f.type == pyarrow.fs.FileType.File and rest:
+                sizes[top] = sizes.get(top, 0) + f.size
+                if rest == ["_SUCCESS"]:
+                    done.add(top)
+                if m := re.fullmatch(r"part=(\d+)", rest[0]):
+                    parts.setdefault(top, set()).add(int(m[1]))
+        batches = {int(m[1]): sizes[t] for t in done if (m := re.fullmatch(r"v=(\d+)", t))}
+        bases = {(int(m[1]), int(m[2])): sizes[t] for t in done if (m := re.fullmatch(r"base=(\d+)-(\d+)", t))}
+        return batches, bases, {n: parts.get(f"base={n}-{k}", set()) for n, k in bases}
+
+    def _rows(self, spark: SparkSession, before: int, users: DataFrame | None = None) -> DataFrame | None:
+        batches, bases, held = self.written()
+        number, parts = max((b for b in bases if b[0] <= before), default=(0, 0))
+        later = [f"{self.folder}/v={v}" for v in sorted(batches) if number <= v < before]
+        found = spark.read.parquet(*later) if later else None
+        if parts:
+            chosen = held[number]
+            if users is not None:  # at most as many numbers as the base has parts
+                chosen = chosen & {r[0] for r in users.select(self.part(parts)).distinct().collect()}
+            if chosen:
+                base = spark.read.parquet(*(f"{self.folder}/base={number}-{parts}/part={p}" for p in sorted(chosen)))
+                found = base if found is None else found.unionByName(base)
+        if found is not None and users is not None:
+            asked = users.select(F.col("user_id").alias("asked")).distinct()
+            found = found.join(asked, F.col("user_id").eqNullSafe(F.col("asked")), "left_semi")
+        return None if found is None else self.newest(found)
+
+    def read(self, spark: SparkSession, before: int, users: DataFrame | None = None) -> DataFrame | None:
+        """The rows as they were before a batch, of some users or of all; None if there are none yet."""
+        rows = self._rows(spark, before, users)
+        return None if rows is None else rows.drop("_v")
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.withColumn("_v", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+        batches, bases, _ = self.written()
+        base = max((b for b in bases if b[0] <= number), default=(0, 0))
+        grown, held = sum(n for v, n in batches.items() if base[0] <= v < number), bases.get(base, 0)
+        if grown <= max(self.least_bytes, held):
+            return
+        parts = max(1, -(-(grown + held) // self.part_bytes))
+        whole = self._rows(rows.sparkSession, number).withColumn("part", self.part(parts))
+        whole.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/base={number}-{parts}")
         files, at = pyarrow.fs.FileSystem.from_uri(self.folder)
-        newest = self._newest(number)
-        for p, v in self._written():
-            if v < newest.get(p, -1):
-                files.delete_dir(f"{at}/part={p}/v={v}")
+        for name in [*(f"v={v}" for v in batches if v < number), *(f"base={n}-{k}" for n, k in bases if n < number)]:
+            files.delete_dir(f"{at}/{name}")
+
+
+def latest_answers(rows: DataFrame) -> DataFrame:
+    """Of a user's answers to a question the one of the greatest ``seq``, whichever batch it came with."""
+    return latest_by(rows, ["user_id", "question_id"], F.desc("seq"), F.desc("_v"))
 
 
-def _touched(batch: DataFrame) -> list[int]:
-    """The parts of a batch's users, at most PARTS."""
-    return [r[0] for r in batch.select(Snapshot.part()).distinct().collect()]
+def latest_of_user(rows: DataFrame) -> DataFrame:
+    """All rows of a user's newest batch: what it has no more is gone."""
+    newest = F.max("_v").over(Window.partitionBy("user_id"))
+    return rows.withColumn("_newest", newest).where("_v = _newest").drop("_newest")
 
 
-def _merge_answers(state: Snapshot, batch: DataFrame, number: int) -> list[int]:
-    parts = _touched(batch)
-    held, rows = state.read(batch.sparkSession, number, parts), latest_by(batch, ["user_id", "question_id"], F.desc("seq"))
-    state.write(latest_by(held.unionByName(rows), ["user_id", "question_id"], F.desc("seq")) if held is not None else rows, number)
-    return parts
+def _merge_answers(state: Snapshot, batch: DataFrame, number: int) -> None:
+    state.write(latest_by(batch, ["user_id", "question_id"], F.desc("seq")), number)
 
 
 def stream_current_answers(attempts: DataFrame) -> DataFrame:
-    """Latest answers by ``seq``: each batch is merged into the last snapshot, so a late smaller ``seq`` never wins."""
+    """Latest answers by ``seq``: a batch adds its own, and a late smaller ``seq`` never wins when they are read."""
     spark, folder = attempts.sparkSession, work_folder(attempts.sparkSession)
-    state = Snapshot(f"{folder}/answers")
-    run_to_end(attempts.writeStream.foreachBatch(lambda batch, number: _merge_answers(state, batch, number) and None), folder)
+    state = Snapshot(f"{folder}/answers", latest_answers)
+    run_to_end(attempts.writeStream.foreachBatch(lambda batch, number: _merge_answers(state, batch, number)), folder)
     found = state.read(spark, ALL)
     return found if found is not None else spark.createDataFrame([], attempts.schema)
 
 
 def stream_topic_mastery(attempts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Mastery on submit: worked out anew from the current answers of the parts that a batch touches, kept in the others.
+    """Mastery on submit: worked out anew, from their current answers, for the users of a batch; the others' stays.
 
-    A median cannot be merged, but it needs only the latest answers, not the log.
+    A median cannot be merged, but it needs only the latest answers, not the log. A user without any topic left has one row
+    without a topic, which readers pass over.
     """
     spark, folder = attempts.sparkSession, work_folder(attempts.sparkSession)
-    answers, mastery = Snapshot(f"{folder}/answers"), Snapshot(f"{folder}/mastery")
+    answers, mastery = Snapshot(f"{folder}/answers", latest_answers), Snapshot(f"{folder}/mastery", latest_of_user)
 
     def merge(batch: DataFrame, number: int) -> None:
-        parts = _merge_answers(answers, batch, number)
-        current = answers.read(batch.sparkSession, number + 1, parts)
+        _merge_answers(answers, batch, number)
+        users = batch.select("user_id").distinct()
+        current = answers.read(batch.sparkSession, number + 1, users)
         if current is not None:
-            mastery.write(topic_mastery(current, edges), number)
+            found = topic_mastery(current, edges)
+            mastery.write(found.unionByName(users.join(found, "user_id", "left_anti"), allowMissingColumns=True), number)
 
     run_to_end(attempts.writeStream.foreachBatch(merge), folder)
     found = mastery.read(spark, ALL)
-    return found if found is not None else topic_mastery(spark.createDataFrame([], attempts.schema), edges)
+    return found.where("topic_id IS NOT NULL") if found is not None else topic_mastery(spark.createDataFrame([], attempts.schema), edges)
 
 
 def _appended(rows: DataFrame, mode: str = "append") -> DataFrame:

@@ -291,3 +291,19 @@ def test_decisions_kept_as_a_map(spark, tmp_path):
     want = [("a", "1", 10, "1.1", "applied"), ("a", "1", 11, "1.1", "applied"), ("a", "2", 12, "9.9", "unknown_code"), ("a", "3", 13, None, "malformed"), ("a", "4", 14, None, "skipped"), ("a", "7", None, "1.2", "unknown_position"), ("b", None, None, None, "malformed"), ("c", "1", 20, None, "skipped")]
     # An empty object has no decision at all, and is no less a map for it.
     assert sorted((tuple(r) for r in got.where("NOT (sheet = 'c' AND position IS NULL)").collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_numbers_go_on_over_ranges(spark, partitions):
+    """One key has nearly all rows: it is numbered by several ranges, none of which is another's."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(3000).select(F.when(F.col("id") % 50 == 0, 1).otherwise(2).alias("k"), ((F.col("id") * 7919) % 3001).alias("o"))
+        got = common.numbered(df, "k", "o", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k in (1, 2):
+        own = sorted((r["o"], r["n"]) for r in got if r["k"] == k)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert len(got) == 3000

@@ -75,22 +75,41 @@ def test_streams_end_where_their_batch_twins_do(spark):
     assert len(want) > 100 and sorted(got) == sorted(want)
 
 
-def test_a_snapshot_rewrites_what_a_batch_touches(spark, tmp_path):
-    from quillstone.streaming.attempts import ALL, Snapshot, _merge_answers
+@pytest.mark.parametrize("least", [1 << 30, 1])
+def test_a_batch_writes_its_own_rows_and_no_others(spark, tmp_path, least):
+    """Without a base, and with one made anew as often as can be; a repeated batch changes nothing."""
+    from quillstone.streaming.attempts import ALL, Snapshot, _merge_answers, latest_answers
 
-    state = Snapshot(f"file://{tmp_path}/answers")
+    state = Snapshot(f"file://{tmp_path}/answers", latest_answers, least_bytes=least, part_bytes=1000)
     of = lambda *rows: spark.createDataFrame(rows, "user_id bigint, question_id bigint, seq bigint")
-    _merge_answers(state, of(*((u, 1, 10 + u) for u in range(40))), 0)
-    _merge_answers(state, of((3, 1, 99), (3, 2, 5), (4, 1, 1)), 1)
-    _merge_answers(state, of((3, 1, 98)), 2)
-    _merge_answers(state, of((3, 1, 98)), 2)  # the same batch again
-    assert sorted(map(tuple, state.read(spark, ALL).where("user_id IN (3, 4, 5)").collect())) == [(3, 1, 99), (3, 2, 5), (4, 1, 14), (5, 1, 15)]
-    assert state.read(spark, ALL).count() == 41
-    versions = {}
-    for part, v in state._written():
-        versions.setdefault(part, []).append(v)
-    mine = spark.range(1).select(Snapshot.part(F.lit(3).cast("bigint"))).first()[0]
-    assert sorted(versions[mine]) == [1, 2] and sum(len(v) > 1 for v in versions.values()) <= 2
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    batches = [[(u, 1, 10 + u) for u in range(40)], [(3, 1, 99), (3, 2, 5), (4, 1, 1), (None, 1, 7)], [(3, 1, 98)], [(3, 1, 98)], [(None, 1, 6), (8, 1, 500)]]
+    numbers = [0, 1, 2, 2, 3]  # the third comes twice
+    for number, batch in zip(numbers, batches, strict=True):
+        _merge_answers(state, of(*batch), number)
+        assert spark.read.parquet(f"file://{tmp_path}/answers/v={number}").count() == len(batch)
+    users = of((3, 0, 0), (4, 0, 0), (5, 0, 0), (None, 0, 0), (77, 0, 0)).select("user_id")
+    want = [(3, 1, 99), (3, 2, 5), (4, 1, 14), (5, 1, 15), (None, 1, 7)]
+    assert rows(state.read(spark, ALL, users)) == sorted(want, key=repr)
+    assert state.read(spark, ALL).count() == 42 and state.read(spark, ALL).where("seq = 500").count() == 1
+    assert state.read(spark, 3).where("seq = 500").count() == 0  # as it was before the last batch
+    written, bases, _ = state.written()
+    if least == 1:
+        ((begin, parts),) = bases
+        assert begin >= 1 and parts > 1 and sorted(written) == list(range(begin, 4))
+    else:
+        assert not bases and sorted(written) == [0, 1, 2, 3]
+
+
+def test_a_topic_that_a_user_has_no_more_is_gone(spark, tmp_path):
+    from quillstone.streaming.attempts import ALL, Snapshot, latest_of_user
+
+    state = Snapshot(f"file://{tmp_path}/mastery", latest_of_user, least_bytes=1, part_bytes=1000)
+    of = lambda *rows: spark.createDataFrame(rows, "user_id bigint, topic_id bigint, n int")
+    state.write(of((1, 5, 1), (1, 6, 1), (2, 5, 1)), 0)
+    state.write(of((1, 6, 2)), 1)
+    state.write(of((2, None, None)), 2)
+    assert sorted(map(tuple, state.read(spark, ALL).where("topic_id IS NOT NULL").collect())) == [(1, 6, 2)]
 
 
 @pytest.mark.parametrize("name", sorted(n for n in plans.ORACLES if not n.startswith("stream_")))
