@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.common import joined
+from quillstone.operators.common import joined, merged, newer
 
 # Sizes of type and the gutter's edge in points, what a heading says, and the grades of each table.
 CHAPTER_SIZE, SECTION_SIZE, GUTTER_X = 16.0, 12.0, 75.0
@@ -198,6 +198,32 @@ def threshold_tables(lines: DataFrame) -> DataFrame:
     return found.unionByName(each.where("problem IS NOT NULL").select("doc_id", "problem"), allowMissingColumns=True)
 
 
+def band_units(found: DataFrame) -> DataFrame:
+    """Accepted bands keyed for storing: ``doc_id, grain, unit, grade, low, high``.
+
+    The unit is a component with its variant, if it has one, or a combination; a unit that a document prints twice has the
+    greater marks.
+    """
+    unit = F.coalesce("combination", F.concat_ws("-", F.col("component").cast("string"), F.col("variant").cast("string")))
+    rows = found.where("problem IS NULL").select("doc_id", "grain", unit.alias("unit"), "grade", "low", "high")
+    return rows.groupBy("doc_id", "grain", "unit", "grade").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+
+
+def upserted_bands(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored bands with fresh ones in their place, at both grains; grades that fresh documents don't name stay."""
+    return merged(stored, fresh, ["doc_id", "grain", "unit", "grade"], {"low": newer("low"), "high": newer("high"), "is_new": ~F.col("in_old")})
+
+
+def graded(marks: DataFrame, bands: DataFrame) -> DataFrame:
+    """``doc_id, unit, mark, grade``: the band that a mark lies in, both ends included; null if in none.
+
+    A unit has a handful of bands, which become one array, so marks are not joined with every band of theirs.
+    """
+    lists = bands.groupBy("doc_id", "unit").agg(F.collect_list(F.struct("grade", "low", "high")).alias("bands"))
+    hit = F.filter("bands", lambda b: F.col("mark").between(b["low"], b["high"]))
+    return marks.join(lists, ["doc_id", "unit"], "left").select("doc_id", "unit", "mark", F.array_max(F.transform(hit, lambda b: b["grade"])).alias("grade"))
+
+
 def answer_grid(lines: DataFrame) -> DataFrame:
     """``doc_id, number, answer`` of a mark scheme's answer grid; lines have ``doc_id, page, line_no, line``.
 

@@ -70,9 +70,8 @@ def entry_collect(spark: SparkSession, d: str) -> DataFrame:
     return R.scheme_entries(R.scheme_lines(scheme_lines(spark, d)))
 
 
-@query(
-    f"WITH RECURSIVE {THRESHOLDS_SQL}"
-    r""", trimmed AS (SELECT doc_id, row_number() OVER w AS spot, trim(line) AS line, coalesce(bool_or(trim(line) = 'A*') OVER w, false) AS starred, list(trim(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS nxt FROM thresholds WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+BANDS_SQL = r"""
+trimmed AS (SELECT doc_id, row_number() OVER w AS spot, trim(line) AS line, coalesce(bool_or(trim(line) = 'A*') OVER w, false) AS starred, list(trim(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS nxt FROM thresholds WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 heads AS (
   SELECT *, CASE kind WHEN 'c' THEN 7 WHEN 'p' THEN 9 ELSE 8 END AS long, CASE kind WHEN 'c' THEN nxt[1:6] WHEN 'p' THEN list_concat(nxt[1:1], nxt[3:8]) ELSE nxt[1:7] END AS numbers
   FROM (SELECT *, CASE WHEN NOT starred AND regexp_matches(line, '^Component \d+$') THEN 'c' WHEN starred AND regexp_matches(line, '^[A-Z]{2}$') THEN 'p' WHEN starred AND regexp_matches(line, '^\d{1,2}(,\s*\d{1,2})*$') THEN 'l' END AS kind FROM trimmed) WHERE kind IS NOT NULL),
@@ -84,18 +83,50 @@ verdicts AS (
   SELECT doc_id, CASE WHEN NOT bool_and(kind IS NULL OR coalesce(whole, false)) THEN 'not numbers' WHEN NOT coalesce(bool_or(kind = 'c'), false) OR NOT coalesce(bool_or(kind <> 'c'), false) THEN 'a table is missing' END AS problem
   FROM (SELECT DISTINCT doc_id FROM trimmed) LEFT JOIN (SELECT doc_id, kind, len(numbers) = CASE kind WHEN 'c' THEN 6 ELSE 7 END AND len(list_filter(numbers, lambda v: NOT regexp_matches(v, '^\d{1,9}$'))) = 0 AS whole FROM used) USING (doc_id) GROUP BY doc_id),
 good AS (SELECT u.* FROM used u JOIN verdicts v USING (doc_id) WHERE v.problem IS NULL),
-bands AS (SELECT *, unnest(range(1, len(numbers)))::INT AS i FROM good)
+ranked AS (SELECT *, unnest(range(1, len(numbers)))::INT AS i FROM good),
+read_bands AS (
 SELECT doc_id, CASE kind WHEN 'c' THEN 'component' ELSE 'combination' END AS grain, CASE kind WHEN 'c' THEN line[11]::INT END AS component, CASE WHEN kind = 'c' AND length(line) = 12 THEN line[12]::INT END AS variant,
   CASE kind WHEN 'p' THEN line WHEN 'l' THEN replace(line, ' ', '') END AS combination, CASE kind WHEN 'p' THEN nxt[2] WHEN 'l' THEN line END AS components,
   CASE kind WHEN 'c' THEN ['A', 'B', 'C', 'D', 'E'][i] ELSE ['A*', 'A', 'B', 'C', 'D', 'E'][i] END AS grade, numbers[i + 1]::INT AS low, numbers[i]::INT - (i > 1)::INT AS high, NULL::VARCHAR AS problem
-FROM bands UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, problem FROM verdicts WHERE problem IS NOT NULL""",
-    roles=False,
-)
+FROM ranked UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, problem FROM verdicts WHERE problem IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {THRESHOLDS_SQL}, {BANDS_SQL} SELECT * FROM read_bands", roles=False)
 def threshold_tables(spark: SparkSession, d: str) -> DataFrame:
     """Grade bands at both grains, and the documents that are refused."""
     return R.threshold_tables(threshold_lines(spark, d))
 
 
+@query(
+    f"WITH RECURSIVE {THRESHOLDS_SQL}, {BANDS_SQL}"
+    """, fresh AS (SELECT doc_id, grain, coalesce(combination, component || coalesce('-' || variant, '')) AS unit, grade, max(low) AS low, max(high) AS high FROM read_bands WHERE problem IS NULL GROUP BY ALL),
+stored AS (SELECT doc_id, grain, unit, grade, low + 1 AS low, high FROM fresh WHERE grade <> 'C' UNION ALL SELECT doc_id, grain, unit, 'U', 0, low - 1 FROM fresh WHERE grade = 'E')
+SELECT doc_id, grain, unit, grade, coalesce(f.low, s.low) AS low, coalesce(f.high, s.high) AS high, s.doc_id IS NULL AS is_new
+FROM (SELECT * FROM fresh WHERE doc_id % 2 = 0) f FULL JOIN stored s USING (doc_id, grain, unit, grade)""",
+    roles=False,
+)
+def threshold_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """What documents of even numbers say now replaces what was stored of both grains; other rows stay."""
+    fresh = R.band_units(R.threshold_tables(threshold_lines(spark, d)))
+    least = fresh.where("grade = 'E'").select("doc_id", "grain", "unit", F.lit("U").alias("grade"), F.lit(0).alias("low"), (F.col("low") - 1).alias("high"))
+    stored = fresh.where("grade <> 'C'").withColumn("low", F.col("low") + 1).unionByName(least)
+    return R.upserted_bands(stored, fresh.where("doc_id % 2 = 0"))
+
+
+@query(
+    f"WITH RECURSIVE {THRESHOLDS_SQL}, {BANDS_SQL}"
+    """, fresh AS (SELECT doc_id, grain, coalesce(combination, component || coalesce('-' || variant, '')) AS unit, grade, max(low) AS low, max(high) AS high FROM read_bands WHERE problem IS NULL GROUP BY ALL),
+marks AS (SELECT DISTINCT doc_id, unit, mark FROM fresh, (SELECT unnest([-1, 29, 30, 45, 50, 59, 60, 75, 100, 140, 200]) AS mark))
+SELECT m.doc_id, m.unit, m.mark, max(b.grade) AS grade FROM marks m LEFT JOIN fresh b ON b.doc_id = m.doc_id AND b.unit = m.unit AND m.mark BETWEEN b.low AND b.high GROUP BY ALL""",
+    roles=False,
+)
+def mark_grades(spark: SparkSession, d: str) -> DataFrame:
+    """The grade of some marks in each component and combination; none above the maximum or below the last grade."""
+    fresh = R.band_units(R.threshold_tables(threshold_lines(spark, d)))
+    some = F.explode(F.array(*map(F.lit, (-1, 29, 30, 45, 50, 59, 60, 75, 100, 140, 200)))).alias("mark")
+    return R.graded(fresh.select("doc_id", "unit").distinct().select("doc_id", "unit", some), fresh)
+
+
 GRID_SQL = r"""
 tokens AS (SELECT doc_id, page, line_no, trim(line) AS token FROM grids WHERE trim(line) <> ''),
 sides AS (SELECT doc_id, page, regexp_matches(flat, 'question answer marks?') AS modern, regexp_matches(flat, 'question number key') AS legacy FROM (SELECT doc_id, page, lower(regexp_replace(string_agg(token, ' ' ORDER BY line_no), '\s+', ' ', 'g')) AS flat FROM tokens GROUP BY doc_id, page)),

@@ -158,3 +158,15 @@ def test_a_grid_is_held_against_what_is_expected(spark):
     expected = spark.createDataFrame([(1, 3), (2, 6), (3, 2)], "doc_id int, n int")
     got = R.grid_problems(spark.createDataFrame(made, "doc_id int, number int, answer string"), expected)
     assert rows(got) == [(2, "count", 4, 6), (2, "missing", 1, 1), (2, "missing", 3, 3), (2, "missing", 6, 6), (2, "start", 2, 2), (3, "count", 0, 2)]
+
+
+def test_bands_are_stored_and_looked_up(spark):
+    found = bands(spark, COMPONENT + "Component 2\n40\n30\n25\n20\n15\n10\nA*\n" + PAIR)
+    units = R.band_units(found)
+    assert rows(units.where("grade = 'A'"), "grain", "unit", "low", "high") == [("combination", "AX", 120, 149), ("component", "1-1", 60, 80), ("component", "2", 30, 40)]
+    stored = spark.createDataFrame([(1, "component", "1-1", "A", 1, 2), (1, "component", "1-1", "U", 0, 19), (9, "component", "1-1", "A", 3, 4)], units.schema)
+    after = R.upserted_bands(stored, units)
+    assert rows(after.where("unit = '1-1' AND grade IN ('A', 'U')"), "doc_id", "grade", "low", "high", "is_new") == [(1, "A", 60, 80, False), (1, "U", 0, 19, False), (9, "A", 3, 4, False)]
+    assert after.where("is_new").count() == units.count() - 1
+    marks = spark.createDataFrame([(1, "1-1", 80), (1, "1-1", 60), (1, "1-1", 59), (1, "1-1", 19), (1, "1-1", 81), (1, "2", 30), (2, "2", 30)], "doc_id int, unit string, mark int")
+    assert rows(R.graded(marks, units), "doc_id", "unit", "mark", "grade") == [(1, "1-1", 19, None), (1, "1-1", 59, "B"), (1, "1-1", 60, "A"), (1, "1-1", 80, "A"), (1, "1-1", 81, None), (1, "2", 30, "A"), (2, "2", 30, None)]
