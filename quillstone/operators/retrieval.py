@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import cosine
-from quillstone.sources.files import work_folder
+from quillstone.sources.files import stored, work_folder
 
 THRESHOLD, LIMIT = 0.82, 5
 #: Queries that are held in memory at a time by a similarity search.
@@ -131,14 +131,20 @@ def fuzzy_search(texts: DataFrame, queries: DataFrame, *, threshold: float = 0.3
     common = each.groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
     ordered = each.join(common, "g").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("texts", "g"))).alias("by"))
     n = F.size("by")
-    sets = ordered.select("text", F.transform("by", lambda x: x["g"]).alias("grams"), (n - F.ceil(n * exact) + 1).cast("int").alias("ahead"))
+    sets = ordered.select(F.unhex(F.sha2("text", 256)).alias("key"), "text", F.transform("by", lambda x: x["g"]).alias("grams"), n.alias("n"), (n - F.ceil(n * exact) + 1).cast("int").alias("ahead"))
+    sets = stored(sets)
 
-    def first(of: DataFrame, text: str, grams: str) -> DataFrame:
-        chosen = sets.join(of.toDF("text").distinct(), "text", "left_semi")
-        return chosen.select(F.col("text").alias(text), F.col("grams").alias(grams), F.explode(F.slice("grams", F.lit(1), F.col("ahead"))).alias("g"))
+    def of(rows: DataFrame, prefix: str) -> DataFrame:
+        chosen = sets.join(rows.toDF("text").distinct(), "text", "left_semi")
+        return chosen.select(*(F.col(c).alias(prefix + c) for c in sets.columns))
 
-    met = first(queries.select("query"), "query", "qt").join(first(texts.select("text"), "text", "tt"), "g")
-    sizes = F.least(F.size("qt"), F.size("tt")) >= F.greatest(F.size("qt"), F.size("tt")) * exact
-    pairs = met.where(sizes).select("query", "text", "qt", "tt").dropDuplicates(["query", "text"])
+    def first(rows: DataFrame, prefix: str) -> DataFrame:
+        """Only keys and sizes ride with the trigrams; sets are fetched for the pairs that are left."""
+        return rows.select(f"{prefix}key", f"{prefix}n", F.explode(F.slice(f"{prefix}grams", F.lit(1), F.col(f"{prefix}ahead"))).alias("g"))
+
+    asked, held = of(queries.select("query"), "q_"), of(texts.select("text"), "t_")
+    met = first(asked, "q_").join(first(held, "t_"), "g").where(F.least("q_n", "t_n") >= F.greatest("q_n", "t_n") * exact)
+    pairs = met.select("q_key", "t_key").distinct()
+    pairs = pairs.join(asked.select("q_key", F.col("q_text").alias("query"), F.col("q_grams").alias("qt")), "q_key").join(held.select("t_key", F.col("t_text").alias("text"), F.col("t_grams").alias("tt")), "t_key")
     shared = F.size(F.array_intersect("qt", "tt"))
     return pairs.select("query", "text", F.round(shared / (F.size("qt") + F.size("tt") - shared), 4).alias("similarity")).where(F.col("similarity") >= threshold)
