@@ -35,7 +35,9 @@ LEAST_TEXTS, MIN_WEIGHT = 3, 1.5
 COVER = 2
 
 #: Whom a clause may be aimed at; the second list also stands before its verb where it is the object.
-TARGET = frozenset("you your yours yourself u ur he she they tu vous votre vos du ihr sie dein deine usted ustedes vosotros tus".split())
+TARGET = frozenset("you yours yourself u he she they tu vous du ihr sie usted ustedes vosotros".split())
+#: What is theirs: near an insult as good as they are, but a threat's verb is not aimed at it.
+OWNED = frozenset("your ur votre vos dein deine tus".split())
 OBJECT = frozenset("him her them te toi t lui dich dir euch ihn ihm ti os lo".split())
 NEGATION = frozenset("not never no neither nor cannot pas jamais ne n ni nicht nie niemals kein keine keinen nunca jamás".split())
 REPORT = frozenset("said says say saying told wrote writes called calls quoted quote quotes claimed reported dit disait écrit affirme sagte sagt schrieb behauptet dijo dice escribió afirmó".split())
@@ -45,15 +47,24 @@ def _inflected(stems: str, endings: str, *others: str) -> list[str]:
     return [stem + ending.strip("-") for stem in stems.split() for ending in endings.split()] + [w for o in others for w in o.split()]
 
 
-#: What is threatened, in the forms of the verbs.
-THREAT = frozenset(
-    _inflected("kill murder hurt destroy punch attack slaughter", "- s ed ing", "crush crushes crushed crushing smash smashes smashed smashing shoot shoots shot shooting stab stabs stabbed stabbing beat beats beaten beating strangle strangles strangled strangling")
-    + _inflected("tu frapp massacr étrangl poignard égorg extermin", "er e es ent ez ons erai eras era erons erez eront é ée és")
-    + _inflected("töt ermord erschieß erschlag erwürg vernicht verprügel zusammenschlag", "en e est st t et te ten", "getötet umbringen umbringe umbringst umbringt erschossen erschossest erschlägt schlagen schlägt")
-    + _inflected("mat golpe asesin apuñal estrangul destroz", "ar o as a an amos aré arás ará aremos arán aron é ó ado")
+#: What is threatened: the forms in which a threat is made (infinitives, first person, future), and the verbs' others, which
+#: mostly tell what someone does or did.
+VOWED = frozenset(
+    _inflected("kill murder hurt destroy punch attack slaughter crush smash shoot stab beat strangle", "-")
+    + _inflected("tu frapp massacr étrangl poignard égorg extermin", "er e ons erai eras era erons erez eront")
+    + _inflected("töt ermord erschieß erschlag erwürg vernicht verprügel zusammenschlag", "en e", "umbringen umbringe schlagen")
+    + _inflected("mat golpe asesin apuñal estrangul destroz", "ar o amos aré arás ará aremos arán")
 )
-#: Words within which a target or a negation is near; a report is so within its whole clause.
-REACH = 3
+TOLD = frozenset(
+    _inflected("kill murder hurt destroy punch attack slaughter", "s ed ing", "crushes crushed crushing smashes smashed smashing shoots shot shooting stabs stabbed stabbing beats beaten beating strangles strangled strangling")
+    + _inflected("tu frapp massacr étrangl poignard égorg extermin", "es ent ez é ée és")
+    + _inflected("töt ermord erschieß erschlag erwürg vernicht verprügel zusammenschlag", "est st t et te ten", "getötet umbringst umbringt erschossen erschossest erschlägt schlägt")
+    + _inflected("mat golpe asesin apuñal estrangul destroz", "as a an aron é ó ado")
+)
+#: Weight of a form before any label is seen, and how many texts that is worth; log odds that make a full weight.
+VOW, TALE, FORM_TRUST, FULL_ODDS = 1.0, 0.2, 4.0, 3.0
+#: Words within which a target or a negation is near; a report is so within its whole clause. A verb's object comes sooner.
+REACH, OBJECT_REACH = 3, 2
 #: Words whose class a task remembers, and features that it counts before it sends them on; bound a task's memory.
 REMEMBERED, LONGEST, HELD_FEATURES = 100_000, 64, 200_000
 
@@ -62,11 +73,11 @@ _CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W_]+n['’]t\b|[^\W_]+")
 
 #: Plain symbols; an insult and a threat have a symbol for each set of marks.
-OTHER, AIMED, AIMED_OBJECT, DENIES, REPORTS = range(5)
-MARKS = 128
-INSULT, THREATENS = 5, 5 + MARKS
-SYMBOLS = 5 + 2 * MARKS
-BEFORE_TARGET, BEFORE_OBJECT, BEFORE_NEGATION, BEFORE_REPORT, AFTER_TARGET, AFTER_NEGATION, AFTER_REPORT = (1 << i for i in range(7))
+OTHER, AIMED, AIMED_OBJECT, DENIES, REPORTS, OWNS = range(6)
+MARKS = 256
+INSULT, THREATENS = 6, 6 + MARKS
+SYMBOLS = 6 + 2 * MARKS
+BEFORE_TARGET, BEFORE_OBJECT, BEFORE_NEGATION, BEFORE_REPORT, AFTER_TARGET, AFTER_OBJECT, AFTER_NEGATION, AFTER_REPORT = (1 << i for i in range(8))
 #: Kinds of match: for an insult, whether a target is near, a negation precedes, one follows, and speech is reported;
 #: for a threat to someone the last three.
 KINDS = 24
@@ -127,7 +138,7 @@ def teller() -> Transducer:
         rest = bool(marks & BEFORE_NEGATION) + 2 * bool(marks & AFTER_NEGATION) + 4 * bool(marks & (BEFORE_REPORT | AFTER_REPORT))
         if symbol < THREATENS:
             return near + 2 * rest
-        return 16 + rest if marks & (BEFORE_OBJECT | AFTER_TARGET) else KINDS
+        return 16 + rest if marks & (BEFORE_OBJECT | AFTER_OBJECT) else KINDS
 
     return Transducer([[(0, kind(symbol)) for symbol in range(SYMBOLS)]])
 
@@ -135,8 +146,8 @@ def teller() -> Transducer:
 @cache
 def machines() -> tuple[Transducer, Transducer]:
     """The composed machines: the one that reads a clause from its end, and the one that then reads it from its start."""
-    back = marker(AFTER_TARGET, AIMED, AIMED_OBJECT).then(marker(AFTER_NEGATION, DENIES)).then(marker(AFTER_REPORT, REPORTS, reach=None))
-    on = marker(BEFORE_TARGET, AIMED).then(marker(BEFORE_OBJECT, AIMED_OBJECT)).then(marker(BEFORE_NEGATION, DENIES)).then(marker(BEFORE_REPORT, REPORTS, reach=None))
+    back = marker(AFTER_TARGET, AIMED, AIMED_OBJECT, OWNS).then(marker(AFTER_OBJECT, AIMED, AIMED_OBJECT, reach=OBJECT_REACH)).then(marker(AFTER_NEGATION, DENIES)).then(marker(AFTER_REPORT, REPORTS, reach=None))
+    on = marker(BEFORE_TARGET, AIMED, OWNS).then(marker(BEFORE_OBJECT, AIMED_OBJECT)).then(marker(BEFORE_NEGATION, DENIES)).then(marker(BEFORE_REPORT, REPORTS, reach=None))
     return back, on.then(teller())
 
 
@@ -159,6 +170,8 @@ class Grammar:
     slope: float = 1.0
     bias: float = -3.0
     gains: tuple[float, ...] = tuple(PRIOR.tolist())
+    #: Learned weights of threats' forms; others have VOW or TALE.
+    threats: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self._classes: dict[str, tuple[int, float]] = {}
@@ -166,30 +179,36 @@ class Grammar:
 
     def fresh(self) -> Grammar:
         """The same grammar without remembered words, for a task of its own."""
-        return Grammar(self.weights, self.slope, self.bias, self.gains)
+        return Grammar(self.weights, self.slope, self.bias, self.gains, self.threats)
 
     def word_class(self, word: str) -> tuple[int, float]:
         """The lexical transducer: a word's symbol, and its weight for an insult or a threat."""
         if (found := self._classes.get(word)) is None:
             weight = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
-            lists = ((THREATENS, THREAT), (DENIES, NEGATION), (AIMED, TARGET), (AIMED_OBJECT, OBJECT), (REPORTS, REPORT))
+            lists = ((THREATENS, VOWED), (THREATENS, TOLD), (DENIES, NEGATION), (AIMED, TARGET), (OWNS, OWNED), (AIMED_OBJECT, OBJECT), (REPORTS, REPORT))
             symbol = INSULT if weight > 0 else DENIES if word.endswith(("n't", "n’t")) else next((s for s, words in lists if word in words), OTHER)
-            found = symbol, weight if symbol == INSULT else float(symbol == THREATENS)
+            if symbol == THREATENS:
+                weight = self.threats.get(word, VOW if word in VOWED else TALE)
+            found = symbol, weight if symbol >= INSULT else 0.0
             if len(word) <= LONGEST:
                 if len(self._classes) >= REMEMBERED:
                     self._classes.clear()
                 self._classes[word] = found
         return found
 
-    def kinds(self, words: list[str]) -> list[tuple[int, float]]:
-        """Kind and weight of a clause's matches."""
+    def all_kinds(self, words: list[str]) -> list[tuple[int, float]]:
+        """Kind and weight of each word of a clause, KINDS for what is no match; nothing for a clause without any."""
         classes = [self.word_class(w) for w in words]
         symbols = [symbol for symbol, _ in classes]
         if max(symbols, default=0) < INSULT:
             return []
         back, on = machines()
         told = on.run(reversed(back.run(reversed(symbols))))
-        return [(kind, weight) for kind, (_, weight) in zip(told, classes, strict=True) if kind < KINDS]
+        return [(kind, weight) for kind, (_, weight) in zip(told, classes, strict=True)]
+
+    def kinds(self, words: list[str]) -> list[tuple[int, float]]:
+        """Kind and weight of a clause's matches."""
+        return [match for match in self.all_kinds(words) if match[0] < KINDS]
 
     def clauses(self, text: str | None) -> Iterator[tuple[int, int, list[tuple[int, float]]]]:
         """Begin and end (code points of the text) and matches of the clauses that have some."""
@@ -206,6 +225,17 @@ class Grammar:
                 yield begin, stop[0], found
             begin = stop[1]
 
+    def threatening(self, text: str | None) -> set[str]:
+        """The forms that threaten someone in a text."""
+        out: set[str] = set()
+        lowered = (text or "").lower()
+        if not any(self.word_class(w)[0] == THREATENS for w in set(_WORD.findall(lowered))):
+            return out
+        for clause in _CLAUSE.split(lowered):
+            words = _WORD.findall(clause)
+            out.update(w for w, (kind, _) in zip(words, self.all_kinds(words), strict=False) if 16 <= kind < KINDS)
+        return out
+
     def matched(self, text: str | None) -> list[tuple[int, int, float]]:
         """Clauses with weight: begin, end (code points of the text) and weight."""
         return [(begin, end, sum(w * self._gain[kind] for kind, w in found)) for begin, end, found in self.clauses(text)]
@@ -318,12 +348,40 @@ def _covering(rows: DataFrame, weights: dict[str, float], least: int, most: int)
     return chosen
 
 
+def form_weight(form: str, toxic: float, clean: float) -> float:
+    """The weight of a threat's form that threatens someone in these shares of a kind's texts and so many texts.
+
+    Its log odds over FULL_ODDS, between none and all, against the prior of its kind, which is worth FORM_TRUST texts.
+    """
+    prior = VOW if form in VOWED else TALE
+    n = toxic + clean
+    return prior if not n else (FORM_TRUST * prior + n * min(1.0, max(0.0, math.log((toxic + 0.5) / (clean + 0.5)) / FULL_ODDS))) / (FORM_TRUST + n)
+
+
+def _form_weights(rows: DataFrame, grammar: Grammar, sizes: dict[int, int]) -> dict[str, float]:
+    """Weights of the forms that threaten someone in labelled texts, by their numbers in as many texts of either label."""
+    held = rows.sparkSession.sparkContext.broadcast(grammar)
+
+    def threats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = held.value.fresh()
+        for batch in batches:
+            found = [(f, label) for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for f in sorted(g.threatening(text.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], names=["form", "label"])
+
+    counts: dict[str, list[float]] = {}
+    for form, label, n in rows.select("text", "label").mapInArrow(threats, "form string, label int").groupBy("form", "label").count().collect():
+        counts.setdefault(form, [0.0, 0.0])[label] = float(n)
+    even = sizes[1] / sizes[0]  # clean texts are the more: theirs count as if they were not
+    return {form: form_weight(form, toxic, clean * even) for form, (clean, toxic) in sorted(counts.items())}
+
+
 def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Grammar:
     """Learn the lexicon and the logistic line from labelled rows; null labels are left out.
 
     About ``fit_rows`` rows are used, chosen by a hash of text and label, which bounds what the driver holds. The lexicon
-    has words and stems of at least LEAST_TEXTS toxic texts whose log odds reach MIN_WEIGHT; the gains of targets,
-    negations, reports and threats are fitted together with the line. Without labels of both kinds nothing is learned:
+    has words and stems of at least LEAST_TEXTS toxic texts whose log odds reach MIN_WEIGHT; each form of a threat's verb weighs
+    what the labels of the texts say in which it has an object, against a prior; the gains of targets, negations, reports
+    and threats are fitted together with the line. Without labels of both kinds nothing is learned:
     every text then scores as one without insults.
     """
     small_batches(labelled.sparkSession)
@@ -342,6 +400,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     weights = {f: w for f, w in odds.items() if w >= MIN_WEIGHT}
     chosen = _covering(rows.where("label = 1"), weights, max(LEAST_TEXTS, sizes[1] // 500), lexicon)
     grammar = Grammar({f: weights[f] for f in chosen})
+    grammar = Grammar(grammar.weights, threats=_form_weights(rows, grammar, sizes))
     held = labelled.sparkSession.sparkContext.broadcast(grammar)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +411,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     points = rows.mapInArrow(weigh, "label int, profile array<double>").groupBy("profile", "label").count().collect()
     points.sort(key=lambda r: (r["label"], r["profile"]))
     grammar.slope, grammar.bias, gains = fitted_line(np.array([r["profile"] for r in points]), *(np.array([r[k] for r in points], float) for k in ("label", "count")))
-    return Grammar(grammar.weights, grammar.slope, grammar.bias, tuple(gains.tolist()))
+    return Grammar(grammar.weights, grammar.slope, grammar.bias, tuple(gains.tolist()), grammar.threats)
 
 
 def scored(docs: DataFrame, grammar: Grammar, *, text_col: str = "text") -> DataFrame:

@@ -110,6 +110,23 @@ def test_a_threat_needs_an_object(text):
     assert g.weight("I will never kill you") < g.weight("I will kill you")
 
 
+def test_harmless_uses_of_threats_verbs_weigh_less():
+    g = toxicity.Grammar()
+    threat = g.weight("I will kill you")
+    for text in ("She beats her record", "He beats them at chess", "I shot him a message", "kill it for you", "It destroys your bugs"):
+        assert g.score(g.weight(text)) < g.score(threat) / 2, text
+
+
+def test_forms_of_threats_learn_from_labels(spark):
+    assert toxicity.form_weight("kill", 0, 0) == 1.0 > toxicity.form_weight("beats", 0, 0) == 0.2
+    assert toxicity.form_weight("beats", 40, 0) > 0.9 and toxicity.form_weight("kill", 0, 40) < 0.1
+    toxic = [(f"moron number {i} and he beats you {i}", 1) for i in range(40)]
+    clean = [(f"we will kill them at the game {i}, friend", 0) for i in range(40)] + [(f"nobody beats eggs here {i}", 0) for i in range(80)]
+    g = toxicity.fit(spark.createDataFrame(toxic + clean, "text string, toxic int"))
+    assert g.threats["beats"] > 0.9 and g.threats["kill"] < 0.1 and set(g.threats) == {"beats", "kill"}
+    assert g.fresh().word_class("beats") == (toxicity.THREATENS, g.threats["beats"])
+
+
 def test_composition_is_what_its_parts_do_in_turn():
     one, two, three = toxicity.marker(toxicity.BEFORE_TARGET, toxicity.AIMED), toxicity.marker(toxicity.BEFORE_NEGATION, toxicity.DENIES, reach=2), toxicity.marker(toxicity.BEFORE_REPORT, toxicity.REPORTS, reach=None)
     whole = one.then(two).then(three).then(toxicity.teller())
@@ -128,16 +145,17 @@ def brute_kinds(symbols):
         before, after = symbols[max(0, i - 3) : i], symbols[i + 1 : i + 4]
         deny_before, deny_after, told = toxicity.DENIES in before, toxicity.DENIES in after, toxicity.REPORTS in symbols
         rest = deny_before + 2 * deny_after + 4 * told
-        aimed = lambda side: not {toxicity.AIMED, toxicity.AIMED_OBJECT}.isdisjoint(side)
+        whom = {toxicity.AIMED, toxicity.AIMED_OBJECT}
         if s == toxicity.INSULT:
-            out.append((aimed(before) or aimed(after)) + 2 * rest)
-        elif aimed(after) or toxicity.AIMED_OBJECT in before:
+            near = not (whom | {toxicity.OWNS}).isdisjoint(before + after)
+            out.append(near + 2 * rest)
+        elif not whom.isdisjoint(after[:2]) or toxicity.AIMED_OBJECT in before:
             out.append(16 + rest)
     return out
 
 
 def test_kinds_are_those_of_looking_around_each_match():
-    words = {0: "x", 1: "you", 2: "dich", 3: "not", 4: "said", toxicity.INSULT: "idiot", toxicity.THREATENS: "kill"}
+    words = {0: "x", 1: "you", 2: "dich", 3: "not", 4: "said", 5: "your", toxicity.INSULT: "idiot", toxicity.THREATENS: "kill"}
     g = toxicity.Grammar({"idiot": 1.0})
     for _ in range(2000):
         symbols = [RNG.choice(list(words)) for _ in range(RNG.randrange(15))]
