@@ -121,7 +121,8 @@ def test_forms_of_threats_learn_from_labels(spark):
     assert toxicity.form_weight("kill", 0, 0) == 1.0 > toxicity.form_weight("beats", 0, 0) == 0.2
     assert toxicity.form_weight("beats", 40, 0) > 0.9 and toxicity.form_weight("kill", 0, 40) < 0.1
     toxic = [(f"moron number {i} and he beats you {i}", 1) for i in range(40)]
-    clean = [(f"we will kill them at the game {i}, friend", 0) for i in range(40)] + [(f"nobody beats eggs here {i}", 0) for i in range(80)]
+    usual = "and he has a number for you."
+    clean = [(f"{usual} we will kill them at the game {i}", 0) for i in range(40)] + [(f"{usual} nobody beats eggs here {i}", 0) for i in range(80)]
     g = toxicity.fit(spark.createDataFrame(toxic + clean, "text string, toxic int"))
     assert g.threats["beats"] > 0.9 and g.threats["kill"] < 0.1 and set(g.threats) == {"beats", "kill"}
     assert g.fresh().word_class("beats") == (toxicity.THREATENS, g.threats["beats"])
