@@ -124,7 +124,7 @@ def test_forms_of_threats_learn_from_labels(spark):
     usual = "and he has a number for you."
     clean = [(f"{usual} we will kill them at the game {i}", 0) for i in range(40)] + [(f"{usual} nobody beats eggs here {i}", 0) for i in range(80)]
     g = toxicity.fit(spark.createDataFrame(toxic + clean, "text string, toxic int"))
-    assert g.threats["beats"] > 0.9 and g.threats["kill"] < 0.1 and set(g.threats) == {"beats", "kill"}
+    assert g.threats["beats"] > 0.9 and g.threats["kill"] < 0.3 and set(g.threats) == {"beats", "kill"}
     assert g.fresh().word_class("beats") == (toxicity.THREATENS, g.threats["beats"])
 
 
