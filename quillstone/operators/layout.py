@@ -26,6 +26,11 @@ def stripped(text: str = "text") -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def in_gutter() -> Column:
+    """Left of everything but question numbers, and within the body."""
+    return (F.col("x0") < GUTTER_X) & (F.col("y0") > BODY_TOP) & (F.col("y0") < BODY_BOTTOM)
+
+
 def start_number() -> Column:
     """The question that a span opens, or null.
 
@@ -36,8 +41,7 @@ def start_number() -> Column:
     alone = F.regexp_extract(text, r"^(\d{1,9})$", 1)
     merged = F.when(F.col("bold"), F.regexp_extract(text, r"^(\d{1,2})\s+\S", 1))
     number = F.coalesce(F.nullif(alone, F.lit("")), F.nullif(merged, F.lit(""))).cast("int")
-    inside = (F.col("x0") < GUTTER_X) & (F.col("y0") > BODY_TOP) & (F.col("y0") < BODY_BOTTOM)
-    return F.when(inside & (number >= 1), number)
+    return F.when(in_gutter() & (number >= 1), number)
 
 
 def is_footer() -> Column:
@@ -56,12 +60,13 @@ def is_template() -> Column:
 
 def inked(spans: DataFrame) -> DataFrame:
     """Spans that show something of a question: no footers, and no blanks, whose boxes may be of any height."""
-    return spans.where((stripped() != "") & ~is_footer())
+    return spans.where(F.col("text").rlike(r"\S") & ~is_footer())
 
 
 def question_starts(spans: DataFrame) -> DataFrame:
     """``doc_id, page, span_no, number, y0`` of the spans that open a question."""
-    return spans.select("doc_id", "page", "span_no", start_number().alias("number"), "y0").where("number IS NOT NULL")
+    near = spans.where(in_gutter())  # before any pattern is tried
+    return near.select("doc_id", "page", "span_no", start_number().alias("number"), "y0").where("number IS NOT NULL")
 
 
 def segment_regions(spans: DataFrame, drawings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -131,8 +136,7 @@ def crop_audit(stored: DataFrame, regions: DataFrame, spans: DataFrame) -> DataF
 def unconfirmed_roots(spans: DataFrame) -> DataFrame:
     """``doc_id, number, page, y0`` of spans in gutter and body whose first word is a number of two digits at most, bold or not."""
     word = F.regexp_extract(stripped(), r"^(\d{1,2})(\s|$)", 1)
-    inside = (F.col("x0") < GUTTER_X) & (F.col("y0") > BODY_TOP) & (F.col("y0") < BODY_BOTTOM) & (word != "")
-    return spans.where(inside).select("doc_id", word.cast("int").alias("number"), "page", "y0")
+    return spans.where(in_gutter() & (word != "")).select("doc_id", word.cast("int").alias("number"), "page", "y0")
 
 
 def fill_missing_roots(roots: DataFrame, candidates: DataFrame) -> DataFrame:
