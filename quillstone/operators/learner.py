@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,17 +93,27 @@ def quota_ledger(requests: DataFrame, limit: int) -> DataFrame:
 
 
 def quota_ledger_mixed(requests: DataFrame, limit: int) -> DataFrame:
-    """As above with amounts: a refused request leaves the counter as it was, so each user's day is one ordered scan."""
+    """As above with amounts: a refused request leaves the counter as it was, so each user's day is one ordered scan.
 
-    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = 0, []
-        for amount in rows.sort_values("seq")["amount"]:
-            ok = used + amount <= limit
-            used += amount if ok else 0
-            out.append((ok, used))
-        return rows.sort_values("seq").assign(admitted=[o[0] for o in out], used=[o[1] for o in out])[["user_id", "day", "seq", "amount", "admitted", "used"]]
+    A task scans all its users' days in one pass, batch by batch, and begins anew where the number is 1. A request without
+    an amount is neither admitted nor refused.
+    """
 
-    return requests.select("user_id", "day", "seq", "amount").groupBy("user_id", "day").applyInPandas(scan, "user_id bigint, day date, seq bigint, amount bigint, admitted boolean, used bigint")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = 0
+        for batch in batches:
+            admitted, counter = [], []
+            for n, amount in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                used = 0 if n == 1 else used
+                ok = None if amount is None else used + amount <= limit
+                used += amount if ok else 0
+                admitted.append(ok)
+                counter.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(admitted, pa.bool_()), pa.array(counter, pa.int64())], names=["user_id", "day", "seq", "amount", "admitted", "used"])
+
+    rows = requests.select("user_id", "day", "seq", F.col("amount").cast("bigint").alias("amount")).repartition("user_id", "day").sortWithinPartitions("user_id", "day", "seq")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("seq")))
+    return rows.mapInArrow(scan, "user_id bigint, day date, seq bigint, amount bigint, admitted boolean, used bigint")
 
 
 def refunded(used: Column, amount: Column) -> Column:

@@ -96,6 +96,17 @@ def test_a_refused_request_leaves_the_counter(spark):
     assert {(r["user_id"], r["seq"]): (r["admitted"], r["used"]) for r in learner.quota_ledger_mixed(df, 9).collect()} == want
 
 
+def test_days_of_one_task_are_scanned_together(spark):
+    """Days that share a task and a batch don't share a counter, users and days may be null, and no Python call is one day's."""
+    asked = [(u, d, s, a) for u in (None, 1, 2) for d in (None, "2024-01-01", "2024-01-02") for s, a in enumerate((4, 3, None, 1, 2))]
+    df = spark.createDataFrame(asked, "user_id bigint, day string, seq bigint, amount bigint").withColumn("day", F.col("day").cast("date")).orderBy(F.rand(1))
+    ledger = learner.quota_ledger_mixed(df, 5)
+    got = {(r["user_id"], r["day"] and str(r["day"]), r["seq"]): (r["admitted"], r["used"]) for r in ledger.collect()}
+    each = [(True, 4), (False, 4), (None, 4), (True, 5), (False, 5)]
+    assert got == {(u, d, s): each[s] for u, d, s, _ in asked}
+    assert "FlatMapGroupsInPandas" not in ledger._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bins(spark):
     df = spark.createDataFrame([(1, i, h) for i, h in enumerate([3, 3, 9, 1, 4, 6])] + [(2, 0, 1)], "doc_id bigint, place int, height int")
     got = learner.packed(df, 6).orderBy("doc_id", "place").collect()
