@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +32,35 @@ def visual_rows(spans: DataFrame) -> DataFrame:
     """Lines of a page in visual rows, read from left to right: ``doc_id, page, row, text``.
 
     Lines come in order of ``line_no``; one joins the row before it if it overlaps any line of it by a quarter of the
-    lower one's height. Which lines a row has depends on what it took in before, so each page is one ordered scan; a page
-    is small. Blank lines are passed over.
+    lower one's height. Which lines a row has depends on what it took in before, so each page is one ordered scan; a task
+    scans all its pages in one pass, and holds no more than the row that is open. Blank lines are passed over.
     """
 
-    def group(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for s in page.sort_values("line_no").itertuples():
-            lower = lambda o, s=s: min(s.y1 - s.y0, o.y1 - o.y0)
-            if rows and any(lower(o) > 0 and (min(s.y1, o.y1) - max(s.y0, o.y0)) / lower(o) >= ROW_OVERLAP for o in rows[-1]):
-                rows[-1].append(s)
-            else:
-                rows.append([s])
-        out = [(key[0], key[1], i, " ".join(s.line for s in sorted(row, key=lambda s: (round(s.x0), s.y0, s.line_no)))) for i, row in enumerate(rows)]
-        return pd.DataFrame(out, columns=["doc_id", "page", "row", "text"])
-
-    inked = spans.where(F.trim("line") != "")
-    return inked.groupBy("doc_id", "page").applyInPandas(group, "doc_id bigint, page int, row int, text string").withColumn("text", collapse_spaces(F.col("text")))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, number, held, out = None, 0, [], []
+
+        def close() -> None:
+            if held:
+                out.append((*place, number, " ".join(line for *_, line in sorted(held, key=lambda h: h[2:5]))))
+
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "page", "row", "text"])
+
+        for batch in batches:
+            for doc, page, n, line, y0, y1, x0, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first == 1:
+                    close()
+                    place, number, held = (doc, page), 0, []
+                elif not any((low := min(y1 - y0, b - a)) > 0 and (min(y1, b) - max(y0, a)) / low >= ROW_OVERLAP for a, b, *_ in held):
+                    close()
+                    number, held = number + 1, []
+                held.append((y0, y1, round(x0), y0, n, line))
+            yield batch_of()
+            out.clear()
+        close()
+        yield batch_of()
+
+    rows = spans.where(F.trim("line") != "").select("doc_id", "page", "line_no", "line", "y0", "y1", "x0").repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line_no")
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line_no")))
+    return rows.mapInArrow(scan, "doc_id bigint, page int, row int, text string").withColumn("text", collapse_spaces(F.col("text")))

@@ -177,6 +177,20 @@ def test_rows_of_overlapping_lines(spark):
 # --- catalogue and retrieval
 
 
+def test_pages_of_one_task_are_scanned_together(spark):
+    """A row goes on neither across pages nor across documents, but does across batches; no Python call is one page's."""
+    lines = [(d, p, n, f"{p}.{n}", 0 if n < 2 else 50, 10 if n < 2 else 60, 9 - n) for d in range(40) for p in range(3) for n in range(4)]
+    df = spark.createDataFrame(lines, "doc_id bigint, page int, line_no int, line string, y0 int, y1 int, x0 int").orderBy(F.rand(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = outline.visual_rows(df)
+        got = rows(found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(((d, p, r, f"{p}.{2 * r + 1} {p}.{2 * r}") for d in range(40) for p in range(3) for r in range(2)), key=str)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_prefix_is_not_a_parent(spark):
     df = spark.createDataFrame([("1(a)",), ("10(a)",), ("1",)], "l string")
     assert [r[0] for r in df.select(catalogue.in_subtree(F.col("l"), F.lit("1"))).collect()] == [True, False, False]
