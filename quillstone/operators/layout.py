@@ -31,22 +31,28 @@ def in_gutter() -> Column:
     return (F.col("x0") < GUTTER_X) & (F.col("y0") > BODY_TOP) & (F.col("y0") < BODY_BOTTOM)
 
 
+def is_start() -> Column:
+    """Whether a span opens a question: what ``start_number`` reads is there. One pattern for each kind, tried on the text as it is."""
+    alone = F.col("text").rlike(r"^\s*(?=\d*[1-9])\d{1,9}\s*$")
+    return in_gutter() & (alone | (F.col("bold") & F.col("text").rlike(r"^\s*(?=\d*[1-9])\d{1,2}\s+\S")))
+
+
 def start_number() -> Column:
     """The question that a span opens, or null.
 
     A number alone in the gutter and the body; or, in bold, a number of two digits at most before text, as printed where
     a question opens with a single sign. There is no question 0.
     """
-    text = stripped()
-    alone = F.regexp_extract(text, r"^(\d{1,9})$", 1)
-    merged = F.when(F.col("bold"), F.regexp_extract(text, r"^(\d{1,2})\s+\S", 1))
-    number = F.coalesce(F.nullif(alone, F.lit("")), F.nullif(merged, F.lit(""))).cast("int")
-    return F.when(in_gutter() & (number >= 1), number)
+    return F.when(is_start(), _leading())
+
+
+def _leading() -> Column:
+    return F.regexp_extract("text", r"^\s*(\d+)", 1).cast("int")
 
 
 def is_footer() -> Column:
     """Small type in the footer's strip, or its fixed note, which is set as large as a question."""
-    return (F.col("y0") > FOOTER_TOP) & ((F.col("size") < FOOTER_SIZE) | F.startswith(stripped(), F.lit(TURN_OVER)))
+    return (F.col("y0") > FOOTER_TOP) & ((F.col("size") < FOOTER_SIZE) | F.col("text").rlike(rf"^\s*\{TURN_OVER}"))
 
 
 def is_footer_rule() -> Column:
@@ -65,8 +71,7 @@ def inked(spans: DataFrame) -> DataFrame:
 
 def question_starts(spans: DataFrame) -> DataFrame:
     """``doc_id, page, span_no, number, y0`` of the spans that open a question."""
-    near = spans.where(in_gutter())  # before any pattern is tried
-    return near.select("doc_id", "page", "span_no", start_number().alias("number"), "y0").where("number IS NOT NULL")
+    return spans.where(is_start()).select("doc_id", "page", "span_no", _leading().alias("number"), "y0")
 
 
 def segment_regions(spans: DataFrame, drawings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -135,8 +140,7 @@ def crop_audit(stored: DataFrame, regions: DataFrame, spans: DataFrame) -> DataF
 
 def unconfirmed_roots(spans: DataFrame) -> DataFrame:
     """``doc_id, number, page, y0`` of spans in gutter and body whose first word is a number of two digits at most, bold or not."""
-    word = F.regexp_extract(stripped(), r"^(\d{1,2})(\s|$)", 1)
-    return spans.where(in_gutter() & (word != "")).select("doc_id", word.cast("int").alias("number"), "page", "y0")
+    return spans.where(in_gutter() & F.col("text").rlike(r"^\s*\d{1,2}(\s|$)")).select("doc_id", _leading().alias("number"), "page", "y0")
 
 
 def fill_missing_roots(roots: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -148,12 +152,17 @@ def fill_missing_roots(roots: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     place = F.struct("page", "y0")
     w = Window.partitionBy("doc_id").orderBy("page", "y0", "number")
-    each = roots.select("doc_id", "number", place.alias("after"), F.lead("number").over(w).alias("next"), F.lead(place).over(w).alias("before"))
-    wide = each.where("next > number + 1 OR next IS NULL")
+    each = roots.select("doc_id", "page", "y0", "number", F.lead("number").over(w).alias("next"), F.lead(place).over(w).alias("before"), F.row_number().over(w).alias("gap"))
+    # Roots and candidates are sorted together: a candidate can only belong to the gap of the last root before its place.
+    gap = F.struct("gap", F.col("number").alias("root"), place.alias("after"), "next", "before")
+    both = each.select("doc_id", "page", "y0", "number", F.lit(0).alias("kind"), "gap", gap.alias("g"))
+    both = both.unionByName(candidates.select("doc_id", "page", "y0", "number", F.lit(1).alias("kind")), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy("page", "y0", "kind", F.col("gap")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("g", F.last("g", ignorenulls=True).over(order)).where("kind = 1 AND g IS NOT NULL")
+    near = near.select("doc_id", "number", place.alias("at"), "g.*").where("(next > root + 1 OR next IS NULL) AND at > after AND (before IS NULL OR at < before)")
     # A neighbour's gap spans two-digit numbers only, as candidates are; the run after the last root asks for all later ones.
-    wanted = wide.select("doc_id", F.col("number").alias("root"), "after", "before", F.explode(F.sequence(F.col("number") + 1, F.least(F.coalesce(F.col("next") - 1, F.lit(99)), F.greatest(F.lit(99), F.col("number") + 1)))).alias("number"))
-    near = wanted.join(candidates.select("doc_id", "number", place.alias("at")).distinct(), ["doc_id", "number"]).where("at > after AND (before IS NULL OR at < before)")
-    gaps = near.groupBy("doc_id", "root", "after", "before").agg(F.array_sort(F.collect_list(F.struct("number", "at"))).alias("pool"))
+    near = near.where((F.col("number") > F.col("root")) & (F.col("number") <= F.least(F.coalesce(F.col("next") - 1, F.lit(99)), F.greatest(F.lit(99), F.col("root") + 1))))
+    gaps = near.groupBy("doc_id", "gap").agg(F.first("root").alias("root"), F.first("after").alias("after"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("number", "at"))).alias("pool"))
     start = F.struct(F.col("root").alias("number"), F.col("after").alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<number: INT, at: STRUCT<page: INT, y0: DOUBLE>>>)").alias("picks"))
 
     def pick(state: Column, c: Column) -> Column:

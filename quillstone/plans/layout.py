@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from quillstone.operators import layout as L
 from quillstone.plans.printed import PRINTED_SQL, drawings, pages, printed_spans
 from quillstone.plans.registry import query
+from quillstone.sources.files import stored
+
+
+PLACE = ("doc_id", "page")
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
-    return L.segment_regions(printed_spans(spark, d), drawings(spark, d), pages(spark, d))
+    return L.segment_regions(printed_spans(spark, d, *PLACE), drawings(spark, d, *PLACE), pages(spark, d, *PLACE))
 
 
 @query(f"WITH {PRINTED_SQL} SELECT doc_id, page, span_no, number, y0 FROM starts", roles=False)
@@ -36,7 +40,8 @@ UNION ALL SELECT doc_id, 'degenerate', number, number FROM regions WHERE y1 <= y
     roles=False,
 )
 def region_problems(spark: SparkSession, d: str) -> DataFrame:
-    return L.region_problems(_regions(spark, d), pages(spark, d))
+    """Regions are stored, as each kind of problem reads them."""
+    return L.region_problems(stored(_regions(spark, d)), pages(spark, d))
 
 
 @query(
@@ -57,9 +62,9 @@ FROM told WHERE revealed <> '' OR line IS NOT NULL""",
 )
 def region_audit(spark: SparkSession, d: str) -> DataFrame:
     """Stored boxes (here, some shorter than they should be) against recomputed ones."""
-    regions = _regions(spark, d)
+    regions = stored(_regions(spark, d))
     short = F.element_at(F.array(*map(F.lit, (0.0, 0.5, 25.0, 130.0))), F.col("number") % 4 + 1)
-    return L.crop_audit(regions.withColumn("y1", F.col("y1") - short), regions, printed_spans(spark, d))
+    return L.crop_audit(regions.withColumn("y1", F.col("y1") - short), regions, printed_spans(spark, d, *PLACE))
 
 
 @query(
@@ -90,7 +95,7 @@ slices AS (
 
 def _ends(spark: SparkSession, d: str) -> DataFrame:
     spans = printed_spans(spark, d)
-    return L.range_cut(L.question_starts(spans), spans.where(F.startswith(L.stripped(), F.lit("Section "))))
+    return L.range_cut(L.question_starts(spans), spans.where(F.col("text").rlike(r"^\s*Section ")))
 
 
 @query(f"WITH {PRINTED_SQL}{CUTS} SELECT doc_id, page, y0, next.p AS next_page, next.y AS next_y0, cut.p AS cut_page, cut.y AS cut_y0 FROM ends", roles=False)

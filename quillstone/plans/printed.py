@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.plans.roles import table
@@ -38,11 +38,39 @@ _DRAWINGS = (("n % 3 = 1", "50.0", "550.0", "752.0", "753.0"), ("part % 4 = 1",
 _DOUBLES = {"x0", "x1", "y0", "y1", "size"}
 
 
-def _made(spark: SparkSession, d: str, rules: tuple, names: tuple) -> DataFrame:
-    base = table(spark, d, "lineitem").selectExpr(*_split(_BASE))
+#: Line items that one task turns into printed rows, some ten each, and then sorts.
+TASK_ROWS = 100_000
+
+
+def _dealt(items: DataFrame, *by: str) -> DataFrame:
+    """The few columns of line items dealt out by document, or document and page, before they are made into many rows.
+
+    What is made of them stays where it is: everything later goes by the same, or by the same and more. Tasks are counted
+    from the rows, as a task's windows hold what it sorts.
+    """
+    rows = items.count()
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return items.repartition(tasks, *by)
+
+
+def _base(spark: SparkSession, d: str, by: tuple) -> DataFrame:
+    """Tops are doubles here: as decimals they make a method of the rules that is too large for the JVM to compile."""
+    return _dealt(table(spark, d, "lineitem").selectExpr(*_split(_BASE)).withColumn("top", F.col("top").cast("double")), *by)
+
+
+def _exploded(base: DataFrame, page: Column | str, first: str, name: str, rules: tuple, names: tuple) -> DataFrame:
+    """A row for each rule that a line item meets, numbered by the rule's place from ``first`` on.
+
+    What isn't met is dropped once made, as filters of arrays aren't compiled, and a rule makes no more than its own fields:
+    all rules are one method, which the JVM compiles up to 8,000 bytes.
+    """
     field = lambda c, e: F.expr(e).cast("double" if c in _DOUBLES else "boolean" if c == "bold" else "string").alias(c)
-    each = [F.when(F.expr(rule[0]), F.struct((F.col("n") * 20 + k).alias("span_no"), *map(field, names, rule[1:]))) for k, rule in enumerate(rules)]
-    return base.select("doc_id", "page", F.explode(F.filter(F.array(*each), lambda s: s.isNotNull())).alias("s")).select("doc_id", "page", "s.*")
+    each = F.array(*(F.when(F.expr(rule[0]), F.struct(*map(field, names, rule[1:]))) for rule in rules))
+    return base.select("doc_id", page, F.expr(first).alias("first"), F.posexplode(each).alias("k", "s")).where("s IS NOT NULL").select("doc_id", "page", (F.col("first") + F.col("k")).alias(name), "s.*")
+
+
+def _made(base: DataFrame, rules: tuple, names: tuple) -> DataFrame:
+    return _exploded(base, "page", "n * 20", "span_no", rules, names)
 
 
 def _split(text: str) -> list[str]:
@@ -56,18 +84,18 @@ def _split(text: str) -> list[str]:
     return out
 
 
-def printed_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _made(spark, d, _SPANS, _NAMES)
+def printed_spans(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    return _made(_base(spark, d, by or ("doc_id",)), _SPANS, _NAMES)
 
 
-def drawings(spark: SparkSession, d: str) -> DataFrame:
-    return _made(spark, d, _DRAWINGS, ("x0", "x1", "y0", "y1")).drop("span_no")
+def drawings(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    return _made(_base(spark, d, by or ("doc_id",)), _DRAWINGS, ("x0", "x1", "y0", "y1")).drop("span_no")
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
+def pages(spark: SparkSession, d: str, *by: str) -> DataFrame:
     """Every hundredth paper or so is not A4."""
     width = F.when(F.col("doc_id") % 97 == 0, 612.0).otherwise(595.3)
-    return table(spark, d, "lineitem").selectExpr(*_split(_BASE)).select("doc_id", "page").distinct().select("doc_id", "page", width.alias("width"), F.lit(841.9).alias("height"))
+    return _base(spark, d, by or ("doc_id",)).select("doc_id", "page").distinct().select("doc_id", "page", width.alias("width"), F.lit(841.9).alias("height"))
 
 
 def _sql(rules: tuple, names: tuple) -> str:
@@ -171,10 +199,10 @@ _GRIDS = (
 
 
 def _listed(spark: SparkSession, d: str, rules: tuple, names: tuple) -> DataFrame:
-    base = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.expr(e) for e in _split(_LISTED)[3:])).selectExpr(*_split(_LISTED)[:3], "q", "part", "supp")
-    field = lambda c, e: F.expr(e).cast("double" if c in ("size", "x0") else "boolean" if c == "bold" else "string").alias(c)
-    each = [F.when(F.expr(rule[0]), F.struct((F.col("o") * 200 + F.col("n") * 20 + k).alias("line_no"), *map(field, names, rule[1:]))) for k, rule in enumerate(rules)]
-    return base.select("doc_id", F.floor(F.col("o") / 2).cast("int").alias("page"), F.explode(F.filter(F.array(*each), lambda s: s.isNotNull())).alias("s")).select("doc_id", "page", "s.*")
+    keys = _split(_LISTED)[:3]
+    items = _dealt(table(spark, d, "lineitem").selectExpr(keys[0], "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"), "doc_id")
+    base = items.groupBy("doc_id", "l_orderkey", "l_linenumber").agg(*(F.expr(e) for e in _split(_LISTED)[3:])).selectExpr("doc_id", *keys[1:], "q", "part", "supp")
+    return _exploded(base, F.floor(F.col("o") / 2).cast("int").alias("page"), "o * 200 + n * 20", "line_no", rules, names)
 
 
 def syllabus_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -130,3 +130,29 @@ def test_empty_tables(spark, paper):
     regions = L.segment_regions(empty, none_drawn(spark), sheets(spark))
     assert regions.count() == 0 and L.region_problems(regions, sheets(spark)).count() == 0
     assert L.fill_missing_roots(L.question_starts(empty), L.unconfirmed_roots(empty)).count() == 0
+
+
+def test_tasks_grow_with_the_rows_and_nothing_is_dealt_twice(spark, monkeypatch):
+    """Printed rows are made where their document is: a query that goes by document shuffles line items once, into as many tasks as they need."""
+    from quillstone.plans import QUERIES, printed
+
+    monkeypatch.setattr(printed, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert n > 2000 and printed.scheme_lines(spark, sf).rdd.getNumPartitions() == -(-n // 500)
+    plan = QUERIES["entry_collect"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "filter(array" not in plan
+
+
+def test_methods_of_the_rules_are_small_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes, some five times slower."""
+    from quillstone.plans import printed
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (printed.printed_spans, printed.syllabus_rows, printed.scheme_lines, printed.threshold_lines, printed.grid_lines):
+            made(spark, "/root/testdata/sf0.001").explain("codegen")
+            sizes = [int(part.split(";")[0]) for part in capsys.readouterr().out.split("maxMethodCodeSize:")[1:]]
+            assert sizes and max(sizes) < 7000, made.__name__
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
