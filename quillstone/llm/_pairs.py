@@ -26,6 +26,12 @@ def plain_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return _text.shingles(_text.word_hashes(data, starts, ends), at, k)
 
 
+def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose ``doc`` falls into the slot of one that is wanted: at most SLOTS numbers are broadcast."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")
+    return texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
 def compared(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingler: Shingler) -> DataFrame:
     """``u, v, shared, joint`` of the pairs whose shingle sets share something: sizes of intersection and union.
 
@@ -37,9 +43,7 @@ def compared(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, s
     dealt = pairs.join(many, "u", "left").select("u", "v", F.when(F.col("deals").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("deals"))).alias("deal"))
     rows = dealt.select("u", "deal", F.lit(1).alias("place"), F.col("v").alias("doc")).union(dealt.select("u", "deal", F.lit(0), F.col("u")).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    # Before texts are shuffled, those whose id falls into no candidate's slot are left out: at most SLOTS numbers.
-    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")
-    texts = texts.withColumn("slot", slot).join(F.broadcast(rows.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    texts = among(texts, rows)  # before they are shuffled
     laid = rows.join(texts, "doc").select("u", "deal", "place", "doc", "text").repartition("u", "deal").sortWithinPartitions("u", "deal", "place")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

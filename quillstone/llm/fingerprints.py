@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm import _text
-from quillstone.llm._pairs import compared
+from quillstone.llm import _text, near_dedup
+from quillstone.llm._pairs import among
 from quillstone.llm._store import column, small_batches, written
 
 PERMUTATIONS, SEED, SHINGLE = 64, 20_240_607, 5
@@ -22,10 +22,8 @@ PERMUTATIONS, SEED, SHINGLE = 64, 20_240_607, 5
 RUN_BYTES, MOST_RUNS = 16 << 20, 1 << 16
 #: Rows of one id and text beyond which they are laid out as one row with a count.
 HOT_COPIES = 4096
-#: Documents whose near texts the query looks up: ids divisible by this.
-QUERIED = 20
-#: Minima that give a bit to a document's sketch.
-SKETCH = 64
+#: What percentage of the shingles of either text near texts share.
+NEAR_PERCENT = 80
 #: The probability with which a pair right at the threshold may share no band.
 MISSED = 0.001
 _PAD = np.uint64(0x5851F42D4C957F2D)
@@ -143,16 +141,15 @@ def _shingles_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, tie, size, digest, sketch, keys`` of each row, a written table.
+    """``doc_id, tie, size, digest, keys`` of each row, a written table.
 
     ``tie`` is a hash of the text, which rows of one id are ordered by, ``size`` its bytes; ``digest`` a hash of the set of
-    its shingles, ``sketch`` a bit of each of 64 minima, ``keys`` those of its bands. Null and empty texts, and texts
-    without words, have no keys.
+    its shingles, ``keys`` those of its bands. Null and empty texts, and texts without words, have no keys.
     """
     bands, rows = banding(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _text.MinHash(max(SKETCH, bands * rows), SEED)
+        hasher = _text.MinHash(bands * rows, SEED)
         for batch in batches:
             for begin, end, values, places in text_shingles(batch.column(3), k):
                 values, places = _text.distinct(values, places)
@@ -161,8 +158,6 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
                 some = np.flatnonzero(np.diff(places) > 0)
                 if len(some):
                     digest[some] = np.add.reduceat(_text.mix64(values ^ _PAD), places[:-1][some])
-                sketch = ((_text.mix64(minima[:, :SKETCH]) & np.uint64(1)) << np.arange(SKETCH, dtype=np.uint64)).sum(1, dtype=np.uint64)
-                minima = minima[:, : bands * rows]
                 key = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], end - begin, 0)
                 for i in range(rows):
                     key = _text.mix64(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, i::rows] + np.uint64(1))
@@ -170,53 +165,42 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
                 at = np.zeros(end - begin + 1, np.int32)
                 np.cumsum(full * bands, out=at[1:])
                 keys = pa.ListArray.from_arrays(pa.array(at), pa.array(key[full].ravel().view(np.int64)))
-                known = [pa.array(a.view(np.int64)) for a in (digest, sketch)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in range(3)), *known, keys], names=["doc_id", "tie", "size", "digest", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, end - begin) for i in range(3)), pa.array(digest.view(np.int64)), keys], names=["doc_id", "tie", "size", "digest", "keys"])
 
     text = F.coalesce(column(text_col), F.lit(""))
     rows_in = docs.select(column(id_col).cast("bigint").alias("doc_id"), _tie(text).alias("tie"), F.octet_length(text).cast("bigint").alias("size"), text.alias("text"))
-    return written(rows_in.mapInArrow(sign, "doc_id bigint, tie bigint, size bigint, digest bigint, sketch bigint, keys array<bigint>"), "signed")
+    return written(rows_in.mapInArrow(sign, "doc_id bigint, tie bigint, size bigint, digest bigint, keys array<bigint>"), "signed")
 
 
 def _tie(text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 1)
 
 
-def linked(docs: DataFrame, sketches: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = SHINGLE, queried: int = QUERIED) -> DataFrame:
-    """``doc_id, near_id, near_jaccard`` of documents whose id is divisible by ``queried``, if there is a near text.
+def linked(docs: DataFrame, sketches: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, k: int = SHINGLE) -> DataFrame:
+    """``doc_id, near_class`` of documents that links lead to a smaller id from: the smallest one reachable.
 
-    Documents of equal sets are one class, whose members are near each other: the smallest id is given, or for that one the
-    largest. A query without an equal is searched for among the classes that share a band with it, and every comparison is
-    verified on both whole texts. First it meets the smallest and the largest id of each of its bands' groups, which
-    settles nearly all members of a large family; a query that found nothing meets all others of its groups whose sketches
-    do not show that they are far apart. The smallest id of those found is given. So only what the bands or the sketch
-    miss is lost (for a pair at the threshold some 3 in 10,000); a key that S such queries and R classes share costs S * R
-    comparisons of sketches. Rows that share an id are one document; null ids ask nothing.
+    Texts are linked whose shingle sets are at least ``percent`` alike, verified on both whole texts; ``sketches`` is what
+    ``signed`` gave for this threshold. Documents of equal sets are linked. The rest share a band with what they are linked
+    to, but for a pair right at 0.8 in 4,500: each is tried against the smallest one of each of its bands, and where a band's
+    group is then of several components, all pairs across these whose bitmaps don't show that they are apart. Pairs within
+    a component would change no class. Null ids are linked with nothing. Ids should be those of one text: rows that share one
+    get the smallest of their classes, and links of all but one of their texts may be missed.
     """
+    names = {"id_col": id_col, "text_col": text_col, "shingler": partial(_shingles_of, k=k)}
     rows = sketches.where("doc_id IS NOT NULL AND size(keys) > 0")
-    classes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "near-classes")
-    several = classes.where("id <> last").select("digest", "id", "last")
-    equal = rows.where(F.col("doc_id") % queried == 0).select("doc_id", "digest").distinct().join(several, "digest")
-    equal = equal.select("doc_id", F.when(F.col("doc_id") == F.col("id"), F.col("last")).otherwise(F.col("id")).alias("near_id"), F.lit(1.0).alias("near_jaccard"))
-
-    keyed = classes.select("id", "sketch", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("end"), F.count(F.lit(1)).alias("n")).where("first <> end")
-    asked = written(classes.where(F.col("id") == F.col("last")).where(F.col("id") % queried == 0).select(F.col("id").alias("u"), F.col("sketch").alias("own"), F.explode("keys").alias("key")).join(ends, "key"), "near-asked")
-    pairs = written(asked.select("u", F.explode(F.array("first", "end")).alias("v")).where("u <> v").distinct(), "near-pairs")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        found = compared(pairs, docs, id_col=id_col, text_col=text_col, shingler=partial(_shingles_of, k=k)).withColumn("jaccard", F.col("shared") / F.col("joint"))
-        return found.where(F.col("jaccard") >= threshold).groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("near_id"), F.min_by("jaccard", "v").alias("near_jaccard"))
-
-    early = written(verified(pairs), "near-early")
-    # Of 64 bits each is equal with a probability of half a pair's similarity and a half; four standard deviations are let pass.
-    same = (1 + threshold) / 2
-    most = SKETCH * (1 - same) + 4 * math.sqrt(SKETCH * same * (1 - same))
-    open_ = asked.where("n > 2").join(early.select(F.col("doc_id").alias("u")), "u", "left_anti").select("u", "own", "key")
-    met = open_.join(keyed, (open_["key"] == keyed["key"]) & (F.bit_count(F.col("own").bitwiseXOR(F.col("sketch"))) <= most) & (F.col("u") != F.col("id")))
-    rest = written(met.select("u", F.col("id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "near-rest")
-    found = equal.unionByName(early).unionByName(verified(rest))
-    return found.groupBy("doc_id").agg(F.min("near_id").alias("near_id"), F.min_by("near_jaccard", "near_id").alias("near_jaccard"))
+    classes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("keys").alias("keys")), "near-classes")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.select("class", F.explode("keys").alias("key")).repartition(tasks, "key")
+    shared = keyed.groupBy("key").agg(F.min("class").alias("u"), F.max("class").alias("last")).where("u <> last").drop("last")
+    members = written(keyed.join(shared, "key").select("key", "class", "u"), "near-bands")
+
+    def bitmaps(open_: DataFrame) -> DataFrame:
+        texts = docs.select(column(id_col).cast("bigint").alias("doc"), column(text_col).alias("text")).where("text IS NOT NULL")
+        return near_dedup.sketched(among(texts, open_.select(F.col("class").alias("doc"))), id_col="doc", text_col="text", shingler=names["shingler"]).select(F.col("doc_id").alias("class"), "n", "sketch")
+
+    found = near_dedup.groups(members, lambda pairs: near_dedup.confirmed(pairs, docs, **names, percent=percent), bitmaps, percent)
+    named = classes.select("digest", "class").join(found, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("component", "class").alias("near_class"))
+    return rows.select("doc_id", "digest").join(named, "digest").where("near_class <> doc_id").groupBy("doc_id").agg(F.min("near_class").alias("near_class"))
 
 
 def _units(facts: DataFrame, size: int, run_bytes: int) -> tuple[list[float], DataFrame]:
@@ -241,7 +225,7 @@ def with_edits(docs: DataFrame, facts: DataFrame | None = None, near: DataFrame
     the next document's. A single row is its own next document; repeated rows are each other's. Texts move once: runs of
     ids, and parts of an id that fills several runs, are dealt to tasks, and each also gets the first row of the one
     after it, so that every row finds its next one in its own task. ``facts`` is what ``signed`` gave, if it is at hand;
-    ``near`` is what ``linked`` gave, whose rows go to the same tasks and are added as ``near_id, near_jaccard``.
+    ``near`` is what ``linked`` gave, whose rows go to the same tasks: ``near_class`` is added, the own id where it gave none.
     """
     from pyspark.ml.feature import Bucketizer  # takes tens of MB, which other operators' drivers and workers need not hold
 
@@ -286,18 +270,18 @@ def with_edits(docs: DataFrame, facts: DataFrame | None = None, near: DataFrame
     first = own.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
     at = F.array(F.struct("run", "part", F.lit(0).alias("ahead")))
     at = F.when(F.col("before").isNull(), at).otherwise(F.concat(at, F.array(F.struct("before.run", "before.part", F.lit(1).alias("ahead")))))
-    laid = first.select(F.explode(at).alias("at"), "doc_id", "tie", "text", "copies").select("at.run", "at.part", "at.ahead", "doc_id", "text", "tie", "copies", F.lit(None).cast("bigint").alias("near_id"), F.lit(None).cast("double").alias("near_jaccard"))
+    laid = first.select(F.explode(at).alias("at"), "doc_id", "tie", "text", "copies").select("at.run", "at.part", "at.ahead", "doc_id", "text", "tie", "copies", F.lit(None).cast("bigint").alias("near_class"))
     if near is not None:  # a row without copies comes before its document's own
         notes = placed(near.withColumn("tie", F.lit(0).cast("bigint")))
         if any_several:
             notes = notes.join(F.broadcast(several.select("doc_id", "parts")), "doc_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1)))
-        laid = laid.unionByName(notes.select("run", "part", F.lit(0).alias("ahead"), "doc_id", F.lit("").alias("text"), F.lit(-1).cast("bigint").alias("tie"), F.lit(0).cast("bigint").alias("copies"), "near_id", "near_jaccard"))
+        laid = laid.unionByName(notes.select("run", "part", F.lit(0).alias("ahead"), "doc_id", F.lit("").alias("text"), F.lit(-1).cast("bigint").alias("tie"), F.lit(0).cast("bigint").alias("copies"), "near_class"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // 4))
     laid = laid.repartition(tasks, "run", "part").sortWithinPartitions("run", "part", "ahead", F.desc_nulls_last("doc_id"), "tie", "text")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row so far, whose next one is still to come
-        note: tuple[int, int, float] | None = None
+        note: tuple[int, int] | None = None
         for batch in batches:
             batch, note = _noted(batch, note)
             for begin, end in _text.row_slices(batch.column(4)):
@@ -306,29 +290,28 @@ def with_edits(docs: DataFrame, facts: DataFrame | None = None, near: DataFrame
                 yield from _edited(table)
                 held = table.slice(len(table) - 1)
 
-    kind = "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id bigint, near_jaccard double"
+    kind = "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class bigint"
     edits = laid.mapInArrow(edit, kind)
-    return edits if near is not None else edits.drop("near_id", "near_jaccard")
+    return edits.withColumn("near_class", F.coalesce("near_class", "doc_id")) if near is not None else edits.drop("near_class")
 
 
-def _noted(batch: pa.RecordBatch, note: tuple[int, int, float] | None) -> tuple[pa.RecordBatch, tuple[int, int, float] | None]:
+def _noted(batch: pa.RecordBatch, note: tuple[int, int] | None) -> tuple[pa.RecordBatch, tuple[int, int] | None]:
     """The batch without notes, each given to the rows of its document that follow it, and the last note."""
     is_note = batch.column(6).to_numpy() == 0
     if note is None and not is_note.any():
         return batch, None
     valid, ids = batch.column(3).is_valid().to_numpy(zero_copy_only=False), batch.column(3).fill_null(0).to_numpy()
     last = np.maximum.accumulate(np.where(is_note, np.arange(len(batch)), -1))
-    near, jaccard = batch.column(7).to_pylist(), batch.column(8).to_pylist()
-    given: list[tuple[int | None, float | None]] = []
+    near = batch.column(7).to_pylist()
+    given: list[int | None] = []
     for i in np.flatnonzero(~is_note):
         m = last[i]
-        own = (ids[m], near[m], jaccard[m]) if m >= 0 else note
-        given.append((own[1], own[2]) if own and valid[i] and own[0] == ids[i] else (None, None))
+        own = (ids[m], near[m]) if m >= 0 else note
+        given.append(own[1] if own and valid[i] and own[0] == ids[i] else None)
     if last[-1] >= 0:
-        note = (ids[last[-1]], near[last[-1]], jaccard[last[-1]])
+        note = (ids[last[-1]], near[last[-1]])
     rows = batch.filter(pa.array(~is_note))
-    columns = [*rows.columns[:7], pa.array([g[0] for g in given], pa.int64()), pa.array([g[1] for g in given], pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names), note
+    return pa.RecordBatch.from_arrays([*rows.columns[:7], pa.array(given, pa.int64())], names=batch.schema.names), note
 
 
 def _edited(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -361,20 +344,20 @@ def _pairs_of(table: pa.RecordBatch, texts: list[str], own: np.ndarray, rows: np
             pa.array(hexes(new), pa.string()),
             pa.array(likeness(own[rows], new), pa.float64()),
             pa.array(likeness(own[rows], own[after]), pa.float64()),
-            *(table.column(c).take(pa.array(rows)) for c in (7, 8)),
+            table.column(7).take(pa.array(rows)),
         ],
-        names=["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id", "near_jaccard"],
+        names=["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_class"],
     )
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's fingerprint beside its edited text's and the next one's; for ids divisible by 20 also the smallest
-    document found to be near it by bands, with their verified Jaccard similarity. Null and empty texts are near none."""
+    """Each document's fingerprint beside its edited text's and the next one's, and its class: the smallest document that
+    links between texts of similarity 0.8 or more lead to. Null and empty texts are linked with none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     sketches = signed(docs)
     near = written(linked(docs, sketches), "near")
     edits = with_edits(docs, sketches, near)
-    return edits.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id", "near_jaccard")
+    return edits.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_class")
 
 
 def sha256(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import _text
-from quillstone.llm._pairs import compared, plain_shingles
+from quillstone.llm._pairs import Shingler, compared, plain_shingles
 from quillstone.llm._store import small_batches, written
 from quillstone.llm.components import components
 
@@ -70,15 +70,14 @@ def possible_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, lef
             yield a[near], b[near]
 
 
-def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
+def sketched(docs: DataFrame, *, id_col: str, text_col: str, shingler: Shingler) -> DataFrame:
     """``doc_id, n, h1, h2, keys, sketch`` of each row: shingles, a 128-bit hash of their set, band keys, both bitmaps."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _text.MinHash(BANDS * ROWS, SEED)
         for batch in batches:
             for begin, end, data, offsets in _text.text_chunks(batch.column(1)):
-                starts, ends, at = _text.words(data, offsets)
-                values, places = _text.distinct(*_text.shingles(_text.word_hashes(data, starts, ends), at, k))
+                values, places = _text.distinct(*shingler(data, offsets))
                 n = np.diff(places)
                 sums = [np.append(np.uint64(0), np.cumsum(_text.mix64(values ^ np.uint64(c)))) for c in (0x9D8A3C5B7E1F2647, 0x3B9F62D1A5C4E807)]
                 h1, h2 = ((s[places[1:]] - s[places[:-1]]).view(np.int64) for s in sums)
@@ -106,9 +105,9 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFram
     return rows.mapInArrow(sketch, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingler: Shingler, percent: int) -> DataFrame:
     """The pairs ``u, v`` whose full shingle sets have 100 * intersection >= percent * union."""
-    return compared(pairs, docs, id_col=id_col, text_col=text_col, shingler=partial(plain_shingles, k=k)).where(F.col("shared") * 100 >= F.col("joint") * percent).select("u", "v")
+    return compared(pairs, docs, id_col=id_col, text_col=text_col, shingler=shingler).where(F.col("shared") * 100 >= F.col("joint") * percent).select("u", "v")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -156,6 +155,24 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return meetings(rows).groupBy("task").applyInArrow(pairs, "u bigint, v bigint").distinct()
 
 
+def groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], bitmaps: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``node, component`` of the classes with links: ``members`` has ``key, class, u``, ``u`` being the key's smallest class.
+
+    ``confirm`` keeps of the pairs ``u, v`` those that are links, ``bitmaps`` gives ``class, n, sketch`` for at least the
+    classes it is asked about, of whose keys some span several components once every class was tried against the smallest.
+    """
+    pairs = written(members.where("class <> u").select("u", F.col("class").alias("v")).distinct(), "pairs")
+    links = written(confirm(pairs), "confirmed")
+    first = components(links)
+
+    placed = members.join(first.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    met = placed.join(split, "key")
+    open_rows = written(met.join(bitmaps(met.select("class")), "class"), "open")
+    more = written(across(open_rows, percent), "pairs")
+    return first if more.isEmpty() else components(links.unionByName(confirm(more)))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row: groups of documents linked by near-equal shingle sets.
 
@@ -173,7 +190,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent lies between {LEAST_PERCENT}, which the bands are made for, and 100")
     small_batches(docs.sparkSession)
-    names = {"id_col": id_col, "text_col": text_col, "k": k}
+    names = {"id_col": id_col, "text_col": text_col, "shingler": partial(plain_shingles, k=k)}
     sketches = written(sketched(docs, **names), "sketches")
     sets = sketches.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("class")), "classes")
@@ -181,18 +198,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("class"))
     shared = grouped.groupBy("key").agg(F.min("class").alias("u"), F.max("class").alias("last")).where("u <> last").drop("last")
     members = written(grouped.join(shared, "key").select("key", "class", "u"), "bands")
-    pairs = written(members.where("class <> u").select("u", F.col("class").alias("v")).distinct(), "pairs")
-    links = written(confirmed(pairs, docs, **names, percent=percent), "confirmed")
-    first = components(links)
-
-    placed = members.join(first.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    open_rows = written(placed.join(split, "key").join(own.select(F.col("doc_id").alias("class"), "n", "sketch"), "class"), "open")
-    more = written(across(open_rows, percent), "pairs")
-    found = first
-    if not more.isEmpty():
-        late = confirmed(more, docs, **names, percent=percent)
-        found = components(links.unionByName(late))
+    found = groups(members, lambda pairs: confirmed(pairs, docs, **names, percent=percent), lambda _: own.select(F.col("doc_id").alias("class"), "n", "sketch"), percent)
 
     whole = sketches.join(classes, ["h1", "h2"], "left").join(found.withColumnRenamed("node", "class"), "class", "left")
     component = F.when((F.col("n") > 0), F.coalesce("component", "class")).otherwise(F.col("doc_id"))

@@ -424,29 +424,34 @@ def test_a_third_of_all_rows_may_share_an_id(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_text"]) for r in got), key=str) == brute_edits(rows, ties(spark, rows))
 
 
-def test_near_texts_are_found_through_bands_and_verified(spark):
+def near_classes(rows):
+    """Smallest ids that links of 0.8 lead to, by brute force, of the documents that have a smaller one."""
+    sets = {i: {tuple(["", "", "", "", *t.split()][j : j + 5]) for j in range(len(t.split()))} for i, t in rows if i is not None and (t or "").split()}
+    found = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    while True:
+        new = dict(found)
+        for i, j in links:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == found:
+            return {i: c for i, c in found.items() if c < i}
+        found = new
+
+
+def test_near_texts_are_classes_of_links_verified(spark):
     base = [" ".join(f"b{i}w{j}" for j in range(60)) for i in range(12)]
     rows = [(i * 20, b) for i, b in enumerate(base)] + [(1000 + i, b + " and one") for i, b in enumerate(base[:8])] + [(2000 + i, b) for i, b in enumerate(base[8:10])]
     rows += [(5000 + j, base[0] + f" x{j}") for j in range(60)] + [(400, None), (420, ""), (440, "one"), (460, " "), (None, base[1])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     sketches = fingerprints.signed(df)
-    near = {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in fingerprints.linked(df, sketches).collect()}
-
-    def sets(t):
-        w = ["", "", "", "", *(t or "").split()] if (t or "").split() else []
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-    texts = {i: sets(t) for i, t in rows if i is not None}
-    alike = lambda a, b: len(texts[a] & texts[b]) / max(1, len(texts[a] | texts[b]))
-    want = {i for i in texts if i % 20 == 0 and any(j != i and alike(i, j) >= 0.8 for j in texts)}
-    assert set(near) == want
-    assert all(j != i and abs(alike(i, j) - x) < 1e-12 and x >= 0.8 for i, (j, x) in near.items())
-    rode = fingerprints.with_edits(df, sketches, spark.createDataFrame([(i, *v) for i, v in near.items()], "doc_id bigint, near_id bigint, near_jaccard double"), run_bytes=3000).collect()
-    assert len(rode) == len(rows) and {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in rode if r["near_id"] is not None} == near
+    near = {r["doc_id"]: r["near_class"] for r in fingerprints.linked(df, sketches).collect()}
+    assert near == near_classes(rows) and len(near) == 70
+    rode = fingerprints.with_edits(df, sketches, spark.createDataFrame(list(near.items()), "doc_id bigint, near_class bigint"), run_bytes=3000).collect()
+    assert sorted(((r["doc_id"], r["near_class"]) for r in rode), key=str) == sorted(((i, near.get(i, i)) for i, _ in rows), key=str)
 
 
 def test_near_texts_are_found_among_relatives_that_are_not_near(spark):
-    """Each query has one near text between many relatives below the threshold, of smaller and of larger ids; recall is stated."""
+    """Each text has one near to it between many relatives below the threshold, of smaller and of larger ids."""
     rng, rows = random.Random(80), []
     for q in range(40):
         words = [f"q{q}w{j}" for j in range(200)]
@@ -460,20 +465,32 @@ def test_near_texts_are_found_among_relatives_that_are_not_near(spark):
                 relative[i] = f"r{q}x{r}y{i}"
             rows.append(((q * 100 + r) * 20 + 7 if r % 2 else 1_000_000 + (q * 100 + r) * 20 + 7, " ".join(relative)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
-    sets = {i: {tuple(["", "", "", "", *t.split()][j : j + 5]) for j in range(200)} for i, t in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    asked = [i for i in sets if i % 20 == 0]
-    want = {i for i in asked if any(j != i and alike(i, j) >= 0.8 for j in sets)}
-    near = {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
-    assert len(want) == 40 and set(near) <= want and len(near) >= 0.95 * len(want)
-    assert all(abs(alike(i, j) - x) < 1e-12 and x >= 0.8 for i, (j, x) in near.items())
+    near = {r["doc_id"]: r["near_class"] for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
+    assert near == {20_001 + q * 20: 10_000 + q * 20 for q in range(40)}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_no_link_of_a_family_across_the_threshold_is_left_out(spark, monkeypatch, block):
+    """Families whose members lie on both sides of the threshold: classes are those of all links, not of queries' alone."""
+    monkeypatch.setattr(fingerprints.near_dedup, "BLOCK", block)
+    rng, rows = random.Random(8), []
+    for family in range(6):
+        words = [f"f{family}w{j}" for j in range(100)]
+        for i in range(50):
+            own = list(words)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**6) * 6 + family, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    near = {r["doc_id"]: r["near_class"] for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
+    assert near == near_classes(rows) and len(near) > 150
 
 
 def test_equal_sets_are_one_class_and_near(spark):
     rows = [(i, "the same words in all of these") for i in range(20, 400, 7)] + [(40, "the same words in all of these"), (1000, "another text of its own here")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    near = {r["doc_id"]: (r["near_id"], r["near_jaccard"]) for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
-    assert near == {i: (max(r[0] for r in rows[:-1]) if i == 20 else 20, 1.0) for i in {r[0] for r in rows[:-1]} if i % 20 == 0}
+    near = {r["doc_id"]: r["near_class"] for r in fingerprints.linked(df, fingerprints.signed(df)).collect()}
+    assert near == {i: 20 for i in {r[0] for r in rows[1:-1]}}
 
 
 def test_similar_finds_nine_in_ten_of_brute_force(spark):
