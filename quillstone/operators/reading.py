@@ -177,25 +177,27 @@ def threshold_tables(lines: DataFrame) -> DataFrame:
     missing = ~F.exists("kept", lambda h: h["component"].isNotNull()) | ~F.exists("kept", lambda h: h["combination"].isNotNull())
     problem = F.when(~F.forall("kept", whole), "not numbers").when(missing, "a table is missing")
     each = each.withColumn("problem", problem)
-    kept = each.where("problem IS NULL").select("doc_id", F.explode("kept").alias("h")).select("doc_id", "h.*")
+    # One pass: a document that is refused goes on as one head of nulls.
+    kept = each.select("doc_id", "problem", F.explode(F.when(F.col("problem").isNull(), F.col("kept")).otherwise(F.array(F.lit(None).cast(kind)))).alias("h")).select("doc_id", "problem", "h.*")
 
-    def bands(grain: str, grades: Sequence[str], rows: DataFrame) -> DataFrame:
+    def bands(grades: Sequence[str]) -> Column:
         marks = F.transform("numbers", lambda v: v.cast("int"))
         names = F.array(*map(F.lit, grades))
-        band = F.transform(F.sequence(F.lit(1), F.lit(len(grades))), lambda i: F.struct(F.element_at(names, i).alias("grade"), F.element_at(marks, i + 1).alias("low"), (F.element_at(marks, i) - F.when(i > 1, 1).otherwise(0)).alias("high")))
-        code = F.col("component")
-        return rows.select(
-            "doc_id",
-            F.lit(grain).alias("grain"),
-            F.substring(code, 1, 1).cast("int").alias("component"),
-            F.when(F.length(code) == 2, F.substring(code, 2, 1).cast("int")).alias("variant"),
-            "combination",
-            F.when(F.col("combination").isNotNull(), F.col("components")).alias("components"),
-            F.explode(band).alias("b"),
-        ).select("*", "b.grade", "b.low", "b.high", F.lit(None).cast("string").alias("problem")).drop("b")
-
-    found = bands("component", COMPONENT_GRADES, kept.where("component IS NOT NULL")).unionByName(bands("combination", COMBINATION_GRADES, kept.where("combination IS NOT NULL")))
-    return found.unionByName(each.where("problem IS NOT NULL").select("doc_id", "problem"), allowMissingColumns=True)
+        return F.transform(F.sequence(F.lit(1), F.lit(len(grades))), lambda i: F.struct(F.element_at(names, i).alias("grade"), F.element_at(marks, i + 1).alias("low"), (F.element_at(marks, i) - F.when(i > 1, 1).otherwise(0)).alias("high")))
+
+    none = F.array(F.lit(None).cast("struct<grade:string,low:int,high:int>"))
+    code, combined = F.col("component"), F.col("combination").isNotNull()
+    found = kept.select(
+        "doc_id",
+        F.when(code.isNotNull(), "component").when(combined, "combination").alias("grain"),
+        F.substring(code, 1, 1).cast("int").alias("component"),
+        F.when(F.length(code) == 2, F.substring(code, 2, 1).cast("int")).alias("variant"),
+        "combination",
+        F.when(combined, F.col("components")).alias("components"),
+        F.explode(F.when(code.isNotNull(), bands(COMPONENT_GRADES)).when(combined, bands(COMBINATION_GRADES)).otherwise(none)).alias("b"),
+        "problem",
+    )
+    return found.select("doc_id", "grain", "component", "variant", "combination", "components", "b.grade", "b.low", "b.high", "problem")
 
 
 def band_units(found: DataFrame) -> DataFrame:
@@ -235,19 +237,21 @@ def answer_grid(lines: DataFrame) -> DataFrame:
     page = Window.partitionBy("doc_id", "page")
     w = page.orderBy("line_no")
     rows = lines.select("doc_id", "page", "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("token")).where("token <> ''")
-    # A head is at most four words long, which may stand on as many lines.
-    near = F.array_join(F.collect_list("token").over(w.rowsBetween(0, 3)), " ")
-    flat = F.lower(F.regexp_replace(near, r"\s+", " "))
-    rows = rows.withColumn("modern", F.max(flat.rlike("question answer marks?")).over(page)).withColumn("legacy", F.max(flat.rlike("question number key")).over(page)).where("modern OR legacy")
-    rows = rows.withColumn("key", F.max(F.lower("token") == "key").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("any_key", F.max(F.lower("token") == "key").over(page))
-    rows = rows.withColumn("at", F.row_number().over(w)).withColumn("answer", F.upper(F.lead("token").over(w))).withColumn("marks", F.lead("token", 2).over(w))
+    # A head is at most four words long, which may stand on as many lines; it begins on one that says "question".
+    near = F.concat_ws(" ", "token", *(F.lead("token", i).over(w) for i in (1, 2, 3)))
+    rows = rows.withColumn("flat", near).withColumn("answer", F.upper(F.lead("token").over(w))).withColumn("marks", F.lead("token", 2).over(w)).withColumn("at", F.row_number().over(w))
+    rows = rows.withColumn("key", F.max(F.lower("token") == "key").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    flat = F.when(F.contains(F.lower("token"), F.lit("question")), F.lower(F.regexp_replace("flat", r"\s+", " ")))
+    says = lambda pattern: F.coalesce(F.max(flat.rlike(pattern)).over(page), F.lit(False))
+    rows = rows.withColumn("modern", says("question answer marks?")).withColumn("legacy", says("question number key")).withColumn("any_key", F.max(F.lower("token") == "key").over(page)).where("modern OR legacy")
     pair = F.col("token").rlike(r"^\d{1,9}$") & F.col("answer").rlike("^[A-E]$")
-    triple = rows.where(pair & F.col("modern") & F.col("marks").rlike(r"^\d+$"))
-    triple = triple.withColumn("opens", F.coalesce((F.col("at") - F.lag("at").over(page.orderBy("at")) != 2).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(page.orderBy("at")))
-    triple = triple.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "page", "run").orderBy("at"))).where("i % 2 = 1")
-    legacy = rows.where(pair & ~F.col("modern") & (F.coalesce("key", F.lit(False)) | ~F.col("any_key")))
-    found = triple.select("doc_id", "token", "answer").unionByName(legacy.select("doc_id", "token", "answer"))
-    grid = found.groupBy("doc_id", F.col("token").cast("int").alias("number")).agg(F.min("answer").alias("answer"), F.max("answer").alias("other"))
+    fits = F.when(F.col("modern"), F.col("marks").rlike(r"^\d+$")).otherwise(F.coalesce("key", F.lit(False)) | ~F.col("any_key"))
+    # All pairs of a page are of one layout. Those of a run are two apart, so every other one is four from the run's first.
+    rows = rows.where(pair & fits).select("doc_id", "page", "modern", "at", "token", "answer")
+    in_order = page.orderBy("at")
+    rows = rows.withColumn("first", F.when(F.coalesce(F.col("at") - F.lag("at").over(in_order) != 2, F.lit(True)), F.col("at")))
+    rows = rows.withColumn("first", F.last("first", ignorenulls=True).over(in_order.rowsBetween(*_SO_FAR))).where("NOT modern OR (at - first) % 4 = 0")
+    grid = rows.groupBy("doc_id", F.col("token").cast("int").alias("number")).agg(F.min("answer").alias("answer"), F.max("answer").alias("other"))
     return grid.where("answer = other").drop("other")
 
 
@@ -257,11 +261,13 @@ def grid_problems(grid: DataFrame, expected: DataFrame) -> DataFrame:
     ``count``: answers found and expected; ``missing``: a run of numbers up to the expected one; ``start``: the first number
     if it isn't 1. A document whose grid is empty has the first alone.
     """
-    counted = grid.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("found"), F.min("number").alias("least"))
+    counted = grid.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("found"), F.array_sort(F.collect_list("number")).alias("numbers"))
     both = expected.select("doc_id", F.col("n").cast("int").alias("n")).join(counted, "doc_id", "left")
-    tell = lambda rows, kind, first, last: rows.select("doc_id", F.lit(kind).alias("kind"), F.expr(first).cast("int").alias("first"), F.expr(last).cast("int").alias("last"))
-    out = tell(both.where("coalesce(found, 0) <> n"), "count", "coalesce(found, 0)", "n").unionByName(tell(both.where("least <> 1"), "start", "least", "least"))
-    inner = grid.join(both.where("found IS NOT NULL").select("doc_id", "n"), "doc_id").where("number BETWEEN 1 AND n").select("doc_id", "number", "n")
-    edges = inner.unionByName(both.where("found IS NOT NULL").select("doc_id", (F.col("n") + 1).alias("number"), "n"))
-    gaps = edges.withColumn("before", F.coalesce(F.lag("number").over(Window.partitionBy("doc_id").orderBy("number")), F.lit(0)))
-    return out.unionByName(tell(gaps.where("number > before + 1"), "missing", "before + 1", "number - 1"))
+    row = lambda kind, first, last: F.struct(F.lit(kind).alias("kind"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+    found, least, n = F.coalesce("found", F.lit(0)), F.get("numbers", F.lit(0)), F.col("n")
+    edges = F.concat(F.filter("numbers", lambda x: x.between(1, n)), F.array(n + 1))
+    before = lambda i: F.coalesce(F.when(i > 0, F.get("edges", i - 1)), F.lit(0))
+    missing = F.filter(F.transform("edges", lambda x, i: F.when(x > before(i) + 1, row("missing", before(i) + 1, x - 1))), lambda r: r.isNotNull())
+    whole = F.array(F.when(found != n, row("count", found, n)), F.when(least != 1, row("start", least, least)))
+    told = F.concat(F.filter(whole, lambda r: r.isNotNull()), F.coalesce(missing, F.array().cast("array<struct<kind:string,first:int,last:int>>")))
+    return both.withColumn("edges", edges).select("doc_id", F.explode(told).alias("r")).select("doc_id", "r.*")

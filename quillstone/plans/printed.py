@@ -205,6 +205,11 @@ def _listed(spark: SparkSession, d: str, rules: tuple, names: tuple) -> DataFram
     return _exploded(base, F.floor(F.col("o") / 2).cast("int").alias("page"), "o * 200 + n * 20", "line_no", rules, names)
 
 
+def listed_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have lines, which every line item gives: no lines are made for it."""
+    return table(spark, d, "lineitem").selectExpr(_split(_LISTED)[0]).distinct()
+
+
 def syllabus_rows(spark: SparkSession, d: str) -> DataFrame:
     return _listed(spark, d, _SYLLABUS, ("text", "size", "bold", "x0")).withColumnRenamed("line_no", "row_no")
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import reading as R
-from quillstone.plans.printed import GRIDS_SQL, SCHEME_SQL, SYLLABUS_SQL, THRESHOLDS_SQL, grid_lines, scheme_lines, syllabus_rows, threshold_lines
+from quillstone.plans.printed import GRIDS_SQL, SCHEME_SQL, SYLLABUS_SQL, THRESHOLDS_SQL, grid_lines, listed_docs, scheme_lines, syllabus_rows, threshold_lines
 from quillstone.plans.registry import query
+from quillstone.sources.files import stored
 
 
 @query(
@@ -107,10 +108,10 @@ FROM (SELECT * FROM fresh WHERE doc_id % 2 = 0) f FULL JOIN stored s USING (doc_
 )
 def threshold_upsert(spark: SparkSession, d: str) -> DataFrame:
     """What documents of even numbers say now replaces what was stored of both grains; other rows stay."""
-    fresh = R.band_units(R.threshold_tables(threshold_lines(spark, d)))
+    fresh = stored(R.band_units(R.threshold_tables(threshold_lines(spark, d))))
     least = fresh.where("grade = 'E'").select("doc_id", "grain", "unit", F.lit("U").alias("grade"), F.lit(0).alias("low"), (F.col("low") - 1).alias("high"))
-    stored = fresh.where("grade <> 'C'").withColumn("low", F.col("low") + 1).unionByName(least)
-    return R.upserted_bands(stored, fresh.where("doc_id % 2 = 0"))
+    before = fresh.where("grade <> 'C'").withColumn("low", F.col("low") + 1).unionByName(least)
+    return R.upserted_bands(before, fresh.where("doc_id % 2 = 0"))
 
 
 @query(
@@ -122,7 +123,7 @@ SELECT m.doc_id, m.unit, m.mark, max(b.grade) AS grade FROM marks m LEFT JOIN fr
 )
 def mark_grades(spark: SparkSession, d: str) -> DataFrame:
     """The grade of some marks in each component and combination; none above the maximum or below the last grade."""
-    fresh = R.band_units(R.threshold_tables(threshold_lines(spark, d)))
+    fresh = stored(R.band_units(R.threshold_tables(threshold_lines(spark, d))))
     some = F.explode(F.array(*map(F.lit, (-1, 29, 30, 45, 50, 59, 60, 75, 100, 140, 200)))).alias("mark")
     return R.graded(fresh.select("doc_id", "unit").distinct().select("doc_id", "unit", some), fresh)
 
@@ -161,5 +162,4 @@ UNION ALL SELECT doc_id, 'missing', min(i), max(i) FROM (SELECT *, i - row_numbe
 )
 def grid_problems(spark: SparkSession, d: str) -> DataFrame:
     """Grids held against the number of questions that each paper should have (here, 20 to 29)."""
-    lines = grid_lines(spark, d)
-    return R.grid_problems(R.answer_grid(lines), lines.select("doc_id", (20 + F.col("doc_id") % 10).alias("n")).distinct())
+    return R.grid_problems(R.answer_grid(grid_lines(spark, d)), listed_docs(spark, d).select("doc_id", (20 + F.col("doc_id") % 10).alias("n")))

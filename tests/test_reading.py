@@ -170,3 +170,21 @@ def test_bands_are_stored_and_looked_up(spark):
     assert after.where("is_new").count() == units.count() - 1
     marks = spark.createDataFrame([(1, "1-1", 80), (1, "1-1", 60), (1, "1-1", 59), (1, "1-1", 19), (1, "1-1", 81), (1, "2", 30), (2, "2", 30)], "doc_id int, unit string, mark int")
     assert rows(R.graded(marks, units), "doc_id", "unit", "mark", "grade") == [(1, "1-1", 19, None), (1, "1-1", 59, "B"), (1, "1-1", 60, "A"), (1, "1-1", 80, "A"), (1, "1-1", 81, None), (1, "2", 30, "A"), (2, "2", 30, None)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_read_once(spark):
+    """A branch for each kind of row would read, sort and scan all lines as often."""
+    lines = spark.createDataFrame([(1, 0, 0, "1")], "doc_id int, page int, line_no int, line string")
+    expected = spark.createDataFrame([(1, 3)], "doc_id int, n int")
+    scans = lambda df: plan_of(df).count("LogicalRDD")
+    assert scans(R.threshold_tables(lines)) == scans(R.answer_grid(lines)) == 1 and scans(R.grid_problems(R.answer_grid(lines), expected)) == 2
+
+
+def test_long_runs_of_overlapping_rows(spark):
+    """Of rows two apart every other one is taken, run by run."""
+    page = "Question|Answer|Marks|1|A|2|B|3|C|4|D|5|E|x|6|A|7|B|8"
+    assert rows(grid(spark, page), "number", "answer") == [(1, "A"), (3, "C"), (6, "A")]
