@@ -9,6 +9,7 @@ from quillstone.operators import catalogue as C
 from quillstone.operators.common import joined, latest_by
 from quillstone.plans.registry import query
 from quillstone.plans.roles import attempts, bank, docs, edges, leaves, roots, spans, table, topics
+from quillstone.sources.files import stored
 
 GROUPS = "groups AS (SELECT question_id, max(question_id) OVER (PARTITION BY body, kind, answer) AS canonical_id FROM bank)"
 CODES = "codes AS (SELECT question_id, string_agg(code, ',' ORDER BY is_primary DESC, code) AS topic_codes FROM edges JOIN topics USING (topic_id) GROUP BY question_id)"
@@ -120,20 +121,19 @@ _PART = "CAST(root AS STRING) AS root, CAST(root AS STRING) || '(' || n || ')' A
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return leaves(spark, d).groupBy("root", "n").agg(F.max("marks").alias("marks"), F.min("flag").alias("flag"), F.min("part").alias("part"), F.min("supp").alias("supp")).select(F.col("root").cast("string").alias("root"), F.concat("root", F.lit("("), "n", F.lit(")")).alias("id"), "n", "marks", "flag", "part", "supp")
+    """Stored, as trees, assets and tags read them some ten times."""
+    return stored(leaves(spark, d).groupBy("root", "n").agg(F.max("marks").alias("marks"), F.min("flag").alias("flag"), F.min("part").alias("part"), F.min("supp").alias("supp")).select(F.col("root").cast("string").alias("root"), F.concat("root", F.lit("("), "n", F.lit(")")).alias("id"), "n", "marks", "flag", "part", "supp"))
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
+def _tree(spark: SparkSession, d: str, parts: DataFrame) -> DataFrame:
     top = roots(spark, d).selectExpr("CAST(root AS STRING) AS id", "CAST(NULL AS STRING) AS parent", "CAST(root AS STRING) AS root", "0 AS ordinal", "CAST(NULL AS INT) AS max_marks", "priority AS mark_scheme_text", "CAST(NULL AS STRING) AS review_flag")
-    parts = _parts(spark, d)
     first = parts.selectExpr("id", "root AS parent", "root", "n * 10 AS ordinal", "marks AS max_marks", "flag || part AS mark_scheme_text", "nullif(flag, 'N') AS review_flag")
     below = parts.where("supp % 5 = 0").selectExpr("id || '(i)' AS id", "id AS parent", "root", "n * 10 + 1 AS ordinal", "marks + 1 AS max_marks", "CAST(supp AS STRING) AS mark_scheme_text", "nullif(flag, 'A') AS review_flag")
     return top.unionByName(first).unionByName(below)
 
 
-def _assets(spark: SparkSession, d: str) -> DataFrame:
+def _assets(parts: DataFrame) -> DataFrame:
     """Crops of questions, of their parts' mark schemes, and of some questions' own; some boxes have no width."""
-    parts = _parts(spark, d)
     box = ("10.0 AS x0", "20.0 AS y0", "CASE WHEN part % 7 = 0 THEN 10.0 ELSE 26.0 END AS x1", "21.0 + supp % 50 AS y1")
     one = lambda rows, owner, kind, order: rows.selectExpr(f"{owner} AS owner", f"'{kind}' AS kind", f"{order} AS sort_order", "supp % 4 AS page_number", "part || '-' || n AS storage_key", *box)
     made = one(parts, "root", "question_crop", "n % 3").unionByName(one(parts.where("part % 2 = 0"), "id", "mark_scheme_crop", "1")).unionByName(one(parts.where("part % 4 = 0"), "id", "mark_scheme_crop", "0"))
@@ -183,7 +183,7 @@ def v_mcq(spark: SparkSession, d: str) -> DataFrame:
     letters = F.explode(F.array(*(F.struct(F.lit(c).alias("option"), F.lit(k).alias("k")) for k, c in enumerate("ABCD"))))
     options = q.where("question_id % 9 <> 0").select("question_id", "body", letters.alias("o")).where("(question_id + o.k) % 5 <> 0").select("question_id", "o.option", F.concat("o.option", "body").alias("content"))
     rows = C.published(q).select("question_id", "paper", "ordinal", "answer", F.nullif("answer", F.lit(0)).alias("correct_option"))
-    assets = _assets(spark, d).withColumn("owner", F.expr("try_cast(owner AS BIGINT)"))
+    assets = _assets(_parts(spark, d)).withColumn("owner", F.expr("try_cast(owner AS BIGINT)"))
     view = C.mcq_view(rows, options, assets).drop("correct_option")
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     view = view.withColumn("options", shown).withColumn("crop_aspect_ratio", F.col("crop_aspect_ratio").cast("decimal(12,4)").cast("string"))
@@ -261,7 +261,8 @@ def leaf_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {NESTED} SELECT id, parts FROM nested")
 def question_parts(spark: SparkSession, d: str) -> DataFrame:
     """The leaves nested under their question, each with its crops; a question without parts has an empty list, not null."""
-    view = C.structured_view(_tree(spark, d), _assets(spark, d))
+    parts = _parts(spark, d)
+    view = C.structured_view(_tree(spark, d, parts), _assets(parts))
     return view.select("id", F.array_join(F.transform("parts", _part_text), "|").alias("parts"))
 
 
@@ -269,7 +270,8 @@ def question_parts(spark: SparkSession, d: str) -> DataFrame:
 def v_structured(spark: SparkSession, d: str) -> DataFrame:
     """Structured questions with crops, parts with their crops, and mark-scheme crops, all nested; flattened for the comparison."""
     open_ = roots(spark, d).where("state <> 'P'").select(F.col("root").cast("string").alias("id"))
-    view = C.structured_view(_tree(spark, d), _assets(spark, d)).join(open_, "id", "left_semi")
+    parts = _parts(spark, d)
+    view = C.structured_view(_tree(spark, d, parts), _assets(parts)).join(open_, "id", "left_semi")
     return view.select("id", "mark_scheme_text", _crop_text("crops").alias("crops"), F.array_join(F.transform("parts", _part_text), "|").alias("parts"), _crop_text("mark_scheme_crops").alias("mark_scheme_crops"))
 
 
@@ -297,8 +299,9 @@ review AS (
 def _review(spark: SparkSession, d: str) -> DataFrame:
     """One row for each undecided question; a flagged leaf (R) lifts the whole."""
     named = topics(spark, d).withColumn("title", F.concat(F.lit("T"), "code"))
-    tags = _parts(spark, d).where("CAST(root AS BIGINT) % 6 <> 0").select(F.col("root").alias("question_id"), (F.col("part") % 10).alias("topic_id"), (50 + (F.col("supp") * 7 + F.col("part")) % 50).alias("confidence")).distinct()
-    view = C.review_view(_tree(spark, d), _assets(spark, d), C.proposed_topics(tags, named))
+    parts = _parts(spark, d)
+    tags = parts.where("CAST(root AS BIGINT) % 6 <> 0").select(F.col("root").alias("question_id"), (F.col("part") % 10).alias("topic_id"), (50 + (F.col("supp") * 7 + F.col("part")) % 50).alias("confidence")).distinct()
+    view = C.review_view(_tree(spark, d, parts), _assets(parts), C.proposed_topics(tags, named))
     undecided = roots(spark, d).where("state <> 'F'").select(F.col("root").cast("string").alias("id"), "root", "paper")
     return view.join(undecided, "id").withColumn("is_flagged", F.array_contains("flags", "R")).withColumn("confidence", F.col("primary_topic_confidence"))
 
@@ -313,7 +316,7 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {REVIEW} SELECT root, is_flagged, confidence, (SELECT count(*) FROM review) AS total FROM review ORDER BY is_flagged DESC, confidence ASC NULLS FIRST, root LIMIT 200 OFFSET 200")
 def review_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of two hundred, flagged and least certain first, with the exact total."""
-    rows = _review(spark, d)
+    rows = stored(_review(spark, d).select("root", "is_flagged", "confidence"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy(F.desc("is_flagged"), F.asc_nulls_first("confidence"), "root").offset(200).limit(200)
     return page.select("root", "is_flagged", "confidence", total.scalar().alias("total"))

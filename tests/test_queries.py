@@ -147,3 +147,10 @@ def test_the_entry_and_the_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 150
+
+
+@pytest.mark.parametrize("name", ["v_structured", "review_queue", "review_page", "question_parts"])
+def test_nested_views_work_their_parts_out_once(spark, name):
+    """Trees, assets and tags read stored parts, and a page's total reads what the page reads."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan and (name != "review_page" or "o_orderkey" not in plan)
